@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, warc
+from loreweave.llm import exact_dedup, mixing, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -19,7 +19,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup)}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources)}
 
 ORACLES = {
     "op1_warc_seekable": """
