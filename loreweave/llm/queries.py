@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, mixing, warc
+from loreweave.llm import exact_dedup, mixing, packing, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -23,7 +23,18 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
