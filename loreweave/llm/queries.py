@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, mixing, packing, warc
+from loreweave.llm import exact_dedup, mixing, near_dedup, packing, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -34,7 +34,11 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources, op10_pack_sequences)}
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), near_dedup.Near(words=4))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
