@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, mixing, near_dedup, packing, warc
+from loreweave.llm import exact_dedup, mixing, near_dedup, packing, quality, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -38,7 +38,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_components(table(spark, sf_dir, "documents"), near_dedup.Near(words=4))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op10_pack_sequences)}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, q = table(spark, sf_dir, "documents").select("doc_id", "text"), quality.Quality()
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), q))
+    return scored.select("doc_id", (quality.fold(F.col("doc_id"), q.folds) == 0).alias("held_out"), "score", (F.col("score") >= q.threshold).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
