@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, mixing, near_dedup, packing, quality, warc
+from loreweave.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -44,7 +44,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold(F.col("doc_id"), q.folds) == 0).alias("held_out"), "score", (F.col("score") >= q.threshold).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op10_pack_sequences)}
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op9_html_main_text, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
