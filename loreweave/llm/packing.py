@@ -16,6 +16,7 @@ gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
 from collections import defaultdict
@@ -40,22 +41,48 @@ _PLAIN = re.compile("[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PART = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ a-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+def _byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: printable bytes as themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class _Numbers(dict):
+    """Numbers words as they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        self.new.append(word)
+        return out
+
+
 class Encoder:
-    """Texts to packed ids. A tokenizer that drops white space encodes word by word, through a bounded cache of words."""
+    """Texts to packed ids, each with the end id behind it. A tokenizer that drops white space encodes word by word: words are
+    numbered, the ids of each number are kept in one array (bounded by `most` words), and texts are gathered from it."""
 
-    def __init__(self, path: str, width: str, most: int = 600_000):
+    def __init__(self, path: str, width: str, end_id: int, most: int = 600_000):
         import json
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width, self.most = Tokenizer.from_file(path), width, most
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.tokenizer, self.width, self.end_id, self.most = Tokenizer.from_file(path), width, end_id, most
+        self.dtype = np.dtype(width)
         spec = json.loads(self.tokenizer.to_str())
         names = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = names == WORD_NORMALIZERS and split[:1] == [WORD_PATTERN]
         self.added = [x["content"].encode() for x in spec.get("added_tokens", [])]
+        self.characters = _byte_characters()
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.parts = _Numbers(), {}
+        self.numbers.new = []
+        self.flat, self.size = np.zeros(1 << 20, self.dtype), 0
+        self.starts, self.counts = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.numbers[b""] = 0  # no word is empty; this one is the end of a text
+        self.keep([self.pack([self.end_id])], 0)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.width, ids).tobytes()
@@ -63,70 +90,84 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, missing: list[bytes]) -> None:
-        plain = lambda w: _PLAIN.fullmatch(w.decode()) and not any(a in w for a in self.added)
-        joined = b" ".join(missing)
+    def keep(self, ids: list[bytes], first: int) -> None:
+        """Stores the ids of the words numbered from first on."""
+        counts = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
+        last, size = first + len(ids), self.size + int(counts.sum())
+        while size > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while last > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        self.flat[self.size : size] = np.frombuffer(b"".join(ids), self.dtype)
+        self.starts[first:last] = self.size + np.cumsum(counts) - counts
+        self.counts[first:last] = counts
+        self.size = size
+
+    def part(self, x: str) -> bytes:
+        """The ids of a piece that the pattern gives as one, from the vocabulary's merges."""
+        out = self.parts[x] = self.pack([t.id for t in self.tokenizer.model.tokenize("".join([self.characters[b] for b in x.encode()]))])
+        return out
+
+    def learned(self, words: list[bytes]) -> list[bytes]:
+        joined = b" ".join(words)
         if not _PLAIN.fullmatch(joined.decode()) or any(a in joined for a in self.added):
-            odd = [w for w in missing if not plain(w)]
-            self.words |= zip(odd, self.whole([w.decode() for w in odd]), strict=True)
-            missing = [w for w in missing if plain(w)]
-            joined = b" ".join(missing)
-        if not missing:
-            return
-        found = _PART.findall(joined.decode().lower())
-        new = list({x for x in found if x != " "} - self.parts.keys())
-        if new:  # a part stands alone between spaces, so it is one word of the encoding
-            encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids, word = self.pack(encoding.ids), np.array(encoding.word_ids)
-            size = array(self.width).itemsize
-            ends = [*(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
-            for x, a, b in zip(new, [0, *ends], ends, strict=False):
-                self.parts[x] = ids[size * a : size * b]
-        held, names = [], iter(missing)
-        for x in found:
+            plain = [_PLAIN.fullmatch(w.decode()) is not None and not any(a in w for a in self.added) for w in words]
+            odd = iter(self.whole([w.decode() for w, p in zip(words, plain, strict=True) if not p]))
+            even = iter(self.learned([w for w, p in zip(words, plain, strict=True) if p]) if any(plain) else [])
+            return [next(even) if p else next(odd) for p in plain]
+        out, held, parts = [], [], self.parts
+        for x in _PART.findall(joined.decode().lower()):
             if x == " ":
-                self.words[next(names)] = b"".join(held)
+                out.append(b"".join(held))
                 held = []
             else:
-                held.append(self.parts[x])
-        self.words[next(names)] = b"".join(held)
+                held.append(parts.get(x) or self.part(x))
+        return [*out, b"".join(held)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text ends in them."""
         if not self.by_word:
-            return self.whole(texts)
+            ids = [x + self.pack([self.end_id]) for x in self.whole(texts)]
+            return np.frombuffer(b"".join(ids), self.dtype), np.cumsum([len(x) // self.dtype.itemsize for x in ids])
+        if len(self.numbers) > self.most:
+            self.forget()
         split = [t.encode().split() for t in texts]
-        if missing := set().union(*split) - self.words.keys():
-            if len(self.words) > self.most:
-                self.words.clear()
-                missing = set().union(*split)
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            self.learn(list(missing))
-        words = self.words
-        return [b"".join([words[w] for w in x]) for x in split]
+        for x in split:
+            x.append(b"")
+        words = np.cumsum([len(x) for x in split])
+        number = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(split)), np.int32, int(words[-1]))
+        if new := self.numbers.new:
+            self.keep(self.learned(new), len(self.numbers) - len(new))
+            self.numbers.new = []
+        counts = self.counts[number]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[number] - (ends - counts).astype(np.int32), counts)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at], ends[words - 1]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, int], Encoder] = {}
 
 
-def encoder(path: str, width: str) -> Encoder:
-    """One for each Python worker: its cache outlives a task."""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+def encoder(*key) -> Encoder:
+    """One for each Python worker: its words outlive a task."""
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def _tokenise(path: str, width: str, end_id: int, kind: pa.DataType, step: int = 200):
     schema = pa.schema([("row", pa.int64()), ("id", kind), ("ids", pa.binary()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, width)
-        end, size = own.pack([end_id]), array(width).itemsize
+        own = encoder(path, width, end_id)
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                ids = [x + end for x in own.encode(batch.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // size for x in ids], pa.int64())], schema=schema)
+                ids, ends = own.encode(batch.column("text").to_pylist())
+                ends = np.concatenate([[0], ends])
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ends * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), packed, pa.array(np.diff(ends))], schema=schema)
 
     return run
 
