@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loreweave.llm.common import WORD, materialize, text_of
+from loreweave.llm.common import WORD, materialize, partitions, text_of
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,7 @@ def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -
     drawn = shards.mapInArrow(_draws(shares, slots, mix), "sid int, shard long, count long")
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    placed = placed.repartition(partitions(spark), "sid", "shard")
     return placed.mapInArrow(_slots([-(-size // mix.block) for _, size in plan], mix), "sid int, block long, pass int, shard long")
 
 
@@ -167,7 +168,7 @@ def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
     )
     slots = output_slots(spark, [(float(goal.get(s, 0.0)), sizes[s]) for s in order], mix)
     taken = slots.groupBy("sid", "block").agg(F.sum(F.expr("shiftleft(1L, pass)")).alias("passes"))
-    return Mixed(rows, sources, pieces.join(taken, ["sid", "block"], "left"))
+    return Mixed(rows, sources, pieces.join(taken.hint("merge"), ["sid", "block"], "left"))  # estimates for slots are far too low
 
 
 def mixed_sizes(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
