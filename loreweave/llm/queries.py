@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, warc
+from loreweave.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, rules, secrets, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -49,7 +49,22 @@ def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op8_near_dedup, op9_html_main_text, op10_pack_sequences)}
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = secrets.BASE + secrets.EXTRA
+    found = secrets.scan(table(spark, sf_dir, "documents"), used)
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base, used), 256).alias("base_sha256"), secrets.written(F.col("spans"), used).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = rules.statistics(table(spark, sf_dir, "documents"))
+    learned = rules.fit(stats, table(spark, sf_dir, "labels"))
+    return rules.judged(stats, learned).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_near_dedup, op9_html_main_text, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
