@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm import exact_dedup, html_text, mixing, near_dedup, packing, quality, rules, secrets, warc
+from loreweave.llm import exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, rules, secrets, warc
 from loreweave.llm.common import scratch_path, table
 
 
@@ -15,6 +15,19 @@ def op1_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    return found.select(
+        "doc_id",
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
+        F.size("licences").cast("long").alias("n_paragraphs"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.round(F.array_max(F.transform("licences", lambda x: x["probability"])), 6).alias("top_probability"),
+        F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["place"].cast("string"), x["family"], x["confirmed"].cast("string"))), ",").alias("paragraphs"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
@@ -64,7 +77,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(stats, learned).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op4_exact_dedup, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_near_dedup, op9_html_main_text, op10_pack_sequences)}
+QUERIES = {f.__name__: f for f in (op1_warc_seekable, op2_quality_classifier, op3_license_scan, op4_exact_dedup, op5_mix_sources, op6_secret_scan, op7_quality_rules, op8_near_dedup, op9_html_main_text, op10_pack_sequences)}
 
 ORACLES = {
     "op1_warc_seekable": """
