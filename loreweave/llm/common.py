@@ -37,6 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row that holds wherever it is read again, and that column's name, which docs doesn't have."""
+    name = "row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

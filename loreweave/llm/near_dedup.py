@@ -6,10 +6,15 @@ of two signatures estimates their dissimilarity. Signatures are split into `chun
 that differ in at most 2 * chunks - 1 symbols agree in some chunk up to one symbol. So a class gets a key for every chunk and
 every position left out of it, and all pairs under that distance share a key.
 
-Pairs of a key's bucket are not listed. Every member is first compared with four leaders of its bucket (the smallest node in
-four fixed orders), which ties a group of copies together with a few pairs per member. Then only buckets whose members lie in
-more than one component so far are looked at again, and only pairs across components; pairs inside one would change nothing.
-Every candidate is held to the signature distance and confirmed on the full sets.
+Pairs of a key's bucket are not listed. Every member is first compared with one leader of its bucket, the member that meets
+the most others over all its buckets. Only members of buckets that then lie in more than one component are looked at again,
+grouped by leader. A group's core holds the shingles that more than `common` of its members have. The member closest to the
+core becomes the group's second leader and is compared with all. After that only pairs across components could change
+anything, and what x and y share is at most what either shares with the core plus what they share outside it. So a pair
+either shares a shingle outside the core, which at most `common` members have (and of which the prefix bound leaves the rare
+ones that could still add up to a link), or both lie in the core so far that their sizes alone allow a link. Nothing else can
+be linked, so no link that changes a component is lost, and a large group of copies costs a few pairs per member. Every
+candidate is confirmed on the full sets.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with fewer words than a shingle the whole
 sequence is one; rows repeated with one id are a class of their own or join one, and are both kept if their id is the
@@ -24,10 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import materialize, text_of
+from loreweave.llm.common import materialize, numbered, text_of
 from loreweave.llm.components import components
 
 
@@ -37,6 +42,7 @@ class Near:
     percent: int = 80  # linked if 100 * intersection >= percent * union
     chunks: int = 10
     size: int = 5
+    common: int = 16
     seed: int = 5
 
     @property
@@ -49,9 +55,6 @@ class Near:
         return 2 * self.chunks - 1
 
 
-#: Leaders of a bucket are its smallest nodes after xor with these.
-ORDERS = (0, 0x7FFFFFFFFFFFFFFF, 0x2A5A5A5A5A5A5A5A, 0x133333CCCC3333CC)
-
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -104,7 +107,7 @@ def signatures(sets: list[np.ndarray], near: Near) -> np.ndarray:
 
 
 def _sign(near: Near, kind: pa.DataType, step: int = 128):
-    schema = pa.schema([("id", kind), ("tkey", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("id", kind), ("tkey", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -115,7 +118,7 @@ def _sign(near: Near, kind: pa.DataType, step: int = 128):
                 sig = iter(signatures(full, near)) if full else iter(())
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
@@ -149,16 +152,6 @@ def _keys(near: Near):
     return run
 
 
-def _close(near: Near):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                far = (_array(batch.column("sig_a"), near.symbols) != _array(batch.column("sig_b"), near.symbols)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(far <= near.distance))
-
-    return run
-
-
 def _sets(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,36 +161,44 @@ def _sets(near: Near):
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if 100 * len(a) < percent * len(b):
-        return False
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of a are in b; both are sorted."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
 
 
-def _confirm(near: Near):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c) for c in ("set_a", "set_b"))
-            hold = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), near.percent) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hold, pa.bool_()))
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+        yield np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles that a pair's sets share."""
+    for batch in batches:
+        both = [int(shared(x, y).sum()) if len(x) <= len(y) else int(shared(y, x).sum()) for x, y in _pairs(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], names=["a", "b", "common"])
 
-    return run
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """leader, node, shingle: a row per shingle of a node's set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("shingles")]
+            leader, node = (np.repeat(part.column(c).to_numpy(), [len(x) for x in sets]) for c in ("leader", "node"))
+            yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(node), pa.array(np.concatenate(sets))], names=["leader", "node", "shingle"])
 
 
 class NearDuplicates:
     """classes (node, key, tkey, n, sig, min_id) and links (a, b) between different classes that decide all components."""
 
-    def __init__(self, docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None):
         self.near, self.id_col = near or Near(), id_col
         text = text_of(text_col)
         whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
         sql, kind = ("bigint", pa.int64()) if whole else ("string", pa.string())
-        self.texts = docs.select(F.col(id_col).cast(sql).alias("id"), F.xxhash64(F.col(id_col), text).alias("tkey"), text.alias("text"))
-        signed = self.texts.mapInArrow(_sign(self.near, kind), f"id {sql}, tkey bigint, n bigint, key binary, sig binary")
+        row = F.col(row_col) if row_col else F.lit(0).cast("long")
+        self.texts = docs.select(row.alias("row"), F.col(id_col).cast(sql).alias("id"), F.xxhash64(F.col(id_col), text).alias("tkey"), text.alias("text"))
+        signed = self.texts.mapInArrow(_sign(self.near, kind), f"row bigint, id {sql}, tkey bigint, n bigint, key binary, sig binary")
         self.signed = materialize(signed, "signatures")
         self.classes = self.links = None
 
@@ -206,48 +207,97 @@ class NearDuplicates:
         found = self.signed.where("n > 0").groupBy("key").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.classes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
         keys = self.classes.select("node", "n", "sig").mapInArrow(_keys(near), "bucket bigint, node bigint, n bigint")
-        lead = [F.min(F.col("node").bitwiseXOR(F.lit(m))).alias(f"l{k}") for k, m in enumerate(ORDERS)]
-        buckets = keys.groupBy("bucket").agg(F.count("*").alias("c"), *lead).where("c > 1")
-        leaders = F.array_distinct(F.array(*(F.col(f"l{k}").bitwiseXOR(F.lit(m)) for k, m in enumerate(ORDERS))))
-        members = materialize(keys.join(buckets, "bucket").select("bucket", "node", "n", leaders.alias("leaders")), "members")
-        sets = materialize(self.sets(members.select("node").distinct()), "sets")
-        stars = members.select(F.col("node").alias("x"), F.explode("leaders").alias("y")).where("x <> y")
-        first = self.confirmed(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets)
-        first = materialize(first, "first-links")
-        root = components(first)
-        placed = members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crowded = keys.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+        found = materialize(keys.join(crowded, "bucket"), "found")
+        weight = found.groupBy("node").agg(F.sum("members").alias("weight"))
+        lead = found.select("bucket", "node").join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("l"))
+        members = materialize(found.join(lead, "bucket").select("bucket", "node", "n", F.col("l.node").alias("leader")), "members")
+        sets = materialize(self.sets(found.select("node").distinct()), "sets")
+        stars = materialize(self.common(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets), "stars")
+        linked = 100 * F.col("common") >= near.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
+        first = stars.where(linked).select("a", "b")
+        placed = members.where("node <> leader").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        open_ = materialize(placed.join(split, "bucket").where(~F.array_contains("leaders", F.col("node"))).select("bucket", "node", "n", "root"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= near.percent * F.greatest("x.n", "y.n"))
-        cross = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        self.links = materialize(first.union(self.confirmed(cross, sets)), "all-links")
+        groups = placed.join(split, "bucket").select("leader", "node", "n").distinct()
+        leaders = groups.select(F.col("leader").alias("node")).distinct().join(self.classes.select("node", "n"), "node").select(F.col("node").alias("leader"), "node", "n")
+        rows = self.against_core(materialize(groups.union(leaders), "groups"), sets)
+        centre = rows.groupBy("leader").agg(F.max(F.struct((2 * F.col("core") - F.col("n")).alias("near"), "node")).alias("c")).select("leader", F.col("c.node").alias("centre"))
+        second = rows.join(centre, "leader").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        links = materialize(first.union(self.common(second, sets).where(linked).select("a", "b")), "core-links")
+        rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rows.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("leader")
+        rows = materialize(rows.join(split, "leader"), "split-groups")
+        rare = rows.select("leader", "node", "n", "root", F.explode("rare").alias("shingle"))
+        deep = rows.where(100 * F.col("core") >= near.percent * F.col("n")).drop("rare")
+        enough = near.percent * (F.col("x.n") + F.col("y.n")) <= (100 + near.percent) * F.least("x.core", "y.core")
+        cross = self.across(rare, ["leader", "shingle"]).union(self.across(deep, ["leader"], enough)).distinct()
+        self.links = materialize(links.union(self.common(cross, sets).where(linked).select("a", "b")), "all-links")
         return self
 
+    def against_core(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """leader, node, n, core (shingles the node has in its group's core), rare (those outside it that may find a partner). Written out.
+
+        A partner has at least percent / 100 of a node's size, so a link shares that many shingles, and all but those in the core
+        are outside it. Of `more` or more common ones, one is among all but the last more - 1 of either side, rarest first.
+        """
+        near = self.near
+        spread = groups.select("leader", "node").join(sets, "node").mapInArrow(_spread, "leader bigint, node bigint, shingle bigint")
+        often = spread.groupBy("leader", "shingle").agg(F.count("*").alias("c")).where("c > 1")
+        met = spread.join(often.hint("merge"), ["leader", "shingle"])
+        in_core = F.col("c") > near.common
+        own = met.groupBy("leader", "node").agg(F.count_if(in_core).alias("core"), F.sort_array(F.collect_list(F.when(~in_core, F.struct("c", "shingle")))).alias("met"))
+        own = own.join(groups, ["leader", "node"])
+        least = F.ceil(near.percent * F.col("n") / F.lit(100))
+        more = F.greatest(F.lit(1), least - F.col("core"))
+        outside = F.col("n") - F.col("core")
+        keep = F.greatest(F.lit(0), outside - more + 1 - (outside - F.size("met")))
+        return materialize(own.select("leader", "node", "n", "core", F.slice(F.transform("met", lambda x: x["shingle"]), F.lit(1), keep.cast("int")).alias("rare")), "cores")
+
+    def across(self, rows: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
+        """Pairs of nodes under one key that lie in different components and whose sizes allow a link."""
+        x, y = rows.alias("x"), rows.alias("y")
+        hold = (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= self.near.percent * F.greatest("x.n", "y.n"))
+        for key in keys:
+            hold = (F.col(f"x.{key}") == F.col(f"y.{key}")) & hold
+        pairs = x.join(y, hold if also is None else hold & also)
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given nodes, from the text each class's tkey names."""
         wanted = self.classes.join(nodes, "node").select("tkey", "node")
         texts = self.texts.join(wanted, "tkey").groupBy("node").agg(F.first("text").alias("text"))
         return texts.mapInArrow(_sets(self.near), "node bigint, shingles binary")
 
-    def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        near, sig = self.near, self.classes.select("node", "n", "sig")
-        side = lambda c: sig.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= near.percent * F.greatest("n_a", "n_b"))
-        close = both.select("a", "b", "sig_a", "sig_b").mapInArrow(_close(near), "a bigint, b bigint")
+    def common(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """a, b, n_a, n_b and the number of shingles that are in both full sets."""
         full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-        return close.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(near), "a bigint, b bigint")
+        size = lambda c: self.classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+        counted = pairs.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_common, "a bigint, b bigint, common bigint")
+        return counted.join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_a", "n_b", "common")
 
 
-def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_shingles, component_id (smallest id reachable over links), kept (the row's id is that one)."""
-    near = near or Near()
-    dup = NearDuplicates(docs, near, id_col, text_col).run()
-    rows = dup.signed.select("id", "n", "key")
+def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Per row: id_col, n_shingles, component_id (smallest id reachable over links), kept (the row's id is that one), and first:
+    the row is the one of its component with the smallest id and then the smallest row_col."""
+    dup = NearDuplicates(docs, near, id_col, text_col, row_col).run()
+    rows = dup.signed.select("row", "id", "n", "key")
     root = components(dup.links)
     groups = dup.classes.select("node", "key").join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    ids = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id")).join(groups, "key")
-    least = ids.groupBy("root").agg(F.min("id").alias("component"))
-    named = ids.join(least, "root").select("key", "component")
-    out = rows.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    best = rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("best")).join(groups, "key")
+    least = best.groupBy("root").agg(F.min("best").alias("least"))
+    named = best.join(least, "root").select("key", "least")
+    alone = F.col("least").isNull()
+    out = rows.join(named, "key", "left").select(
+        "row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),
+        (alone | (F.col("least.row") == F.col("row")) & F.col("id").eqNullSafe(F.col("least.id"))).alias("first"),
+    )
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component; rows with empty sets all stay."""
+    rows, row = numbered(docs)
+    kept = near_components(rows, near, id_col, text_col, row).where(~F.col("first")).select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_anti").drop(row)
