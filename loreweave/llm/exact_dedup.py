@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import SPACES, materialize, partitions, text_of
+from loreweave.llm.common import SPACES, materialize, numbered, partitions, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -24,12 +24,12 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def digest_rows(docs: DataFrame, id_col: str, text_col: str, runs: int) -> DataFrame:
+def digest_rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None, runs: int) -> DataFrame:
     """A row per document: row, id, run, key (digest, norm_chars), chars. Written out, so row numbers hold."""
     text = text_of(text_col)
     norm = normalised(text)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("id"),
         F.length(text).alias("chars"),
         F.unhex(F.sha2(norm, 256)).alias("digest"),
@@ -43,10 +43,10 @@ def merge_runs(entries: DataFrame) -> DataFrame:
     return entries.groupBy("digest", "norm_chars", "run").agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int | None = None, fan_in: int = 16) -> DataFrame:
-    """Columns: row (internal), id_col, keep_id, group_size, kept, text_sha256. One row per input row."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, runs: int | None = None, fan_in: int = 16) -> DataFrame:
+    """Columns: row (row_col, or a number of its own), id_col, keep_id, group_size, kept, text_sha256. One row per input row."""
     runs = runs or max(fan_in, partitions(docs.sparkSession))
-    rows = digest_rows(docs, id_col, text_col, runs)
+    rows = digest_rows(docs, id_col, text_col, row_col, runs)
     rank = F.struct((-F.col("chars")).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("id"), F.col("row").alias("row"))
     leaves = merge_runs(rows.select("digest", "norm_chars", "run", rank.alias("best"), F.lit(1).cast("long").alias("rows")))
     level, left = leaves, runs
@@ -64,3 +64,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (single | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup drops."""
+    rows, row = numbered(docs)
+    dropped = exact_dedup(rows, id_col, text_col, row).where(~F.col("kept")).select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").drop(row)

@@ -131,7 +131,7 @@ def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -
 
 @dataclass
 class Mixed:
-    rows: DataFrame  # row, id, sid, size, and the text if it was asked for; written out
+    rows: DataFrame  # row, id, source, size, and if asked for the text and all columns as doc; written out
     sources: DataFrame  # sid, source, source_size, target
     pieces: DataFrame  # row, id, sid, size, block, first, words, passes: a document's words in each block; first is -1 without words
 
@@ -144,7 +144,7 @@ def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        *([text.alias("text")] if keep_text else []),
+        *([text.alias("text"), F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("doc")] if keep_text else []),
     )
     rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(mix.buckets)).cast("int")), "mix-rows")
     sizes = {r[0]: int(r[1]) for r in rows.groupBy("source").agg(F.sum("size")).collect()}
@@ -179,34 +179,25 @@ def mixed_sizes(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
     return sums.join(m.sources, "sid").select(F.col("id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-def _assemble(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = [], []
-            for key, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "cuts")), strict=True):
-                words = None
-                for turn in range(max((x["passes"].bit_length() for x in cuts), default=0)):
-                    own = sorted((x["first"], x["words"]) for x in cuts if x["passes"] >> turn & 1)
-                    if not own:
-                        continue
-                    words = text.encode().split() if words is None else words
-                    if sum(n for _, n in own) == len(words):
-                        texts.append(text)
-                    else:
-                        texts.append(b" ".join(w for a, n in own for w in words[a : a + n]).decode())
-                    ids.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(texts, pa.string())], schema=schema)
-
-    return run
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, text: for each pass that takes words of a document, those words, or the text as it is if all are taken."""
+    for batch in batches:
+        at, texts = [], []
+        for k, (text, cuts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True)):
+            words = text.encode().split()
+            for turn in range(max(x["passes"].bit_length() for x in cuts)):
+                own = sorted((x["first"], x["words"]) for x in cuts if x["passes"] >> turn & 1)
+                if own:
+                    whole = sum(n for _, n in own) == len(words)
+                    texts.append(text if whole else b" ".join(w for a, n in own for w in words[a : a + n]).decode())
+                    at.append(k)
+        yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), pa.array(texts, pa.string())], names=["doc", "text"])
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus as documents: id, text, source; a row for each pass that takes words of a document, holding those words (the text as it is if all are taken)."""
+    """The mixed corpus with the columns of docs: a row for each pass that takes words of a document, holding those words."""
     m = mix_blocks(docs, mix, id_col, text_col, source_col, keep_text=True)
     cuts = m.pieces.where("passes > 0 and words > 0").groupBy("row").agg(F.collect_list(F.struct("first", "words", "passes")).alias("cuts"))
-    kind = pa.int64() if dict(m.rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    rows = m.rows.select("row", F.col("id").cast("long" if kind == pa.int64() else "string").alias("id"), "text", "source").join(cuts, "row")
-    whole = rows.select(F.struct("id", "source").alias("key"), "text", "cuts")
-    out = whole.select(F.to_json("key").alias("id"), "text", "cuts").mapInArrow(_assemble(pa.schema([("id", pa.string()), ("text", pa.string())])), "id string, text string")
-    key = F.from_json("id", f"id {'long' if kind == pa.int64() else 'string'}, source string")
-    return out.select(key.alias("k"), "text").select(F.col("k.id").alias(id_col), F.col("text").alias(text_col), F.col("k.source").alias(source_col))
+    rows = m.rows.select("row", "doc", "text").join(cuts, "row").select("doc", "text", "cuts")
+    out = rows.mapInArrow(_assemble, f"doc {m.rows.schema['doc'].dataType.simpleString()}, text string")
+    return out.select(*((F.col("text") if c == text_col else F.col(f"doc.`{c.replace('`', '``')}`")).alias(c) for c in docs.columns))

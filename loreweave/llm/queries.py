@@ -48,7 +48,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents"), near_dedup.Near(words=4))
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), near_dedup.Near(words=4)).drop("row", "first")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
