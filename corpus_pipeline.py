@@ -1,8 +1,63 @@
-"""The corpus pipeline: quality, exact and near duplicates, mixing, packing."""
+"""The corpus pipeline over documents: quality, exact duplicates, near duplicates, mixing, packing.
 
-STAGES = []
+Every stage takes what the one before kept and calls one operator of loreweave.llm; all but the last return the columns of
+documents. run() writes each stage's result as Parquet to the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loreweave.llm import exact_dedup, mixing, near_dedup, packing, quality
+from loreweave.llm.common import materialize, table
+from loreweave.llm.queries import tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold go."""
+    q, name = quality.Quality(), "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), q)
+    return quality.score(docs, model, name=name).where(F.col(name) >= q.threshold).drop(name)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, one document stays."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, over shingles of five words and a similarity of 0.8."""
+    return near_dedup.deduplicated(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix's documents: a row for each pass that takes words of one, with those words; n_chars follows the text."""
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens: their sequence and offset, and a checksum of their ids."""
+    return packing.pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_duplicates", exact_duplicates),
+    ("near_duplicates", near_duplicates),
+    ("mixed_sources", mixed_sources),
+    ("packed_sequences", packed_sequences),
+]
+
+#: Scores, signatures, draws and token ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
