@@ -150,12 +150,12 @@ FEATURES = ("furniture", "article", "heading", "paragraph", "words", "density",
 
 #: Words and link density of the blocks that the labelled table combines, and of their neighbours.
 SIZES = ((1, 0.0), (5, 0.0), (5, 0.2), (12, 0.1), (40, 0.05), (120, 0.0), (2, 1.0), (15, 0.8), (40, 0.7))
-NEIGHBOURS = ((0, 0.0), (2, 1.0), (4, 0.0), (9, 0.6), (30, 0.0), (90, 0.1))
+NEIGHBOURS = ((0, 0.0), (2, 1.0), (4, 0.0), (8, 0.1), (9, 0.6), (30, 0.0), (90, 0.1))
 
 
 def judged(furniture: int, article: int, heading: int, paragraph: int, own: tuple, before: tuple, after: tuple) -> int:
     """The label of a combination, as a reader judges it: 1 for main text."""
-    text = lambda x: x[0] >= 10 and x[1] < 0.4
+    text = lambda x: x[0] >= 6 and x[1] < 0.4
     if furniture or own[1] > 0.4:
         return 0
     if article or paragraph:
