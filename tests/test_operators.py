@@ -236,3 +236,38 @@ def test_page_bounds(spark):
 def test_context_header(spark):
     row = spark.range(1).select(chunking.context_header(F.lit("v1"), F.lit("a.txt"), F.lit("TXT"), F.array(F.lit("x"), F.lit("y")), F.lit(1), F.lit(2)).alias("h")).first()
     assert row.h == "[v1]\nsource: a.txt\nformat: TXT\npath: x > y\npage: 1/2\n\n"
+
+
+def test_planner_fallback():
+    from loreweave.operators.results import planned
+
+    assert [(s.id, s.text) for s in planned("a  question\n", None)] == [("fallback-1", "a question")]
+    assert [(s.id, s.text) for s in planned("q", [("1", "x  y"), ("2", "z")])] == [("1", "x y"), ("2", "z")]
+    for bad in ([("1", " ")], [("1", "x"), ("1", "y")], [(str(k), "x") for k in range(4)]):
+        assert planned("q", bad)[0].id == "fallback-1"
+
+
+def test_settings_bounds():
+    from loreweave.operators.results import ChunkSettings, SearchSettings
+
+    SearchSettings(), ChunkSettings()
+    for more in ({"evidence": 21}, {"candidates": 201}, {"subqueries": 4}, {"reserve_ms": 60_000}):
+        with pytest.raises(ValueError, match="out of bounds"):
+            SearchSettings(**more)
+    with pytest.raises(ValueError, match="overlap"):
+        ChunkSettings(overlap=800)
+
+
+def test_model_json(spark):
+    from loreweave.operators.results import model_json
+
+    df = spark.createDataFrame([('```json\n{"a": {"b": 1}}\n```',), ("none",)], "t string")
+    assert [r[0] for r in df.select(model_json(F.col("t"))).collect()] == ['{"a": {"b": 1}}', None]
+
+
+def test_filters_reach_the_scan(spark, sf):
+    from loreweave.queries.graph import plan_or_junction, plan_two_hop
+
+    plan = plan_two_hop(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(c_acctbal,9000.0)" in plan and "c_mktsegment" not in plan
+    assert "PushedFilters" in plan_or_junction(spark, sf)._jdf.queryExecution().executedPlan().toString()
