@@ -48,3 +48,28 @@ def enriched(citations: DataFrame, documents: DataFrame, fallback: str = "unknow
     """citations with the document's label; missing ones get the fallback and a warning."""
     joined = citations.join(documents.select("document_id", F.col("label").alias("found")), "document_id", "left")
     return joined.withColumn("label", F.coalesce("found", F.lit(fallback))).withColumn("missing", F.col("found").isNull()).drop("found")
+
+
+def sufficiency(evidence_count: int, judged: tuple[str, list[str]] | None) -> tuple[str, list[str]]:
+    """(verdict, gaps) of an evidence check. Without evidence: MISSING, a gap for the whole question; a failed model call
+    (None) or an unknown verdict: PARTIAL without gaps; blank gaps are left out."""
+    if evidence_count == 0:
+        return "MISSING", ["no evidence"]
+    if judged is None or judged[0] not in ("SUFFICIENT", "PARTIAL", "MISSING"):
+        return "PARTIAL", []
+    return judged[0], [g.strip() for g in judged[1] if g.strip()]
+
+
+def synthesise(write, check) -> tuple[list, list[str]]:
+    """(claims, codes): what write(None) gives if check finds nothing; else one repair, write(codes); else no claims.
+
+    write takes the codes to repair (None at first) and gives claims, or None on failure; check gives the codes of claims.
+    """
+    claims, codes = write(None), ["model.failed"]
+    if claims is not None:
+        codes = check(claims)
+        if not codes:
+            return claims, []
+    claims = write(codes)
+    left = ["model.failed"] if claims is None else check(claims)
+    return ([], left) if left else (claims, [])

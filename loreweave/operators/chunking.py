@@ -224,3 +224,20 @@ def migration_state(documents: DataFrame, chunks: DataFrame, revision: str, docu
     seen = chunks.groupBy(document).agg(F.count("*").alias("n"), F.count_if(~F.col("revision").eqNullSafe(F.lit(revision))).alias("old"))
     state = F.when(F.col("n").isNull(), "NO_CHUNKS").when(F.col("old") > 0, "OUTDATED").otherwise("CURRENT")
     return documents.join(seen, document, "left").select(document, state.alias("state"))
+
+
+def merged_across_pages(found: list[dict], limits: Limits, count: Callable[[str], int] = utf8_tokens) -> list[dict]:
+    """Parents of adjacent pages joined pairwise, once each. found: text, page, path and sure (the path is authoritative).
+
+    Two are joined if the pages follow each other, both paths are sure and equal, and the joined text is within the limits.
+    """
+    out: list[dict] = []
+    for x in found:
+        last = out[-1] if out else None
+        if last is not None and not last.get("merged") and x["page"] == last["page"] + 1 and last["sure"] and x["sure"] and last["path"] == x["path"]:
+            text = f"{last['text']}\n{x['text']}"
+            if len(text) <= limits.parent_characters and count(text) <= limits.parent_tokens:
+                out[-1] = last | {"text": text, "last_page": x["page"], "merged": True}
+                continue
+        out.append(dict(x))
+    return out

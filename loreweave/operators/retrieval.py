@@ -47,7 +47,8 @@ def lexical(chunks: DataFrame, queries: list[tuple[str, list[str]]], most: int)
     tf = sizes.where(F.size("hit") > 0).select("chunk_id", "dl", F.explode("hit").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     wanted = F.array(*(F.struct(F.lit(n).alias("subquery"), F.array(*map(F.lit, t)).alias("own")) for n, t in queries))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(totals))  # df: one row a term asked for; totals: one row
+    scored = tf.join(F.broadcast(df), "term")  # one row a term asked for
+    scored = scored.withColumn("n", totals.select("n").scalar()).withColumn("avgdl", totals.select("avgdl").scalar())
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = scored.select("chunk_id", "term", part.alias("part"), F.explode(wanted).alias("q")).where(F.array_contains("q.own", F.col("term")))

@@ -271,3 +271,21 @@ def test_filters_reach_the_scan(spark, sf):
     plan = plan_two_hop(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(c_acctbal,9000.0)" in plan and "c_mktsegment" not in plan
     assert "PushedFilters" in plan_or_junction(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sufficiency_and_synthesis():
+    assert answering.sufficiency(0, ("SUFFICIENT", [])) == ("MISSING", ["no evidence"])
+    assert answering.sufficiency(3, None) == ("PARTIAL", [])
+    assert answering.sufficiency(3, ("PARTIAL", [" a ", " "])) == ("PARTIAL", ["a"])
+    check = lambda claims: [] if claims == ["good"] else ["claim.uncited"]
+    assert answering.synthesise(lambda codes: ["good"], check) == (["good"], [])
+    assert answering.synthesise(lambda codes: ["good"] if codes else ["bad"], check) == (["good"], [])
+    assert answering.synthesise(lambda codes: ["bad"], check) == ([], ["claim.uncited"])
+    assert answering.synthesise(lambda codes: None, check) == ([], ["model.failed"])
+
+
+def test_pages_merge_pairwise():
+    pages = [{"text": t, "page": k, "path": "p", "sure": s} for k, (t, s) in enumerate([("a", True), ("b", True), ("c", True), ("d", False)])]
+    out = chunking.merged_across_pages(pages, chunking.Limits())
+    assert [x["text"] for x in out] == ["a\nb", "c", "d"]
+    assert [x["text"] for x in chunking.merged_across_pages(pages[:2], chunking.Limits(parent_characters=2))] == ["a", "b"]
