@@ -37,12 +37,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row that holds wherever it is read again, and that column's name, which docs doesn't have."""
+def hashed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of all columns, the same wherever a row is read again, and that column's name, which docs doesn't have."""
     name = "row"
     while name.lower() in (c.lower() for c in docs.columns):
         name = f"_{name}"
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    plain = [F.to_json(quoted(c)) if "map<" in t else quoted(c) for c, t in docs.dtypes]
+    return docs.withColumn(name, F.xxhash64(*plain)), name
+
+
+def one_of_each(rows: DataFrame, name: str) -> DataFrame:
+    """rows without those that repeat one, and without the hash."""
+    columns = [c for c in rows.columns if c != name]
+    return rows.groupBy(name).agg(F.first(F.struct(*map(quoted, columns))).alias("one")).select(*(F.col(f"one.{tick(c)}").alias(c) for c in columns))
+
+
+def tick(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def quoted(name: str) -> Column:
+    return F.col(tick(name))
+
+
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks: the thing last asked for, and nothing else."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def partitions(spark: SparkSession) -> int:

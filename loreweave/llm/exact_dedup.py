@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import SPACES, materialize, numbered, partitions, text_of
+from loreweave.llm.common import SPACES, hashed_rows, materialize, one_of_each, partitions, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops."""
-    rows, row = numbered(docs)
-    dropped = exact_dedup(rows, id_col, text_col, row).where(~F.col("kept")).select(F.col("row").alias(row))
-    return rows.join(dropped, row, "left_anti").drop(row)
+    """docs without the rows that exact_dedup drops. Rows are named by a hash of all columns, so docs is not copied."""
+    rows, row = hashed_rows(docs)
+    dropped = exact_dedup(rows, id_col, text_col, row).where(~F.col("kept")).select(F.col("row").alias(row)).distinct()
+    return one_of_each(rows.join(dropped, row, "left_anti"), row)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loreweave.llm.common import WORD, materialize, partitions, text_of
+from loreweave.llm.common import WORD, hashed_rows, materialize, partitions, quoted, text_of, tick
 
 
 @dataclass(frozen=True)
@@ -131,12 +131,12 @@ def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -
 
 @dataclass
 class Mixed:
-    rows: DataFrame  # row, id, source, size, and if asked for the text and all columns as doc; written out
+    rows: DataFrame  # row, id, source, size, and name if asked for; written out
     sources: DataFrame  # sid, source, source_size, target
     pieces: DataFrame  # row, id, sid, size, block, first, words, passes: a document's words in each block; first is -1 without words
 
 
-def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> Mixed:
+def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", name_col: str | None = None) -> Mixed:
     mix = mix or Mix()
     spark, text = docs.sparkSession, text_of(text_col)
     rows = docs.select(
@@ -144,7 +144,7 @@ def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        *([text.alias("text"), F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("doc")] if keep_text else []),
+        *([F.col(name_col).alias("name")] if name_col else []),
     )
     rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(mix.buckets)).cast("int")), "mix-rows")
     sizes = {r[0]: int(r[1]) for r in rows.groupBy("source").agg(F.sum("size")).collect()}
@@ -195,9 +195,16 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus with the columns of docs: a row for each pass that takes words of a document, holding those words."""
-    m = mix_blocks(docs, mix, id_col, text_col, source_col, keep_text=True)
+    """The mixed corpus with the columns of docs: a row for each pass that takes words of a document, holding those words.
+
+    Texts stay where they are until the last join, which finds them by a hash of all columns.
+    """
+    named, name = hashed_rows(docs)
+    m = mix_blocks(named, mix, id_col, text_col, source_col, name)
     cuts = m.pieces.where("passes > 0 and words > 0").groupBy("row").agg(F.collect_list(F.struct("first", "words", "passes")).alias("cuts"))
-    rows = m.rows.select("row", "doc", "text").join(cuts, "row").select("doc", "text", "cuts")
-    out = rows.mapInArrow(_assemble, f"doc {m.rows.schema['doc'].dataType.simpleString()}, text string")
-    return out.select(*((F.col("text") if c == text_col else F.col(f"doc.`{c.replace('`', '``')}`")).alias(c) for c in docs.columns))
+    cuts = cuts.join(m.rows.select("row", "name"), "row").select("name", "cuts")
+    others = [c for c in docs.columns if c != text_col]
+    whole = named.groupBy(name).agg(F.first(F.struct(text_of(text_col).alias("text"), F.struct(*map(quoted, others)).alias("doc"))).alias("one")).select(F.col(name).alias("name"), "one.*")
+    kind = whole.schema["doc"].dataType.simpleString()
+    out = whole.join(cuts, "name").select("doc", "text", "cuts").mapInArrow(_assemble, f"doc {kind}, text string")
+    return out.select(*((F.col("text") if c == text_col else F.col(f"doc.{tick(c)}")).alias(c) for c in docs.columns))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import materialize, numbered, text_of
+from loreweave.llm.common import hashed_rows, kept, materialize, one_of_each, text_of
 from loreweave.llm.components import components
 
 
@@ -72,17 +72,15 @@ class _Digests(dict):
         return out
 
 
-_digests = _Digests()
-
-
 def shingles(text: str, words: int) -> np.ndarray:
     """The sorted distinct digests of a text's shingles. bytes.lower and bytes.split know ASCII only, as is asked for."""
     split = text.encode().lower().split()
     if not split:
         return np.empty(0, np.uint64)
-    if len(_digests) > 400_000:
-        _digests.clear()
-    w = np.fromiter(map(_digests.__getitem__, split), np.uint64, len(split))
+    digests = kept("word digests", _Digests)
+    if len(digests) > 250_000:
+        digests.clear()
+    w = np.fromiter(map(digests.__getitem__, split), np.uint64, len(split))
     if len(w) < words:
         return mix(np.array([len(w) + int.from_bytes(xxhash.xxh64_digest(w.tobytes()), "little") & 0xFFFFFFFFFFFFFFFF], np.uint64))
     n = len(w) - words + 1
@@ -297,7 +295,7 @@ def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "do
 
 
 def deduplicated(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component; rows with empty sets all stay."""
-    rows, row = numbered(docs)
-    kept = near_components(rows, near, id_col, text_col, row).where(~F.col("first")).select(F.col("row").alias(row))
-    return rows.join(kept, row, "left_anti").drop(row)
+    """docs with one row of each component; rows with empty sets stay. Rows equal in all columns are one."""
+    rows, row = hashed_rows(docs)
+    dropped = near_components(rows, near, id_col, text_col, row).where(~F.col("first")).select(F.col("row").alias(row)).distinct()
+    return one_of_each(rows.join(dropped, row, "left_anti"), row)

@@ -46,7 +46,7 @@ def test_empty(spark, documents):
 
 
 def test_deduplicated_keeps_one_row(spark, documents):
-    docs = documents([(1, "a"), (1, "a"), (2, "a "), (3, "b"), (None, "b")])
+    docs = documents([(1, "a"), (1, "a"), (2, "a "), (2, "a "), (3, "b"), (None, "b")])
     out = deduplicated(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, "a "), (3, "b")]
