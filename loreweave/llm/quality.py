@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import text_of
+from loreweave.llm.common import kept, text_of
 
 
 @dataclass(frozen=True)
@@ -51,10 +51,19 @@ _RUN = re.compile(rb"(.)\1+", re.S)
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
-def terms_of(word: bytes, q: Quality) -> tuple[int, int]:
-    """Rows of a word's two terms: words come first, then shapes."""
-    own = xxhash.xxh64_intdigest(word.lower().strip(_MARKS)) % q.words
-    return own, q.words + xxhash.xxh64_intdigest(_RUN.sub(rb"\1", word.translate(_SHAPE))) % q.shapes
+def own_term(word: bytes, q: Quality) -> int:
+    return xxhash.xxh64_intdigest(word.lower().strip(_MARKS)) % q.words
+
+
+class _Shapes(dict):
+    """Terms of shapes, by the word with its characters replaced by their kinds."""
+
+    def __init__(self, q: Quality):
+        self.q = q
+
+    def __missing__(self, kinds: bytes) -> int:
+        out = self[kinds] = self.q.words + xxhash.xxh64_intdigest(_RUN.sub(rb"\1", kinds)) % self.q.shapes
+        return out
 
 
 def index_vectors(q: Quality) -> np.ndarray:
@@ -78,12 +87,12 @@ class _Numbers(dict):
 class Reader:
     """Texts to term rows, through a bounded table of words met so far."""
 
-    def __init__(self, q: Quality, most: int = 400_000):
+    def __init__(self, q: Quality, most: int = 250_000):
         self.q, self.most = q, most
         self.forget()
 
     def forget(self):
-        self.numbers, self.rows = _Numbers(), np.zeros((1 << 16, 2), np.int32)
+        self.numbers, self.shapes, self.rows = _Numbers(), _Shapes(self.q), np.zeros((1 << 16, 2), np.int32)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(words, 2) rows of the terms, and the number of words of each text."""
@@ -96,34 +105,43 @@ class Reader:
             last = len(self.numbers)
             while last > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[last - len(new) : last] = [terms_of(w, self.q) for w in new]
+            self.rows[last - len(new) : last, 0] = [own_term(w, self.q) for w in new]
+            self.rows[last - len(new) : last, 1] = [self.shapes[w.translate(_SHAPE)] for w in new]
+            if len(self.shapes) > 50_000:
+                self.shapes.clear()
             new.clear()
         return self.rows[number], sizes
 
 
-_readers: dict[Quality, Reader] = {}
-
-
 def reader(q: Quality) -> Reader:
     """One for each Python worker."""
-    return _readers.setdefault(q, Reader(q))
+    return kept(q, lambda: Reader(q))
 
 
 def add_contexts(total: np.ndarray, rows: np.ndarray, sizes: np.ndarray, index: np.ndarray, q: Quality) -> None:
-    """Adds the index vectors around every word to the context vectors of its terms. Texts don't touch."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    own = index[rows[:, 0]].astype(np.int16) + index[rows[:, 1]]
+    """Adds the index vectors around every word to the context vectors of its terms. Texts are set apart by zeros."""
+    if not len(rows):
+        return
+    at = np.arange(len(rows)) + np.repeat(np.arange(len(sizes)), sizes) * q.window
+    own = np.zeros((at[-1] + 1 + q.window, q.dims), np.int8)
+    own[at] = index[rows[:, 0]] + index[rows[:, 1]]
     near = np.zeros_like(own)
-    for k in range(1, min(q.window, len(doc) - 1) + 1):
-        same = (doc[k:] == doc[:-k])[:, None]
-        near[k:] += own[:-k] * same
-        near[:-k] += own[k:] * same
-    for side in (0, 1):
-        order = np.argsort(rows[:, side], kind="stable")
-        term = rows[order, side]
-        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
-        if len(first):
-            total[term[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int32)
+    for k in range(1, q.window + 1):
+        near[k:] += own[:-k]
+        near[:-k] += own[k:]
+    shift = 4 * q.window  # no entry of near is below -shift, none above shift
+    lanes = (near[at] + np.int16(shift)).view(np.uint64)  # four 16-bit entries are added at once; a run is too short to overflow
+    most = 65_535 // (2 * shift)
+    for side, start in ((0, 0), (1, q.words)):
+        term = (rows[:, side] - start).astype(np.uint16)
+        order = np.argsort(term, kind="stable")
+        for k in range(0, len(order), most):
+            own_order = order[k : k + most]
+            own_term = term[own_order]
+            first = np.flatnonzero(np.r_[True, own_term[1:] != own_term[:-1]])
+            sums = np.add.reduceat(lanes[own_order], first, axis=0).view(np.uint16).astype(np.int64)
+            count = np.diff(np.r_[first, len(own_term)])[:, None]
+            total[own_term[first].astype(np.int64) + start] += sums - shift * count
 
 
 def _contexts(q: Quality, step: int = 64):
@@ -169,18 +187,17 @@ def pooled(vectors: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarr
     dims = vectors.shape[1]
     out = np.zeros((len(sizes), 4 * dims + 2), np.float32)
     full = np.flatnonzero(sizes)
-    if len(full):
-        first = (np.cumsum(sizes) - sizes)[full]
-        for side in (0, 1):
-            own = vectors[rows[:, side]]
-            mean = np.add.reduceat(own, first, axis=0) / sizes[full, None]
-            square = np.add.reduceat(own * own, first, axis=0) / sizes[full, None]
-            out[full, side * dims : (side + 1) * dims] = mean
-            out[full, (2 + side) * dims : (3 + side) * dims] = np.sqrt(np.maximum(square - mean * mean, 0))
-            product = np.zeros(len(own), np.float32)
-            product[1:] = np.einsum("ij,ij->i", own[1:], own[:-1])
-            product[first] = 0
-            out[full, 4 * dims + side] = np.add.reduceat(product, first) / np.maximum(sizes[full] - 1, 1)
+    ends = np.cumsum(sizes)
+    for side in (0, 1):
+        own = vectors.take(rows[:, side], axis=0)
+        square = np.square(own)
+        product = np.einsum("ij,ij->i", own[1:], own[:-1]) if len(own) else own
+        for k in full:
+            a, b = ends[k] - sizes[k], ends[k]
+            mean = own[a:b].sum(axis=0) / sizes[k]
+            out[k, side * dims : (side + 1) * dims] = mean
+            out[k, (2 + side) * dims : (3 + side) * dims] = np.sqrt(np.maximum(square[a:b].sum(axis=0) / sizes[k] - mean * mean, 0))
+            out[k, 4 * dims + side] = product[a : b - 1].sum() / max(sizes[k] - 1, 1)
     return out
 
 
