@@ -30,14 +30,18 @@ _TOKEN = re.compile(
     re.S | re.I | re.X,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|$|=)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Words of class names, ids and roles that name page furniture.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe subscription signup paywall sidebar side aside rail widget widgets related recommended recommendations popular trending share sharing social follow "
-    "comment comments disqus discussion reply replies respond responses breadcrumb breadcrumbs menu nav navbar navigation topbar masthead header footer foot bottom copyright legal "
+    "comment comments disqus discussion reply replies respond responses breadcrumb breadcrumbs menu nav navbar navigation footer foot bottom copyright "
     "login signin register search form toolbar pager pagination paging tags taglist skip contentinfo complementary dialog".split()
 )
+#: Words that name furniture outside an article, where they do not name its own head.
+HEADS = frozenset("header head masthead topbar".split())
+#: First words of names that say what surrounds an element.
+AROUND = frozenset("has with no without is not".split())
 _WORDS = re.compile(r"[a-z]+")
 #: Tags that end a block.
 BLOCK = frozenset(
@@ -118,14 +122,14 @@ def blocks(page: str) -> list[Block]:
                 _, article, furniture = open_[-1] if open_ else ("", False, False)
                 attrs = m["attrs"]
                 if tag == "p":  # only until the next block
-                    own = _named(attrs)
+                    own = _named(attrs, article)
                     if own:
                         while open_ and open_[-1][0] == "p":
                             open_.pop()
                         open_.append(("p", article, True))
                     continue
                 if tag != "span" or attrs.strip():
-                    mine = tag in FURNITURE_TAGS or (tag == "header" and not article) or (bool(attrs) and tag not in ("body", "html") and _named(attrs))
+                    mine = tag in FURNITURE_TAGS or (tag == "header" and not article) or (bool(attrs) and tag not in ("body", "html") and _named(attrs, article))
                     open_.append((tag, article or tag in ARTICLE_TAGS, furniture or mine))
                 else:
                     open_.append((tag, article, furniture))
@@ -139,11 +143,16 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _named(attrs: str) -> bool:
+def _named(attrs: str, article: bool) -> bool:
     """Do the class, id or role name furniture, or is the element hidden?"""
     if _HIDDEN.search(attrs):
         return True
-    return any(not FURNITURE.isdisjoint(_WORDS.findall((a or b or c).lower())) for a, b, c in _NAMES.findall(attrs))
+    for found in _NAMES.findall(attrs):
+        for name in "".join(found).lower().split():
+            words = _WORDS.findall(name)
+            if words and words[0] not in AROUND and not (FURNITURE.isdisjoint(words) and (article or HEADS.isdisjoint(words))):
+                return True
+    return False
 
 
 FEATURES = ("furniture", "article", "heading", "paragraph", "words", "density", "words_before", "density_before", "words_after", "density_after")

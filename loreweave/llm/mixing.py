@@ -131,7 +131,7 @@ def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -
 
 @dataclass
 class Mixed:
-    rows: DataFrame  # row, id, source, size, and name if asked for; written out
+    rows: DataFrame  # row, id, source, size, tie, and name if asked for; written out
     sources: DataFrame  # sid, source, source_size, target
     pieces: DataFrame  # row, id, sid, size, block, first, words, passes: a document's words in each block; first is -1 without words
 
@@ -144,6 +144,7 @@ def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(text).alias("tie"),
         *([F.col(name_col).alias("name")] if name_col else []),
     )
     rows = materialize(rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(mix.buckets)).cast("int")), "mix-rows")
@@ -151,12 +152,12 @@ def mix_blocks(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id",
     goal = targets(sizes, mix)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     sources = spark.createDataFrame([(k, s, sizes[s], float(goal.get(s, 0.0))) for k, s in enumerate(order)], "sid int, source string, source_size long, target double")
-    light = rows.select("row", "id", "source", "size", "bucket")
+    light = rows.select("row", "id", "source", "size", "tie", "bucket")
     sums = light.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
     sums = sums.join(sources.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).select("sid", F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
-    inside = Window.partitionBy("source", "bucket").orderBy("id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("id", "size", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = light.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).select("row", "id", "sid", "size", (F.col("at") + F.col("base")).alias("at"))
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / mix.block), F.floor((F.col("at") + F.col("size") - 1) / mix.block)))

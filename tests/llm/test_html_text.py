@@ -36,6 +36,16 @@ def test_odd_markup():
     assert text("<article>" + "<" * 5000 + "<p>x</p></article>").endswith("x")
 
 
+def test_names():
+    root = html_text.tree()
+    inside = lambda attrs: html_text.main_text(f"<body><div {attrs}><p>Some words that may be text.</p></div></body>", root)
+    for attrs in ('class="has-sidebar overflow-hidden"', "id=content", 'class="adrift readings"', 'class="without-header"'):
+        assert inside(attrs) == "Some words that may be text.", attrs
+    for attrs in ('class="page-header"', "id=sidebar", 'role="navigation"', "hidden", 'style="display: none"', 'class="x ad-slot"', "class=\'comment-list\'"):
+        assert inside(attrs) == "", attrs
+    assert html_text.main_text("<article><div class='entry-header'><h1>Title here</h1></div><p>Text.</p></article>", root) == "Title here\n\nText."
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE.replace("{tag}", "article"), "clash"), (1, "u", None, "y"), (None, None, "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.text for r in html_text.extract(df).collect())) == ["", "", TEXT]
