@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -60,6 +61,11 @@ def quoted(name: str) -> Column:
     return F.col(tick(name))
 
 
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table from the driver as one literal, so that no Python worker has to start for it."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 _kept: dict = {}
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import materialize, text_of
+from loreweave.llm.common import literal_table, materialize, text_of
 
 UNKNOWN = "unknown"
 #: Families, and the ways their licences are named.
@@ -140,7 +140,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def classify(found: DataFrame, model: Model, least: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """row, place, family, probability, confirmed of every paragraph in found (row, place, text) that is not unknown."""
     spark, k = found.sparkSession, range(len(model.families))
-    weights = spark.createDataFrame([(g, *v) for g, v in model.weights.items()], ", ".join(["gram string", *(f"w{i} double" for i in k)]))
+    weights = literal_table(spark, [{"gram": g} | {f"w{i}": v[i] for i in k} for g, v in model.weights.items()], ",".join(["gram:string", *(f"w{i}:double" for i in k)]))
     words = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     split = found.select("row", "place", words.alias("words"))
     pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
@@ -153,7 +153,7 @@ def classify(found: DataFrame, model: Model, least: float = 0.5, overlap: float
     names = F.array(*(F.lit(f) for f in model.families))
     scored = scored.select("row", "place", F.get(names, F.array_position("z", F.col("top")).cast("int") - 1).alias("family"), (1 / total).alias("probability"))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    shapes = spark.createDataFrame(templates(), "family string, template array<string>")
+    shapes = literal_table(spark, [{"family": f, "template": t} for f, t in templates()], "family:string,template:array<string>")
     both = scored.join(split, ["row", "place"]).join(F.broadcast(shapes), "family")  # a few templates a family
     share = F.size(F.array_intersect("template", "words")) / F.size("template")
     return both.groupBy("row", "place", "family", "probability").agg((F.max(share) >= overlap).alias("confirmed"))

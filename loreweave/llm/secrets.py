@@ -22,7 +22,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import materialize, text_of
+from loreweave.llm.common import literal_table, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -138,10 +138,10 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def candidates(spark: SparkSession, postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """key, mask: bit k is set if a document meets every condition of rule k. Written out."""
-    rows = [(k, c, a, g, len(grams)) for k, r in enumerate(rules) for c, alternatives in enumerate(conditions(r.pattern)) for a, grams in enumerate(alternatives) for g in sorted(grams)]
-    counts = [(k, len(conditions(r.pattern))) for k, r in enumerate(rules)]
-    asked = F.broadcast(spark.createDataFrame(rows, "rule int, condition int, alternative int, gram string, need long"))  # as many rows as the rules' trigrams
-    needed = F.broadcast(spark.createDataFrame(counts, "rule int, conditions long"))
+    rows = [{"rule": k, "condition": c, "alternative": a, "gram": g, "need": len(grams)} for k, r in enumerate(rules) for c, alternatives in enumerate(conditions(r.pattern)) for a, grams in enumerate(alternatives) for g in sorted(grams)]
+    counts = [{"rule": k, "conditions": len(conditions(r.pattern))} for k, r in enumerate(rules)]
+    asked = F.broadcast(literal_table(spark, rows, "rule:int,condition:int,alternative:int,gram:string,need:bigint"))  # as many rows as the rules' trigrams
+    needed = F.broadcast(literal_table(spark, counts, "rule:int,conditions:bigint"))
     met = postings.join(asked, "gram").groupBy("key", "rule", "condition", "alternative", "need").agg(F.count("*").alias("n")).where("n >= need")
     met = met.select("key", "rule", "condition").distinct().groupBy("key", "rule").agg(F.count("*").alias("n"))
     hits = met.join(needed, "rule").where("n = conditions")
