@@ -90,7 +90,7 @@ class Model:
     temperature: float
 
 
-def train(table: list[tuple[str, str]], rounds: int = 400, rate: float = 1.0, lasso: float = 2e-4, hold: int = 5) -> tuple[Model, float]:
+def train(table: list[tuple[str, str]], rounds: int = 150, rate: float = 2.0, lasso: float = 2e-4, hold: int = 5) -> tuple[Model, float]:
     """Proximal gradient on the cross entropy, the temperature by a grid on every hold-th statement; and the accuracy there."""
     families = tuple(sorted({f for f, _ in table}))
     sets = [grams(s) for _, s in table]

@@ -35,7 +35,7 @@ class Mix:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     total: float = 1.5
     repeat: int = 2
-    block: int = 32
+    block: int = 16
     shard_slots: int = 1 << 16
     buckets: int = 1024
     seed: int = 17
