@@ -82,8 +82,8 @@ def document_format(filename: Column, content_type: Column) -> Column:
     name, kind = F.lower(filename), F.lower(F.coalesce(content_type, F.lit("")))
     return (
         F.when(name.endswith(".txt") | kind.startswith("text/plain"), "TXT")
-        .when(name.endswith(".pdf") | (kind == "application/pdf"), "PDF")
-        .when(name.endswith(".docx") | kind.contains("wordprocessingml"), "DOCX")
+        .when(name.endswith(".pdf") | kind.contains("pdf"), "PDF")
+        .when(name.endswith(".docx") | kind.contains("officedocument.wordprocessingml.document"), "DOCX")
     )
 
 

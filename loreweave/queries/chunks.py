@@ -9,7 +9,7 @@ from loreweave.functions import text
 from loreweave.operators import chunking, uploads
 from loreweave.queries import query
 from loreweave.queries.retrieval import turns
-from loreweave.sources import xhtml
+from loreweave.sources import options, xhtml
 from loreweave.sources.tables import table
 
 
@@ -129,3 +129,17 @@ def property_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("-"), F.lower("p_type"), F.lit(" line")).alias("p_type")).distinct()
     return names.select("p_type", text.normal_label(F.col("p_type")).alias("label"), text.normal_relationship(F.col("p_type")).alias("relationship"))
+
+
+@query("""WITH r AS (SELECT doc_id AS document_id, CASE WHEN lang = 'en' THEN 'PDF' WHEN lang = 'de' THEN 'DOCX' ELSE 'TXT' END AS format,
+        CASE doc_id % 4 WHEN 0 THEN 'pdf.ocr-dpi' WHEN 1 THEN 'docxRevisionMode' WHEN 2 THEN 'preserveLineBreaks' ELSE 'nope' END AS name, CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN source ELSE 'maybe' END AS value FROM documents)
+    SELECT document_id, name, CASE WHEN name = 'nope' THEN 'UNKNOWN' WHEN (name = 'pdf.ocr-dpi' AND format <> 'PDF') OR (name = 'docxRevisionMode' AND format <> 'DOCX') THEN 'NOT_APPLICABLE' WHEN name = 'preserveLineBreaks' THEN 'TYPE'
+        WHEN name = 'pdf.ocr-dpi' AND CAST(value AS BIGINT) NOT BETWEEN 72 AND 600 THEN 'RANGE' WHEN name = 'docxRevisionMode' THEN 'VALUE' END AS problem FROM r WHERE problem IS NOT NULL""")
+def option_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id") % 4
+    requests = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"), F.when(F.col("lang") == "en", "PDF").when(F.col("lang") == "de", "DOCX").otherwise("TXT").alias("format"),
+        F.when(d == 0, "pdf.ocr-dpi").when(d == 1, "docxRevisionMode").when(d == 2, "preserveLineBreaks").otherwise("nope").alias("name"),
+        F.when(d == 0, F.col("n_chars").cast("string")).when(d == 1, F.col("source")).otherwise("maybe").alias("value"),
+    )
+    return options.violations(requests)

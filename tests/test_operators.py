@@ -289,3 +289,13 @@ def test_pages_merge_pairwise():
     out = chunking.merged_across_pages(pages, chunking.Limits())
     assert [x["text"] for x in out] == ["a\nb", "c", "d"]
     assert [x["text"] for x in chunking.merged_across_pages(pages[:2], chunking.Limits(parent_characters=2))] == ["a", "b"]
+
+
+def test_effective_options(spark):
+    from loreweave.sources import options
+
+    docs = spark.createDataFrame([("a", "TXT"), ("b", "DOCX")], "document_id string, format string")
+    asked = spark.createDataFrame([("b", "docxRevisionMode", "original")], "document_id string, name string, value string")
+    out = {r.document_id: r.options for r in options.effective(docs, asked).collect()}
+    assert out["a"] == {"preserveLineBreaks": "true"}
+    assert out["b"] == {"preserveLineBreaks": "true", "includeMetadata": "false", "tika.write-limit": "-1", "docxRevisionMode": "original"}
