@@ -55,7 +55,8 @@ def violations(requests: DataFrame) -> DataFrame:
 
 def effective(documents: DataFrame, requests: DataFrame) -> DataFrame:
     """document_id and options, a map of every applicable option: the requested value, else the default. documents: document_id, format."""
-    own = documents.join(F.broadcast(registry(documents.sparkSession)), F.array_contains("formats", F.col("format")))
+    known = registry(documents.sparkSession).select("name", "default", F.explode("formats").alias("format"))
+    own = documents.join(F.broadcast(known), "format")
     asked = requests.select("document_id", "name", "value")
     rows = own.join(asked, ["document_id", "name"], "left").select("document_id", "name", F.coalesce("value", "default").alias("value"))
     return rows.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("options"))
