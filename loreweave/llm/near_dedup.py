@@ -228,7 +228,9 @@ class NearDuplicates:
         rare = rows.select("leader", "node", "n", "root", F.explode("rare").alias("shingle"))
         deep = rows.where(100 * F.col("core") >= near.percent * F.col("n")).drop("rare")
         enough = near.percent * (F.col("x.n") + F.col("y.n")) <= (100 + near.percent) * F.least("x.core", "y.core")
-        cross = self.across(rare, ["leader", "shingle"]).union(self.across(deep, ["leader"], enough)).distinct()
+        sizes = rows.groupBy("leader", "root").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root")).alias("m")).select("leader", F.col("m.root").alias("main"))
+        outer = deep.join(sizes, "leader").where("root <> main").drop("main")  # of two components, one is not the group's largest
+        cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader"], enough)).distinct()
         self.links = materialize(links.union(self.common(cross, sets).where(linked).select("a", "b")), "all-links")
         return self
 
@@ -251,10 +253,12 @@ class NearDuplicates:
         keep = F.greatest(F.lit(0), outside - more + 1 - (outside - F.size("met")))
         return materialize(own.select("leader", "node", "n", "core", F.slice(F.transform("met", lambda x: x["shingle"]), F.lit(1), keep.cast("int")).alias("rare")), "cores")
 
-    def across(self, rows: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
+    def across(self, xs: DataFrame, ys: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
         """Pairs of nodes under one key that lie in different components and whose sizes allow a link."""
-        x, y = rows.alias("x"), rows.alias("y")
-        hold = (F.col("x.root") < F.col("y.root")) & (100 * F.least("x.n", "y.n") >= self.near.percent * F.greatest("x.n", "y.n"))
+        x, y = xs.alias("x"), ys.alias("y")
+        hold = (F.col("x.root") != F.col("y.root")) & (100 * F.least("x.n", "y.n") >= self.near.percent * F.greatest("x.n", "y.n"))
+        if xs is ys:
+            hold = hold & (F.col("x.node") < F.col("y.node"))
         for key in keys:
             hold = (F.col(f"x.{key}") == F.col(f"y.{key}")) & hold
         pairs = x.join(y, hold if also is None else hold & also)
