@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import SPACES, materialize, text_of
+from loreweave.llm.common import SPACES, WORD, materialize, text_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,8 +49,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = rows.select(
         "id",
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"),
+        F.when(text.rlike(WORD), F.split(F.btrim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")).alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).alias("n_symbols"),
         _count(text, CAPITALS).alias("n_capitals"),
