@@ -31,10 +31,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and any executor can read it after a loss."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +61,15 @@ def quoted(name: str) -> Column:
     return F.col(tick(name))
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or about 96 % of `most` of them chosen by a hash of the key; never more than `most`. Nothing is sorted, and what
+    reaches one place is bounded whatever the number of tasks."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int(0.96 * most / n * (1 << 32))).limit(most)
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table from the driver as one literal, so that no Python worker has to start for it."""
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

@@ -5,7 +5,7 @@ and marks). A term's index vector is a fixed sparse ternary vector; its context
 terms around it, counted over the whole corpus in integers, so any order of tasks gives the same. Terms are hashed into a
 fixed number of rows, which bounds a task's memory and what the driver gets (rows * dims numbers, whatever the corpus).
 A document is the mean and the deviation of its terms' unit context vectors, and the mean product of neighbours. The network is fitted on a sample of at most
-`max_rows` labelled rows (those smallest by a hash of the id), its temperature on a fold of them that it was not fitted on.
+`max_rows` labelled rows (chosen by a hash of the id), its temperature on a fold of them that it was not fitted on.
 
 Defined results: a null or empty text is the zero vector and gets the network's score of that; without usable labels every
 score is 0.5; rows repeated with one id get equal scores; a null id is held out iff crc32('') mod 5 = 0 (it is); an empty
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import kept, text_of
+from loreweave.llm.common import bounded_sample, kept, text_of
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality | None = None, id_col: st
     vectors = context_vectors(text_of(text_col), docs, q)
     key = fold(F.col("id"), q.folds)
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (key != 0))
-    sample = sample.orderBy(F.xxhash64("id"), "id", "label").limit(q.max_rows).withColumn("check", key == 1)
+    sample = bounded_sample(sample, "id", q.max_rows).withColumn("check", key == 1)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most max_rows rows
     wide = docs.sparkSession.sparkContext.broadcast(vectors)
 

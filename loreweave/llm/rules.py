@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import SPACES, WORD, materialize, text_of
+from loreweave.llm.common import SPACES, WORD, bounded_sample, materialize, text_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -166,12 +166,12 @@ def decision_list(rules: list[list[Condition]]) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_rows: int = 20_000) -> list[list[Condition]]:
-    """Learns on the labelled rows smallest by a hash of the id, max_rows at most."""
+    """Learns on at most max_rows labelled rows, chosen by a hash of the id."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     columns = shares()
-    rows = stats.join(marked, "id").select("id", "label", *(c.alias(n) for n, c in columns.items()))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "label", *columns).limit(max_rows).collect()
-    return learn([(str(r["id"]), r["label"], {n: float(r[n]) for n in columns}) for r in rows])
+    rows = stats.join(F.broadcast(bounded_sample(marked, "id", max_rows)), "id")  # at most max_rows rows
+    rows = rows.select("id", "label", *(c.alias(n) for n, c in columns.items())).limit(2 * max_rows).collect()
+    return learn(sorted(((str(r["id"]), r["label"], {n: float(r[n]) for n in columns}) for r in rows), key=repr))
 
 
 def judged(stats: DataFrame, rules: list[list[Condition]]) -> DataFrame:

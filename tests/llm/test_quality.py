@@ -68,3 +68,13 @@ def test_temperature_is_fitted_on_its_own_fold():
     y = (rng.random(600) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
     net = quality.fit_network(x, y, np.arange(600) % 4 == 0, quality.Quality(epochs=200))
     assert net.temperature > 1  # fitted too sharply without it
+
+
+def test_sample_is_bounded_and_repeats(spark):
+    from loreweave.llm.common import bounded_sample
+
+    rows = spark.range(30_000).withColumnRenamed("id", "k")
+    a = {r.k for r in bounded_sample(rows, "k", 2000).collect()}
+    assert 1500 < len(a) <= 2000 and a == {r.k for r in bounded_sample(rows.repartition(7), "k", 2000).collect()}
+    assert bounded_sample(rows, "k", 30_000).count() == 30_000
+    assert bounded_sample(rows.withColumn("k", F.lit(7)), "k", 10).count() <= 10
