@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loreweave.llm.common import materialize, text_of
+from loreweave.llm.common import kept, materialize, text_of
 
 PIECES = "id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -61,19 +61,20 @@ class Encoder:
     """Texts to packed ids, each with the end id behind it. A tokenizer that drops white space encodes word by word: words are
     numbered, the ids of each number are kept in one array (bounded by `most` words), and texts are gathered from it."""
 
-    def __init__(self, path: str, width: str, end_id: int, most: int = 600_000):
+    def __init__(self, path: str, width: str, end_id: int, most: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.width, self.end_id, self.most = Tokenizer.from_file(path), width, end_id, most
-        self.dtype = np.dtype(width)
+        self.dtype, self.model = np.dtype(width), self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         names = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = names == WORD_NORMALIZERS and split[:1] == [WORD_PATTERN]
         self.added = [x["content"].encode() for x in spec.get("added_tokens", [])]
-        self.characters = _byte_characters()
+        shown = _byte_characters()
+        self.letters = {c: "".join([shown[b] for b in chr(c).encode()]) for c in range(0xC0, 0x100)}  # ASCII marks stand for themselves
         self.forget()
 
     def forget(self) -> None:
@@ -105,7 +106,7 @@ class Encoder:
 
     def part(self, x: str) -> bytes:
         """The ids of a piece that the pattern gives as one, from the vocabulary's merges."""
-        out = self.parts[x] = self.pack([t.id for t in self.tokenizer.model.tokenize("".join([self.characters[b] for b in x.encode()]))])
+        out = self.parts[x] = self.pack([t.id for t in self.model.tokenize(x if x.isascii() else x.translate(self.letters))])
         return out
 
     def learned(self, words: list[bytes]) -> list[bytes]:
@@ -146,14 +147,9 @@ class Encoder:
         return self.flat[at], ends[words - 1]
 
 
-_encoders: dict[tuple[str, str, int], Encoder] = {}
-
-
 def encoder(*key) -> Encoder:
     """One for each Python worker: its words outlive a task."""
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    return kept(key, lambda: Encoder(*key))
 
 
 def _tokenise(path: str, width: str, end_id: int, kind: pa.DataType, step: int = 200):
