@@ -16,6 +16,7 @@ without words take none, rows repeated with one id are separate rows, an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ def _draws(shares: list[float], slots: int, mix: Mix):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 n = min(mix.shard_slots, slots - shard * mix.shard_slots)
-                whole = np.floor(n * p).astype(np.int64)
+                whole = np.floor(n * p + 1e-9).astype(np.int64)
                 part = np.maximum(n * p - whole, 0)
                 if (rest := n - int(whole.sum())) > 0 and part.sum() > 0:
                     whole += np.random.default_rng([mix.seed, shard]).multinomial(rest, part / part.sum())
@@ -118,9 +119,10 @@ def _slots(blocks: list[int], mix: Mix):
 
 def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -> DataFrame:
     """sid, block, pass, shard: a row per slot of the output. plan: each source's target and number of words, by sid."""
-    total = sum(t for t, _ in plan)
-    slots = round(total / mix.block)
-    shares = [t / total if total else 0.0 for t, _ in plan]
+    expected = [target * -(-size // mix.block) / size if size else 0.0 for target, size in plan]  # a last block is shorter
+    total = sum(expected)
+    slots = math.ceil(total)
+    shares = [e / total if total else 0.0 for e in expected]
     shards = spark.range(-(-slots // mix.shard_slots))
     drawn = shards.mapInArrow(_draws(shares, slots, mix), "sid int, shard long, count long")
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

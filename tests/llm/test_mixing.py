@@ -47,6 +47,14 @@ def test_sums(spark):
         assert abs(sum(own) - target) <= 0.02 * target + 64
 
 
+def test_small_sources_at_their_cap_are_taken_whole(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(50)), "b") for k in range(100)]
+    rows += [(500, "one two three", "a"), (501, " ".join(f"v{j}" for j in range(37)), "c"), (502, "last", None)]
+    got = {r.doc_id: r for r in mixed_sizes(docs(spark, rows)).collect()}
+    for k in (500, 501, 502):
+        assert got[k].taken == got[k].target == 2 * got[k].size
+
+
 def test_documents_hold_the_words_taken(spark):
     rows = [(k, "\n".join(f"d{k}w{j}" for j in range(5 + 7 * (k % 40))), "ab"[k % 2]) for k in range(200)]
     df = docs(spark, rows)
