@@ -2,8 +2,9 @@
 
 A source's documents, in a fixed pseudorandom order, form one stream of words that is cut into blocks of `block` words. The
 output is a run of shards of `shard_slots` slots, a block each. Every shard draws how many slots each source gets: the whole
-part of its expected count, and a multinomial draw over the fractions for the rest, so sums over shards stay close to the
-targets. A source's slots are numbered through all shards; slot i takes block perm(i mod blocks) of pass i div blocks, perm
+part of its expected count, and a multinomial draw over the fractions for the rest. Slots that all shards together drew for a
+source beyond its target go, in pseudorandom order, to sources that are short of theirs, so that every source ends within a
+slot of its target and every shard is full. A source's slots are numbered through all shards; slot i takes block perm(i mod blocks) of pass i div blocks, perm
 being a keyed Feistel permutation of the block indexes. So any block is taken equally often, give or take one, and joins its
 slots by index. Nothing depends on how rows are partitioned: reruns agree.
 
@@ -84,8 +85,20 @@ def permute(index: np.ndarray, count: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draws(shares: list[float], slots: int, mix: Mix):
-    p = np.array(shares)
+def quotas(plan: list[tuple[float, int]], mix: Mix) -> list[int]:
+    """Slots of each source: its target in blocks, rounded so that the sum is; the largest fractions are rounded up."""
+    expected = [target * -(-size // mix.block) / size if size else 0.0 for target, size in plan]  # a last block is shorter
+    out = [math.floor(e + 1e-6) for e in expected]
+    part = [e - n for e, n in zip(expected, out, strict=True)]
+    rest = math.ceil(sum(part) - 1e-6 * (len(part) + 1))
+    for k in sorted(range(len(out)), key=lambda k: -part[k])[: max(rest, 0)]:
+        out[k] += part[k] > 1e-6
+    return out
+
+
+def _draws(quota: list[int], mix: Mix):
+    slots = sum(quota)
+    p = np.array(quota) / slots
     schema = pa.schema([("sid", pa.int32()), ("shard", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +115,43 @@ def _draws(shares: list[float], slots: int, mix: Mix):
     return run
 
 
-def _slots(blocks: list[int], mix: Mix):
+def _slots(blocks: list[int], quota: list[int], drawn: list[int], mix: Mix):
+    spare, short = np.maximum(np.subtract(drawn, quota), 0), np.maximum(np.subtract(quota, drawn), 0)
+    base, upto = np.cumsum(spare) - spare, np.cumsum(short)
     schema = pa.schema([("sid", pa.int32()), ("block", pa.int64()), ("pass", pa.int32()), ("shard", pa.int64())])
 
+    def taken(sid: int, slot: np.ndarray, shard: int) -> Iterator[pa.RecordBatch]:
+        n = blocks[sid]
+        for turn in np.unique(slot // n):
+            index = permute(slot[slot // n == turn] % n, n, (mix.seed * 1009 + sid) * 64 + int(turn))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), sid, np.int32)), pa.array(index), pa.array(np.full(len(index), turn, np.int32)), pa.array(np.full(len(index), shard))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sid, shard, start, count in zip(*(batch.column(c).to_pylist() for c in ("sid", "shard", "start", "count")), strict=True):
-                n = blocks[sid]
-                slot = np.arange(start, min(start + count, mix.repeat * n))
-                for turn in np.unique(slot // n):
-                    index = permute(slot[slot // n == turn] % n, n, (mix.seed * 1009 + sid) * 64 + int(turn))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), sid, np.int32)), pa.array(index), pa.array(np.full(len(index), turn, np.int32)), pa.array(np.full(len(index), shard))], schema=schema)
+                slot = np.arange(start, start + count)
+                yield from taken(sid, slot[slot < quota[sid]], shard)
+                over = slot[slot >= quota[sid]]
+                if len(over):  # given to the sources that are short
+                    place = permute(over - quota[sid] + base[sid], int(spare.sum()), mix.seed)
+                    other = np.searchsorted(upto, place, "right")
+                    for k in np.unique(other).tolist():
+                        yield from taken(k, drawn[k] + place[other == k] - (upto[k] - short[k]), shard)
 
     return run
 
 
 def output_slots(spark: SparkSession, plan: list[tuple[float, int]], mix: Mix) -> DataFrame:
     """sid, block, pass, shard: a row per slot of the output. plan: each source's target and number of words, by sid."""
-    expected = [target * -(-size // mix.block) / size if size else 0.0 for target, size in plan]  # a last block is shorter
-    total = sum(expected)
-    slots = math.ceil(total)
-    shares = [e / total if total else 0.0 for e in expected]
-    shards = spark.range(-(-slots // mix.shard_slots))
-    drawn = shards.mapInArrow(_draws(shares, slots, mix), "sid int, shard long, count long")
+    quota = quotas(plan, mix)
+    shards = spark.range(-(-sum(quota) // mix.shard_slots))
+    drawn = shards.mapInArrow(_draws(quota, mix), "sid int, shard long, count long") if sum(quota) else spark.createDataFrame([], "sid int, shard long, count long")
+    sums = {r[0]: int(r[1]) for r in drawn.groupBy("sid").agg(F.sum("count")).collect()}
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
     placed = placed.repartition(partitions(spark), "sid", "shard")
-    return placed.mapInArrow(_slots([-(-size // mix.block) for _, size in plan], mix), "sid int, block long, pass int, shard long")
+    slots = _slots([-(-size // mix.block) for _, size in plan], quota, [sums.get(k, 0) for k in range(len(plan))], mix)
+    return placed.mapInArrow(slots, "sid int, block long, pass int, shard long")
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from loreweave.llm.mixing import Mix, mixed_documents, mixed_sizes, permute, targets
+from loreweave.llm.mixing import Mix, mixed_documents, mixed_sizes, output_slots, permute, targets
 
 SCHEMA = "doc_id long, text string, source string, size long, bucket string"
 
@@ -55,6 +55,24 @@ def test_small_sources_at_their_cap_are_taken_whole(spark):
         assert got[k].taken == got[k].target == 2 * got[k].size
 
 
+def test_small_sources_reach_their_targets_over_many_shards(spark):
+    sizes = [40_000, 16, 32, 80, 320, 7, 0]
+    mix = Mix(shard_slots=32)
+    plan = [(48_000.5, 40_000), *((2.0 * n, n) for n in sizes[1:])]
+    rows = output_slots(spark, plan, mix).collect()
+    assert len({(r.sid, r.block, r["pass"]) for r in rows}) == len(rows)
+    shards, got = [r.shard for r in rows], [r.sid for r in rows]
+    assert max(shards) > 80 and all(shards.count(k) == mix.shard_slots for k in range(max(shards)))
+    assert got.count(0) in (3000, 3001) and [got.count(k) for k in range(1, 7)] == [2, 4, 10, 40, 2, 0]
+
+
+def test_small_sources_in_a_mix_of_many_shards(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(50)), "b") for k in range(100)]
+    rows += [(500, "one two three", "a"), (501, " ".join(f"v{j}" for j in range(37)), "c"), (502, "last", None)]
+    got = {r.doc_id: r for r in mixed_sizes(docs(spark, rows), Mix(shard_slots=16)).collect()}
+    assert all(got[k].taken == got[k].target == 2 * got[k].size for k in (500, 501, 502))
+
+
 def test_documents_hold_the_words_taken(spark):
     rows = [(k, "\n".join(f"d{k}w{j}" for j in range(5 + 7 * (k % 40))), "ab"[k % 2]) for k in range(200)]
     df = docs(spark, rows)
