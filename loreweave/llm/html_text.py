@@ -2,7 +2,9 @@
 
 A page is cut at block-level tags into a flat run of text blocks. A block's features are its word count and link density, those
 of the blocks before and after it, and four marks of where it stands (inside an article, inside a container whose tag, role or
-class names page furniture, heading, paragraph). A small tree grown on the labelled table below keeps or drops it. Kept
+class names page furniture, heading, paragraph). A name is a hint: the names of an element that holds a main element or the
+larger part of the page's articles do not count, nor do those of an article unless another holds more. A head ends where the
+body's content begins. A small tree grown on the labelled table below keeps or drops it. Kept
 blocks, with character references decoded and white space turned into single spaces, are joined by two newlines.
 
 Defined results: a null or empty page, and one without a kept block, has an empty text; rows repeated are separate rows; a page
@@ -53,6 +55,19 @@ CONTAINER = frozenset("article aside blockquote body button details dialog div d
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head button fieldset".split())
 PARAGRAPH_TAGS = frozenset("p li dd dt blockquote pre".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
+#: Tags that can stand in a head; any other ends it.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta noscript script style template".split())
+
+
+@dataclass
+class Home:
+    """An article or main element."""
+
+    tag: str
+    marks: tuple[int, ...]  # named elements around it
+    homes: tuple[int, ...]  # articles and main elements around it
+    named: bool
+    words: int = 0  # outside links
 
 
 @dataclass
@@ -69,7 +84,10 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, inside an article, inside furniture
+    open_: list[tuple] = []  # tag, inside an article, inside furniture, named elements and homes around (places in the page)
+    none = ("", False, False, (), ())
+    homes: dict[int, Home] = {}
+    around: list[tuple] = []  # the named elements and homes around each block
     texts: list[str] = []
     links: list[str] = []
     link = 0
@@ -79,13 +97,18 @@ def blocks(page: str) -> list[Block]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                _, article, furniture = open_[-1] if open_ else ("", False, False)
+                _, article, furniture, marks, inside = open_[-1] if open_ else none
                 linked = len(html.unescape("".join(links)).split())
+                around.append((marks, inside))
+                for home in () if furniture else inside:
+                    homes[home].words += max(len(text.split()) - linked, 0)
                 out.append(Block(text, len(text.split()), linked, article, furniture, tag_now[:1] == "h" and tag_now[1:].isdigit(), tag_now in PARAGRAPH_TAGS))
             texts.clear()
         links.clear()
 
     def take(text: str) -> None:
+        if open_ and open_[-1][0] == "head" and text.strip():
+            open_.pop()
         texts.append(text)
         if link:
             links.append(text)
@@ -99,6 +122,8 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, end = tag.lower(), m["end"]
+        if open_ and open_[-1][0] == "head" and not end and tag not in HEAD_TAGS:
+            open_.pop()
         if tag == "a":
             link = 0 if end else 1
             if not end and texts:
@@ -119,20 +144,27 @@ def blocks(page: str) -> list[Block]:
                         del open_[k:]
                         break
             elif not m["attrs"].endswith("/"):
-                _, article, furniture = open_[-1] if open_ else ("", False, False)
+                _, article, furniture, marks, inside = open_[-1] if open_ else none
                 attrs = m["attrs"]
                 if tag == "p":  # only until the next block
-                    own = _named(attrs, article)
+                    own = _HIDDEN.search(attrs) or _named(attrs, article)
                     if own:
                         while open_ and open_[-1][0] == "p":
                             open_.pop()
-                        open_.append(("p", article, True))
+                        open_.append(("p", article, True, marks, inside))
                     continue
-                if tag != "span" or attrs.strip():
-                    mine = tag in FURNITURE_TAGS or (tag == "header" and not article) or (bool(attrs) and tag not in ("body", "html") and _named(attrs, article))
-                    open_.append((tag, article or tag in ARTICLE_TAGS, furniture or mine))
-                else:
-                    open_.append((tag, article, furniture))
+                plain = tag in ("body", "html")
+                hidden = not plain and bool(_HIDDEN.search(attrs))
+                named = tag == "form" or not plain and bool(attrs) and _named(attrs, article)
+                mine = hidden or (tag in FURNITURE_TAGS and tag != "form") or (tag == "header" and not article)
+                if tag in ARTICLE_TAGS:
+                    if not (furniture or mine):
+                        homes[m.start()] = Home(tag, marks, inside, named)
+                        inside = (*inside, m.start())
+                    named = named and tag == "article" and _leads(attrs)
+                if named:
+                    marks = (*marks, m.start())
+                open_.append((tag, article or tag in ARTICLE_TAGS, furniture or mine, marks, inside))
         elif block and open_ and open_[-1][0] == "p":
             open_.pop()
         if tag == "p" and open_ and open_[-1][0] == "p" and (end or not m["attrs"].strip()):
@@ -140,13 +172,34 @@ def blocks(page: str) -> list[Block]:
     if at < len(page):
         take(page[at:])
     close()
+    void = _void(homes, out, around) if homes else frozenset()
+    for block, (marks, _) in zip(out, around, strict=True):
+        block.furniture = block.furniture or not void.issuperset(marks)
     return out
 
 
+def _void(homes: dict[int, Home], found: list[Block], around: list[tuple]) -> set[int]:
+    """The named elements whose names do not count."""
+    void = {mark for h in homes.values() if h.tag == "main" and h.words for mark in h.marks}
+    # articles that are not part of another, those with names of their own for a quarter
+    top = {k: h for k, h in homes.items() if h.tag == "article" and not any(homes[x].tag == "article" for x in h.homes)}
+    worth = {k: h.words * (0.25 if h.named else 1) for k, h in top.items()}
+    holds = {mark for k, h in top.items() for mark in h.marks}
+    outside = sum(b.words - b.linked for b, (marks, inside) in zip(found, around, strict=True) if not (b.furniture or set(marks) - holds or top.keys() & set(inside)))
+    base = sum(worth.values()) + outside
+    void |= {mark for mark in holds if 2 * sum(worth[k] for k, h in top.items() if mark in h.marks) >= base}
+    most = max((h.words for h in top.values() if not h.named), default=0)
+    return void | {k for k, h in top.items() if h.named and h.words >= most}
+
+
+def _leads(attrs: str) -> bool:
+    """Does the first of an element's names begin with a word for furniture?"""
+    names = "".join(next(iter(_NAMES.findall(attrs)), ())).lower().split()
+    return bool(names) and (_WORDS.findall(names[0]) or [""])[0] in FURNITURE
+
+
 def _named(attrs: str, article: bool) -> bool:
-    """Do the class, id or role name furniture, or is the element hidden?"""
-    if _HIDDEN.search(attrs):
-        return True
+    """Do the class, id or role name furniture?"""
     for found in _NAMES.findall(attrs):
         for name in "".join(found).lower().split():
             words = _WORDS.findall(name)

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 
 BLOCKS = "section_index int, block_index int, kind string, path string, block_text string, source_start int, source_end int"
 KINDS = {"p": "PARAGRAPH", "li": "LIST_ITEM", "td": "TABLE_CELL", "th": "TABLE_CELL", "pre": "PARAGRAPH", "blockquote": "PARAGRAPH"}
-SKIPPED = frozenset("script style head template noscript".split())
+SKIPPED = frozenset("script style template noscript".split())
+#: Tags that can stand in a head; any other ends it.
+HEAD_TAGS = SKIPPED | frozenset("html head title base link meta".split())
 
 
 class Sections(HTMLParser):
@@ -23,6 +25,7 @@ class Sections(HTMLParser):
         self.path: list[tuple[int, str]] = []
         self.rows: list[tuple] = []
         self.section, self.block, self.at, self.skip = 0, 0, 0, 0
+        self.head, self.title = False, False
         self.kind, self.texts = None, []
 
     def flush(self) -> None:
@@ -39,6 +42,10 @@ class Sections(HTMLParser):
         self.block, self.at = self.block + 1, self.at + len(text) + 1
 
     def handle_starttag(self, tag, attrs):
+        if tag == "title":
+            self.title = self.head
+        elif not self.skip and not self.title:
+            self.head = tag == "head" or self.head and tag in HEAD_TAGS
         if tag in SKIPPED:
             self.skip += 1
         if tag in KINDS or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "div", "article", "nav", "footer", "section", "ul", "table", "tr"):
@@ -46,6 +53,8 @@ class Sections(HTMLParser):
             self.kind = KINDS.get(tag, tag if tag[0] == "h" and tag[1:].isdigit() else None)
 
     def handle_endtag(self, tag):
+        if tag in ("title", "head"):
+            self.title, self.head = False, self.head and tag == "title"
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         if tag in KINDS or tag[0] == "h" and tag[1:].isdigit() or tag in ("div", "article", "nav", "footer", "section"):
@@ -53,7 +62,8 @@ class Sections(HTMLParser):
             self.kind = None
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.skip and not self.title:
+            self.head = self.head and not data.strip()
             self.texts.append(data)
 
 

@@ -46,6 +46,31 @@ def test_names():
     assert html_text.main_text("<article><div class='entry-header'><h1>Title here</h1></div><p>Text.</p></article>", root) == "Title here\n\nText."
 
 
+def test_a_head_without_an_end_tag():
+    root = html_text.tree()
+    for start in ("<body>", "", "<body class=x><div>"):
+        assert html_text.main_text(f"<html><head><meta charset=utf-8><title>x</title><link href=y>\n{start}<article><p>The text of the page.</p></article>", root) == "The text of the page."
+    assert html_text.main_text("<head><title>x</title></head><body><article><p>Text.</p></article>", root) == "Text."
+
+
+def test_names_of_what_holds_the_article():
+    root = html_text.tree()
+    text = lambda h: html_text.main_text(f"<body>{h}</body>", root)
+    words, tail = "Some words that are the text of this page.", "<div class='sidebar'><p>Other words, which stand at the side.</p></div>"
+    for names in ("content-sidebar-wrap", "layout-sidebar-right"):
+        for tag in ("article", "main"):
+            assert text(f"<div class='{names}'><{tag}><p>{words}</p></{tag}>{tail}</div>") == words, names
+    assert text(f"<main><div class='content-sidebar-wrap'><article class='post category-share'><p>{words}</p></article>{tail}</div></main>") == words
+    assert text(f"<main><div class=related><article><p>{words}</p></article></div><p>{words} {words} More.</p></main>") == f"{words} {words} More."
+    assert text(f"<form id=f><article><p>{words}</p></article>{tail}</form>") == words
+    assert text(f"<article class='post category-share tag-login'><p>{words}</p></article>{tail}") == words
+    assert text(f"<main id=search-main><p>{words}</p></main>{tail}") == words
+    assert text(f"<article><p>{words} {words}</p></article><div class=related><article><p>{words}</p></article></div>") == f"{words} {words}"
+    assert text(f"<main><article><p>{words} {words}</p></article><section class=comments><article class=comment><p>{words}</p></article></section></main>") == f"{words} {words}"
+    assert text(f"<article><p>{words} {words}</p></article><article class='comment'><p>{words}</p></article>") == f"{words} {words}"
+    assert text(f"<aside><article><p>{words}</p></article></aside><div hidden><article><p>{words}</p></article></div>") == ""
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE.replace("{tag}", "article"), "clash"), (1, "u", None, "y"), (None, None, "", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.text for r in html_text.extract(df).collect())) == ["", "", TEXT]
