@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,10 +100,7 @@ def run_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY user_id")
 def run_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fold as a stream over the event files, until all that is there is read; the state is the result."""
-    name = f"run_status_{abs(hash(sf_dir)) % 10**9}"
+    """The same fold as a stream over the event files, until all that is there is read; changed rows go to the shared folder."""
     stream = runs.current(runs.read_events(spark, f"{sf_dir.rstrip('/')}/events.parquet"), "user_id", "event_type", "ts", "event_id")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{spark.sparkContext.applicationId}-{id(stream)}"
-    going = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).start()
-    going.awaitTermination()
-    return spark.table(name)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/run_status-{uuid.uuid4().hex}"
+    return runs.settled(stream, "user_id", f"{folder}/rows", f"{folder}/log")

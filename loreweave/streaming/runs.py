@@ -22,6 +22,22 @@ def current(events: DataFrame, key: str, status: str, *order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count("*").alias("events"))
 
 
+def settled(stream: DataFrame, key: str, target: str, checkpoint: str) -> DataFrame:
+    """Runs a fold until all that is there is read. Each batch's changed rows are written to target by tasks; a key's last one counts."""
+    schema = stream.withColumn("batch", F.lit(0).cast("long")).schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{target}/part={batch}")
+
+    going = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    going.awaitTermination()
+    spark = stream.sparkSession
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/part=-1")  # a stream without files has no batch
+    rows = spark.read.schema(schema).parquet(target)
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_last"))
+    return last.select("_last.*")
+
+
 def windowed(events: DataFrame, length: str, late: str, *by: str) -> DataFrame:
     """Events per window and group; in a stream, windows close `late` behind the newest event."""
     marked = events.withWatermark("ts", late)

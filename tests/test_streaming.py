@@ -39,3 +39,19 @@ def test_retention_sink(spark, tmp_path):
     q.stop()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("event_id").distinct().count() == 60 and "day" in out.columns
+
+
+def test_settled_status_stays_out_of_the_driver(spark, tmp_path):
+    batch = events(spark, str(tmp_path / "in"))
+    stream = runs.current(runs.read_events(spark, str(tmp_path / "in"), 2), "user_id", "event_type", "ts", "event_id")
+    out = runs.settled(stream, "user_id", str(tmp_path / "out"), str(tmp_path / "c"))
+    want = {tuple(r) for r in runs.current(batch, "user_id", "event_type", "ts", "event_id").collect()}
+    assert out.columns == stream.columns and sorted(map(tuple, out.collect())) == sorted(want)
+    assert len(list((tmp_path / "out").glob("part=*"))) >= 3
+
+
+def test_the_query_keeps_no_table_in_the_driver(spark, sf):
+    from loreweave.queries.runs import run_status_stream
+
+    rows = run_status_stream(spark, sf)
+    assert rows.inputFiles() and not [t for t in spark.catalog.listTables() if t.name.startswith("run_status")]
