@@ -17,11 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one set for the session."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets a temporary one; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="loreweave-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loreweave-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -38,19 +39,39 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name with as many underscores in front as it takes to differ from all columns, whatever their case."""
+    while name.lower() in (c.lower() for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def row_hash(values: list[Column]) -> Column:
+    """128 bits over values and over which of them are null."""
+    flagged = [x for v in values for x in (v.isNull(), v)]
+    return F.struct(F.xxhash64(F.lit(1), *flagged).alias("a"), F.xxhash64(F.lit(2), *flagged).alias("b"))
+
+
 def hashed_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a hash of all columns, the same wherever a row is read again, and that column's name, which docs doesn't have."""
-    name = "row"
-    while name.lower() in (c.lower() for c in docs.columns):
-        name = f"_{name}"
-    plain = [F.to_json(quoted(c)) if "map<" in t else quoted(c) for c, t in docs.dtypes]
-    return docs.withColumn(name, F.xxhash64(*plain)), name
+    name = fresh("row", docs.columns)
+    nested = {"ignoreNullFields": "false"}
+    return docs.withColumn(name, row_hash([F.to_json(quoted(c), nested) if "<" in t else quoted(c) for c, t in docs.dtypes])), name
+
+
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """rows once each, compared on every column. A table dealt by a hash among its columns is not dealt again."""
+    count = fresh("count", rows.columns)
+    return rows.groupBy(*map(quoted, rows.columns)).agg(F.count("*").alias(count)).drop(count)
+
 
+def without_dropped(rows: DataFrame, name: str, verdicts: DataFrame) -> DataFrame:
+    """rows (with their hash `name`) without those that verdicts (row: the hash, kept) drop, each once, without the hash.
 
-def one_of_each(rows: DataFrame, name: str) -> DataFrame:
-    """rows without those that repeat one, and without the hash."""
-    columns = [c for c in rows.columns if c != name]
-    return rows.groupBy(name).agg(F.first(F.struct(*map(quoted, columns))).alias("one")).select(*(F.col(f"one.{tick(c)}").alias(c) for c in columns))
+    A hash goes only if no row of that hash is kept. So rows that share one by chance all stay, and none is lost.
+    """
+    gone = verdicts.groupBy("row").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(F.col("row").alias(name))
+    return distinct_rows(rows.join(gone, name, "left_anti")).drop(name)
 
 
 def tick(name: str) -> str:
@@ -62,12 +83,12 @@ def quoted(name: str) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """All rows, or about 96 % of `most` of them chosen by a hash of the key; never more than `most`. Nothing is sorted, and what
-    reaches one place is bounded whatever the number of tasks."""
+    """All rows, or about 96 % of `most` of them chosen by a hash of the key; what reaches one place is bounded whatever the number
+    of tasks, and which rows are chosen depends on the keys alone. Rows that share a key come or go together."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int(0.96 * most / n * (1 << 32))).limit(most)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 32)) < int(0.96 * most / n * (1 << 32)))
 
 
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import hashed_rows, kept, materialize, one_of_each, text_of
+from loreweave.llm.common import hashed_rows, kept, materialize, text_of, without_dropped
 from loreweave.llm.components import components
 
 
@@ -104,9 +104,11 @@ def signatures(sets: list[np.ndarray], near: Near) -> np.ndarray:
     return out
 
 
-def _sign(near: Near, kind: pa.DataType, step: int = 128):
-    schema = pa.schema([("row", pa.int64()), ("id", kind), ("tkey", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+def set_key(own: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
+
+def _sign(near: Near, step: int = 128):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
@@ -115,8 +117,7 @@ def _sign(near: Near, kind: pa.DataType, step: int = 128):
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full, near)) if full else iter(())
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "tkey")), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary()), pa.array(sigs, pa.binary())], names=["row", "id", "tkey", "n", "key", "sig"])
 
     return run
 
@@ -151,9 +152,11 @@ def _keys(near: Near):
 
 
 def _sets(near: Near):
+    """The set of each class, from the first of its texts whose set has the class's key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, near.words).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [next(s.tobytes() for s in (shingles(t, near.words) for t in texts) if set_key(s) == key) for key, texts in zip(batch.column("key").to_pylist(), batch.column("texts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
@@ -186,6 +189,13 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(node), pa.array(np.concatenate(sets))], names=["leader", "node", "shingle"])
 
 
+def met(rows: DataFrame, leaders: DataFrame, salts: int = 32) -> DataFrame:
+    """rows (leader, node, ...) with what leaders says of their leader. A leader's rows are spread over `salts` tasks, so that a
+    large group doesn't meet in one; leaders has a row each, and is repeated as often."""
+    copies = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(copies, ["leader", "salt"]).drop("salt")
+
+
 class NearDuplicates:
     """classes (node, key, tkey, n, sig, min_id) and links (a, b) between different classes that decide all components."""
 
@@ -193,10 +203,10 @@ class NearDuplicates:
         self.near, self.id_col = near or Near(), id_col
         text = text_of(text_col)
         whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
-        sql, kind = ("bigint", pa.int64()) if whole else ("string", pa.string())
+        sql = "bigint" if whole else "string"
         row = F.col(row_col) if row_col else F.lit(0).cast("long")
         self.texts = docs.select(row.alias("row"), F.col(id_col).cast(sql).alias("id"), F.xxhash64(F.col(id_col), text).alias("tkey"), text.alias("text"))
-        signed = self.texts.mapInArrow(_sign(self.near, kind), f"row bigint, id {sql}, tkey bigint, n bigint, key binary, sig binary")
+        signed = self.texts.mapInArrow(_sign(self.near), f"row {self.texts.schema['row'].dataType.simpleString()}, id {sql}, tkey bigint, n bigint, key binary, sig binary")
         self.signed = materialize(signed, "signatures")
         self.classes = self.links = None
 
@@ -220,16 +230,16 @@ class NearDuplicates:
         leaders = groups.select(F.col("leader").alias("node")).distinct().join(self.classes.select("node", "n"), "node").select(F.col("node").alias("leader"), "node", "n")
         rows = self.against_core(materialize(groups.union(leaders), "groups"), sets)
         centre = rows.groupBy("leader").agg(F.max(F.struct((2 * F.col("core") - F.col("n")).alias("near"), "node")).alias("c")).select("leader", F.col("c.node").alias("centre"))
-        second = rows.join(centre, "leader").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        second = met(rows, centre).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         links = materialize(first.union(self.common(second, sets).where(linked).select("a", "b")), "core-links")
         rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rows.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("leader")
-        rows = materialize(rows.join(split, "leader"), "split-groups")
+        rows = materialize(met(rows, split), "split-groups")
         rare = rows.select("leader", "node", "n", "root", F.explode("rare").alias("shingle"))
         deep = rows.where(100 * F.col("core") >= near.percent * F.col("n")).drop("rare")
         enough = near.percent * (F.col("x.n") + F.col("y.n")) <= (100 + near.percent) * F.least("x.core", "y.core")
         sizes = rows.groupBy("leader", "root").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root")).alias("m")).select("leader", F.col("m.root").alias("main"))
-        outer = deep.join(sizes, "leader").where("root <> main").drop("main")  # of two components, one is not the group's largest
+        outer = met(deep, sizes).where("root <> main").drop("main")  # of two components, one is not the group's largest
         cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader"], enough)).distinct()
         self.links = materialize(links.union(self.common(cross, sets).where(linked).select("a", "b")), "all-links")
         return self
@@ -266,8 +276,8 @@ class NearDuplicates:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, shingles of the given nodes, from the text each class's tkey names."""
-        wanted = self.classes.join(nodes, "node").select("tkey", "node")
-        texts = self.texts.join(wanted, "tkey").groupBy("node").agg(F.first("text").alias("text"))
+        wanted = self.classes.join(nodes, "node").select("tkey", "node", "key")
+        texts = self.texts.join(wanted, "tkey").groupBy("node", "key").agg(F.collect_set("text").alias("texts"))  # one text, but for hashes equal by chance
         return texts.mapInArrow(_sets(self.near), "node bigint, shingles binary")
 
     def common(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,5 +311,4 @@ def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "do
 def deduplicated(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component; rows with empty sets stay. Rows equal in all columns are one."""
     rows, row = hashed_rows(docs)
-    dropped = near_components(rows, near, id_col, text_col, row).where(~F.col("first")).select(F.col("row").alias(row)).distinct()
-    return one_of_each(rows.join(dropped, row, "left_anti"), row)
+    return without_dropped(rows, row, near_components(rows, near, id_col, text_col, row).select("row", F.col("first").alias("kept")))

@@ -6,6 +6,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from loreweave.llm import common
 from loreweave.llm.exact_dedup import deduplicated, exact_dedup
 
 
@@ -45,6 +48,16 @@ def test_empty(spark, documents):
     assert deduplicated(documents([])).collect() == []
 
 
+def test_rows_with_shifted_nulls_and_equal_hashes(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string"
+    rows = [(None, "only text", None), (None, None, "only text"), (0, "", None), (1, "b", "x"), (1, "b", "y"), (2, "b  ", None), (2, "b  ", None), (3, "c", None)]
+    docs = spark.createDataFrame(rows, schema)
+    want = [(0, "", None), (2, "b  ", None), (3, "c", None), (None, "only text", None)]
+    assert sorted(map(tuple, deduplicated(docs).collect()), key=repr) == want
+    monkeypatch.setattr(common, "row_hash", lambda values: F.struct(F.lit(1).cast("long").alias("a")))
+    assert {r.text for r in deduplicated(docs).collect()} >= {"", "b  ", "c", "only text"}  # no text is lost
+
+
 def test_deduplicated_keeps_one_row(spark, documents):
     docs = documents([(1, "a"), (1, "a"), (2, "a "), (2, "a "), (3, "b"), (None, "b")])
     out = deduplicated(docs)

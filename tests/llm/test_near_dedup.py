@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loreweave.llm import common
 from loreweave.llm.components import components
 from loreweave.llm.near_dedup import Near, bucket_keys, deduplicated, near_components, shingles, signatures
 
@@ -79,6 +80,19 @@ def test_deduplicated(spark, documents):
     assert sorted(r.doc_id for r in out.collect()) == [2, 7, 8, 9]
 
 
+def test_rows_with_shifted_nulls_and_equal_hashes(spark, monkeypatch):
+    text = " ".join(f"t{k}" for k in range(60))
+    rows = [(None, text, None), (None, None, text), (1, text, "x"), (1, text, "y"), (2, "other words stand here alone", None), (2, "other words stand here alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = sorted(map(tuple, deduplicated(docs).collect()), key=repr)
+    assert len(out) == 3 and {(r[0], r[1]) for r in out} == {(1, text), (2, rows[4][1]), (None, None)}
+    monkeypatch.setattr(common, "row_hash", lambda values: F.struct(F.lit(1).cast("long").alias("a")))
+    assert {r.text for r in deduplicated(docs).collect()} == {text, None, rows[4][1]}  # no text is lost
+    monkeypatch.undo()
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(5).cast("long"))
+    same(lambda x: docs, [(r[0], r[1]) for r in rows], 4)  # sets are found by verified keys
+
+
 def test_pigeonhole():
     """Signatures that differ in at most `distance` symbols share a key, wherever they differ."""
     near, rng = Near(), np.random.default_rng(2)
