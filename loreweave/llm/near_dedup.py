@@ -189,11 +189,11 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(node), pa.array(np.concatenate(sets))], names=["leader", "node", "shingle"])
 
 
-def met(rows: DataFrame, leaders: DataFrame, salts: int = 32) -> DataFrame:
-    """rows (leader, node, ...) with what leaders says of their leader. A leader's rows are spread over `salts` tasks, so that a
-    large group doesn't meet in one; leaders has a row each, and is repeated as often."""
+def met(rows: DataFrame, leaders: DataFrame, key: str = "leader", by: str = "node", how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows with what leaders says of their key. A key's rows are spread over `salts` tasks by another column, so that a large
+    group doesn't meet in one; leaders has a row each, and is repeated as often."""
     copies = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(copies, ["leader", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [key, "salt"], how).drop("salt")
 
 
 class NearDuplicates:
@@ -297,8 +297,8 @@ def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "do
     groups = dup.classes.select("node", "key").join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     best = rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("best")).join(groups, "key")
-    least = best.groupBy("root").agg(F.min("best").alias("least"))
-    named = best.join(least, "root").select("key", "least")
+    several = best.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    named = met(best, several, "root", "key", "left").select("key", F.coalesce("least", "best").alias("least"))
     alone = F.col("least").isNull()
     out = rows.join(named, "key", "left").select(
         "row", F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
