@@ -4,12 +4,13 @@ Records are grouped into Zstandard frames that decompress on their own; a bundle
 in a skippable frame (the public seekable format: a list of compressed and uncompressed sizes, then a nine-byte footer).
 A bundle's index maps each record to its frame and its offset inside the uncompressed frame, so one record is read by
 decompressing one frame. Bundles are rows of a Parquet table (the bytes of a bundle are a complete .warc.zst file), as Spark
-writes them to any store and commits them task by task.
+writes them to any store and commits them task by task; export_bundles writes them out as files.
 
 Of records with equal payloads of at least `min_revisit` bytes, the one with the largest id is the response; the others are
-revisits that name it. Defined results: a null payload is empty; smaller payloads are all responses; rows repeated with the
-largest id are all responses; null ids are revisits of a record with an id, and responses among themselves; a null or odd url
-is percent-encoded; an empty table gives a table without bundles.
+revisits that name it. Which is which is found on ids and digests alone, a popular page's rows spread by salt; payloads are dealt
+once, by digest and id. Defined results: a null payload is empty; smaller payloads are all responses; a very long payload is one
+record in a frame of its own size; rows repeated with the largest id are all responses, and record ids differ even so; null ids are revisits of a record with an id, and responses among themselves; a null or odd url is percent-encoded;
+other columns are ignored, whatever their names; an empty table gives a table without bundles.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import urllib.parse
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.llm.common import materialize
+
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 
@@ -50,18 +54,19 @@ def frame_spans(data: bytes) -> list[tuple[int, int]]:
     return spans
 
 
-def urn(key: int | None) -> str:
-    return f"<urn:record:{'none' if key is None else key}>"
+def urn(key: int | None, digest: str, copy: str = "") -> str:
+    """A record's id: rows of one id differ by their payload's digest, repeated rows by a number."""
+    return f"<urn:record:{'none' if key is None else key}:{digest[:16]}{copy}>"
 
 
-def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
+def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str, copy: str = "") -> bytes:
     """One WARC/1.1 record. A revisit holds the HTTP head only; its payload's length is in that head."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {urn(key)}",
+        f"WARC-Record-ID: {urn(key, digest, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {urllib.parse.quote(url or '', safe=';/?:@&=+$,#%[]!*()~')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -69,7 +74,7 @@ def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str,
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to, digest)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -80,7 +85,7 @@ def parse_record(frame: bytes, at: int) -> dict:
     block = frame[cut + 4 : cut + 4 + int(head["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rpartition(b"Content-Length: ")[2])
-    number = lambda x: None if x[12:-1] == "none" else int(x[12:-1])
+    number = lambda x: None if x[12:-1].partition(":")[0] == "none" else int(x[12:-1].partition(":")[0])
     out = {"id": number(head["WARC-Record-ID"]), "url": urllib.parse.unquote(head["WARC-Target-URI"]), "record_type": head["WARC-Type"], "refers_to": None}
     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
     if head["WARC-Type"] == "revisit":
@@ -90,17 +95,21 @@ def parse_record(frame: bytes, at: int) -> dict:
     return out | {"payload_bytes": size, "payload_digest": digest, "payload": payload}
 
 
-def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int) -> DataFrame:
-    """id, url, payload, digest, record_type, refers_to. The largest id of each digest is found by partial sums on digests alone."""
+def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit: int, salts: int = 64) -> DataFrame:
+    """id, url, payload, digest, record_type, refers_to, repeated (rows share id and digest)."""
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
-        F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"),
+        F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("copies")).where("copies > 1")
-    joined = rows.join(first.select("digest", "last"), "digest", "left")
+    light = rows.groupBy("id", "digest").agg(F.count("*").alias("n"), F.max(F.octet_length("payload") >= min_revisit).alias("large"))
+    groups = light.where("large").groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("ids")).where("ids > 1").select("digest", "last")
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = light.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(copies, ["digest", "salt"], "left")
+    found = found.where("last is not null or n > 1").select(F.col("id").alias("i"), F.col("digest").alias("d"), "last", (F.col("n") > 1).alias("several"))
+    joined = rows.join(found.hint("merge"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left")  # repeated rows meet in one task
     revisit = F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last"))
-    return joined.select("id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
+    return joined.select("id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"), F.coalesce("several", F.lit(False)).alias("repeated"))
 
 
 def _pack(frame_bytes: int, bundle_bytes: int, level: int, date: str):
@@ -110,7 +119,7 @@ def _pack(frame_bytes: int, bundle_bytes: int, level: int, date: str):
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=level)
+        squeeze, seen = zstandard.ZstdCompressor(level=level), Counter()
         frame, frames, sizes, index, total = bytearray(), [], [], [], 0
 
         def close_frame():
@@ -128,9 +137,13 @@ def _pack(frame_bytes: int, bundle_bytes: int, level: int, date: str):
             return out
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "record_type", "refers_to")), strict=True):
+            for *row, repeated in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "digest", "record_type", "refers_to", "repeated")), strict=True):
                 index.append({"id": row[0], "frame": len(frames), "offset": len(frame)})
-                frame += record_bytes(*row, date)
+                copy = ""
+                if repeated:
+                    seen[row[0], row[3]] += 1
+                    copy = f":{task}-{seen[row[0], row[3]] - 1}" if seen[row[0], row[3]] > 1 else ""
+                frame += record_bytes(*row, date, copy)
                 if len(frame) >= frame_bytes:
                     close_frame()
                 if total >= bundle_bytes:
@@ -180,10 +193,36 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     return spark.read.schema(BUNDLES).parquet(path).mapInArrow(_read(payloads), RECORDS)
 
 
-def lookup(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """The records whose id is in the first column of ids; only their frames are decompressed."""
+def lookup(spark: SparkSession, path: str, ids: DataFrame, most_files: int = 10_000) -> DataFrame:
+    """The records whose id is in the first column of ids. Bundles' indexes are read first, then only the files that hold one of
+    the bundles named (beyond most_files, all of them), and only the records' frames are decompressed."""
     bundles = spark.read.schema(BUNDLES).parquet(path)
     wanted = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
-    hits = bundles.select("bundle", F.explode("records").alias("r")).select("bundle", "r.*").join(wanted, "id")
-    chosen = hits.groupBy("bundle").agg(F.collect_list(F.struct("id", "frame", "offset")).alias("records"))
-    return bundles.drop("records").join(chosen, "bundle").select("bundle", "data", "records").mapInArrow(_read(True), RECORDS)
+    listed = bundles.select("bundle", F.col("_metadata.file_path").alias("file"), F.explode("records").alias("r")).select("bundle", "file", "r.*")
+    chosen = materialize(listed.join(wanted, "id").groupBy("bundle", "file").agg(F.collect_list(F.struct("id", "frame", "offset")).alias("records")), "warc-hits")
+    files = [r[0] for r in chosen.select("file").distinct().limit(most_files + 1).collect()]
+    if not files:
+        return spark.createDataFrame([], RECORDS)
+    data = (spark.read.schema(BUNDLES).parquet(*files) if len(files) <= most_files else bundles).select("bundle", "data")
+    return data.join(chosen.drop("file"), "bundle").select("bundle", "data", "records").mapInArrow(_read(True), RECORDS)
+
+
+def export_bundles(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Writes each bundle below path to folder (any URI that Arrow's file systems know, shared by all executors) as a file
+    <bundle>.warc.zst, first under a name of the task's own, so that a task that runs twice leaves one whole file. Gives bundle, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column("bundle").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                own = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with store.open_output_stream(own) as out:
+                    out.write(data)
+                store.move(own, f"{root}/{name}.warc.zst")
+                yield pa.RecordBatch.from_pylist([{"bundle": name, "bytes": len(data)}])
+
+    return materialize(spark.read.schema(BUNDLES).parquet(path).select("bundle", "data").mapInArrow(run, "bundle string, bytes bigint"), "warc-export")

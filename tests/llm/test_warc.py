@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import zstandard
 
@@ -55,6 +56,32 @@ def test_lookup(spark):
     assert sorted((r.id, r.payload_bytes) for r in got) == [(7, 16), (8, 600_000)]
 
 
+def test_record_ids_differ(spark, tmp_path):
+    path = scratch_path(spark, "t")
+    rows = [*ROWS, *[(20, "u", "w" * 1500)] * 5, (19, "u", "w" * 1500), *[(None, "n", "q")] * 3]
+    warc.write_archive(pages(spark, rows), path, frame_bytes=2000, bundle_bytes=5000)
+    out = warc.export_bundles(spark, path, f"file://{tmp_path}/out").collect()
+    ids, refers, n = [], [], 0
+    for r in out:
+        data = (tmp_path / "out" / f"{r.bundle}.warc.zst").read_bytes()
+        assert len(data) == r.bytes
+        for a, b in warc.frame_spans(data):
+            frame = zstandard.ZstdDecompressor().decompress(data[a:b])
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", frame)
+            refers += re.findall(rb"WARC-Refers-To: (\S+)", frame)
+    assert len(ids) == len(set(ids)) == len(rows) and set(refers) <= set(ids)
+    assert len(list((tmp_path / "out").iterdir())) == len(out)
+
+
+def test_lookup_reads_named_files_only(spark):
+    path = scratch_path(spark, "t")
+    warc.write_archive(pages(spark, [(k, "u", f"text {k} " * 300) for k in range(200)]).repartition(8), path, frame_bytes=2000, bundle_bytes=5000)
+    got = warc.lookup(spark, path, spark.createDataFrame([(5,)], "k long"))
+    assert [(r.id, bytes(r.payload)[:6]) for r in got.collect()] == [(5, b"text 5")]
+    scans = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "data#" in x and "Scan" in x]
+    assert scans and all("1 paths" in x for x in scans)
+
+
 def test_empty(spark):
     path = scratch_path(spark, "t")
     warc.write_archive(pages(spark, []), path)
