@@ -5,11 +5,13 @@ and marks). A term's index vector is a fixed sparse ternary vector; its context
 terms around it, counted over the whole corpus in integers, so any order of tasks gives the same. Terms are hashed into a
 fixed number of rows, which bounds a task's memory and what the driver gets (rows * dims numbers, whatever the corpus).
 A document is the mean and the deviation of its terms' unit context vectors, and the mean product of neighbours. The network is fitted on a sample of at most
-`max_rows` labelled rows (chosen by a hash of the id), its temperature on a fold of them that it was not fitted on.
+`max_rows` labelled ids (chosen by a hash of the id), its temperature on a fold of them that it was not fitted on.
 
-Defined results: a null or empty text is the zero vector and gets the network's score of that; without usable labels every
-score is 0.5; rows repeated with one id get equal scores; a null id is held out iff crc32('') mod 5 = 0 (it is); an empty
-table gives no rows; label, language, source and id never enter a score; other columns are ignored or passed through.
+Defined results: a null or empty text is the zero vector and gets the network's score of that; very long texts are read whole;
+without usable labels every score is 0.5; of labels that repeat an id the least counts, of documents that repeat a labelled id
+the text with the smallest hash teaches; rows with equal texts get equal scores, so ties stay ties; a null id is held out iff crc32('') mod 5 = 0 (it is); an empty
+table gives no rows; label, language, source and id never enter a score; other columns are passed through, a column of the
+score's name in any case is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import bounded_sample, kept, text_of
+from loreweave.llm.common import bounded_sample, kept, quoted, text_of
 
 
 @dataclass(frozen=True)
@@ -144,36 +146,43 @@ def add_contexts(total: np.ndarray, rows: np.ndarray, sizes: np.ndarray, index:
             total[own_term[first].astype(np.int64) + start] += sums - shift * count
 
 
+#: Tasks whose sums meet in one task of the next level.
+FAN_IN = 1024
+
+
 def _contexts(q: Quality, step: int = 64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         index, total, own = index_vectors(q), np.zeros((q.words + q.shapes, q.dims), np.int64), reader(q)
+        group = TaskContext.get().partitionId() // FAN_IN
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 add_contexts(total, *own.read(batch.column(0).slice(at, step).to_pylist()), index, q)
         for k in range(0, len(total), q.chunk):
             if total[k : k + q.chunk].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // q.chunk]), pa.array([total[k : k + q.chunk].tobytes()])], names=["chunk", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([k // q.chunk]), pa.array([total[k : k + q.chunk].tobytes()])], names=["group", "chunk", "sums"])
 
     return run
 
 
-def _sum_chunks(q: Quality):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                own = np.frombuffer(data, np.int64)
-                sums[chunk] = sums[chunk] + own if chunk in sums else own
-        for chunk, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([own.tobytes()])], names=["chunk", "sums"])
-
-    return run
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for group, chunk, data in zip(*(batch.column(c).to_pylist() for c in ("group", "chunk", "sums")), strict=True):
+            own = np.frombuffer(data, np.int64)
+            sums[group, chunk] = sums[group, chunk] + own if (group, chunk) in sums else own
+    for (group, chunk), own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([chunk]), pa.array([own.tobytes()])], names=["group", "chunk", "sums"])
 
 
 def context_vectors(texts: Column, docs: DataFrame, q: Quality) -> np.ndarray:
-    """Unit context vectors of all terms, counted over all documents; zero for terms never met."""
-    parts = docs.select(texts.alias("text")).mapInArrow(_contexts(q), "chunk bigint, sums binary")
-    whole = parts.repartition(-(-(q.words + q.shapes) // q.chunk), "chunk").mapInArrow(_sum_chunks(q), "chunk bigint, sums binary")
+    """Unit context vectors of all terms, counted over all documents; zero for terms never met. Tasks' sums are added up in two
+    levels, first those of FAN_IN neighbouring tasks, so that no task reads from all others."""
+    kind = "group bigint, chunk bigint, sums binary"
+    parts = docs.select(texts.alias("text")).mapInArrow(_contexts(q), kind)
+    near = parts.repartition("group", "chunk").mapInArrow(_sum_chunks, kind).withColumn("group", F.lit(0).cast("long"))
+    whole = near.repartition("chunk").mapInArrow(_sum_chunks, kind).select("chunk", "sums")
     out = np.zeros((q.words + q.shapes, q.dims))
     for chunk, data in whole.collect():
         own = np.frombuffer(data, np.int64).reshape(-1, q.dims)
@@ -267,8 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality | None = None, id_col: st
     vectors = context_vectors(text_of(text_col), docs, q)
     key = fold(F.col("id"), q.folds)
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (key != 0))
-    sample = bounded_sample(sample, "id", q.max_rows).withColumn("check", key == 1)
+    sample = bounded_sample(sample.groupBy("id").agg(F.min("label").alias("label")), "id", q.max_rows).withColumn("check", key == 1)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most max_rows rows
+    texts = texts.groupBy("id", "label", "check").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     wide = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality | None = None, id_col: st
                 x = pooled(wide.value, *reader(q).read(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("check"), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "check", "x"])
 
-    rows = texts.select("text", "label", "check").mapInArrow(run, "label int, check boolean, x binary").limit(2 * q.max_rows).collect()
+    rows = texts.select("text", "label", "check").mapInArrow(run, "label int, check boolean, x binary").collect()  # a row an id
     rows.sort(key=lambda r: (r.x, r.label, r.check))
     if len({r.label for r in rows}) < 2:
         return Model(vectors, None, q)
@@ -288,6 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality | None = None, id_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column of scores from 0 to 1."""
+    docs = docs.select(*(quoted(c) for c in docs.columns if c.lower() != name.lower()))
     q, wide = model.quality, docs.sparkSession.sparkContext.broadcast(model)
     names = [*docs.columns, name]
 
