@@ -7,7 +7,8 @@ condition of a rule is verified with its expression on the whole text. A rule wi
 Documents are named by a 64-bit hash of id and text in the index; equal hashes only add candidates to verify.
 
 Only DataFrame functions run on the executors. Spans are in code points, end exclusive, leftmost and not overlapping per
-rule. Defined results: a null text is empty, an empty one has no spans; rows repeated give equal rows; null ids are kept; an
+rule, and their places are summed up by blocks, so a long text full of matches costs little more than its length. Defined results:
+a null text is empty, an empty one has no spans; spans that start together are ordered by rule; rows repeated give equal rows; null ids are kept; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -148,22 +149,44 @@ def candidates(spark: SparkSession, postings: DataFrame, rules: tuple[Rule, ...]
     return materialize(hits.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("mask")), "candidates")
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's matches as an array of (start, rank, end): lengths of the pieces between matches, summed up."""
+def sizes(text: Column, rule: Rule) -> Column:
+    """Lengths (gap, own, held) of the pieces between matches, of the matches, and of their groups; own is null after the last match."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     held = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    sizes = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("own"), F.transform(held, F.length).alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int>>").alias("out"))
+    zipped = F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("own"), F.transform(held, F.length).alias("held"))
+    return zipped.cast("array<struct<gap:int,own:int,held:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["own"], F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    named = sizes.cast("array<struct<gap:int,own:int,held:int>>")
-    return F.aggregate(named, start, step, lambda acc: acc["out"])
+def total(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(0), lambda n, x: n + x["gap"] + F.coalesce(x["own"], F.lit(0)))
+
+
+def blocked(lengths: str) -> Column:
+    """lengths in blocks of about the root of their number: no position is summed up over all that lie before it."""
+    step = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.size(lengths) - 1, step), lambda at: F.slice(lengths, at + 1, step))
+
+
+def block_starts(blocks: str) -> Column:
+    """Where each block starts in the text."""
+    own = F.transform(blocks, total)
+    return F.transform(own, lambda _, k: F.aggregate(F.slice(own, F.lit(1), k), F.lit(0), lambda a, n: a + n))
+
+
+def spans(blocks: str, starts: str, rule: Rule, rank: int) -> Column:
+    """The rule's matches as an array of (start, rank, end)."""
+
+    def place(block: Column, start: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            begin = start + total(F.slice(block, F.lit(1), k)) + x["gap"]
+            return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["own"]).alias("end"), x["held"].alias("held"))
+
+        return F.transform(block, one)
+
+    every = F.flatten(F.zip_with(blocks, starts, place))
+    fit = F.filter(every, lambda s: s["end"].isNotNull() & (s["held"] >= rule.least))
+    return F.transform(fit, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,15 +195,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str =
     rows = docs.select(F.col(id_col), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
     found = candidates(docs.sparkSession, build_index(rows.select("key", "text"), rules), rules)
     joined = rows.join(found, "key", "left")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    parts = []
+    kept = [F.col(id_col), F.col("text")]
+    mays = []
     for k, rule in enumerate(rules):
         if conditions(rule.pattern):
-            may = F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+            mays.append(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0)
         else:
-            may = F.col("text").rlike(f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.pattern.endswith("]+") else rule.pattern)
-        parts.append(F.when(may, spans(F.col("text"), rule, k)).otherwise(none))
-    return joined.select(F.col(id_col), F.col("text").alias(text_col), F.array_sort(F.concat(*parts)).alias("spans"))
+            mays.append(F.col("text").rlike(f"{rule.pattern[:-1]}{{{rule.least},}}" if rule.pattern.endswith("]+") else rule.pattern))
+    step = joined.select(*kept, *(F.when(may, sizes(F.col("text"), rule)).alias(f"sizes{k}") for k, (may, rule) in enumerate(zip(mays, rules, strict=True))))
+    step = step.select(*kept, *(blocked(f"sizes{k}").alias(f"blocks{k}") for k in range(len(rules))))
+    step = step.select(*kept, *(F.col(f"blocks{k}") for k in range(len(rules))), *(block_starts(f"blocks{k}").alias(f"starts{k}") for k in range(len(rules))))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    parts = [F.coalesce(spans(f"blocks{k}", f"starts{k}", rule, k), none) for k, rule in enumerate(rules)]
+    return step.select(F.col(id_col), F.col("text").alias(text_col), F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def written(found: Column, rules: tuple[Rule, ...]) -> Column:
