@@ -2,13 +2,15 @@
 
 Sequential covering: on two thirds of the labelled rows a rule grows, threshold by threshold, by the largest information gain
 for rejected rows; on the other third its last conditions are pruned while that raises its precision there. Rows it covers
-are taken out and the next rule grows, until one does not reach `precision` on the pruning rows. The list becomes one
-F.when(...).when(...).otherwise(keep). The driver learns on at most `max_rows` rows of a few numbers; statistics of all
-documents come from DataFrame functions only.
-
-Defined results: a null text has no words; without words every share is 0; without labelled rows, or with one label only, the
-list is empty and keeps all; rows repeated are separate rows; null ids are kept (and never labelled); an empty table gives no
-rows; other columns are ignored.
+are taken out and the next rule grows, until one does not reach `precision` on the pruning rows that are left, covers fewer
+than `least` rows, or the list has `most` rules; a rule has at most `depth` conditions. The list becomes one
+F.when(...).when(...).otherwise(keep). The driver learns on at most `max_rows` labelled ids, a few numbers each; statistics of
+all documents come from DataFrame functions only.
+
+Defined results: a null text has no words; very long texts are read whole; without words every share is 0; without labelled rows,
+or with one label only, the list is empty and keeps all; of equally good conditions the first by name and limit counts; of labels
+that repeat an id the least counts, of documents that repeat a labelled id the least numbers; rows repeated are separate rows;
+null ids are kept (and never labelled); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,9 +109,9 @@ def _covers(rule: list[Condition], row: dict) -> bool:
     return all(c.holds(row) for c in rule)
 
 
-def _grow(bad: list[dict], good: list[dict], steps: int) -> list[Condition]:
+def _grow(bad: list[dict], good: list[dict], steps: int, depth: int) -> list[Condition]:
     rule: list[Condition] = []
-    while good and bad and len(rule) < 4:
+    while good and bad and len(rule) < depth:
         base, best = math.log2(len(bad) / (len(bad) + len(good))), None
         for name in bad[0]:
             values = sorted(r[name] for r in bad + good)
@@ -131,13 +133,13 @@ def _grow(bad: list[dict], good: list[dict], steps: int) -> list[Condition]:
     return rule
 
 
-def learn(rows: list[tuple[str, int, dict]], precision: float = 0.9, least: int = 3, most: int = 24, steps: int = 32) -> list[list[Condition]]:
+def learn(rows: list[tuple[str, int, dict]], precision: float = 0.9, least: int = 3, most: int = 24, steps: int = 32, depth: int = 4) -> list[list[Condition]]:
     """rows: id, label (0: reject), numbers. The rules, in order; a row that any covers is rejected."""
     prune = [zlib.crc32(f"prune:{i}".encode()) % 3 == 0 for i, _, _ in rows]
     sides = {(p, y): [x for q, (_, z, x) in zip(prune, rows, strict=True) if q == p and z == y] for p in (False, True) for y in (0, 1)}
     out: list[list[Condition]] = []
     while len(out) < most and len(sides[False, 0]) >= least:
-        rule = _grow(sides[False, 0], sides[False, 1], steps)
+        rule = _grow(sides[False, 0], sides[False, 1], steps, depth)
         if not rule:
             break
 
@@ -146,8 +148,8 @@ def learn(rows: list[tuple[str, int, dict]], precision: float = 0.9, least: int
             return ((p + 1) / (p + n + 2), p)
 
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
-        p, n = (sum(_covers(rule, x) for s in (False, True) for x in sides[s, y]) for y in (0, 1))
-        if p < least or p / (p + n) < precision:
+        p, n = (sum(_covers(rule, x) for x in sides[True, y]) for y in (0, 1))
+        if p < 1 or p / (p + n) < precision or p + sum(_covers(rule, x) for x in sides[False, 0]) < least:
             break
         out.append(rule)
         sides = {k: [x for x in v if not _covers(rule, x)] for k, v in sides.items()}
@@ -169,8 +171,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Learns on at most max_rows labelled rows, chosen by a hash of the id."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     columns = shares()
-    rows = stats.join(F.broadcast(bounded_sample(marked, "id", max_rows)), "id")  # at most max_rows rows
-    rows = rows.select("id", "label", *(c.alias(n) for n, c in columns.items())).limit(2 * max_rows).collect()
+    rows = stats.join(F.broadcast(bounded_sample(marked.groupBy("id").agg(F.min("label").alias("label")), "id", max_rows)), "id")  # at most max_rows rows
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(*(c.alias(n) for n, c in columns.items()))).alias("x")).select("id", "label", "x.*").collect()
     return learn(sorted(((str(r["id"]), r["label"], {n: float(r[n]) for n in columns}) for r in rows), key=repr))
 
 
