@@ -11,29 +11,91 @@ from pyspark.sql.window import Window
 RRF = 60
 
 
-def fuse(candidates: DataFrame, weights: dict[str, float] | None = None, pool: int = 60, per_branch: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion. candidates: channel, subquery, chunk_id, document_id, rank.
-
-    Each channel's term is weight / executed / (60 + rank), executed being the number of its subqueries; of a chunk found
-    several times under one (channel, subquery) the best rank counts. Blank chunks and ranks beyond per_branch are left out.
-    Gives chunk_id, document_id, score, fused_rank of the best `pool`.
-    """
-    valid = candidates.where((F.col("rank") <= per_branch) & F.col("chunk_id").isNotNull() & (F.trim(F.col("chunk_id").cast("string")) != "")).withColumn("subquery", F.coalesce("subquery", F.lit("branch")))
-    executed = valid.groupBy("channel").agg(F.count_distinct("subquery").alias("executed"))
-    best = valid.groupBy("chunk_id", "channel", "subquery").agg(F.min("rank").alias("rank"), F.min_by("document_id", F.struct("channel", "subquery", "rank")).alias("document_id"))
-    weight = F.lit(1.0)
+def has_text(c: Column) -> Column:
+    """Neither null nor blank; never null itself."""
+    return F.coalesce(F.length(F.regexp_replace(c.cast("string"), r"\s", "")) > 0, F.lit(False))
+
+
+def completed(candidates: DataFrame) -> DataFrame:
+    """The candidates of branches that completed; without a status column, all."""
+    return candidates.where("status = 'COMPLETED'").drop("status") if "status" in candidates.columns else candidates
+
+
+def _accepted(candidates: DataFrame, per_branch: int) -> Column:
+    return (F.col("rank") <= per_branch) & has_text(F.col("chunk_id")) & has_text(F.col("document_id"))
+
+
+def _graph_accepted(text: DataFrame, graph: DataFrame, per_branch: int, derived: int, by: tuple[str, ...]) -> DataFrame:
+    """graph (by, rank of the row, place in it, chunk_id, document_id) with accepted: valid citations of chunks that text branches
+    found, or of the first `derived` others in order of appearance."""
+    valid = graph.withColumn("valid", _accepted(graph, per_branch))
+    known = text.select(*by, "chunk_id", F.lit(True).alias("known")).distinct()
+    new = valid.where("valid").join(known, [*by, "chunk_id"], "left_anti").groupBy(*by, "chunk_id").agg(F.min(F.struct("rank", "place")).alias("first"))
+    order = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("first", "chunk_id"))  # a plan's rows are few: at most per_branch
+    new = new.withColumn("n", order).where(F.col("n") <= derived).select(*by, "chunk_id", F.lit(True).alias("new"))
+    out = valid.join(known, [*by, "chunk_id"], "left").join(new, [*by, "chunk_id"], "left")
+    return out.withColumn("accepted", F.col("valid") & (F.col("known").isNotNull() | F.col("new").isNotNull())).drop("valid", "known", "new")
+
+
+def fuse(
+    candidates: DataFrame, weights: dict[str, float] | None = None, pool: int = 60, per_branch: int = 60, graph: DataFrame | None = None,
+    derived: int = 20, executed: dict[str, int] | None = None, by: tuple[str, ...] = (),
+) -> DataFrame:
+    """Weighted reciprocal-rank fusion of text branches and, as channel GRAPH, of the rows of graph plans.
+
+    candidates: by (the columns that name a request), channel, subquery, chunk_id, document_id, rank, perhaps status; graph: by,
+    rank, place, chunk_id, document_id, fact_id. Each channel's term is weight / executed / (60 + rank), executed being the number
+    of subqueries among all its completed candidates, or what `executed` says; of a chunk found several times under one (channel,
+    subquery) the best rank counts. Candidates without chunk or document and ranks beyond per_branch are left out, as are chunks
+    that only graph rows name beyond the first `derived`. Gives by, chunk_id, document_id, score, fused_rank and facts (fact ids)
+    of the best `pool` of each request.
+    """
+    done = completed(candidates).withColumn("subquery", F.coalesce("subquery", F.lit("branch")))
+    counts = done.groupBy(*by, "channel").agg(F.count_distinct("subquery").alias("executed"))
+    valid = done.where(_accepted(done, per_branch))
+    key = F.struct(F.lit(0).alias("kind"), "channel", "subquery", "rank")
+    best = valid.groupBy(*by, "chunk_id", "channel", "subquery").agg(F.min("rank").alias("rank"), F.min_by("document_id", key).alias("document_id"))
+    best = best.join(counts, [*by, "channel"]).withColumn("kind", F.lit(0)).withColumn("facts", F.array().cast("array<string>"))
+    if graph is not None:
+        cited = _graph_accepted(valid, graph, per_branch, derived, by).where("accepted")
+        own = cited.groupBy(*by, "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("document_id", F.struct("rank", "place")).alias("document_id"), F.array_sort(F.collect_set(F.col("fact_id").cast("string"))).alias("facts"))
+        more = own.withColumn("channel", F.lit("GRAPH")).withColumn("subquery", F.lit("branch")).withColumn("executed", F.lit(1).cast("long")).withColumn("kind", F.lit(1))
+        best = best.unionByName(more)
+    number, weight = F.col("executed"), F.lit(1.0)
+    for name, n in (executed or {}).items():
+        number = F.when(F.col("channel") == name, max(1, n)).otherwise(number)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
-    terms = best.join(F.broadcast(executed), "channel").withColumn("term", weight / F.col("executed") / (RRF + F.col("rank")))  # executed: a row per channel
-    scored = terms.groupBy("chunk_id").agg(F.round(F.sum("term"), 12).alias("score"), F.min_by("document_id", F.struct("channel", "subquery", "rank")).alias("document_id"))
-    top = scored.orderBy(F.desc("score"), "chunk_id").limit(pool)
-    return top.withColumn("fused_rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # at most pool rows
-
-
-def branch_counters(candidates: DataFrame, per_branch: int) -> DataFrame:
-    """Per channel: accepted and truncated candidates, and subqueries executed."""
-    good = (F.col("rank") <= per_branch) & (F.trim(F.col("chunk_id").cast("string")) != "")
-    return candidates.groupBy("channel").agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("truncated"), F.count_distinct(F.coalesce("subquery", F.lit("branch"))).alias("executed"))
+    terms = best.withColumn("term", weight / number / (RRF + F.col("rank")))
+    scored = terms.groupBy(*by, "chunk_id").agg(
+        F.round(F.sum("term"), 12).alias("score"), F.min_by("document_id", F.struct("kind", "channel", "subquery", "rank")).alias("document_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts")
+    )
+    place = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("score"), "chunk_id"))  # tasks cut their rows to `pool` first
+    return scored.withColumn("fused_rank", place).where(F.col("fused_rank") <= pool)
+
+
+def branch_counters(candidates: DataFrame, per_branch: int, graph: DataFrame | None = None, derived: int = 20, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per channel: accepted and truncated candidates, and subqueries executed. Of graph rows, citations count, and a row beyond
+    per_branch counts once as truncated."""
+    done = completed(candidates)
+    good = F.coalesce(_accepted(done, per_branch), F.lit(False))
+    out = done.groupBy(*by, "channel").agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("truncated"), F.count_distinct(F.coalesce("subquery", F.lit("branch"))).alias("executed"))
+    if graph is None:
+        return out
+    cited = _graph_accepted(done.where(good), graph.where(F.col("rank") <= per_branch), per_branch, derived, by)
+    inside = cited.groupBy(*by).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("lost"), F.lit(0).cast("long").alias("beyond"))
+    beyond = graph.where(F.col("rank") > per_branch).groupBy(*by).agg(F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("lost"), F.count_distinct("rank").alias("beyond"))
+    sums = inside.unionByName(beyond).groupBy(*by).agg(F.sum("accepted").alias("accepted"), F.sum(F.col("lost") + F.col("beyond")).alias("truncated"))
+    return out.unionByName(sums.select(*by, F.lit("GRAPH").alias("channel"), "accepted", "truncated", F.lit(1).cast("long").alias("executed")))
+
+
+def text_rounds(*rounds: DataFrame) -> DataFrame:
+    """The candidates of all rounds, with the number of their round; a round with more columns (a status) keeps them."""
+    out = None
+    for k, own in enumerate(rounds, 1):
+        own = own.withColumn("round", F.lit(k))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
 
 
 def diversify(ranking: DataFrame, per_document: int, most: int, rank: str = "fused_rank") -> DataFrame:
@@ -60,16 +122,19 @@ def rerank_valid(ranking: DataFrame, scores: DataFrame) -> DataFrame:
 #: The outcomes of a parent lookup; the first that holds.
 def parent_outcome(child: str = "child", parent: str = "parent", edge: str = "edge") -> Column:
     c, p, asked = (lambda n: F.col(f"{child}.{n}")), (lambda n: F.col(f"{parent}.{n}")), (lambda n: F.col(f"asked.{n}"))
+    or_empty = lambda x: F.coalesce(x, F.lit(""))
     return (
-        F.when(c("id").isNull(), "CHILD_NOT_FOUND").when(c("kb") != asked("kb"), "CHILD_SCOPE").when(c("run") != asked("run"), "CHILD_RUN")
-        .when(~c("revision").eqNullSafe(asked("revision")), "CHILD_REVISION").when(c("parent_id").isNull(), "NO_PARENT").when(p("id").isNull(), "PARENT_NOT_FOUND")
-        .when(p("kind") != "PARENT", "PARENT_KIND").when(p("kb") != asked("kb"), "PARENT_SCOPE").when(p("run") != c("run"), "PARENT_RUN")
-        .when(~p("revision").eqNullSafe(c("revision")), "PARENT_REVISION").when(F.col(f"{edge}.child").isNull(), "MEMBERSHIP").otherwise("VALID_PARENT")
+        F.when(c("id").isNull(), "CHILD_NOT_FOUND").when((c("kb") != asked("kb")) | (c("document_id") != asked("document_id")), "CHILD_SCOPE")
+        .when(or_empty(c("run")) != or_empty(asked("run")), "CHILD_RUN").when(or_empty(c("revision")) != or_empty(asked("revision")), "CHILD_REVISION")
+        .when(c("parent_id").isNull(), "NO_PARENT").when(p("id").isNull(), "PARENT_NOT_FOUND").when(p("kind") != "PARENT", "PARENT_KIND")
+        .when((p("kb") != c("kb")) | (p("document_id") != c("document_id")), "PARENT_SCOPE").when(or_empty(p("run")) != or_empty(c("run")), "PARENT_RUN")
+        .when(or_empty(p("revision")) != or_empty(c("revision")), "PARENT_REVISION").when(F.col(f"{edge}.child").isNull(), "MEMBERSHIP").otherwise("VALID_PARENT")
     )
 
 
 def parent_contexts(candidates: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """chunk_id, outcome, parent_id. candidates: chunk_id, kb, run, revision; chunks: id, kind, parent_id, kb, run, revision; edges: parent, child."""
+    """chunk_id, outcome, parent_id. candidates: chunk_id, document_id, kb, run, revision; chunks: id, document_id, kind, parent_id,
+    kb, run, revision; edges: parent, child. A null run or revision equals an empty one."""
     child, parent, edge = chunks.alias("child"), chunks.alias("parent"), edges.alias("edge")
     joined = candidates.alias("asked").join(child, F.col("chunk_id") == F.col("child.id"), "left").join(parent, F.col("child.parent_id") == F.col("parent.id"), "left")
     joined = joined.join(edge, (F.col("edge.parent") == F.col("parent.id")) & (F.col("edge.child") == F.col("child.id")), "left")
@@ -77,16 +142,41 @@ def parent_contexts(candidates: DataFrame, chunks: DataFrame, edges: DataFrame)
     return joined.select("chunk_id", outcome.alias("outcome"), F.when(outcome == "VALID_PARENT", F.col("parent.id")).alias("parent_id"))
 
 
-def adjacent(candidates: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """chunk_id and the texts of the chunks at most k places away in its document, joined by a blank line in order.
+def adjacent(contexts: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """chunk_id, first_index, last_index and context: the texts of the chunks at most k places away, joined by a blank line in order.
 
-    candidates: chunk_id, document_id, chunk_index; chunks: id, document_id, chunk_index, text. An equi-join on the document
-    with the distance as residual condition.
+    contexts: chunk_id, outcome; only children without a parent, or whose parent is missing, have adjacent chunks. chunks: id,
+    document_id, kind, kb, run, revision, section, path, parent_id, chunk_index, text. Neighbours are children (or of no kind) of
+    the same document, base, run and revision, and of the same section and path, or with the same missing parent. Each place asked
+    for joins by document and index, so no document is compared with itself.
+    """
+    asked = contexts.where(F.col("outcome").isin("NO_PARENT", "PARENT_NOT_FOUND")).select("chunk_id")
+    child = chunks.drop("text").join(asked, F.col("id") == F.col("chunk_id"), "left_semi").withColumn("place", F.explode(F.sequence(F.col("chunk_index") - k, F.col("chunk_index") + k))).alias("c")
+    near = chunks.where(F.col("kind").isNull() | (F.col("kind") == "CHILD")).alias("n")
+    c, n = (lambda x: F.col(f"c.{x}")), (lambda x: F.col(f"n.{x}"))
+    same = lambda x: F.coalesce(n(x), F.lit("")) == F.coalesce(c(x), F.lit(""))
+    beside = c("parent_id").isNull() & (n("section") == c("section")) & same("path") | (n("parent_id") == c("parent_id"))
+    joined = child.join(near, (n("document_id") == c("document_id")) & (n("chunk_index") == F.col("place")) & (n("kb") == c("kb")) & same("run") & same("revision") & beside)
+    parts = joined.groupBy(c("id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct(n("chunk_index").alias("i"), n("text").alias("text")))).alias("parts"))
+    index = F.transform("parts", lambda p: p["i"])
+    return parts.select("chunk_id", F.array_min(index).alias("first_index"), F.array_max(index).alias("last_index"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
+
+
+def expanded(candidates: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 1, **budget: int) -> DataFrame:
+    """Parent expansion of a request's candidates: the parent lookup, neighbours where there is no parent, then the budgets.
+
+    candidates: request, fused_rank and what parent_contexts takes; chunks as in adjacent. Gives request, fused_rank, chunk_id,
+    document_id, lookup, context_id, context, tokens, outcome. A group of neighbours is one context, named by its first child.
     """
-    near = chunks.select("document_id", F.col("chunk_index").alias("i"), "text")
-    joined = candidates.join(near, "document_id").where(F.abs(F.col("i") - F.col("chunk_index")) <= k)
-    parts = joined.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))
-    return parts.select("chunk_id", F.array_min(F.transform("parts", lambda p: p["i"])).alias("first_index"), F.array_max(F.transform("parts", lambda p: p["i"])).alias("last_index"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
+    looked = parent_contexts(candidates.select("chunk_id", "document_id", "kb", "run", "revision").distinct(), chunks, edges)
+    beside = adjacent(looked, chunks, k)
+    text = chunks.select(F.col("id").alias("parent_id"), F.col("text").alias("parent_text"))
+    found = looked.join(text, "parent_id", "left").join(beside, "chunk_id", "left")
+    context = F.coalesce("parent_text", "context")
+    named = F.when(F.col("parent_text").isNotNull(), F.col("parent_id").cast("string")).when(F.col("context").isNotNull(), F.concat(F.lit("beside:"), F.col("chunk_id").cast("string")))
+    found = found.select("chunk_id", F.col("outcome").alias("lookup"), named.alias("context_id"), context.alias("context"), F.coalesce(F.greatest(F.lit(1), F.floor((F.length(context) + 3) / 4)), F.lit(0)).cast("long").alias("tokens"))
+    rows = candidates.select("request", "fused_rank", "chunk_id", "document_id").join(found, "chunk_id")
+    return context_budget(rows, **budget)
 
 
 def context_budget(contexts: DataFrame, most: int = 8, per_document: int = 3, tokens: int = 4096, by: str = "request") -> DataFrame:

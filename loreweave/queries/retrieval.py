@@ -126,57 +126,86 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
-@query(f"""WITH t AS ({TURNS_SQL}), c AS (SELECT id AS chunk_id, document_id, chunk_index FROM t WHERE chunk_index = 1)
-    SELECT chunk_id, min(t.chunk_index) AS first_index, max(t.chunk_index) AS last_index, string_agg(text, chr(10) || chr(10) ORDER BY t.chunk_index, text) AS context
-    FROM c JOIN t ON t.document_id = c.document_id AND abs(t.chunk_index - c.chunk_index) <= 1 GROUP BY chunk_id""")
-def adjacency_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = turns(spark, sf_dir)
-    return ranking.adjacent(own.where("chunk_index = 1").select(F.col("id").alias("chunk_id"), "document_id", "chunk_index"), own, 1)
-
-
 HIERARCHY_SQL = f"""
-    chunks AS (SELECT id, CASE WHEN chunk_index = 0 AND document_id % 11 <> 3 THEN 'PARENT' ELSE 'CHILD' END AS kind,
-                 CASE WHEN chunk_index > 0 AND document_id % 7 <> 2 THEN document_id * 1000 END AS parent_id,
-                 CASE WHEN document_id % 13 = 5 THEN 'kb2' ELSE 'kb1' END AS kb, CASE WHEN chunk_index = 3 THEN 'run0' ELSE 'run1' END AS run,
-                 CASE WHEN document_id % 17 = 4 THEN 'v0' ELSE 'v1' END AS revision, document_id, chunk_index FROM ({TURNS_SQL})),
-    edges AS (SELECT parent_id AS parent, id AS child FROM chunks WHERE parent_id IS NOT NULL AND id % 5 <> 4)"""
-
-
-def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Turns as children of their conversation's first turn, with faults of every kind, and the membership edges."""
+    chunks AS (SELECT id, document_id, CASE WHEN chunk_index = 0 AND document_id % 11 <> 3 THEN 'PARENT' WHEN id % 6 <> 5 THEN 'CHILD' END AS kind,
+                 CASE WHEN chunk_index > 0 AND document_id % 7 > 3 THEN document_id * 1000 WHEN chunk_index > 0 AND document_id % 7 = 3 THEN -5 END AS parent_id,
+                 CASE WHEN document_id % 13 = 5 THEN 'kb2' ELSE 'kb1' END AS kb, CASE WHEN chunk_index = 3 THEN 'run0' WHEN document_id % 5 = 1 AND chunk_index = 1 THEN NULL ELSE 'run1' END AS run,
+                 CASE WHEN document_id % 17 = 4 THEN 'v0' WHEN document_id % 3 = 0 THEN NULL ELSE 'v1' END AS revision, chunk_index // 3 AS section, CASE WHEN document_id % 2 = 0 THEN 'a > b' END AS path, chunk_index, text FROM ({TURNS_SQL})),
+    edges AS (SELECT parent_id AS parent, id AS child FROM chunks WHERE parent_id IS NOT NULL AND id % 5 <> 4),
+    q AS (SELECT id AS chunk_id, document_id + (id % 31 = 0)::INT AS document_id, 'kb1' AS kb, CASE WHEN document_id % 5 = 1 THEN '' ELSE 'run1' END AS run, CASE WHEN document_id % 3 = 0 THEN NULL ELSE 'v1' END AS revision FROM chunks WHERE chunk_index > 0
+          UNION ALL SELECT -1, 0, 'kb1', 'run1', 'v1'),
+    o AS (SELECT q.chunk_id, p.id AS pid, CASE WHEN c.id IS NULL THEN 'CHILD_NOT_FOUND' WHEN c.kb <> q.kb OR c.document_id <> q.document_id THEN 'CHILD_SCOPE' WHEN coalesce(c.run, '') <> coalesce(q.run, '') THEN 'CHILD_RUN'
+        WHEN coalesce(c.revision, '') <> coalesce(q.revision, '') THEN 'CHILD_REVISION' WHEN c.parent_id IS NULL THEN 'NO_PARENT' WHEN p.id IS NULL THEN 'PARENT_NOT_FOUND'
+        WHEN p.kind <> 'PARENT' THEN 'PARENT_KIND' WHEN p.kb <> c.kb OR p.document_id <> c.document_id THEN 'PARENT_SCOPE' WHEN coalesce(p.run, '') <> coalesce(c.run, '') THEN 'PARENT_RUN'
+        WHEN coalesce(p.revision, '') <> coalesce(c.revision, '') THEN 'PARENT_REVISION' WHEN e.child IS NULL THEN 'MEMBERSHIP' ELSE 'VALID_PARENT' END AS outcome
+      FROM q LEFT JOIN chunks c ON q.chunk_id = c.id LEFT JOIN chunks p ON c.parent_id = p.id LEFT JOIN edges e ON e.parent = p.id AND e.child = c.id),
+    beside AS (SELECT c.id AS chunk_id, min(n.chunk_index) AS first_index, max(n.chunk_index) AS last_index, string_agg(n.text, chr(10) || chr(10) ORDER BY n.chunk_index, n.text) AS context
+      FROM o JOIN chunks c ON c.id = o.chunk_id JOIN chunks n ON n.document_id = c.document_id AND abs(n.chunk_index - c.chunk_index) <= 1 AND n.kb = c.kb AND coalesce(n.run, '') = coalesce(c.run, '') AND coalesce(n.revision, '') = coalesce(c.revision, '')
+        AND (n.kind IS NULL OR n.kind = 'CHILD') AND ((c.parent_id IS NULL AND n.section = c.section AND coalesce(n.path, '') = coalesce(c.path, '')) OR n.parent_id = c.parent_id)
+      WHERE o.outcome IN ('NO_PARENT', 'PARENT_NOT_FOUND') GROUP BY c.id)"""
+
+
+def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns as children of their conversation's first turn, with faults of every kind and nulls; membership edges; and what is asked for."""
     d, i = F.col("document_id"), F.col("chunk_index")
     chunks = turns(spark, sf_dir).select(
-        "id",
-        F.when((i == 0) & (d % 11 != 3), "PARENT").otherwise("CHILD").alias("kind"),
-        F.when((i > 0) & (d % 7 != 2), d * 1000).alias("parent_id"),
+        "id", "document_id",
+        F.when((i == 0) & (d % 11 != 3), "PARENT").when(F.col("id") % 6 != 5, "CHILD").alias("kind"),
+        F.when((i > 0) & (d % 7 > 3), d * 1000).when((i > 0) & (d % 7 == 3), -5).alias("parent_id"),
         F.when(d % 13 == 5, "kb2").otherwise("kb1").alias("kb"),
-        F.when(i == 3, "run0").otherwise("run1").alias("run"),
-        F.when(d % 17 == 4, "v0").otherwise("v1").alias("revision"),
-        "document_id",
-        "chunk_index",
-    )
+        F.when(i == 3, "run0").when((d % 5 == 1) & (i == 1), None).otherwise("run1").alias("run"),
+        F.when(d % 17 == 4, "v0").when(d % 3 == 0, None).otherwise("v1").alias("revision"),
+        F.floor(i / 3).alias("section"), F.when(d % 2 == 0, "a > b").alias("path"), "chunk_index", "text",
+    )
     edges = chunks.where("parent_id is not null and id % 5 <> 4").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))
-    return chunks, edges
+    asked = chunks.where("chunk_index > 0").select(
+        F.col("id").alias("chunk_id"), (d + (F.col("id") % 31 == 0).cast("long")).alias("document_id"), F.lit("kb1").alias("kb"),
+        F.when(d % 5 == 1, "").otherwise("run1").alias("run"), F.when(d % 3 == 0, None).otherwise("v1").alias("revision"),
+    )
+    absent = spark.range(1).select(F.lit(-1).cast("long"), F.lit(0).cast("long"), F.lit("kb1"), F.lit("run1"), F.lit("v1"))
+    return chunks, edges, asked.union(absent)
 
 
-@query(f"""WITH {HIERARCHY_SQL}, q AS (SELECT id AS chunk_id, 'kb1' AS kb, 'run1' AS run, 'v1' AS revision FROM chunks WHERE chunk_index > 0 UNION ALL SELECT -1, 'kb1', 'run1', 'v1'),
-    o AS (SELECT q.chunk_id, p.id AS pid, CASE WHEN c.id IS NULL THEN 'CHILD_NOT_FOUND' WHEN c.kb <> q.kb THEN 'CHILD_SCOPE' WHEN c.run <> q.run THEN 'CHILD_RUN'
-        WHEN c.revision IS DISTINCT FROM q.revision THEN 'CHILD_REVISION' WHEN c.parent_id IS NULL THEN 'NO_PARENT' WHEN p.id IS NULL THEN 'PARENT_NOT_FOUND'
-        WHEN p.kind <> 'PARENT' THEN 'PARENT_KIND' WHEN p.kb <> q.kb THEN 'PARENT_SCOPE' WHEN p.run <> c.run THEN 'PARENT_RUN'
-        WHEN p.revision IS DISTINCT FROM c.revision THEN 'PARENT_REVISION' WHEN e.child IS NULL THEN 'MEMBERSHIP' ELSE 'VALID_PARENT' END AS outcome
-      FROM q LEFT JOIN chunks c ON q.chunk_id = c.id LEFT JOIN chunks p ON c.parent_id = p.id LEFT JOIN edges e ON e.parent = p.id AND e.child = c.id)
-    SELECT chunk_id, outcome, CASE WHEN outcome = 'VALID_PARENT' THEN pid END AS parent_id FROM o""")
+@query(f"WITH {HIERARCHY_SQL} SELECT chunk_id, outcome, CASE WHEN outcome = 'VALID_PARENT' THEN pid END AS parent_id FROM o")
 def parent_context_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, edges = hierarchy(spark, sf_dir)
-    asked = chunks.where("chunk_index > 0").select(F.col("id").alias("chunk_id")).union(spark.range(1).select(F.lit(-1).cast("long")))
-    scope = asked.select("chunk_id", F.lit("kb1").alias("kb"), F.lit("run1").alias("run"), F.lit("v1").alias("revision"))
-    return ranking.parent_contexts(scope, chunks, edges)
+    chunks, edges, asked = hierarchy(spark, sf_dir)
+    return ranking.parent_contexts(asked, chunks, edges)
+
 
+@query(f"WITH {HIERARCHY_SQL} SELECT * FROM beside")
+def adjacency_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, edges, asked = hierarchy(spark, sf_dir)
+    return ranking.adjacent(ranking.parent_contexts(asked, chunks, edges), chunks, 1)
 
-@query()
+
+BUDGET_SQL = """
+    r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY fused_rank, chunk_id) AS n FROM c),
+    f AS (SELECT request, 0 AS n, CAST(NULL AS BIGINT) AS chunk_id, [] :: VARCHAR[] AS seen, [] :: BIGINT[] AS docs, CAST({tokens} AS BIGINT) AS remain, '' AS outcome FROM (SELECT DISTINCT request FROM r)
+      UNION ALL
+      SELECT request, n, chunk_id, CASE WHEN o = 'INCLUDED' THEN list_append(seen, context_id) ELSE seen END, CASE WHEN o = 'INCLUDED' THEN list_append(docs, document_id) ELSE docs END, CASE WHEN o = 'INCLUDED' THEN remain - tokens ELSE remain END, o
+      FROM (SELECT r.request, r.n, r.chunk_id, r.context_id, r.document_id, r.tokens, f.seen, f.docs, f.remain, CASE WHEN r.context_id IS NULL THEN 'NO_CONTEXT' WHEN list_contains(f.seen, r.context_id) THEN 'DEDUPLICATED' WHEN len(f.seen) >= 8 THEN 'CONTEXT_BUDGET'
+          WHEN len(list_filter(f.docs, lambda d: d = r.document_id)) >= 3 THEN 'DOCUMENT_BUDGET' WHEN r.tokens > f.remain THEN 'TOKEN_BUDGET' ELSE 'INCLUDED' END AS o
+        FROM f JOIN r ON r.request = f.request AND r.n = f.n + 1))"""
+
+
+@query(f"""WITH RECURSIVE {HIERARCHY_SQL},
+    c AS (SELECT q.document_id // 4 AS request, q.chunk_id AS fused_rank, q.chunk_id, q.document_id, o.outcome AS lookup, CASE WHEN p.text IS NOT NULL THEN CAST(p.id AS VARCHAR) WHEN context IS NOT NULL THEN 'beside:' || q.chunk_id END AS context_id,
+            CAST(coalesce(greatest(1, (length(coalesce(p.text, context)) + 3) // 4), 0) AS BIGINT) AS tokens
+          FROM q JOIN o USING (chunk_id) LEFT JOIN chunks p ON p.id = CASE WHEN outcome = 'VALID_PARENT' THEN pid END LEFT JOIN beside USING (chunk_id)),
+    {BUDGET_SQL.format(tokens=120)}
+    SELECT f.request, f.chunk_id, c.lookup, c.context_id, c.tokens, f.outcome FROM f JOIN c USING (request, chunk_id) WHERE f.n > 0""")
+def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent lookup, neighbours and budgets in one plan, for many requests."""
+    chunks, edges, asked = hierarchy(spark, sf_dir)
+    rows = asked.withColumn("request", F.floor(F.col("document_id") / 4)).withColumn("fused_rank", F.col("chunk_id"))
+    return ranking.expanded(rows, chunks, edges, tokens=120).select("request", "chunk_id", "lookup", "context_id", "tokens", "outcome")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT document_id AS request, id AS fused_rank, id AS chunk_id, chunk_index % 2 AS document_id, CAST(id // 2 AS VARCHAR) AS context_id, length(text) AS tokens FROM ({TURNS_SQL})),
+    {BUDGET_SQL.format(tokens=4096)} SELECT request, chunk_id, outcome FROM f WHERE n > 0""")
 def parent_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).select(F.col("document_id").alias("request"), F.col("id").alias("fused_rank"), F.col("id").alias("chunk_id"), (F.col("chunk_index") % 2).alias("document_id"), F.floor(F.col("id") / 2).cast("string").alias("context_id"), F.length("text").cast("long").alias("tokens"))
-    return ranking.context_budget(rows)
+    return ranking.context_budget(rows).select("request", "chunk_id", "outcome")
 
 
 @query(f"""WITH t AS ({TURNS_SQL}) SELECT id, substring(text, 1, CAST(greatest(0, 400 - coalesce(sum(length(text)) OVER (PARTITION BY document_id ORDER BY chunk_index, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS INTEGER)) AS kept_text FROM t""")
