@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,29 +54,46 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
 
 
+#: The patterns of property types, in the order they are tried.
+TYPES = (
+    ("boolean", r"^(?i:true|false)$"),
+    ("integer", r"^[+-]?\d+$"),
+    ("number", r"^[+-]?\d*\.\d+$"),
+    ("date", r"^\d{4}-\d{2}-\d{2}$"),
+    ("datetime", r"^\d{4}-\d{2}-\d{2}[Tt ][0-2]\d:[0-5]\d:[0-5]\d(?:\.\d{1,9})?(?:[Zz]|[+-][0-2]\d:[0-5]\d)?$"),
+)
+
+
 def inferred_type(text: Column) -> Column:
-    t = F.trim(text)
-    return (
-        F.when(F.lower(t).isin("true", "false"), "boolean")
-        .when(t.rlike(r"^[+-]?\d+$"), "integer")
-        .when(t.rlike(r"^[+-]?\d*\.\d+$"), "float")
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
-        .when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), "datetime")
-        .otherwise("string")
-    )
+    """The type of a property by the look of its value; null and blank are strings."""
+    t, out = F.trim(text), F.lit("string")
+    for name, pattern in reversed(TYPES):
+        out = F.when(t.rlike(pattern), name).otherwise(out)
+    return out
 
 
 def key_properties(names: Column) -> Column:
-    """The names that look like keys: id, then *Id, *Code, *Number; the first kind that occurs."""
-    out = F.array().cast("array<string>")
-    for pattern in (r"Number$", r"Code$", r"(?:^|[a-z0-9])Id$", r"^id$"):
-        own = _matching(names, pattern)
-        out = F.when(F.size(own) > 0, own).otherwise(out)
-    return out
+    """The first two names that look like keys (id, *Id, *Code, *Number), else the first two."""
+    own = F.filter(names, lambda n: (n == "id") | n.endswith("Id") | n.endswith("Code") | n.endswith("Number"))
+    known = F.filter(names, lambda n: n.isNotNull())
+    return F.slice(F.when(F.size(own) > 0, own).otherwise(known), 1, 2)
+
 
+def sanitised_label(text: Column, fallback: str = "Entity") -> Column:
+    """Other characters than letters, digits and _ become _, the first letter a capital."""
+    clean = F.regexp_replace(text, r"[^A-Za-z0-9_]", "_")
+    return F.when(~text.rlike(r"^\s*$"), F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 1 << 30))).otherwise(fallback)
 
-def _matching(names: Column, pattern: str) -> Column:
-    return F.filter(names, lambda n: n.rlike(pattern))
+
+def sanitised_relation(text: Column, fallback: str = "RELATED_TO") -> Column:
+    """Capitals, digits, and single _ between them."""
+    clean = F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), r"[^A-Z0-9]+", "_"), r"^_+|_+$", "")
+    return F.when(F.length(clean) > 0, clean).otherwise(fallback)
+
+
+def safe_name(text: Column) -> Column:
+    """Is it an identifier that needs no quoting?"""
+    return F.coalesce(text.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
 
 
 def document_format(filename: Column, content_type: Column) -> Column:
@@ -87,10 +106,18 @@ def document_format(filename: Column, content_type: Column) -> Column:
     )
 
 
+#: Characters that the full-text syntax escapes one by one, and pairs that it escapes together.
+ESCAPED, ESCAPED_PAIRS = '+-!(){}[]^"~*?:\\/', ("&&", "||")
+
+
 def lexical_query(text: str, most: int = 16) -> str:
     """A query string for full-text search: the phrase, boosted, or all of its terms; a single term alone."""
-    terms = text.split()[:most]
-    escaped = ["".join(f"\\{c}" if c in '+-&|!(){}[]^"~*?:\\/' else c for c in t) for t in terms]
+
+    def escape(term: str) -> str:
+        single = re.sub(f"[{re.escape(ESCAPED)}]", lambda m: f"\\{m[0]}", term)
+        return re.sub("|".join(map(re.escape, ESCAPED_PAIRS)), lambda m: f"\\{m[0][0]}\\{m[0][1]}", single)
+
+    escaped = [escape(t) for t in text.split()[:most]]
     if len(escaped) < 2:
         return "".join(escaped)
     return f'("{" ".join(escaped)}")^3 OR ({" AND ".join(escaped)})'

@@ -1,39 +1,37 @@
-"""Splitting documents into chunks, their hierarchy, and audits of it.
+"""Splitting documents into chunks, their hierarchy, checks of it, and the chunk table as a sink.
 
-Fixed windows are built-in expressions. The recursive splitter is a fold over one document's text and runs in mapInArrow;
-offsets are code points (utf16_offsets turns them into UTF-16 units).
+Fixed windows are built-in expressions. The recursive splitter (splitting.py) works on one document's text inside a task; offsets
+are code points (utf16_offsets turns them into UTF-16 units).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.identity import chunk_id
+from loreweave.operators.splitting import Block, Limits, Section, parents, split
 
 
-def fixed_windows(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, chunk_index, source_start, source_end, chunk_text: windows of `most` characters of the stripped text, each
-    overlap (at most half a window) before the last one's end; the first that reaches the end is the last."""
+def fixed_windows(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", revision: str | None = None) -> DataFrame:
+    """id_col, chunk_index, source_start, source_end, chunk_text, and with a revision chunk_id: windows of `most` characters of the
+    stripped text, each overlap (at most half a window) before the last one's end; the first that reaches the end is the last.
+    The document's hash is taken before its text is cut, so nothing is shuffled."""
     step = max(1, most - min(overlap, most // 2))
     lead = F.length(F.regexp_extract(F.col(text_col), r"^\s*", 0))
-    body = docs.select(id_col, lead.alias("lead"), F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "").alias("body"))
+    sha = F.sha2(F.col(text_col), 256) if revision is not None else F.lit(None).cast("string")
+    body = docs.select(id_col, lead.alias("lead"), F.regexp_replace(F.col(text_col), r"^\s+|\s+$", "").alias("body"), sha.alias("sha"))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length("body") - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + most < F.length("body")))
-    rows = body.where(F.length("body") > 0).select(id_col, "lead", "body", F.posexplode(starts).alias("chunk_index", "at"))
+    rows = body.where(F.length("body") > 0).select(id_col, "lead", "body", "sha", F.posexplode(starts).alias("chunk_index", "at"))
     text = F.substring("body", F.col("at") + 1, F.lit(most))
-    return rows.select(id_col, "chunk_index", (F.col("lead") + F.col("at")).alias("source_start"), (F.col("lead") + F.col("at") + F.length(text)).alias("source_end"), text.alias("chunk_text"))
-
-
-def with_chunk_ids(chunks: DataFrame, docs: DataFrame, revision: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunk ids from the document's SHA-256. The join is on the key both sides came from."""
-    shas = docs.select(id_col, F.sha2(text_col, 256).alias("doc_sha"))
-    joined = chunks.join(shas, id_col)
-    return joined.withColumn("chunk_id", chunk_id(F.col("doc_sha"), F.lit(revision), "CHILD", F.lit(0), F.col("source_start"), F.col("source_end"))).drop("doc_sha")
+    cut = rows.select(id_col, "sha", "chunk_index", (F.col("lead") + F.col("at")).alias("source_start"), (F.col("lead") + F.col("at") + F.length(text)).alias("source_end"), text.alias("chunk_text"))
+    if revision is None:
+        return cut.drop("sha")
+    return cut.withColumn("chunk_id", chunk_id(F.col("sha"), F.lit(revision), "CHILD", F.lit(0), F.col("source_start"), F.col("source_end"))).drop("sha")
 
 
 def plain_windows(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,174 +41,192 @@ def plain_windows(docs: DataFrame, size: int, id_col: str = "doc_id", text_col:
     return rows.select(id_col, "ordinal", F.substring(text_col, F.col("at") + 1, F.lit(size)).alias("window_text"))
 
 
-def utf8_tokens(text: str) -> int:
-    return len(text.encode())
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Token and character limits of children and parents; header budgets are taken off the children's."""
-
-    tokens: int = 800
-    overlap: int = 80
-    characters: int = 4000
-    parent_tokens: int = 1600
-    parent_characters: int = 8000
-    header_tokens: int = 0
-    header_characters: int = 0
-    english: bool = False
-
-
-LINE_END = r"(?:\r\n|[\n\x0b\x0c\r\x85  ])"
-#: Tiers from coarse to fine, and what ends a piece of each; below them are single characters.
-TIERS = (("PARAGRAPH", re.compile(rf"(?:{LINE_END}\s*){{2,}}")), ("LINE", re.compile(LINE_END)), ("SENTENCE", re.compile(r"(?<=[.!?])\s+")), ("WORD", re.compile(r"\s+")))
-
-
-def split_text(text: str, limits: Limits, count: Callable[[str], int] = utf8_tokens) -> list[tuple[int, int, str]]:
-    """(start, end, tier) of the chunks of a text: coarse pieces are cut finer until they fit, then packed greedily; a chunk
-    opens with whole pieces of the last one's end, as far as the overlap allows. Separators stay with the piece before them."""
-    if not text.strip():
-        return []
-    tokens, characters = max(1, limits.tokens - limits.header_tokens), max(1, limits.characters - limits.header_characters)
-
-    def fits(a: int, b: int) -> bool:
-        return b - a <= characters and count(text[a:b]) <= tokens
-
-    def cut(a: int, b: int, tier: int, name: str) -> Iterator[tuple[int, int, str]]:
-        if fits(a, b):
-            yield a, b, name
-        elif tier == len(TIERS):
-            while a < b:
-                low, high = a + 1, min(b, a + characters)
-                while low < high:  # the longest piece that fits, one character at least
-                    mid = (low + high + 1) // 2
-                    low, high = (mid, high) if fits(a, mid) else (low, mid - 1)
-                yield a, low, "CHARACTER"
-                a = low
-        else:
-            own, pattern = TIERS[tier]
-            if own == "SENTENCE" and not limits.english:
-                yield from cut(a, b, tier + 1, name)
-                return
-            ends = [m.end() for m in pattern.finditer(text, a, b) if a < m.end() < b]
-            edges = [a, *ends, b]
-            for x, y in zip(edges, edges[1:], strict=False):
-                yield from cut(x, y, tier + 1, own if ends else name)
-
-    out: list[tuple[int, int, str]] = []
-    held: list[tuple[int, int, str]] = []
-    order = ["STRUCTURE", *(t for t, _ in TIERS), "CHARACTER"]
-
-    def emit() -> None:
-        out.append((held[0][0], held[-1][1], max((t for _, _, t in held), key=order.index)))
-
-    for piece in cut(0, len(text), 0, "STRUCTURE"):
-        if held and not fits(held[0][0], piece[1]):
-            emit()
-            tail: list[tuple[int, int, str]] = []
-            if limits.overlap and len(held) > 1:
-                for x in reversed(held):
-                    if count(text[x[0] : held[-1][1]]) > limits.overlap or held[-1][1] - x[0] > characters:
-                        break
-                    tail.insert(0, x)
-            held = tail
-            while held and not fits(held[0][0], piece[1]):
-                held.pop(0)
-        held.append(piece)
-    if held:
-        emit()
-    return out
-
-
-def parents(text: str, children: list[tuple[int, int, str]], limits: Limits, count: Callable[[str], int] = utf8_tokens) -> list[tuple[int, int, int, int]]:
-    """(start, end, first child, last child): runs of children whose range of the source stays within the parents' limits."""
-    out: list[tuple[int, int, int, int]] = []
-    for k, (a, b, _) in enumerate(children):
-        if out:
-            start, _, first, _ = out[-1]
-            if b - start <= limits.parent_characters and count(text[start:b]) <= limits.parent_tokens:
-                out[-1] = (start, b, first, k)
-                continue
-        out.append((a, b, k, k))
-    return out
+CHUNKS = "kind string, chunk_index int, parent_index int, child_index int, source_start int, source_end int, tier string, chunk_text string"
 
 
-CHUNKS = "kind string, chunk_index int, parent_index int, child_index int, source_start int, source_end int, tier string, chunk_text string"
+def _numbered(sections: list[Section], limits: Limits, merge_pages: bool = False) -> Iterator[tuple]:
+    """The rows of a document: each parent before its children, numbered in that order; what a row is, and what it comes from."""
+    chunks = [c for s in sections for c in split(s, limits)]
+    number = 0
+    for p, parent in enumerate(parents(chunks, limits, merge_pages=merge_pages)):
+        yield ("PARENT", number, p, None, parent.start, parent.end, None, parent.text), parent, chunks[parent.first].section
+        number += 1
+        for c in range(parent.first, parent.last + 1):
+            x = chunks[c]
+            yield ("CHILD", number, p, c - parent.first, x.start, x.end, x.tier, x.section.text[x.start : x.end]), x, x.section
+            number += 1
 
 
-def recursive_chunks(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and CHUNKS: each parent before its children, numbered in that order."""
+def recursive_chunks(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", step: int = 4096) -> DataFrame:
+    """id_col and CHUNKS of documents that are one section each; rows leave a task in batches of about `step`."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "kind", "chunk_index", "parent_index", "child_index", "source_start", "source_end", "tier", "chunk_text"]
+    names = [id_col, *(x.split()[0] for x in CHUNKS.split(", "))]
     source = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                children, number = split_text(text, limits), 0
-                for p, (a, b, first, last) in enumerate(parents(text, children, limits)):
-                    rows.append((key, "PARENT", number, p, None, a, b, None, text[a:b]))
-                    number += 1
-                    for c in range(first, last + 1):
-                        x, y, tier = children[c]
-                        rows.append((key, "CHILD", number, p, c - first, x, y, tier, text[x:y]))
-                        number += 1
             types = [batch.schema.field(0).type, pa.string(), *[pa.int32()] * 5, pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            rows: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows += [(key, *row) for row, _, _ in _numbered([Section(text.as_py())], limits)]
+                if len(rows) >= step:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, {CHUNKS}")
 
 
+PLACED = f"{CHUNKS}, section int, page_start int, page_end int, path array<string>, confidence string"
+
+
+def section_chunks(sections: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
+    """id_col and PLACED of documents in sections: id_col, section, text, page, format, language, blocks (array of kind, start, end,
+    path, confidence). Structural blocks bound the pieces, parents stay within a section and a path, and those of a PDF may join
+    two pages. A document is one group: its sections are what its parents are folded over."""
+    kind = sections.schema[id_col].dataType.simpleString()
+    names = [id_col, *(x.split()[0] for x in PLACED.split(", "))]
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("section")
+        parts = []
+        for r in own.itertuples():
+            blocks = tuple(Block(b["kind"], b["start"], b["end"], tuple(b["path"] if b["path"] is not None else ()), b["confidence"]) for b in (r.blocks if r.blocks is not None else ()))
+            parts.append(Section(r.text or "", int(r.section), None if pd.isna(r.page) else int(r.page), blocks, str(r.language or "").lower().startswith("en")))
+        rows = []
+        for row, source, section in _numbered(parts, limits, str(own["format"].iloc[0] or "").upper() == "PDF"):
+            pages = source.pages if row[0] == "PARENT" else (section.page, section.page)
+            rows.append((own[id_col].iloc[0], *row, section.index, *pages, list(source.path), source.confidence))
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("chunk_index", "parent_index", "child_index", "source_start", "source_end", "section", "page_start", "page_end")})
+
+    return sections.groupBy(id_col).applyInPandas(run, f"`{id_col}` {kind}, {PLACED}")
+
+
 def utf16_offsets(text: str, start: int, end: int) -> tuple[int, int]:
     """Code-point offsets as UTF-16 units."""
     units = lambda s: len(s.encode("utf-16-le")) // 2
     return units(text[:start]), units(text[:end])
 
 
-def context_header(revision: Column, source: Column, kind: Column, path: Column, page: Column, pages: Column, most: int = 512) -> Column:
-    """The header before a chunk's text: fields are taken in order while they fit; a field has 160 characters at most."""
-    out = F.concat(F.lit("["), revision, F.lit("]\n"))
-    number = F.concat(page.cast("string"), F.lit("/"), pages.cast("string"))
+def context_header(revision: Column, source: Column, kind: Column, path: Column, page: Column, last_page: Column, pages: Column, tokens: Column, characters: Column) -> Column:
+    """The header before a chunk's text: source, format, path and page are taken in order, 160 characters of each at most, while the
+    header keeps to the UTF-8 bytes and characters left for it; empty if no field fits."""
+    number = F.concat(F.when(page == last_page, page.cast("string")).otherwise(F.concat_ws("-", page.cast("string"), last_page.cast("string"))), F.coalesce(F.concat(F.lit("/"), pages.cast("string")), F.lit("")))
+    whole = lambda lines: F.concat(F.lit("["), revision, F.lit("]\n"), lines, F.lit("\n\n"))
+    out = F.lit("")
     for name, value in (("source", source), ("format", kind), ("path", F.array_join(path, " > ")), ("page", number)):
-        line = F.concat(F.lit(f"{name}: "), F.substring(value, 1, 160), F.lit("\n"))
-        longer = F.concat(out, line)
-        out = F.when(value.isNotNull() & (F.length(value) > 0) & (F.length(longer) < most), longer).otherwise(out)
-    return F.concat(out, F.lit("\n"))
-
-
-def topology(chunks: DataFrame, document: str = "document_id") -> DataFrame:
-    """Per document: counts of its chunks and EMPTY, FLAT, HIERARCHICAL or INVALID. chunks: document, id, kind, parent_id, child_count."""
-    # children of a document join its parents on both keys: one co-partitioned self join
-    own = chunks.select(document, F.col("id").alias("p_id"), F.col("kind").alias("p_kind"))
-    joined = chunks.join(own.where("p_kind = 'PARENT'"), (chunks[document] == own[document]) & (chunks["parent_id"] == own["p_id"]), "left").select(chunks["*"], "p_id")
+        flat = F.substring(F.btrim(F.regexp_replace(value, r"\s+", " ")), 1, 160)
+        line = F.concat(F.lit(f"{name}: "), flat)
+        longer = F.when(out == "", line).otherwise(F.concat(out, F.lit("\n"), line))
+        fits = (F.length(whole(longer)) <= characters) & (F.octet_length(whole(longer)) <= tokens)
+        out = F.when(value.isNotNull() & (flat != "") & fits, longer).otherwise(out)
+    return F.when(out == "", "").otherwise(whole(out))
+
+
+def topology(chunks: DataFrame, edges: DataFrame, documents: DataFrame | None = None, document: str = "document_id") -> DataFrame:
+    """Per document: counts of its chunks and EMPTY, FLAT, HIERARCHICAL or INVALID. chunks: document, id, kind, parent_id, child_index,
+    kb, run, revision; edges: parent, child; documents: document, for those without chunks.
+
+    A child's parent is looked up by document and id: one co-partitioned self join, and one with the edges."""
+    scope = ("kb", "run", "revision")
+    own = chunks.where("kind = 'PARENT'").select(F.col(document).alias("p_document"), F.col("id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in scope))
+    joined = chunks.join(own, (F.col(document) == F.col("p_document")) & (F.col("parent_id") == F.col("p_id")), "left")
+    links = edges.select(F.col("parent").alias("e_parent"), F.col("child").alias("e_child")).distinct()
+    joined = joined.join(links, (F.col("parent_id") == F.col("e_parent")) & (F.col("id") == F.col("e_child")), "left")
     is_parent, is_child = F.col("kind") == "PARENT", F.col("kind") == "CHILD"
+    parented = is_child & F.col("parent_id").isNotNull()
+    same = F.lit(True)
+    for c in scope:
+        same = same & F.coalesce(F.col(c) == F.col(f"p_{c}"), F.lit(False))
+    found = parented & F.col("p_id").isNotNull()
     counted = joined.groupBy(document).agg(
-        F.count("*").alias("n_chunks"),
-        F.count_if(is_parent).alias("n_parents"),
-        F.count_if(is_child & F.col("parent_id").isNull()).alias("n_unparented"),
-        F.count_if(is_child & F.col("parent_id").isNotNull() & F.col("p_id").isNull()).alias("n_orphans"),
-        F.count_if(~(is_parent | is_child) | F.col("kind").isNull()).alias("n_unsupported"),
-        F.count_if(is_parent & F.col("parent_id").isNotNull()).alias("n_malformed"),
-    )
-    broken = (F.col("n_orphans") > 0) | (F.col("n_unsupported") > 0) | (F.col("n_malformed") > 0)
+        F.count("*").alias("n_chunks"), F.count_if(is_parent).alias("n_parents"), F.count_if(parented).alias("n_parented"), F.count_if(is_child & F.col("parent_id").isNull()).alias("n_unparented"),
+        F.count_if(parented & F.col("p_id").isNull()).alias("n_orphans"), F.count_if(found & ~same).alias("n_cross_scope"), F.count_if(F.coalesce(~(is_parent | is_child), F.lit(True))).alias("n_unsupported"),
+        F.count_if(is_parent & (F.col("parent_id").isNotNull() | F.col("child_index").isNotNull())).alias("n_malformed"), F.count_if(found & same & F.col("e_child").isNull()).alias("n_missing_edges"),
+    )
+    if documents is not None:
+        counted = documents.select(document).distinct().join(counted, document, "full_outer").fillna(0)
+    broken = F.col("n_orphans") + F.col("n_cross_scope") + F.col("n_unsupported") + F.col("n_malformed") + F.col("n_missing_edges") > 0
     state = (
-        F.when(F.col("n_chunks") == 0, "EMPTY").when(broken, "INVALID")
-        .when((F.col("n_parents") == 0) & (F.col("n_unparented") == F.col("n_chunks")), "FLAT")
+        F.when(F.col("n_chunks") == 0, "EMPTY").when(broken, "INVALID").when((F.col("n_parents") == 0) & (F.col("n_unparented") == F.col("n_chunks")), "FLAT")
         .when((F.col("n_parents") > 0) & (F.col("n_unparented") == 0), "HIERARCHICAL").otherwise("INVALID")
     )
     return counted.withColumn("topology", state)
 
 
 def hierarchy_violations(chunks: DataFrame, document: str = "document_id") -> DataFrame:
-    """Parents whose children are not numbered 0.. or don't lie inside: document, parent_id, problem."""
-    children = chunks.where("kind = 'CHILD' and parent_id is not null").groupBy(document, "parent_id").agg(F.count("*").alias("n"), F.max("child_index").alias("last"), F.min("source_start").alias("a"), F.max("source_end").alias("b"))
-    own = chunks.where("kind = 'PARENT'").select(document, F.col("id").alias("parent_id"), "child_count", F.col("source_start").alias("pa"), F.col("source_end").alias("pb"))
-    joined = own.join(children, [document, "parent_id"], "left")
+    """What may not be stored: document, id, problem. chunks: document, id, kind, parent_id, child_index, child_count, source_start,
+    source_end, and where they are known text, source_hash, embedding, kb, run, revision, page_start, page_end.
+
+    Ids are there and once; a parent refers to nothing, holds no embedding, and its hash is that of its text; in a document with
+    parents every child has one of its scope, inside whose range it lies; children are as many as the parent says, numbered from 0.
+    """
+    have = set(chunks.columns)
+    for name, kind in (("text", "string"), ("source_hash", "string"), ("embedding", "array<double>"), ("kb", "string"), ("run", "string"), ("revision", "string"), ("page_start", "int"), ("page_end", "int")):
+        chunks = chunks if name in have else chunks.withColumn(name, F.lit(None).cast(kind))
+    is_parent = F.col("kind") == "PARENT"
+    p = chunks.where(is_parent).select(F.col(document).alias("p_document"), F.col("id").alias("p_id"), *(F.col(c).alias(f"p_{c}") for c in ("kb", "run", "revision", "source_start", "source_end", "page_start", "page_end")))
+    parented = p.select(F.col("p_document").alias(document)).distinct().withColumn("has_parents", F.lit(True))
+    joined = chunks.join(p, (F.col(document) == F.col("p_document")) & (F.col("parent_id") == F.col("p_id")), "left").join(parented, document, "left")
+    apart = F.lit(False)
+    for c in ("kb", "run", "revision"):
+        apart = apart | ~F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    pages = F.col("p_page_start").isNotNull() & (F.col("page_start").isNull() | (F.col("page_start") < F.col("p_page_start")) | (F.col("page_end") > F.col("p_page_end")) | ~F.col("page_start").eqNullSafe(F.col("page_end")))
+    first = (F.col("p_page_start").isNull() | (F.col("p_page_start") == F.col("page_start"))) & (F.col("source_start") < F.col("p_source_start"))
+    last = (F.col("p_page_end").isNull() | (F.col("p_page_end") == F.col("page_end"))) & (F.col("source_end") > F.col("p_source_end"))
+    child = (F.col("kind") == "CHILD") & F.col("has_parents").isNotNull()
+    own = (
+        F.when(F.col("id").isNull(), "ID_MISSING").when(is_parent & (F.col("parent_id").isNotNull() | F.col("child_index").isNotNull()), "PARENT_REFERENCE").when(is_parent & F.col("embedding").isNotNull(), "PARENT_EMBEDDING")
+        .when(is_parent & F.col("text").isNotNull() & ~F.sha2("text", 256).eqNullSafe(F.col("source_hash")), "PARENT_HASH").when(child & F.col("p_id").isNull(), "PARENT_NOT_FOUND")
+        .when(child & apart, "CHILD_SCOPE").when(child & (pages | first | last), "CONTAINMENT")
+    )
+    single = joined.select(document, F.col("id"), own.alias("problem"))
+    repeated = chunks.where("id is not null").groupBy(document, "id").agg(F.count("*").alias("n")).where("n > 1").select(document, "id", F.lit("ID_REPEATED").alias("problem"))
+    counts = chunks.where("kind = 'CHILD' and parent_id is not null").groupBy(document, F.col("parent_id").alias("id")).agg(
+        F.count("*").alias("n"), F.count_distinct("child_index").alias("numbers"), F.min("child_index").alias("low"), F.max("child_index").alias("high")
+    )
     n = F.coalesce("n", F.lit(0))
-    problem = F.when(n != F.col("child_count"), "CHILD_COUNT").when(F.col("last") + 1 != n, "CHILD_INDEX").when((F.col("a") < F.col("pa")) | (F.col("b") > F.col("pb")), "CONTAINMENT")
-    return joined.select(document, "parent_id", problem.alias("problem")).where("problem is not null")
+    numbered = (n == 0) | ((F.col("numbers") == n) & (F.col("low") == 0) & (F.col("high") == n - 1))
+    family = chunks.where(is_parent).select(document, "id", "child_count").join(counts, [document, "id"], "left")
+    family = family.select(document, "id", F.when(~n.eqNullSafe(F.col("child_count").cast("long")), "CHILD_COUNT").when(~F.coalesce(numbered, F.lit(False)), "CHILD_INDEX").alias("problem"))
+    return single.unionByName(repeated).unionByName(family).where("problem is not null")
+
+
+def replace_chunks(existing: DataFrame, new: DataFrame, document: str = "document_id") -> DataFrame:
+    """The chunk table with the documents of `new` replaced, copy-on-write. Raises if new breaks the hierarchy's rules."""
+    problems = hierarchy_violations(new, document).limit(20).collect()
+    if problems:
+        raise ValueError("chunks break the hierarchy: " + ", ".join(f"{r[document]}/{r['id']}: {r['problem']}" for r in problems))
+    kept = existing.join(new.select(document).distinct(), document, "left_anti")
+    return kept.unionByName(new.select(*existing.columns))
+
+
+def write_chunks(new: DataFrame, path: str, document: str = "document_id", buckets: int = 256) -> None:
+    """The same as a sink: Parquet partitioned by a hash of the document; only the partitions that new touches are written again.
+    Rows of theirs that new doesn't replace are read first and kept."""
+    spark = new.sparkSession
+    part = F.pmod(F.xxhash64(F.col(document)), F.lit(buckets)).cast("int")
+    try:
+        existing = spark.read.parquet(path)
+    except Exception as e:  # the first write
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        existing = None
+    rows = new.withColumn("part", part)
+    if existing is not None:
+        from loreweave.sources.shared import written
+
+        touched = rows.select("part").distinct()
+        rows = written(replace_chunks(existing.join(touched, "part", "left_semi"), rows, document), "chunk-parts")
+    elif problems := hierarchy_violations(new, document).limit(20).collect():
+        raise ValueError("chunks break the hierarchy: " + ", ".join(f"{r[document]}/{r['id']}: {r['problem']}" for r in problems))
+    rows.repartition("part").write.option("partitionOverwriteMode", "dynamic").partitionBy("part").mode("overwrite").parquet(path)
+
+
+def page_with_total(df: DataFrame, number: int, size: int, *order: str) -> tuple[DataFrame, int]:
+    """A page and how many rows there are in all."""
+    return page(df, number, size, *order), df.count()
 
 
 def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
@@ -226,18 +242,18 @@ def migration_state(documents: DataFrame, chunks: DataFrame, revision: str, docu
     return documents.join(seen, document, "left").select(document, state.alias("state"))
 
 
-def merged_across_pages(found: list[dict], limits: Limits, count: Callable[[str], int] = utf8_tokens) -> list[dict]:
-    """Parents of adjacent pages joined pairwise, once each. found: text, page, path and sure (the path is authoritative).
-
-    Two are joined if the pages follow each other, both paths are sure and equal, and the joined text is within the limits.
-    """
-    out: list[dict] = []
-    for x in found:
-        last = out[-1] if out else None
-        if last is not None and not last.get("merged") and x["page"] == last["page"] + 1 and last["sure"] and x["sure"] and last["path"] == x["path"]:
-            text = f"{last['text']}\n{x['text']}"
-            if len(text) <= limits.parent_characters and count(text) <= limits.parent_tokens:
-                out[-1] = last | {"text": text, "last_page": x["page"], "merged": True}
-                continue
-        out.append(dict(x))
-    return out
+def migration_selection(states: DataFrame, mode: str, wanted: DataFrame | None = None, running: DataFrame | None = None, document: str = "doc_id") -> DataFrame:
+    """document, state, blocker of what a migration takes: ALL documents with chunks, those OUTDATED_STRATEGY, or DOCUMENT_IDS (wanted).
+
+    A blocker is NOT_FOUND for a wanted id without a document, NO_CHUNKS where there is nothing to split again, and RUNNING while a run
+    of the document is open (running: document)."""
+    none = states.select(document).limit(0)
+    busy = (none if running is None else running.select(document).distinct()).withColumn("busy", F.lit(True))
+    if mode == "DOCUMENT_IDS":
+        chosen = (none if wanted is None else wanted.select(document).distinct()).join(states, document, "left")
+    elif mode in ("ALL", "OUTDATED_STRATEGY"):
+        chosen = states.where("state = 'OUTDATED'" if mode == "OUTDATED_STRATEGY" else "state <> 'NO_CHUNKS'")
+    else:
+        raise ValueError(f"unknown selection {mode}")
+    blocker = F.when(F.col("state").isNull(), "NOT_FOUND").when(F.col("state") == "NO_CHUNKS", "NO_CHUNKS").when(F.col("busy"), "RUNNING")
+    return chosen.join(busy, document, "left").select(document, "state", blocker.alias("blocker"))

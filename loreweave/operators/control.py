@@ -70,19 +70,77 @@ def readiness(**violations: DataFrame) -> DataFrame:
     return out
 
 
-def failure_class(message: Column) -> Column:
-    """category of a failure by its message."""
-    m = F.lower(message)
-    return (
-        F.when(m.rlike("timed? ?out|deadline"), "TIMEOUT").when(m.rlike("rate limit|429|too many requests"), "RATE_LIMIT").when(m.rlike("401|403|unauthorized|forbidden"), "AUTHENTICATION")
-        .when(m.rlike("parse|malformed|invalid json"), "INVALID_OUTPUT").when(m.rlike("connection|refused|unreachable"), "CONNECTION").otherwise("UNKNOWN")
+#: Types of causes that carry a code of their own, types that mean timeouts or broken connections, and words of
+#: messages for all others, in order, with category, code and whether to try again.
+OWN_CODES = (("DiscoveryDeadlineExceededException", "TIMEOUT", True), ("ModelOutputException", "VALIDATION_ERROR", True), ("SourceStateException", "VALIDATION_ERROR", False))
+TIMEOUTS = ("TimeoutException", "SocketTimeoutException", "HttpTimeoutException", "InterruptedByTimeoutException", "HttpRetryException")
+CONNECTIONS = ("OpenAIIoException", "ConnectException", "InterruptedIOException")
+MESSAGES = (
+    (("configured", "configuration", "api key", "base url"), "PROVIDER_ERROR", "CONFIGURATION_ERROR", False),
+    (("timeout",), "TIMEOUT", "TRANSPORT_TIMEOUT", True),
+    (("rate limit", "overload", "reject"), "OVERLOADED", "RATE_LIMIT", True),
+    (("json", "convert", "parse"), "CONVERSION_ERROR", "MALFORMED_MODEL_RESPONSE", True),
+    (("stale",), "VALIDATION_ERROR", "SOURCE_STALE", False),
+    (("unavailable",), "VALIDATION_ERROR", "SOURCE_UNAVAILABLE", False),
+    (("candidate", "validation", "invalid"), "VALIDATION_ERROR", "INVALID_MODEL_CANDIDATE", True),
+)
+
+
+def failure_class(types: Column, messages: Column, status: Column, own_code: Column, most: int = 12) -> Column:
+    """category, code and retryable of a failure: types and messages of its causes from the outside in (the first `most` count), the
+    provider's HTTP status and the failure's own code, or null. Types go before the status, the status before what messages say."""
+    chain = F.slice(types, 1, most)
+    text = F.lower(F.array_join(F.slice(messages, 1, most), " "))
+    has = lambda names: F.coalesce(F.arrays_overlap(chain, F.array(*map(F.lit, names))), F.lit(False))
+    row = lambda category, code, again: F.struct(F.lit(category).alias("category"), (code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(again).alias("retryable"))
+    malformed = own_code == "MALFORMED_MODEL_RESPONSE"
+    steps = [(has(("ModelOutputException",)) & ~has(("DiscoveryDeadlineExceededException",)) & malformed, "CONVERSION_ERROR", own_code, True)]
+    steps += [(has((name,)), category, own_code, again) for name, category, again in OWN_CODES]
+    steps += [
+        (has(TIMEOUTS) | (status == 408), "TIMEOUT", "TRANSPORT_TIMEOUT", True), (status == 429, "OVERLOADED", "RATE_LIMIT", True), (status >= 500, "PROVIDER_ERROR", "PROVIDER_5XX", True),
+        (status == 409, "OVERLOADED", "PROVIDER_RETRYABLE_STATUS", True), (status.isin(401, 403), "PROVIDER_ERROR", "PROVIDER_AUTH", False),
+        (status >= 400, "PROVIDER_ERROR", "PROVIDER_INVALID_REQUEST", False), (has(CONNECTIONS), "PROVIDER_ERROR", "TRANSPORT_IO", True),
+    ]
+    steps += [(text.rlike("|".join(words)), *rest) for words, *rest in MESSAGES]
+    out = F.when(has(("RejectedExecutionException",)), row("PROVIDER_ERROR", "PROVIDER_ERROR", True)).otherwise(row("PROVIDER_ERROR", "PROVIDER_ERROR", False))
+    for condition, category, code, again in reversed(steps):
+        out = F.when(condition, row(category, code, again)).otherwise(out)
+    return out
+
+
+def forbidden_keywords(query: Column, keywords: list[str], whole_words: bool = False) -> Column:
+    """All keywords that a query text holds, in any case and in the given order: as substrings (so SET blocks Asset), or as whole words."""
+    text = F.upper(query)
+    hits = [F.when(text.rlike(rf"\b{k}\b") if whole_words else text.contains(k), k) for k in keywords]
+    return F.filter(F.array(*hits), lambda k: k.isNotNull())
+
+
+def interrupted(runs: DataFrame) -> DataFrame:
+    """runs after a restart: what was queued or running is INTERRUPTED, and so are its stages; terminal states stay. runs: status."""
+    return runs.withColumn("status", F.when(F.col("status").isin("QUEUED", "RUNNING"), "INTERRUPTED").otherwise(F.col("status")))
+
+
+def schema_change_violations(changes: DataFrame, schemas: DataFrame, links: DataFrame) -> DataFrame:
+    """change_id, problem of requests to create, update or delete schemas. changes: change_id, action, schema_id, name, version;
+    schemas: schema_id, name, version; links: schema_id, active. A created name and version must be new, an update keeps both, and
+    an active schema neither changes nor goes."""
+    taken = schemas.select("name", "version", F.lit(True).alias("taken")).distinct()
+    own = schemas.select("schema_id", F.col("name").alias("own_name"), F.col("version").alias("own_version"))
+    used = links.where("active").select("schema_id", F.lit(True).alias("used")).distinct()
+    joined = changes.join(taken, ["name", "version"], "left").join(own, "schema_id", "left").join(used, "schema_id", "left")
+    same = F.col("own_name").eqNullSafe(F.col("name")) & F.col("own_version").eqNullSafe(F.col("version"))
+    problem = (
+        F.when((F.col("action") == "CREATE") & F.col("taken").isNotNull(), "ALREADY_EXISTS").when((F.col("action") != "CREATE") & F.col("own_name").isNull(), "NOT_FOUND")
+        .when((F.col("action") != "CREATE") & F.col("used").isNotNull(), "ACTIVE").when((F.col("action") == "UPDATE") & ~same, "IDENTITY_CHANGED")
     )
+    return joined.select("change_id", problem.alias("problem")).where("problem is not null")
 
 
-def forbidden_keyword(query: Column, keywords: list[str], whole_words: bool = False) -> Column:
-    """The first keyword that a query text holds, in any case: as a substring (so SET blocks Asset), or as a whole word."""
-    out = F.lit(None).cast("string")
-    for k in reversed(keywords):
-        hit = F.upper(query).rlike(rf"\b{k}\b") if whole_words else F.upper(query).contains(k)
-        out = F.when(hit, k).otherwise(out)
-    return out
+def expires_at(start: Column, retention: str) -> Column:
+    """start plus a retention such as "30 days"; null stays null."""
+    return start + F.expr(f"interval {retention}")
+
+
+def remaining_ms(deadline: Column, now: Column) -> Column:
+    """Milliseconds to the deadline, not less than 0."""
+    return F.greatest(F.lit(0), F.unix_millis(deadline) - F.unix_millis(now))

@@ -58,44 +58,72 @@ def extraction_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("has", has).where((F.col("has") == 0) | (F.col("kind") == "PARENT")).drop("has")
 
 
-#: The properties a missing key is repaired from, in order.
+#: Fixed order: the properties a missing key is repaired from.
 REPAIRS = ("id", "name", "code", "number", "title")
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(~c.rlike(r"^\s*$"), c)
 
 
-def sanitise_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adds key_value (the key, or what it is repaired from) and drop_reason (null: kept). nodes: label, props map; keys: label, key."""
-    joined = nodes.join(F.broadcast(keys), "label", "left")  # a row per label of a schema
-    value = F.coalesce(blank_to_null(F.element_at("props", F.col("key"))), *(blank_to_null(F.element_at("props", F.lit(r))) for r in REPAIRS))
-    reason = F.when(F.col("key").isNull(), "unknown_label").when(value.isNull(), "incomplete_key")
-    return joined.withColumn("key_value", value).withColumn("drop_reason", reason).drop("key")
-
+def schema_keys(keys: DataFrame) -> DataFrame:
+    """keys (label, keys: array of names) with trimmed names, each once, none blank; a null array is empty."""
+    names = F.array_distinct(F.transform(F.filter("keys", lambda k: blank_to_null(k).isNotNull()), F.trim))
+    return keys.select("label", F.coalesce(names, F.array().cast("array<string>")).alias("keys"))
 
-def sanitise_relationships(rels: DataFrame, nodes: DataFrame, triples: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds from_value, to_value and drop_reason, the first that holds. A missing end is the chunk's only kept node of its label.
 
-    rels: chunk_id, kind, from_label, from_key, to_label, to_key; nodes: kept ones as chunk_id, label, key_value;
-    triples: kind, from_label, to_label; labels: label.
+def sanitise_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds keys, key_values (a value for each key of the label, repaired where blank; null where nothing repairs it) and drop_reason
+    (null: kept). nodes: label, props map; keys: label, keys. A label without keys is complete."""
+    joined = nodes.join(F.broadcast(schema_keys(keys)), "label", "left")  # a row per label of a schema
+    repaired = F.coalesce(*(blank_to_null(F.element_at("props", F.lit(r))) for r in REPAIRS))
+    values = F.transform("keys", lambda k: F.coalesce(blank_to_null(F.element_at(F.col("props"), k)), repaired))
+    reason = F.when(F.col("keys").isNull(), "unknown_label").when(F.exists("key_values", lambda v: v.isNull()), "incomplete_node_key")
+    return joined.withColumn("key_values", values).withColumn("drop_reason", reason)
+
+
+def sanitise_relationships(rels: DataFrame, nodes: DataFrame, triples: DataFrame, keys: DataFrame) -> DataFrame:
+    """Adds from_values, to_values and drop_reason, the first that holds. Blank keys of an end are filled from the chunk's kept node of
+    its label where there is exactly one.
+
+    rels: chunk_id, kind, from_label, from_key map, to_label, to_key map; nodes: kept ones as chunk_id, label, key_values; triples:
+    kind, from_label, to_label; keys: label, keys. A chunk's kept nodes (a payload has a hundred at most) are gathered once, and one
+    join on the chunk serves both ends.
     """
-    only = nodes.groupBy("chunk_id", "label").agg(F.count_distinct("key_value").alias("n"), F.min("key_value").alias("only")).where("n = 1").drop("n")
-    known = F.broadcast(labels.select("label").distinct())
-    out = rels
+    own = nodes.groupBy("chunk_id", "label").agg(F.count("*").alias("n"), F.collect_set("key_values").alias("sets"))
+    kept = own.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("n", "sets")))).alias("kept"))
+    out = rels.join(kept, "chunk_id", "left")
+    defs = schema_keys(keys)
     for end in ("from", "to"):
-        side = only.select("chunk_id", F.col("label").alias(f"{end}_label"), F.col("only").alias(f"{end}_only"))
-        out = out.join(known.select(F.col("label").alias(f"{end}_label"), F.lit(True).alias(f"{end}_known")), f"{end}_label", "left").join(side, ["chunk_id", f"{end}_label"], "left")
-        out = out.withColumn(f"{end}_value", F.coalesce(blank_to_null(F.col(f"{end}_key")), F.col(f"{end}_only")))
-        kept = nodes.select("chunk_id", F.col("label").alias(f"{end}_label"), F.col("key_value").alias(f"{end}_value"), F.lit(True).alias(f"{end}_kept")).distinct()
-        out = out.join(kept, ["chunk_id", f"{end}_label", f"{end}_value"], "left")
+        out = out.join(F.broadcast(defs.select(F.col("label").alias(f"{end}_label"), F.col("keys").alias(f"{end}_keys"))), f"{end}_label", "left")
+        of_label = F.element_at("kept", F.col(f"{end}_label"))
+        out = out.withColumn(f"{end}_nodes", of_label["sets"]).withColumn(f"{end}_only", F.when(of_label["n"] == 1, F.get(of_label["sets"], F.lit(0))))
+        given = F.transform(f"{end}_keys", lambda k, i, end=end: F.coalesce(blank_to_null(F.element_at(F.col(f"{end}_key"), k)), F.get(F.col(f"{end}_only"), i)))
+        out = out.withColumn(f"{end}_values", given)
     out = out.join(F.broadcast(triples.withColumn("declared", F.lit(True))), ["kind", "from_label", "to_label"], "left")
+    entries = lambda end: F.coalesce(F.size(F.map_keys(f"{end}_key")), F.lit(0))
+    empty = lambda end: (entries(end) <= 0) & ~F.exists(f"{end}_values", lambda v: v.isNotNull())
+    missing = lambda end: F.exists(f"{end}_values", lambda v: v.isNull())
+    absent = lambda end: F.when(F.size(f"{end}_keys") == 0, F.col(f"{end}_nodes").isNull()).otherwise(~F.coalesce(F.array_contains(F.col(f"{end}_nodes"), F.col(f"{end}_values")), F.lit(False)))
     reason = (
-        F.when(F.col("from_known").isNull() | F.col("to_known").isNull(), "unknown_endpoint_label").when(F.col("declared").isNull(), "invalid_relationship_triple")
-        .when(F.col("from_value").isNull() & F.col("to_value").isNull(), "empty_endpoint_key").when(F.col("from_value").isNull(), "incomplete_from_endpoint_key")
-        .when(F.col("to_value").isNull(), "incomplete_to_endpoint_key").when(F.col("from_kept").isNull(), "from_endpoint_not_kept").when(F.col("to_kept").isNull(), "to_endpoint_not_kept")
+        F.when(F.col("from_keys").isNull() | F.col("to_keys").isNull(), "unknown_endpoint_label").when(F.col("declared").isNull(), "invalid_relationship_triple")
+        .when(empty("from") | empty("to"), "empty_endpoint_key").when(missing("from"), "incomplete_from_endpoint_key")
+        .when(missing("to"), "incomplete_to_endpoint_key").when(absent("from"), "from_endpoint_not_kept").when(absent("to"), "to_endpoint_not_kept")
     )
-    return out.withColumn("drop_reason", reason).drop("from_known", "to_known", "from_only", "to_only", "from_kept", "to_kept", "declared")
+    return out.withColumn("drop_reason", reason).drop("kept", "declared", *(f"{end}_{x}" for end in ("from", "to") for x in ("keys", "nodes", "only")))
+
+
+def scope_violations(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Evidence that may not be written: evidence_id, problem. evidence: evidence_id, kb, run, schema_id, document_id, chunk_id;
+    chunks: chunk_id, kb, document_id, run."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string").rlike(r"^\s*$"), F.lit(True))
+    c = chunks.select(F.col("chunk_id").alias("own"), F.col("kb").alias("own_kb"), F.col("document_id").alias("own_document"), F.col("run").alias("own_run"))
+    joined = evidence.join(c, F.col("chunk_id") == F.col("own"), "left")
+    problem = F.lit(None).cast("string")
+    for name in ("chunk_id", "document_id", "schema_id", "run", "kb"):
+        problem = F.when(blank(name), f"BLANK_{name.upper()}").otherwise(problem)
+    other = F.when(F.col("own").isNull(), "CHUNK_NOT_FOUND").when(~F.col("own_kb").eqNullSafe(F.col("kb")) | ~F.col("own_document").eqNullSafe(F.col("document_id")), "CHUNK_SCOPE").when(~F.col("own_run").eqNullSafe(F.col("run")), "CHUNK_RUN")
+    return joined.select("evidence_id", F.coalesce(problem, other).alias("problem")).where("problem is not null")
 
 
 def declared_properties(rows: DataFrame, allowed: DataFrame) -> DataFrame:

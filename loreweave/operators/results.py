@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 ENVELOPE = "version int, answer string, evidence array<struct<citation_id:string,chunk_id:bigint>>"
 
 
+def result_problem(version: Column, answer: Column, evidence: Column, most: int = 20) -> Column:
+    """The code of what makes a result unfit to be stored or read, or null."""
+    ids = F.transform(evidence, lambda e: e["citation_id"])
+    return (
+        F.when(~version.eqNullSafe(F.lit(1)), "result.version.unsupported").when(answer.isNull() | evidence.isNull(), "result.structure.invalid")
+        .when(F.size(evidence) > most, "result.evidence.limit").when(F.exists(ids, lambda i: i.isNull()), "result.structure.invalid")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "result.citation.duplicate")
+    )
+
+
 def encoded(results: DataFrame, most: int = 20) -> DataFrame:
-    """request, payload: results as JSON of version 1. Those with too many evidence entries are refused when read."""
-    return results.where(F.size("evidence") <= most).select("request", F.to_json(F.struct(F.lit(1).alias("version"), "answer", "evidence")).alias("payload"))
+    """request, payload, problem: every result as JSON of version 1; one with a problem is to be refused, not stored."""
+    problem = result_problem(F.lit(1), F.col("answer"), F.col("evidence"), most)
+    return results.select("request", F.to_json(F.struct(F.lit(1).alias("version"), "answer", "evidence")).alias("payload"), problem.alias("problem"))
 
 
 def decoded(payloads: DataFrame, most: int = 20) -> DataFrame:
-    """The results of payloads that are sound: version 1, not too much evidence, citation ids that differ."""
+    """request, version, answer, evidence, problem of payloads; none is left out, text that is no JSON object has a problem too."""
     rows = payloads.select("request", F.from_json("payload", ENVELOPE).alias("r")).select("request", "r.*")
-    ids = F.transform("evidence", lambda e: e["citation_id"])
-    return rows.where((F.col("version") == 1) & (F.size("evidence") <= most) & (F.size(F.array_distinct(ids)) == F.size(ids)))
+    return rows.withColumn("problem", result_problem(F.col("version"), F.col("answer"), F.col("evidence"), most))
 
 
 def tagged_node(label: Column, id_: Column, **properties: Column) -> Column:
@@ -31,9 +41,10 @@ def tagged_relationship(kind: Column, id_: Column, start: Column, end: Column) -
 
 
 def model_json(answer: Column) -> Column:
-    """The JSON object inside a model's answer: without code fences, from the first { to the last }."""
+    """The JSON inside a model's answer: without code fences, from the first [ to the last ], where a list stands first, or from the
+    first { to the last }."""
     plain = F.regexp_replace(answer, r"```[A-Za-z]*", "")
-    return F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(plain, r"(?s)^[^\[{]*(\[.*\]|\{.*\})", 1), F.lit(""))
 
 
 def tokenizer_of(explicit: Column, model: Column) -> Column:

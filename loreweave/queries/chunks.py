@@ -27,8 +27,7 @@ FIXED_SQL = r"""
 @query(f"""WITH {FIXED_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(lead + pos AS INTEGER) AS source_start, CAST(lead + pos + length(chunk_text) AS INTEGER) AS source_end, chunk_text,
     'chunk_' || sha256(sha || chr(10) || 'fixed-1000-100' || chr(10) || 'CHILD' || chr(10) || '0' || chr(10) || (lead + pos) || chr(10) || (lead + pos + length(chunk_text))) AS chunk_id FROM w""")
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunking.with_chunk_ids(chunking.fixed_windows(docs, 1000, 100), docs, "fixed-1000-100")
+    return chunking.fixed_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 1000, 100, revision="fixed-1000-100")
 
 
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 12000)) AS pos FROM documents WHERE length(text) > 0)
@@ -54,30 +53,39 @@ def xhtml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 AUDIT_SQL = """
-    c AS (SELECT conv_id AS document_id, conv_id * 1000 + turn AS id, turn, CASE WHEN turn = 0 AND conv_id % 11 <> 0 THEN 'PARENT' WHEN conv_id % 19 = 0 THEN 'SIBLING' ELSE 'CHILD' END AS kind,
-        CASE WHEN turn > 0 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0 THEN conv_id * 1000 END AS parent_id FROM conversations)"""
+    c AS (SELECT conv_id AS document_id, conv_id * 1000 + turn AS id, turn, CASE WHEN turn = 0 AND conv_id % 11 <> 0 THEN 'PARENT' WHEN conv_id % 19 = 0 THEN 'SIBLING' WHEN conv_id % 23 <> 0 THEN 'CHILD' END AS kind,
+        CASE WHEN turn > 0 AND conv_id % 7 <> 0 AND conv_id % 11 <> 0 THEN conv_id * 1000 WHEN turn = 2 AND conv_id % 11 = 0 THEN -1 END AS parent_id, CASE WHEN turn > 0 THEN turn - 1 WHEN conv_id % 29 = 0 THEN 0 END AS child_index,
+        CASE WHEN conv_id % 13 = 0 AND turn = 1 THEN NULL ELSE 'r1' END AS run, CASE WHEN conv_id % 17 = 0 AND turn = 2 THEN 'v0' ELSE 'v1' END AS revision FROM conversations),
+    e AS (SELECT parent_id AS parent, id AS child FROM c WHERE parent_id IS NOT NULL AND document_id % 5 <> 1)"""
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = F.col("document_id"), F.col("chunk_index")
     return turns(spark, sf_dir).select(
-        "document_id", "id", F.when((i == 0) & (d % 11 != 0), "PARENT").when(d % 19 == 0, "SIBLING").otherwise("CHILD").alias("kind"),
-        F.when((i > 0) & (d % 7 != 0) & (d % 11 != 0), d * 1000).alias("parent_id"),
+        "document_id", "id", F.when((i == 0) & (d % 11 != 0), "PARENT").when(d % 19 == 0, "SIBLING").when(d % 23 != 0, "CHILD").alias("kind"),
+        F.when((i > 0) & (d % 7 != 0) & (d % 11 != 0), d * 1000).when((i == 2) & (d % 11 == 0), -1).alias("parent_id"), F.when(i > 0, i - 1).when(d % 29 == 0, 0).alias("child_index"),
+        F.lit("kb").alias("kb"), F.when(~((d % 13 == 0) & (i == 1)), "r1").alias("run"), F.when((d % 17 == 0) & (i == 2), "v0").otherwise("v1").alias("revision"),
     )
 
 
-@query(f"""WITH {AUDIT_SQL}, j AS (SELECT c.*, p.id AS pid FROM c LEFT JOIN c p ON p.kind = 'PARENT' AND p.document_id = c.document_id AND p.id = c.parent_id),
-    n AS (SELECT document_id, count(*) AS n_chunks, count_if(kind = 'PARENT') AS n_parents, count_if(kind = 'CHILD' AND parent_id IS NULL) AS n_unparented,
-        count_if(kind = 'CHILD' AND parent_id IS NOT NULL AND pid IS NULL) AS n_orphans, count_if(kind NOT IN ('PARENT', 'CHILD')) AS n_unsupported, count_if(kind = 'PARENT' AND parent_id IS NOT NULL) AS n_malformed FROM j GROUP BY document_id)
-    SELECT *, CASE WHEN n_orphans + n_unsupported + n_malformed > 0 THEN 'INVALID' WHEN n_parents = 0 AND n_unparented = n_chunks THEN 'FLAT' WHEN n_parents > 0 AND n_unparented = 0 THEN 'HIERARCHICAL' ELSE 'INVALID' END AS topology FROM n""")
+@query(f"""WITH {AUDIT_SQL}, j AS (SELECT c.*, p.id AS pid, coalesce(p.run = c.run AND p.revision = c.revision, false) AS same, (parent_id, c.id) IN (SELECT (parent, child) FROM e) AS linked FROM c LEFT JOIN c p ON p.kind = 'PARENT' AND p.document_id = c.document_id AND p.id = c.parent_id),
+    n AS (SELECT document_id, count(*) AS n_chunks, count_if(kind = 'PARENT') AS n_parents, count_if(kind = 'CHILD' AND parent_id IS NOT NULL) AS n_parented, count_if(kind = 'CHILD' AND parent_id IS NULL) AS n_unparented,
+        count_if(kind = 'CHILD' AND parent_id IS NOT NULL AND pid IS NULL) AS n_orphans, count_if(kind = 'CHILD' AND pid IS NOT NULL AND NOT same) AS n_cross_scope, count_if(kind IS NULL OR kind NOT IN ('PARENT', 'CHILD')) AS n_unsupported,
+        count_if(kind = 'PARENT' AND (parent_id IS NOT NULL OR child_index IS NOT NULL)) AS n_malformed, count_if(kind = 'CHILD' AND pid IS NOT NULL AND same AND NOT linked) AS n_missing_edges FROM j GROUP BY document_id),
+    a AS (SELECT doc_id AS document_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_parents, 0) AS n_parents, coalesce(n_parented, 0) AS n_parented, coalesce(n_unparented, 0) AS n_unparented, coalesce(n_orphans, 0) AS n_orphans, coalesce(n_cross_scope, 0) AS n_cross_scope,
+        coalesce(n_unsupported, 0) AS n_unsupported, coalesce(n_malformed, 0) AS n_malformed, coalesce(n_missing_edges, 0) AS n_missing_edges FROM (SELECT doc_id FROM documents UNION SELECT conv_id FROM conversations) LEFT JOIN n ON document_id = doc_id)
+    SELECT *, CASE WHEN n_chunks = 0 THEN 'EMPTY' WHEN n_orphans + n_cross_scope + n_unsupported + n_malformed + n_missing_edges > 0 THEN 'INVALID' WHEN n_parents = 0 AND n_parented = 0 AND n_unparented = n_chunks THEN 'FLAT' WHEN n_parents > 0 AND n_unparented = 0 THEN 'HIERARCHICAL' ELSE 'INVALID' END AS topology FROM a""")
 def chunk_topology_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.topology(audited(spark, sf_dir))
+    chunks = audited(spark, sf_dir)
+    edges = chunks.where("parent_id is not null and document_id % 5 <> 1").select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))
+    return chunking.topology(chunks, edges, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id")))
 
 
 @query("""WITH p AS (SELECT conv_id AS document_id, conv_id * 1000 AS parent_id, max(turn) + (conv_id % 3 = 0)::INT AS child_count FROM conversations GROUP BY conv_id),
     k AS (SELECT conv_id AS document_id, count(*) AS n, max(turn - 1) AS last, min(turn * 10) AS a, max(turn * 10 + 10) AS b FROM conversations WHERE turn > 0 GROUP BY conv_id)
-    SELECT document_id, parent_id, CASE WHEN coalesce(n, 0) <> child_count THEN 'CHILD_COUNT' WHEN last + 1 <> n THEN 'CHILD_INDEX' WHEN a < 10 OR b > 50 THEN 'CONTAINMENT' END AS problem
-    FROM p LEFT JOIN k USING (document_id) WHERE problem IS NOT NULL""")
+    SELECT document_id, parent_id AS id, CASE WHEN coalesce(n, 0) <> child_count THEN 'CHILD_COUNT' WHEN last + 1 <> n THEN 'CHILD_INDEX' END AS problem
+    FROM p LEFT JOIN k USING (document_id) WHERE problem IS NOT NULL
+    UNION ALL SELECT conv_id, conv_id * 1000 + turn, 'CONTAINMENT' FROM conversations WHERE turn > 0 AND (turn * 10 < 10 OR turn * 10 + 10 > 50)""")
 def hierarchy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = turns(spark, sf_dir)
     last = own.groupBy("document_id").agg(F.max("chunk_index").alias("last"))
@@ -104,19 +112,21 @@ def migration_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.migration_state(table(spark, sf_dir, "documents").select("doc_id"), chunks, "v1")
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(substring(text, 1, 4000), '\s+', ' ', 'g')) AS collapsed, CAST(greatest(1, floor((length(text) + 3) / 4)) AS BIGINT) AS tokens, substring(sha256(text), 1, 16) AS fingerprint,
-    CASE WHEN lower(source || '.txt') LIKE '%.txt' THEN 'TXT' END AS format FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS collapsed, substring(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 160) AS preview, CAST(greatest(1, floor((length(text) + 3) / 4)) AS BIGINT) AS tokens,
+    substring(sha256(text), 1, 16) AS fingerprint, CASE WHEN doc_id % 4 = 0 THEN 'TXT' WHEN doc_id % 4 = 1 THEN 'PDF' WHEN doc_id % 4 = 2 THEN 'DOCX' END AS format FROM documents""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loreweave.functions.identity import fingerprint
 
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, F.concat("source", F.lit(".TXT"))).when(k == 2, "a.docx").otherwise("noname")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", text.collapsed(F.substring("text", 1, 4000)).alias("collapsed"), text.token_estimate(F.col("text")).alias("tokens"), fingerprint(F.col("text")).alias("fingerprint"),
-        text.document_format(F.concat("source", F.lit(".txt")), F.lit(None).cast("string")).alias("format"),
+        "doc_id", text.collapsed(F.col("text")).alias("collapsed"), text.preview(F.col("text")).alias("preview"), text.token_estimate(F.col("text")).alias("tokens"), fingerprint(F.col("text")).alias("fingerprint"),
+        text.document_format(name, F.when(k == 1, "application/pdf")).alias("format"),
     )
 
 
-@query(r"""SELECT p_partkey AS id, CASE WHEN lower(v) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(v, '^[+-]?\d+$') THEN 'integer' WHEN regexp_matches(v, '^[+-]?\d*\.\d+$') THEN 'float'
-    WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') THEN 'date' WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}') THEN 'datetime' ELSE 'string' END AS type
+@query(r"""SELECT p_partkey AS id, CASE WHEN lower(v) IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(v, '^[+-]?\d+$') THEN 'integer' WHEN regexp_matches(v, '^[+-]?\d*\.\d+$') THEN 'number'
+    WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}$') THEN 'date' WHEN regexp_matches(v, '^\d{4}-\d{2}-\d{2}[Tt ][0-2]\d:[0-5]\d:[0-5]\d(\.\d{1,9})?([Zz]|[+-][0-2]\d:[0-5]\d)?$') THEN 'datetime' ELSE 'string' END AS type
     FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'true' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN p_size || '.5' WHEN 3 THEN '2024-01-02' WHEN 4 THEN '2024-01-02T10:00:00' ELSE p_name END AS v FROM part)""")
 def property_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")

@@ -68,33 +68,63 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRICS_SQL = """
-    i AS (SELECT lang, source, quality = 1 AS recognised, CASE WHEN toxic = 0 THEN n_chars > 1000 END AS key_present, n_chars % 7 <> 0 AS type_ok, CASE WHEN quality = 1 THEN n_chars % 5 <> 0 END AS required_present FROM documents JOIN labels USING (doc_id)),
-    m AS (SELECT source, count(*) AS items, count_if(recognised) AS recognised, count_if(NOT recognised) AS unknown, count_if(NOT type_ok) AS type_conflicts, count_if(NOT required_present) AS missing_required,
-        round(count_if(recognised) / count(*), 9) AS recognition_rate, round(count_if(key_present) / nullif(count(key_present), 0), 9) AS key_rate FROM i GROUP BY source)"""
+    i AS (SELECT source, lang, quality = 1 AS recognised, CASE WHEN toxic = 0 THEN n_chars > 1000 END AS key_present, n_chars % 3 AS conflicts, n_chars % 5 AS missing FROM documents JOIN labels USING (doc_id)),
+    a AS (SELECT source, count_if(recognised) AS recognised, count_if(NOT recognised) AS unknown, count_if(recognised AND key_present IS NOT NULL) AS nodes_with_key_definition, count_if(recognised AND key_present) AS nodes_with_key,
+        CAST(coalesce(sum(conflicts) FILTER (recognised), 0) AS BIGINT) AS type_conflicts, CAST(coalesce(sum(missing) FILTER (recognised), 0) AS BIGINT) AS missing_required FROM i GROUP BY source),
+    r AS (SELECT source, count(*) AS relationships, count_if(lang <> 'en' OR n_chars < 500) AS dropped, count_if(lang = 'de') AS outside FROM documents WHERE source <> 'src3' GROUP BY source),
+    c AS (SELECT source, coalesce(recognised, 0) AS recognised, coalesce(unknown, 0) AS unknown, coalesce(nodes_with_key_definition, 0) AS nodes_with_key_definition, coalesce(nodes_with_key, 0) AS nodes_with_key, coalesce(type_conflicts, 0) AS type_conflicts, coalesce(missing_required, 0) AS missing_required,
+        coalesce(relationships, 0) AS relationships, coalesce(dropped, 0) AS dropped, coalesce(outside, 0) AS dropped_schema_constraint, coalesce(greatest(0, dropped - outside), 0) AS dropped_invalid_endpoint_or_key FROM a FULL JOIN r USING (source))"""
+RATES_SQL = "round(recognised / nullif(recognised + unknown, 0), 9) AS recognition_rate, round(dropped / nullif(relationships, 0), 9) AS drop_rate, round(nodes_with_key / nullif(nodes_with_key_definition, 0), 9) AS key_rate"
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id").select(
-        "lang", "source", (F.col("quality") == 1).alias("recognised"), F.when(F.col("toxic") == 0, n > 1000).alias("key_present"), (n % 7 != 0).alias("type_ok"), F.when(F.col("quality") == 1, n % 5 != 0).alias("required_present")
-    )
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, docs = F.col("n_chars"), table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    nodes = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("recognised"), F.when(F.col("toxic") == 0, n > 1000).alias("key_present"), (n % 3).alias("type_conflicts"), (n % 5).alias("missing_required"))
+    edges = docs.where("source <> 'src3'").select("source", (F.col("lang") != "de").alias("in_schema"), ((F.col("lang") == "en") & (n >= 500)).alias("kept"))
+    return discovery.evaluation_metrics(nodes, edges, "source")
 
 
-@query(f"WITH {METRICS_SQL} SELECT * FROM m")
+@query(f"WITH {METRICS_SQL} SELECT *, {RATES_SQL} FROM c")
 def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.evaluation_metrics(items(spark, sf_dir), "source")
+    return metrics(spark, sf_dir)
+
+
+_counters = "recognised unknown nodes_with_key_definition nodes_with_key type_conflicts missing_required relationships dropped dropped_schema_constraint dropped_invalid_endpoint_or_key".split()
 
 
-@query(f"WITH {METRICS_SQL} SELECT substring(source, 1, 4) AS run, CAST(sum(items) AS BIGINT) AS items, CAST(sum(recognised) AS BIGINT) AS recognised, max(recognition_rate) AS recognition_rate FROM m GROUP BY run")
+@query(f"""WITH {METRICS_SQL}, s AS (SELECT substring(source, 1, 4) AS run, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in _counters)}, max(length(source)) AS low_support FROM c GROUP BY run) SELECT *, {RATES_SQL} FROM s""")
 def evaluation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = discovery.evaluation_metrics(items(spark, sf_dir), "source").withColumn("run", F.substring("source", 1, 4))
-    return discovery.roll_up(own, "run", ["items", "recognised"], ["recognition_rate"])
+    own = metrics(spark, sf_dir).withColumn("run", F.substring("source", 1, 4)).withColumn("low_support", F.length("source").cast("long")).drop("source")
+    return discovery.roll_up(own, "run", ("low_support",))
 
 
-@query("""WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS identity, c_mktsegment AS type FROM customer WHERE c_custkey % 3 <> 0), b AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS identity, 'ORDERED' AS type FROM orders)
+CONFLICT_SQL = """
+    x AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'NODE_PROPERTY' WHEN 1 THEN 'RELATIONSHIP_PROPERTY' ELSE 'NODE_KEY' END AS kind, lang || '.' || (doc_id % 60) AS identity, 'T' || (n_chars % 2) AS type, CASE WHEN n_chars % 7 = 0 THEN 'id,site' ELSE 'id' END AS key, source FROM documents),
+    y AS (SELECT 'R' || (l_linenumber % 3) AS relationship, 'L' || (l_suppkey % 9) AS f, 'L' || (l_partkey % 11) AS t, l_returnflag AS source FROM lineitem),
+    e AS (SELECT 'PROPERTY_TYPE' AS category, kind AS apart, identity AS coordinate, type AS alternative, source FROM x WHERE kind <> 'NODE_KEY' UNION ALL SELECT 'IDENTITY_KEY', '', identity, key, source FROM x WHERE kind = 'NODE_KEY'
+        UNION ALL SELECT 'RELATIONSHIP_NAME', '', 'relationship-endpoints:' || f || '->' || t, relationship, source FROM y UNION ALL SELECT 'RELATIONSHIP_DIRECTION', '', 'relationship-direction:' || relationship || ':' || least(f, t) || ':' || greatest(f, t), f || '->' || t, source FROM y)"""
+
+
+@query(f"WITH {CONFLICT_SQL} SELECT category, coordinate, list_sort(list(DISTINCT alternative)) AS alternatives, list_sort(list(DISTINCT source)) AS sources FROM e GROUP BY category, apart, coordinate HAVING count(DISTINCT alternative) > 1")
+def conflict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, null = F.col("doc_id"), F.lit(None).cast("string")
+    kind = F.when(d % 3 == 0, "NODE_PROPERTY").when(d % 3 == 1, "RELATIONSHIP_PROPERTY").otherwise("NODE_KEY")
+    named = table(spark, sf_dir, "documents").select(
+        kind.alias("kind"), F.concat_ws(".", "lang", (d % 60).cast("string")).alias("identity"), F.concat(F.lit("T"), (F.col("n_chars") % 2).cast("string")).alias("type"),
+        F.when(F.col("n_chars") % 7 == 0, F.array(F.lit("id"), F.lit("site"))).otherwise(F.array(F.lit("id"))).alias("keys"), null.alias("relationship"), null.alias("from_label"), null.alias("to_label"), "source",
+    )
+    label = lambda c, n: F.concat(F.lit("L"), (F.col(c) % n).cast("string"))
+    joined = table(spark, sf_dir, "lineitem").select(
+        F.lit("RELATIONSHIP").alias("kind"), null.alias("identity"), null.alias("type"), F.lit(None).cast("array<string>").alias("keys"), F.concat(F.lit("R"), (F.col("l_linenumber") % 3).cast("string")).alias("relationship"),
+        label("l_suppkey", 9).alias("from_label"), label("l_partkey", 11).alias("to_label"), F.col("l_returnflag").alias("source"),
+    )
+    return discovery.conflicts(named.unionByName(joined))
+
+
+@query("""WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS identity, c_mktsegment AS type FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS identity, 'ORDERED' AS type FROM orders)
     SELECT identity, coalesce(b.type, a.type) AS type, list_sort(list_filter([CASE WHEN a.type IS NOT NULL THEN 'GUIDED' END, CASE WHEN b.type IS NOT NULL THEN 'OBSERVED' END], lambda x: x IS NOT NULL)) AS origins FROM a FULL JOIN b USING (identity)""")
 def observed_over_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("identity"), F.col("c_mktsegment").alias("type"), F.array(F.lit("GUIDED")).alias("origins"))
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("identity"), F.col("c_mktsegment").alias("type"), F.array(F.lit("GUIDED")).alias("origins"))
     b = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("identity")).distinct().select("identity", F.lit("ORDERED").alias("type"), F.array(F.lit("OBSERVED")).alias("origins"))
     return discovery.observed_over_inherited(a, b)
 
@@ -107,10 +137,31 @@ def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.apply_decisions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity"), F.col("c_mktsegment").alias("value")), decisions)
 
 
-@query("""SELECT source AS label, min_by(nullif(trim(lang), 'en'), CASE WHEN trim(lang) <> 'en' THEN doc_id END) AS description, list_sort(list(DISTINCT CAST(n_chars % 3 AS VARCHAR))) AS keys FROM documents GROUP BY source""")
+@query("""WITH n AS (SELECT upper(source[1]) || source[2:] AS label, lang, n_chars, doc_id AS seq, CASE WHEN lang = 'de' THEN 'chars' WHEN lang = 'fr' THEN 'lang, b-d' END AS given FROM documents),
+    p AS (SELECT label, unnest([{'name': 'chars', 'value': CAST(n_chars AS VARCHAR)}, {'name': 'lang', 'value': lang}, {'name': 'share', 'value': CASE WHEN n_chars % 2 = 0 THEN '0.5' ELSE '2024-01-01' END}], recursive := true), seq FROM n),
+    t AS (SELECT label, name, min_by(value, seq) AS first FROM p GROUP BY label, name),
+    q AS (SELECT label, list_sort(list(name || ':' || CASE WHEN regexp_matches(first, '^[+-]?[0-9]+$') THEN 'integer' WHEN first = '0.5' THEN 'number' WHEN first LIKE '2024%' THEN 'date' ELSE 'string' END)) AS properties FROM t GROUP BY label),
+    k AS (SELECT label, min(seq) FILTER (lang = 'de') AS de, min(seq) FILTER (lang = 'fr') AS fr FROM n GROUP BY label)
+    SELECT label, (SELECT min_by(m.lang, m.seq) FROM n m WHERE m.label = q.label AND m.lang <> 'en') AS description, CASE WHEN de IS NULL AND fr IS NULL THEN ['chars', 'lang'] WHEN fr IS NULL THEN ['chars'] WHEN de IS NULL THEN ['lang'] WHEN de < fr THEN ['chars', 'lang'] ELSE ['lang', 'chars'] END AS keys, properties FROM q JOIN k USING (label)""")
 def schema_from_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "documents").select(F.col("source").alias("label"), F.when(F.col("lang") == "en", " ").otherwise(F.col("lang")).alias("description"), (F.col("n_chars") % 3).cast("string").alias("key"), F.col("doc_id").alias("seq"))
-    return discovery.schema_from_graph(nodes)
+    lang, n = F.col("lang"), F.col("n_chars")
+    props = F.create_map(
+        F.lit("chars"), n.cast("string"), F.lit("lang"), lang, F.lit("share"), F.when(n % 2 == 0, "0.5").otherwise("2024-01-01"), F.lit("description"), F.when(lang == "en", " ").otherwise(lang), F.lit("key"), F.when(lang == "de", "chars").when(lang == "fr", "lang, b-d"),
+    )
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("type"), props.alias("props"), F.col("doc_id").alias("seq"))
+    edges = spark.createDataFrame([], "relation string, head string, tail string, props map<string,string>, seq long")
+    labels = discovery.schema_from_graph(nodes, edges)[0]
+    return labels.select("label", "description", "keys", F.array_sort(F.transform("properties", lambda p: F.concat_ws(":", p["name"], p["type"]))).alias("properties"))
+
+
+@query("""WITH t AS (SELECT doc_id AS seq, lang AS head, source AS tail, CASE WHEN n_chars % 10 = 0 THEN ' ' ELSE 'spoken in' END AS relation FROM documents) SELECT 'SPOKEN_IN' AS relationship, 'Lang' AS from_label, 'Entity' AS to_label, count(DISTINCT head) * 0 + 1 AS properties FROM t WHERE trim(relation) <> '' GROUP BY ALL""")
+def triples_to_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("map<string,string>")
+    triples = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("seq"), F.col("lang").alias("head"), F.lit("lang").alias("head_type"), none.alias("head_props"), F.when(F.col("n_chars") % 10 == 0, " ").otherwise("spoken in").alias("relation"),
+        F.col("source").alias("tail"), F.lit(None).cast("string").alias("tail_type"), none.alias("tail_props"), none.alias("relation_props"), F.create_map(F.lit("chars"), F.col("n_chars").cast("string")).alias("props"),
+    )
+    return discovery.schema_from_graph(*discovery.triples_to_graph(triples))[1].select("relationship", "from_label", "to_label", F.size("properties").cast("long").alias("properties"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS reuse_key, max_by(o_orderkey, o_orderkey) AS outcome_id FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),

@@ -27,10 +27,10 @@ def draft_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.projected_schema(own).select("label", F.array_join(flat, ";").alias("properties"))
 
 
-@query("""WITH c AS (SELECT s_suppkey AS identity, CAST(s_nationkey AS VARCHAR) AS value FROM supplier), d AS (SELECT c_custkey AS identity, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS pinned FROM customer WHERE c_custkey < 300)
+@query("""WITH c AS (SELECT s_suppkey AS identity, CAST(s_nationkey AS VARCHAR) AS value FROM supplier), d AS (SELECT c_custkey AS identity, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS pinned FROM customer)
     SELECT identity, CASE WHEN value IS NULL THEN 'COORDINATE' WHEN pinned <> value THEN 'PINNED_DEFINITION' END AS conflict FROM d LEFT JOIN c USING (identity) WHERE conflict IS NOT NULL""")
 def draft_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("identity"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("pinned"))
+    decisions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("identity"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("pinned"))
     return drafts.reconciliation(decisions, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("identity"), F.col("s_nationkey").cast("string").alias("value")))
 
 
@@ -83,12 +83,13 @@ def contributing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafts.contributing_sources(own.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("draft_id")), "draft_id", "left_semi"), own.select("aggregate_id").distinct(), found, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("revision_id"), F.col("p_size").cast("string").alias("sha256")))
 
 
-@query(f"""WITH t AS (SELECT document_id AS request, min_by(text, chunk_index) AS answer, list('E' || (chunk_index % 12)) AS ids FROM ({TURNS_SQL}) GROUP BY document_id)
-    SELECT request, answer, CAST(len(ids) AS INTEGER) AS n_evidence FROM t WHERE len(ids) <= 20 AND len(list_distinct(ids)) = len(ids)""")
+@query("""WITH e AS (SELECT l_suppkey AS request, count(*) AS n, count(DISTINCT l_linenumber * 100 + l_partkey % 100) AS ids FROM lineitem WHERE l_partkey % 40 = 1 GROUP BY l_suppkey)
+    SELECT request, n AS n_evidence, CASE WHEN n > 20 THEN 'result.evidence.limit' WHEN ids < n THEN 'result.citation.duplicate' END AS problem FROM e""")
 def result_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.struct(F.concat(F.lit("E"), (F.col("chunk_index") % 12).cast("string")).alias("citation_id"), F.col("id").alias("chunk_id"))
-    own = turns(spark, sf_dir).groupBy(F.col("document_id").alias("request")).agg(F.min_by("text", "chunk_index").alias("answer"), F.array_sort(F.collect_list(entry)).alias("evidence"))
-    return results.decoded(results.encoded(own)).select("request", "answer", F.size("evidence").alias("n_evidence"))
+    """Written and read again; what breaks the envelope's rules keeps its code."""
+    entry = F.struct(F.concat(F.lit("E"), (F.col("l_linenumber") * 100 + F.col("l_partkey") % 100).cast("string")).alias("citation_id"), F.col("l_orderkey").alias("chunk_id"))
+    own = table(spark, sf_dir, "lineitem").where("l_partkey % 40 = 1").groupBy(F.col("l_suppkey").alias("request")).agg(F.lit("x").alias("answer"), F.array_sort(F.collect_list(entry)).alias("evidence"))
+    return results.decoded(results.encoded(own)).select("request", F.size("evidence").cast("long").alias("n_evidence"), "problem")
 
 
 @query("""SELECT o_orderkey AS id, 'node' AS node_type, 'Order' AS label, 'relationship' AS rel_type, CAST(o_custkey AS VARCHAR) AS start FROM orders""")
@@ -122,10 +123,10 @@ def extraction_chunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.extraction_chunks(chunks).select("document_id", "chunk")
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS evidence_id, CASE WHEN o_orderkey IS NULL THEN 'own' ELSE o_orderpriority END AS page, l_returnflag AS flag FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON o_orderkey = l_orderkey""")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS evidence_id, CASE WHEN o_orderkey IS NULL THEN 'own' ELSE o_orderpriority END AS page, l_returnflag AS flag FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') ON o_orderkey = l_orderkey""")
 def evidence_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("chunk_id"), F.create_map(F.lit("page"), F.lit("own"), F.lit("flag"), F.col("l_returnflag")).alias("props"))
-    chunks = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("chunk_id"), F.create_map(F.lit("page"), F.col("o_orderpriority")).alias("chunk_props"))
+    chunks = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("chunk_id"), F.create_map(F.lit("page"), F.col("o_orderpriority")).alias("chunk_props"))
     return graph.with_provenance(evidence, chunks).select("evidence_id", F.col("props")["page"].alias("page"), F.col("props")["flag"].alias("flag"))
 
 
@@ -134,7 +135,7 @@ PIPELINE_SQL = f"""WITH {FUSED_SQL},
     r AS (SELECT *, row_number() OVER (ORDER BY fused_rank <= 20 DESC, rr DESC NULLS LAST, fused_rank, chunk_id) AS final_rank FROM s),
     d AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY final_rank) AS place FROM r),
     sel AS (SELECT chunk_id, document_id, final_rank FROM d WHERE place <= 2 ORDER BY final_rank LIMIT 10),
-    f AS (SELECT l_suppkey AS chunk_id, l_partkey AS fact_id FROM lineitem WHERE l_orderkey % 20 = 0),
+    f AS (SELECT DISTINCT l_suppkey AS chunk_id, l_partkey AS fact_id FROM lineitem),
     o AS (SELECT fact_id, min_by(chunk_id, (final_rank, chunk_id)) AS chunk_id FROM f JOIN sel USING (chunk_id) GROUP BY fact_id),
     g AS (SELECT chunk_id, list_sort(list(fact_id)) AS facts FROM o GROUP BY chunk_id)
     SELECT chunk_id, document_id, CAST(final_rank AS INTEGER) AS final_rank, coalesce(facts, []) AS facts, lang AS context FROM sel LEFT JOIN g USING (chunk_id) LEFT JOIN documents ON doc_id = chunk_id"""
@@ -148,16 +149,22 @@ def ranking_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = ranking.fuse(hits(spark, sf_dir))
     ranked = ranking.rerank(fused, rerank_scores(fused), 20).select("chunk_id", "document_id", "final_rank")
     selected = ranking.diversify(ranked, 2, 10, "final_rank")
-    facts = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("chunk_id"), F.col("l_partkey").alias("fact_id"))
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chunk_id"), F.col("l_partkey").alias("fact_id"))
     contexts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("context"))
     return results.assembled(selected, facts, contexts)
 
 
-@query("""SELECT event_type, CASE WHEN event_type = 'error' THEN 'TIMEOUT' WHEN event_type = 'click' THEN 'RATE_LIMIT' WHEN event_type = 'view' THEN 'INVALID_OUTPUT' ELSE 'UNKNOWN' END AS category, count(*) AS n FROM events GROUP BY ALL""")
+@query("""WITH f AS (SELECT event_id, event_type, CASE WHEN event_id % 5 = 0 THEN 400 + user_id WHEN event_id % 5 = 1 THEN 500 + user_id END AS status, event_id % 5 AS k FROM events)
+    SELECT event_id, CASE WHEN event_type = 'error' THEN 'TIMEOUT' WHEN status = 408 THEN 'TIMEOUT' WHEN status IN (429, 409) THEN 'OVERLOADED' WHEN status IS NOT NULL THEN 'PROVIDER_ERROR' WHEN k = 2 THEN 'PROVIDER_ERROR' WHEN k = 3 THEN 'CONVERSION_ERROR' ELSE 'PROVIDER_ERROR' END AS category,
+        CASE WHEN event_type = 'error' OR status = 408 THEN 'TRANSPORT_TIMEOUT' WHEN status = 429 THEN 'RATE_LIMIT' WHEN status >= 500 THEN 'PROVIDER_5XX' WHEN status = 409 THEN 'PROVIDER_RETRYABLE_STATUS' WHEN status IN (401, 403) THEN 'PROVIDER_AUTH' WHEN status IS NOT NULL THEN 'PROVIDER_INVALID_REQUEST' WHEN k = 2 THEN 'TRANSPORT_IO'
+            WHEN k = 3 THEN 'MALFORMED_MODEL_RESPONSE' ELSE 'PROVIDER_ERROR' END AS code,
+        CASE WHEN event_type = 'error' THEN true WHEN status IN (408, 429, 409) OR status >= 500 THEN true WHEN status IS NOT NULL THEN false ELSE k IN (2, 3) END AS retryable FROM f""")
 def failure_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_type")
-    message = F.when(e == "error", "call timed out").when(e == "click", "HTTP 429").when(e == "view", "malformed JSON").otherwise("boom")
-    return table(spark, sf_dir, "events").groupBy("event_type", control.failure_class(message).alias("category")).agg(F.count("*").alias("n"))
+    k = F.col("event_id") % 5
+    types = F.array(F.lit("RuntimeException"), F.when(F.col("event_type") == "error", "SocketTimeoutException").when(k == 2, "ConnectException").otherwise("IllegalStateException"))
+    status = F.when(k == 0, 400 + F.col("user_id")).when(k == 1, 500 + F.col("user_id"))
+    out = control.failure_class(types, F.array(F.when(k == 3, "Could not parse the answer").otherwise("boom")), status, F.lit(None).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", out.alias("f")).select("event_id", "f.*")
 
 
 @query("""SELECT source AS kb, count(*) AS documents, count(DISTINCT lang) AS types FROM documents GROUP BY source""")

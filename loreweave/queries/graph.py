@@ -92,7 +92,7 @@ def plan_evidence_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH seeds AS (SELECT o_orderkey AS chunk_id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS seed_rank FROM orders QUALIFY seed_rank <= 10),
-    edges AS (SELECT o_custkey AS parent, o_orderkey AS child FROM orders WHERE o_orderkey % 2 = 0)
+    edges AS (SELECT o_custkey AS parent, o_orderkey AS child FROM orders WHERE o_orderstatus <> 'O')
     SELECT CAST(seed_rank AS INTEGER) AS seed_rank, s.chunk_id, coalesce(parent, s.chunk_id) AS evidence_chunk, l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey AS fact_id
     FROM seeds s LEFT JOIN edges ON child = s.chunk_id JOIN lineitem ON l_orderkey = coalesce(parent, s.chunk_id) ORDER BY seed_rank, evidence_id, fact_id LIMIT 40""")
 def evidence_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +100,16 @@ def evidence_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     seeds = ranked(orders.select(F.col("o_orderkey").alias("chunk_id"), "o_totalprice", F.lit("").alias("subquery")), 10, F.desc("o_totalprice"), F.col("chunk_id")).select(F.col("rank").alias("seed_rank"), "chunk_id")
-    edges = orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"))
+    edges = orders.where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("parent"), F.col("o_orderkey").alias("child"))
     evidence = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("fact_id"))
     return ranking.evidence_expansion(seeds, edges, evidence, 40).select("seed_rank", "chunk_id", "evidence_chunk", "evidence_id", "fact_id")
 
 
-@query("""WITH e AS (SELECT l_partkey AS fact_id, l_suppkey AS chunk_id, l_orderkey * 10 + l_linenumber AS evidence_id FROM lineitem WHERE l_orderkey % 50 = 0),
-    f AS (SELECT fact_id, chunk_id, min(evidence_id) AS citation FROM e GROUP BY ALL)
-    SELECT fact_id, list_sort(list(DISTINCT evidence_id)) AS evidence_ids, (SELECT list_sort(list(citation)) FROM f WHERE f.fact_id = e.fact_id) AS citations FROM e GROUP BY fact_id""")
+@query("""WITH e AS (SELECT l_partkey AS fact_id, l_suppkey AS chunk_id, l_orderkey * 10 + l_linenumber AS evidence_id FROM lineitem),
+    f AS (SELECT fact_id, list_sort(list(citation)) AS citations FROM (SELECT fact_id, chunk_id, min(evidence_id) AS citation FROM e GROUP BY ALL) GROUP BY fact_id)
+    SELECT fact_id, list_sort(list(DISTINCT evidence_id)) AS evidence_ids, any_value(citations) AS citations FROM e JOIN f USING (fact_id) GROUP BY fact_id""")
 def fact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    return ranking.merge_facts(items.select(F.col("l_partkey").alias("fact_id"), F.col("l_suppkey").alias("chunk_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id")))
+    return ranking.merge_facts(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("fact_id"), F.col("l_suppkey").alias("chunk_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id")))
 
 
 NODE_SQL = "'node:' || sha256('sales' || chr(10) || 'Part' || chr(10) || 'key:partkey=' || length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey)"
@@ -150,52 +149,59 @@ def orphan_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXTRACTED_SQL = """
     nodes AS (SELECT l_orderkey AS chunk_id, CASE WHEN l_linenumber = 4 THEN 'Ghost' WHEN l_linenumber % 2 = 0 THEN 'Supplier' ELSE 'Part' END AS label,
-        CASE WHEN l_linenumber = 5 THEN '' WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(l_partkey AS VARCHAR) END AS key_prop,
-        CASE WHEN l_linenumber = 5 AND l_partkey % 2 = 0 THEN 'n' || l_partkey END AS name FROM lineitem),
-    kept AS (SELECT chunk_id, label, coalesce(nullif(key_prop, ''), name) AS key_value,
-        CASE WHEN label = 'Ghost' THEN 'unknown_label' WHEN coalesce(nullif(key_prop, ''), name) IS NULL THEN 'incomplete_key' END AS drop_reason FROM nodes)"""
+        CASE WHEN l_linenumber = 5 THEN ' ' ELSE CAST(l_partkey AS VARCHAR) END AS part, CASE WHEN l_suppkey % 9 > 0 THEN l_returnflag END AS flag, CAST(l_suppkey AS VARCHAR) AS supplier, CASE WHEN l_partkey % 2 = 0 THEN 'n' || l_partkey END AS name FROM lineitem),
+    kept AS (SELECT chunk_id, label, CASE WHEN label = 'Part' THEN [coalesce(nullif(trim(part), ''), name), coalesce(flag, name)] WHEN label = 'Supplier' THEN [supplier] END AS key_values FROM nodes),
+    judged AS (SELECT *, CASE WHEN label = 'Ghost' THEN 'unknown_label' WHEN len(list_filter(key_values, lambda v: v IS NULL)) > 0 THEN 'incomplete_node_key' END AS drop_reason FROM kept)"""
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as extracted nodes, with unknown labels and missing keys."""
-    n = F.col("l_linenumber")
-    key = F.when(n == 5, "").when(n % 2 == 0, F.col("l_suppkey").cast("string")).otherwise(F.col("l_partkey").cast("string"))
-    name = F.when((n == 5) & (F.col("l_partkey") % 2 == 0), F.concat(F.lit("n"), F.col("l_partkey").cast("string")))
-    nodes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.when(n == 4, "Ghost").when(n % 2 == 0, "Supplier").otherwise("Part").alias("label"), F.create_map(F.lit("key"), key, F.lit("name"), name).alias("props"))
-    keys = spark.createDataFrame([("Part", "key"), ("Supplier", "key")], "label string, key string")
-    return graph.sanitise_nodes(nodes, keys).select("chunk_id", "label", "key_value", "drop_reason")
+def extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as extracted nodes, with unknown labels, composite keys and missing ones; and the schema's keys."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    name = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("n"), part))
+    props = F.create_map(F.lit("part"), F.when(n == 5, " ").otherwise(part), F.lit("flag"), F.when(F.col("l_suppkey") % 9 > 0, F.col("l_returnflag")), F.lit("supplier"), F.col("l_suppkey").cast("string"), F.lit("name"), name)
+    nodes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.when(n == 4, "Ghost").when(n % 2 == 0, "Supplier").otherwise("Part").alias("label"), props.alias("props"))
+    keys = spark.createDataFrame([("Part", ["part", "flag"]), ("Supplier", ["supplier"])], "label string, keys array<string>")
+    return graph.sanitise_nodes(nodes, keys).select("chunk_id", "label", "key_values", "drop_reason"), keys
 
 
-@query(f"WITH {EXTRACTED_SQL} SELECT chunk_id, label, CASE WHEN label = 'Ghost' THEN NULL ELSE key_value END AS key_value, drop_reason FROM kept")
+@query(f"WITH {EXTRACTED_SQL} SELECT chunk_id, label, key_values, drop_reason FROM judged")
 def extraction_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(spark, sf_dir).withColumn("key_value", F.when(F.col("label") != "Ghost", F.col("key_value")))
-
-
-@query(f"""WITH {EXTRACTED_SQL}, good AS (SELECT DISTINCT chunk_id, label, key_value FROM kept WHERE drop_reason IS NULL),
-    only_ AS (SELECT chunk_id, label, min(key_value) AS only_ FROM good GROUP BY ALL HAVING count(*) = 1),
-    rels AS (SELECT l_orderkey AS chunk_id, l_linenumber, CASE WHEN l_linenumber = 6 THEN 'OWNS' ELSE 'SUPPLIES' END AS kind,
-        CASE WHEN l_linenumber = 7 THEN 'Ghost' ELSE 'Supplier' END AS from_label, CASE WHEN l_linenumber = 3 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS from_key, 'Part' AS to_label,
-        CASE WHEN l_linenumber IN (2, 3) THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS to_key FROM lineitem),
-    v AS (SELECT r.*, coalesce(nullif(from_key, ''), f.only_) AS fv, coalesce(nullif(to_key, ''), t.only_) AS tv FROM rels r
-        LEFT JOIN only_ f ON f.chunk_id = r.chunk_id AND f.label = from_label LEFT JOIN only_ t ON t.chunk_id = r.chunk_id AND t.label = to_label),
-    o AS (SELECT CASE WHEN from_label = 'Ghost' THEN 'unknown_endpoint_label' WHEN kind = 'OWNS' THEN 'invalid_relationship_triple' WHEN fv IS NULL AND tv IS NULL THEN 'empty_endpoint_key'
-        WHEN fv IS NULL THEN 'incomplete_from_endpoint_key' WHEN tv IS NULL THEN 'incomplete_to_endpoint_key'
-        WHEN NOT EXISTS (SELECT 1 FROM good g WHERE g.chunk_id = v.chunk_id AND g.label = from_label AND g.key_value = fv) THEN 'from_endpoint_not_kept'
-        WHEN NOT EXISTS (SELECT 1 FROM good g WHERE g.chunk_id = v.chunk_id AND g.label = to_label AND g.key_value = tv) THEN 'to_endpoint_not_kept' ELSE 'kept' END AS reason FROM v)
+    return extracted(spark, sf_dir)[0]
+
+
+@query(f"""WITH {EXTRACTED_SQL}, good AS (SELECT chunk_id, label, key_values FROM judged WHERE drop_reason IS NULL),
+    only_ AS (SELECT chunk_id, label, any_value(key_values) AS kv FROM good GROUP BY ALL HAVING count(*) = 1),
+    rels AS (SELECT l_orderkey AS chunk_id, l_linenumber, CASE WHEN l_linenumber = 6 THEN 'OWNS' ELSE 'SUPPLIES' END AS kind, CASE WHEN l_linenumber = 7 THEN 'Ghost' ELSE 'Supplier' END AS from_label,
+        CASE WHEN l_linenumber = 3 THEN ' ' WHEN l_linenumber <> 1 THEN CAST(l_suppkey AS VARCHAR) END AS fk, l_linenumber = 1 AS no_from, CASE WHEN l_linenumber IN (2, 3) THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS t1, CASE WHEN l_suppkey % 9 > 0 THEN l_returnflag END AS t2, l_linenumber = 2 AS no_to FROM lineitem),
+    v AS (SELECT r.*, coalesce(nullif(trim(fk), ''), f.kv[1]) AS fv, [coalesce(CASE WHEN no_to THEN NULL ELSE t1 END, t.kv[1]), coalesce(CASE WHEN no_to THEN NULL ELSE t2 END, t.kv[2])] AS tv FROM rels r
+        LEFT JOIN only_ f ON f.chunk_id = r.chunk_id AND f.label = from_label LEFT JOIN only_ t ON t.chunk_id = r.chunk_id AND t.label = 'Part'),
+    o AS (SELECT CASE WHEN from_label = 'Ghost' THEN 'unknown_endpoint_label' WHEN kind = 'OWNS' THEN 'invalid_relationship_triple' WHEN (no_from AND fv IS NULL) OR (no_to AND tv[1] IS NULL AND tv[2] IS NULL) THEN 'empty_endpoint_key'
+        WHEN fv IS NULL THEN 'incomplete_from_endpoint_key' WHEN tv[1] IS NULL OR tv[2] IS NULL THEN 'incomplete_to_endpoint_key'
+        WHEN NOT EXISTS (SELECT 1 FROM good g WHERE g.chunk_id = v.chunk_id AND g.label = from_label AND g.key_values = [fv]) THEN 'from_endpoint_not_kept'
+        WHEN NOT EXISTS (SELECT 1 FROM good g WHERE g.chunk_id = v.chunk_id AND g.label = 'Part' AND g.key_values = tv) THEN 'to_endpoint_not_kept' ELSE 'kept' END AS reason FROM v)
     SELECT reason, count(*) AS n FROM o GROUP BY reason""")
 def relationship_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber")
+    n, none = F.col("l_linenumber"), F.create_map().cast("map<string,string>")
+    given = F.create_map(F.lit("part"), F.when(~n.isin(2, 3), F.col("l_partkey").cast("string")), F.lit("flag"), F.when(F.col("l_suppkey") % 9 > 0, F.col("l_returnflag")))
     rels = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("chunk_id"), F.when(n == 6, "OWNS").otherwise("SUPPLIES").alias("kind"), F.when(n == 7, "Ghost").otherwise("Supplier").alias("from_label"),
-        F.when(n == 3, "").otherwise(F.col("l_suppkey").cast("string")).alias("from_key"), F.lit("Part").alias("to_label"), F.when(~n.isin(2, 3), F.col("l_partkey").cast("string")).alias("to_key"),
+        F.when(n == 1, none).otherwise(F.create_map(F.lit("supplier"), F.when(n == 3, " ").otherwise(F.col("l_suppkey").cast("string")))).alias("from_key"), F.lit("Part").alias("to_label"), F.when(n == 2, none).otherwise(given).alias("to_key"),
     )
-    good = extracted(spark, sf_dir).where("drop_reason is null").select("chunk_id", "label", "key_value")
+    nodes, keys = extracted(spark, sf_dir)
     triples = spark.createDataFrame([("SUPPLIES", "Supplier", "Part")], "kind string, from_label string, to_label string")
-    labels = spark.createDataFrame([("Supplier",), ("Part",)], "label string")
-    out = graph.sanitise_relationships(rels, good, triples, labels)
+    out = graph.sanitise_relationships(rels, nodes.where("drop_reason is null"), triples, keys)
     return out.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT l_orderkey * 10 + l_linenumber AS evidence_id, CASE WHEN l_returnflag = 'R' AND l_linenumber = 2 THEN 'BLANK_SCHEMA_ID' WHEN o_orderkey IS NULL THEN 'CHUNK_NOT_FOUND' WHEN o_custkey % 7 = 0 OR l_linenumber = 5 THEN 'CHUNK_SCOPE' WHEN o_orderstatus = 'P' THEN 'CHUNK_RUN' END AS problem
+    FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 60000) ON o_orderkey = l_orderkey WHERE problem IS NOT NULL""")
+def evidence_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, order = F.col("l_linenumber"), F.col("l_orderkey")
+    evidence = table(spark, sf_dir, "lineitem").select((order * 10 + n).alias("evidence_id"), F.lit("kb0").alias("kb"), F.lit("r").alias("run"), F.when((F.col("l_returnflag") == "R") & (n == 2), " ").otherwise("s").alias("schema_id"), F.when(n == 5, -1).otherwise(order).alias("document_id"), order.alias("chunk_id"))
+    chunks = table(spark, sf_dir, "orders").where("o_totalprice > 60000").select(F.col("o_orderkey").alias("chunk_id"), F.when(F.col("o_custkey") % 7 == 0, "kb1").otherwise("kb0").alias("kb"), F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") == "P", "q").otherwise("r").alias("run"))
+    return graph.scope_violations(evidence, chunks)
+
+
 @query("""WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS document_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' WHEN 'O' THEN 'COMPLETED' ELSE 'RUNNING' END AS status, o_orderkey AS seq FROM orders),
     l AS (SELECT document_id, max_by(status, seq) AS s, max(seq) AS m FROM r GROUP BY document_id)
     SELECT run_id, document_id FROM r JOIN l USING (document_id) WHERE s = 'COMPLETED' AND seq < m AND status IN ('FAILED', 'COMPLETED')""")

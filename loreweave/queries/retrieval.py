@@ -220,33 +220,59 @@ def embedding_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG_SQL = f"""
-    sel AS (SELECT document_id AS request, chunk_index AS rank, CASE WHEN chunk_index % 3 = 2 THEN 'CONTEXT' ELSE 'EVIDENCE' END AS kind, id // 2 AS chunk_id FROM ({TURNS_SQL})),
+    sel AS (SELECT document_id AS request, chunk_index AS rank, CASE chunk_index % 3 WHEN 2 THEN 'CONTEXT' WHEN 1 THEN 'GRAPH_PARENT' ELSE 'TEXT_CHILD' END AS kind, id // 2 AS chunk_id FROM ({TURNS_SQL})),
     cat AS (SELECT request, kind, chunk_id, min(rank) AS rank FROM sel GROUP BY ALL),
-    num AS (SELECT *, CASE WHEN kind = 'EVIDENCE' THEN 'E' ELSE 'CTX' END || row_number() OVER (PARTITION BY request, kind ORDER BY rank, chunk_id) AS citation_id FROM cat)"""
+    num AS (SELECT *, CASE WHEN kind = 'CONTEXT' THEN 'CTX' ELSE 'E' END || row_number() OVER (PARTITION BY request, kind = 'CONTEXT' ORDER BY rank, kind, chunk_id) AS citation_id FROM cat),
+    fc AS (SELECT document_id AS request, 'f' || (chunk_index % 2) AS fact_id, (document_id * 1000 + chunk_index // 2) // 2 AS chunk_id FROM ({TURNS_SQL})),
+    facts AS (SELECT request, fact_id, CASE WHEN len(own) > 0 THEN own ELSE coalesce((SELECT list_sort(list(DISTINCT citation_id)) FROM num WHERE kind = 'GRAPH_PARENT' AND num.request = o.request), []) END AS citation_ids
+      FROM (SELECT fc.request, fact_id, list_sort(list_filter(list(DISTINCT citation_id), lambda c: c IS NOT NULL)) AS own FROM fc LEFT JOIN num ON kind = 'GRAPH_PARENT' AND num.request = fc.request AND num.chunk_id = fc.chunk_id GROUP BY ALL) o)"""
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turns(spark, sf_dir).select(F.col("document_id").alias("request"), F.col("chunk_index").alias("rank"), F.when(F.col("chunk_index") % 3 == 2, "CONTEXT").otherwise("EVIDENCE").alias("kind"), F.floor(F.col("id") / 2).alias("chunk_id"))
+    i = F.col("chunk_index")
+    rows = turns(spark, sf_dir).select(F.col("document_id").alias("request"), i.alias("rank"), F.when(i % 3 == 2, "CONTEXT").when(i % 3 == 1, "GRAPH_PARENT").otherwise("TEXT_CHILD").alias("kind"), F.floor(F.col("id") / 2).alias("chunk_id"))
     return answering.citation_catalog(rows)
 
 
+def cited_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = F.col("document_id"), F.col("chunk_index")
+    rows = turns(spark, sf_dir).select(d.alias("request"), F.concat(F.lit("f"), (i % 2).cast("string")).alias("fact_id"), F.floor((d * 1000 + F.floor(i / 2)) / 2).alias("chunk_id"))
+    return answering.fact_citations(rows, catalog(spark, sf_dir))
+
+
 @query(f"WITH {CATALOG_SQL} SELECT * FROM num")
 def citation_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir)
 
 
+@query(f"WITH {CATALOG_SQL} SELECT * FROM facts")
+def fact_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cited_facts(spark, sf_dir)
+
+
 @query(f"""WITH {CATALOG_SQL},
-    claim AS (SELECT request, rank AS claim_id, CASE WHEN rank = 3 THEN ' ' ELSE 'x' END AS text,
-                CASE WHEN rank = 2 THEN [] WHEN rank = 1 THEN ['E1', 'E9'] WHEN rank = 4 THEN ['E1', 'E1'] ELSE ['E1'] END AS ids FROM sel),
-    k AS (SELECT request, list(citation_id) AS known FROM num GROUP BY request),
-    j AS (SELECT claim.*, coalesce(known, []) AS known FROM claim LEFT JOIN k USING (request))
-    SELECT request, claim_id, 'claim.blank' AS code FROM j WHERE trim(text) = '' UNION ALL SELECT request, claim_id, 'claim.uncited' FROM j WHERE len(ids) = 0
-    UNION ALL SELECT request, claim_id, 'claim.citation-unknown' FROM j WHERE NOT list_has_all(known, ids) UNION ALL SELECT request, claim_id, 'claim.citation-repeated' FROM j WHERE len(list_distinct(ids)) < len(ids)""")
+    claim AS (SELECT document_id AS request, chunk_index AS k, CASE WHEN chunk_index = 3 THEN ' ' ELSE 'c' || (chunk_index % 4) END AS id, CASE WHEN chunk_index % 2 = 1 THEN 'GRAPH' ELSE 'TEXT' END AS kind,
+                CASE WHEN chunk_index = 2 THEN [] WHEN document_id % 3 = 0 THEN ['E1', 'E9'] ELSE ['E1'] END AS cited, CASE WHEN chunk_index IN (0, 5) THEN [] WHEN document_id % 5 = 0 THEN ['f9'] ELSE ['f1'] END AS fids FROM ({TURNS_SQL})),
+    known AS (SELECT request, list(citation_id) AS ok FROM num WHERE kind <> 'CONTEXT' GROUP BY request), has AS (SELECT request, list(fact_id) AS fs FROM facts GROUP BY request),
+    j AS (SELECT claim.*, coalesce(ok, []) AS ok, coalesce(fs, []) AS fs, coalesce((SELECT f.citation_ids FROM facts f WHERE f.request = claim.request AND f.fact_id = fids[1]), []) AS allowed FROM claim LEFT JOIN known USING (request) LEFT JOIN has USING (request)),
+    s AS (SELECT * FROM j WHERE trim(id) <> ''),
+    codes AS (SELECT request, 'answer.claim.invalid' AS code FROM j WHERE trim(id) = '' UNION ALL SELECT request, 'answer.claim.citation-unknown' FROM s WHERE len(cited) = 0 OR NOT list_has_all(ok, cited)
+      UNION ALL SELECT request, 'answer.text-claim.graph-references' FROM s WHERE kind = 'TEXT' AND len(fids) > 0 UNION ALL SELECT request, 'answer.graph-claim.references-missing' FROM s WHERE kind = 'GRAPH' AND len(fids) = 0
+      UNION ALL SELECT request, 'answer.graph-claim.fact-unknown' FROM s WHERE kind = 'GRAPH' AND len(fids) > 0 AND NOT list_has_all(fs, fids) UNION ALL SELECT request, 'answer.graph-claim.citation-type-invalid' FROM s WHERE kind = 'GRAPH' AND len(fids) > 0 AND NOT list_has_any(allowed, cited)
+      UNION ALL SELECT request, 'answer.claim.id-duplicate' FROM (SELECT request, id, count(*) - 1 AS extra FROM s GROUP BY ALL), range(extra) r(x)
+      UNION ALL SELECT DISTINCT request, 'answer.version.unsupported' FROM claim WHERE request % 7 = 0 UNION ALL SELECT DISTINCT request, 'answer.abstention.claims-not-empty' FROM claim WHERE request % 11 = 0
+      UNION ALL SELECT DISTINCT request, 'answer.confidence.invalid' FROM claim WHERE request % 13 = 0)
+    SELECT request, code, count(*) AS n FROM codes GROUP BY ALL""")
 def answer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
-    i = F.col("chunk_index")
-    claims = turns(spark, sf_dir).select(
-        F.col("document_id").alias("request"), i.alias("claim_id"), F.when(i == 3, " ").otherwise("x").alias("text"),
-        F.when(i == 2, ids()).when(i == 1, ids("E1", "E9")).when(i == 4, ids("E1", "E1")).otherwise(ids("E1")).alias("citation_ids"),
+    d, i = F.col("document_id"), F.col("chunk_index")
+    fids = F.when(i.isin(0, 5), ids()).when(d % 5 == 0, ids("f9")).otherwise(ids("f1"))
+    claim = F.struct(
+        F.when(i == 3, " ").otherwise(F.concat(F.lit("c"), (i % 4).cast("string"))).alias("id"), F.lit("x").alias("text"), F.when(i % 2 == 1, "GRAPH").otherwise("TEXT").alias("kind"),
+        F.when(i == 2, ids()).when(d % 3 == 0, ids("E1", "E9")).otherwise(ids("E1")).alias("citation_ids"), fids.alias("fact_ids"), F.transform(fids, lambda _: F.lit("v")).alias("evidence_ids"),
     )
-    return answering.answer_violations(claims, catalog(spark, sf_dir))
+    claims = turns(spark, sf_dir).groupBy(d.alias("request")).agg(F.collect_list(claim).alias("claims"))
+    r, none = F.col("request"), F.array().cast("array<struct<code:string,description:string>>")
+    answer = F.struct(F.when(r % 7 == 0, 2).otherwise(1).alias("version"), F.when(r % 11 == 0, "INSUFFICIENT").otherwise("ANSWERED").alias("status"), F.lit("t").alias("text"), F.lit("HIGH").alias("level"), F.when(r % 13 == 0, 1.5).otherwise(0.5).alias("score"), none.alias("limitations"), "claims")
+    facts = cited_facts(spark, sf_dir).withColumn("evidence_ids", ids("v"))
+    return answering.answer_violations(claims.select("request", answer.alias("answer")), catalog(spark, sf_dir), facts)

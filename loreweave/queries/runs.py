@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.operators import answering, control, uploads
 from loreweave.queries import query
+from loreweave.sources.shared import shared_path
 from loreweave.sources.tables import table
 from loreweave.streaming import runs
 
@@ -65,19 +63,39 @@ def deletable_knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.deletable(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("kb")), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("kb")))
 
 
-SETTINGS = [("search.maxEvidence", "10"), ("search.seeds", "10"), ("chunk.target", "800")]
-
-
-@query("SELECT * FROM (VALUES ('search.maxEvidence', '20'), ('search.seeds', '5'), ('chunk.target', '800')) AS v(name, value)")
+@query("""WITH d AS (SELECT p_brand AS name, CAST(min(p_size) AS VARCHAR) AS def FROM part GROUP BY p_brand), a AS (SELECT p_type AS alias, min(p_brand) AS name FROM part GROUP BY p_type),
+    o AS (SELECT p_name AS name, CAST(p_partkey AS VARCHAR) AS value FROM part WHERE false UNION ALL SELECT p_brand, CAST(max(p_partkey) AS VARCHAR) FROM part WHERE p_brand LIKE '%1' GROUP BY p_brand UNION ALL SELECT p_type, CAST(max(p_size) AS VARCHAR) FROM part GROUP BY p_type)
+    SELECT d.name, coalesce(own.value, (SELECT min(o.value) FROM a JOIN o ON o.name = a.alias WHERE a.name = d.name), def) AS value FROM d LEFT JOIN o own ON own.name = d.name""")
 def effective_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    defaults = spark.createDataFrame(SETTINGS, "name string, default string")
-    aliases = spark.createDataFrame([("evidence", "search.maxEvidence"), ("seeds", "search.seeds")], "alias string, name string")
-    return control.effective_settings(defaults, aliases, spark.createDataFrame([("search.maxEvidence", "20"), ("evidence", "7"), ("seeds", "5")], "name string, value string"))
+    """Brands as settings, types as their old names."""
+    part = table(spark, sf_dir, "part")
+    defaults = part.groupBy(F.col("p_brand").alias("name")).agg(F.min("p_size").cast("string").alias("default"))
+    aliases = part.groupBy(F.col("p_type").alias("alias")).agg(F.min("p_brand").alias("name"))
+    own = part.where("p_brand like '%1'").groupBy(F.col("p_brand").alias("name")).agg(F.max("p_partkey").cast("string").alias("value"))
+    return control.effective_settings(defaults, aliases, own.unionByName(part.groupBy(F.col("p_type").alias("name")).agg(F.max("p_size").cast("string").alias("value"))))
+
+
+@query("""WITH x AS (SELECT c_custkey AS change_id, CASE c_custkey % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action, c_nationkey % 40 AS schema_id, 'n' || (c_nationkey % 40 + (c_custkey % 4 = 1)::INT) AS name, c_custkey % 2 AS version FROM customer),
+    s AS (SELECT n_nationkey AS schema_id, 'n' || n_nationkey AS name, n_regionkey % 2 AS version, n_nationkey % 6 = 0 AS used FROM nation WHERE n_nationkey < 20)
+    SELECT change_id, CASE WHEN action = 'CREATE' THEN CASE WHEN (x.name, x.version) IN (SELECT (name, version) FROM s) THEN 'ALREADY_EXISTS' END WHEN s.name IS NULL THEN 'NOT_FOUND' WHEN used THEN 'ACTIVE' WHEN action = 'UPDATE' AND (s.name <> x.name OR s.version <> x.version) THEN 'IDENTITY_CHANGED' END AS problem
+    FROM x LEFT JOIN s USING (schema_id) WHERE problem IS NOT NULL""")
+def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 40
+    changes = table(spark, sf_dir, "customer").select(k.alias("change_id"), F.when(k % 3 == 0, "CREATE").when(k % 3 == 1, "UPDATE").otherwise("DELETE").alias("action"), n.alias("schema_id"), F.concat(F.lit("n"), (n + (k % 4 == 1).cast("int")).cast("string")).alias("name"), (k % 2).cast("int").alias("version"))
+    nation = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    schemas = nation.select(F.col("n_nationkey").alias("schema_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), (F.col("n_regionkey") % 2).alias("version"))
+    return control.schema_change_violations(changes, schemas, nation.select(F.col("n_nationkey").alias("schema_id"), (F.col("n_nationkey") % 6 == 0).alias("active")))
+
+
+@query("SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'FAILED' ELSE 'INTERRUPTED' END AS status FROM orders")
+def restart_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("o_orderstatus")
+    return control.interrupted(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(s == "F", "FAILED").when(s == "O", "RUNNING").otherwise("QUEUED").alias("status")))
 
 
-@query("""SELECT doc_id, CASE WHEN upper(text) LIKE '%DELETE%' THEN 'DELETE' WHEN upper(text) LIKE '%SET%' THEN 'SET' WHEN upper(text) LIKE '%CALL%' THEN 'CALL' END AS keyword FROM documents""")
+@query("""SELECT doc_id, list_filter([CASE WHEN upper(text) LIKE '%DELETE%' THEN 'DELETE' END, CASE WHEN upper(text) LIKE '%SET%' THEN 'SET' END, CASE WHEN upper(text) LIKE '%CALL%' THEN 'CALL' END], lambda x: x IS NOT NULL) AS keywords FROM documents""")
 def forbidden_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", control.forbidden_keyword(F.col("text"), ["DELETE", "SET", "CALL"]).alias("keyword"))
+    return table(spark, sf_dir, "documents").select("doc_id", control.forbidden_keywords(F.col("text"), ["DELETE", "SET", "CALL"]).alias("keywords"))
 
 
 @query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'CANCELLED' WHEN sum(value) < 500 THEN 'NO_CONCRETE_GAP' WHEN count(*) < 60 THEN 'DEADLINE_RESERVE' ELSE 'RUN' END AS follow_up FROM events GROUP BY user_id""")
@@ -102,5 +120,5 @@ def run_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream over the event files, until all that is there is read; changed rows go to the shared folder."""
     stream = runs.current(runs.read_events(spark, f"{sf_dir.rstrip('/')}/events.parquet"), "user_id", "event_type", "ts", "event_id")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/run_status-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "run_status")
     return runs.settled(stream, "user_id", f"{folder}/rows", f"{folder}/log")
