@@ -68,7 +68,7 @@ def blank_to_null(c: Column) -> Column:
 
 def schema_keys(keys: DataFrame) -> DataFrame:
     """keys (label, keys: array of names) with trimmed names, each once, none blank; a null array is empty."""
-    names = F.array_distinct(F.transform(F.filter("keys", lambda k: blank_to_null(k).isNotNull()), F.trim))
+    names = F.array_distinct(F.transform(F.filter("keys", lambda k: blank_to_null(k).isNotNull()), lambda k: F.trim(k)))
     return keys.select("label", F.coalesce(names, F.array().cast("array<string>")).alias("keys"))
 
 
@@ -82,6 +82,11 @@ def sanitise_nodes(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return joined.withColumn("key_values", values).withColumn("drop_reason", reason)
 
 
+def _filled(key: Column, only: Column):
+    """The value of the k-th key: the given one, else that of the only node."""
+    return lambda k, i: F.coalesce(blank_to_null(F.element_at(key, k)), F.get(only, i))
+
+
 def sanitise_relationships(rels: DataFrame, nodes: DataFrame, triples: DataFrame, keys: DataFrame) -> DataFrame:
     """Adds from_values, to_values and drop_reason, the first that holds. Blank keys of an end are filled from the chunk's kept node of
     its label where there is exactly one.
@@ -98,8 +103,8 @@ def sanitise_relationships(rels: DataFrame, nodes: DataFrame, triples: DataFrame
         out = out.join(F.broadcast(defs.select(F.col("label").alias(f"{end}_label"), F.col("keys").alias(f"{end}_keys"))), f"{end}_label", "left")
         of_label = F.element_at("kept", F.col(f"{end}_label"))
         out = out.withColumn(f"{end}_nodes", of_label["sets"]).withColumn(f"{end}_only", F.when(of_label["n"] == 1, F.get(of_label["sets"], F.lit(0))))
-        given = F.transform(f"{end}_keys", lambda k, i, end=end: F.coalesce(blank_to_null(F.element_at(F.col(f"{end}_key"), k)), F.get(F.col(f"{end}_only"), i)))
-        out = out.withColumn(f"{end}_values", given)
+        key, only = F.col(f"{end}_key"), F.col(f"{end}_only")
+        out = out.withColumn(f"{end}_values", F.transform(f"{end}_keys", _filled(key, only)))
     out = out.join(F.broadcast(triples.withColumn("declared", F.lit(True))), ["kind", "from_label", "to_label"], "left")
     entries = lambda end: F.coalesce(F.size(F.map_keys(f"{end}_key")), F.lit(0))
     empty = lambda end: (entries(end) <= 0) & ~F.exists(f"{end}_values", lambda v: v.isNotNull())

@@ -68,7 +68,7 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {AUDIT_SQL}, j AS (SELECT c.*, p.id AS pid, coalesce(p.run = c.run AND p.revision = c.revision, false) AS same, (parent_id, c.id) IN (SELECT (parent, child) FROM e) AS linked FROM c LEFT JOIN c p ON p.kind = 'PARENT' AND p.document_id = c.document_id AND p.id = c.parent_id),
+@query(f"""WITH {AUDIT_SQL}, j AS (SELECT c.*, p.id AS pid, coalesce(p.run = c.run AND p.revision = c.revision, false) AS same, (c.parent_id, c.id) IN (SELECT (parent, child) FROM e) AS linked FROM c LEFT JOIN c p ON p.kind = 'PARENT' AND p.document_id = c.document_id AND p.id = c.parent_id),
     n AS (SELECT document_id, count(*) AS n_chunks, count_if(kind = 'PARENT') AS n_parents, count_if(kind = 'CHILD' AND parent_id IS NOT NULL) AS n_parented, count_if(kind = 'CHILD' AND parent_id IS NULL) AS n_unparented,
         count_if(kind = 'CHILD' AND parent_id IS NOT NULL AND pid IS NULL) AS n_orphans, count_if(kind = 'CHILD' AND pid IS NOT NULL AND NOT same) AS n_cross_scope, count_if(kind IS NULL OR kind NOT IN ('PARENT', 'CHILD')) AS n_unsupported,
         count_if(kind = 'PARENT' AND (parent_id IS NOT NULL OR child_index IS NOT NULL)) AS n_malformed, count_if(kind = 'CHILD' AND pid IS NOT NULL AND same AND NOT linked) AS n_missing_edges FROM j GROUP BY document_id),

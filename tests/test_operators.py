@@ -246,7 +246,7 @@ def test_identities(spark):
 
 def test_text_functions(spark):
     row = spark.createDataFrame([("workOrder due-date",)], "t string").select(text.normal_label(F.col("t")).alias("a"), text.normal_property(F.col("t")).alias("b"), text.normal_relationship(F.col("t")).alias("c"), text.key_properties(F.array(F.lit("name"), F.lit("orderId"), F.lit("zipCode"))).alias("k")).first()
-    assert (row.a, row.b, row.c, row.k) == ("WorkOrderDueDate", "workOrderDueDate", "WORK_ORDER_DUE_DATE", ["orderId"])
+    assert (row.a, row.b, row.c, row.k) == ("WorkOrderDueDate", "workOrderDueDate", "WORK_ORDER_DUE_DATE", ["orderId", "zipCode"])
     assert text.lexical_query("one") == "one"
     assert text.lexical_query("a+b c") == '("a\\+b c")^3 OR (a\\+b AND c)'
 
