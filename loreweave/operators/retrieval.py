@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed BM25 parameters, and the characters of a term.
-K1, B = 1.2, 0.75
+#: The characters of a term.
 TERM = "[a-z0-9à-öø-ÿß]+"
 
 
@@ -38,24 +37,6 @@ def lexical_all(chunks: DataFrame, query: list[str]) -> DataFrame:
     return chunks.where(F.size(F.array_except(F.array(*map(F.lit, query)), own)) == 0).select("chunk_id")
 
 
-def lexical(chunks: DataFrame, queries: list[tuple[str, list[str]]], most: int) -> DataFrame:
-    """BM25. Only the terms asked for leave the scan; lengths and totals are one pass of partial sums."""
-    asked = sorted({t for _, own in queries for t in own})
-    own = chunks.select("chunk_id", terms(F.col("text")).alias("terms"))
-    sizes = own.select("chunk_id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(asked)).alias("hit"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = sizes.where(F.size("hit") > 0).select("chunk_id", "dl", F.explode("hit").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = F.array(*(F.struct(F.lit(n).alias("subquery"), F.array(*map(F.lit, t)).alias("own")) for n, t in queries))
-    scored = tf.join(F.broadcast(df), "term")  # one row a term asked for
-    scored = scored.withColumn("n", totals.select("n").scalar()).withColumn("avgdl", totals.select("avgdl").scalar())
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.select("chunk_id", "term", part.alias("part"), F.explode(wanted).alias("q")).where(F.array_contains("q.own", F.col("term")))
-    hits = hits.groupBy("q.subquery", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    return ranked(hits, most, F.desc("score"), F.col("chunk_id"))
-
-
 def metadata(documents: DataFrame, most: int, **equal: str | None) -> DataFrame:
     """Documents whose columns equal the given values without regard to case (None: any), newest first. documents: document_id."""
     out = documents

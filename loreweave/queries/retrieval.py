@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.operators import answering, ranking, retrieval
+from loreweave.operators import answering, postings, ranking, retrieval
 from loreweave.queries import query
+from loreweave.sources.shared import shared_path
 from loreweave.sources.tables import table
 
 
@@ -67,7 +68,7 @@ def metadata_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.metadata(docs, 20, lang="De", source=None).select("document_id", "source", "rank")
 
 
-ASKED = [("a", ["the", "thing"]), ("b", ["ontion", "erth", "thble"]), ("c", ["und", "schau"])]
+ASKED = [("a", "The thing"), ("b", "ontion erth"), ("c", "und  der und"), ("d", "thble"), ("e", "to-of erth"), ("f", "nowhere thble"), ("g", "of the")]
 TERMS_SQL = "regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿß]+')"
 
 
@@ -77,17 +78,35 @@ def lexical_and_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_all(chunks, ["the", "thing"])
 
 
-@query(f"""WITH t AS (SELECT doc_id, {TERMS_SQL} AS own FROM documents),
-    s AS (SELECT count(*) AS n, avg(len(own)) AS avgdl FROM t),
-    tf AS (SELECT doc_id, len(own) AS dl, u.term, count(*) AS tf FROM t, unnest(own) AS u(term) WHERE u.term IN ('the', 'thing', 'ontion', 'erth', 'thble', 'und', 'schau') GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    q AS (SELECT * FROM (VALUES ('a', 'the'), ('a', 'thing'), ('b', 'ontion'), ('b', 'erth'), ('b', 'thble'), ('c', 'und'), ('c', 'schau')) AS v(subquery, term)),
-    h AS (SELECT subquery, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
-          FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL)
-    SELECT subquery, chunk_id, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY subquery ORDER BY score DESC, chunk_id) <= 20""")
+def lexical_sql(chunks: str, scope: str, most: int) -> str:
+    """Words all there, plus three times the phrase's score, over chunks (doc_id, own, kb, kind); ASKED as rows."""
+    rows = ", ".join(f"('{name}', {[w for w in postings.parsed(text)]})" for name, text in ASKED)
+    return f"""WITH c AS ({chunks}), s AS (SELECT count(*) AS n, sum(len(own)) / count(*) AS mean FROM c),
+    q AS (SELECT *, flatten(words) AS flat FROM (VALUES {rows}) v(subquery, words)),
+    p AS (SELECT subquery, unnest(range(1, len(words) + 1)) AS word, unnest(words) AS alternatives FROM q), parts AS (SELECT subquery, word, unnest(alternatives) AS term FROM p),
+    tf AS (SELECT doc_id, len(own) AS dl, kb, kind, own, u.term, count(*) AS tf FROM c, unnest(own) AS u(term) WHERE u.term IN (SELECT term FROM parts) GROUP BY ALL),
+    df AS (SELECT term, ln(1 + ((SELECT n FROM s) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+    m AS (SELECT subquery, doc_id, dl, own, sum(idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score, count(DISTINCT word) AS words_there FROM tf JOIN df USING (term) JOIN parts USING (term), s WHERE {scope} GROUP BY subquery, doc_id, dl, own),
+    f AS (SELECT subquery, doc_id, dl, score, words_there = len(words) AS all_there, CASE WHEN len(words) > 1 THEN len(list_filter(range(1, dl - len(flat) + 2), lambda i: own[i : i + len(flat) - 1] = flat)) ELSE 0 END AS phrases, (SELECT sum(idf) FROM parts JOIN df USING (term) WHERE parts.subquery = m.subquery) AS idf FROM m JOIN q USING (subquery)),
+    h AS (SELECT subquery, doc_id AS chunk_id, phrases, round(score + CASE WHEN phrases > 0 THEN 3 * idf * phrases / (phrases + 1.2 * (0.25 + 0.75 * dl / mean)) ELSE 0 END, 9) AS score FROM f, s WHERE all_there)
+    SELECT subquery, chunk_id, CAST(phrases AS INTEGER) AS phrases, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY subquery ORDER BY score DESC, chunk_id) <= {most}"""
+
+
+@query(lexical_sql(f"SELECT doc_id, {TERMS_SQL} AS own, NULL AS kb, NULL AS kind FROM documents", "true", 20))
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the texts for the terms asked for; words all there, phrases boosted, a word of several terms, single words."""
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return retrieval.lexical(chunks, ASKED, 20).select("subquery", "chunk_id", F.round("score", 6).alias("score"))
+    hits = postings.search(spark, postings.scan(chunks, ASKED), ASKED, 20)
+    return hits.select("subquery", "chunk_id", "phrases", F.round("score", 6).alias("score"))
+
+
+@query(lexical_sql(f"SELECT doc_id, {TERMS_SQL} AS own, 'kb' || (doc_id % 3) AS kb, CASE WHEN doc_id % 10 = 4 THEN 'PARENT' WHEN doc_id % 2 = 0 THEN 'CHILD' END AS kind FROM documents", "kb = 'kb1' AND coalesce(kind, 'CHILD') = 'CHILD'", 30))
+def lexical_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index, written, then asked within one knowledge base; parents do not come back."""
+    i = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").select(i.alias("chunk_id"), "text", F.concat(F.lit("kb"), (i % 3).cast("string")).alias("kb"), F.when(i % 10 == 4, "PARENT").when(i % 2 == 0, "CHILD").alias("kind"))
+    index = postings.build(chunks, shared_path(spark, "postings"))
+    return postings.search(spark, index, ASKED, 30, "kb1").select("subquery", "chunk_id", "phrases", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {CANDIDATES_SQL}
