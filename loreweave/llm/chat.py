@@ -19,7 +19,9 @@ conversation; very long texts are encoded whole; an empty table gives no rows; o
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,8 @@ from loreweave.llm.common import kept, text_of
 MARKS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
 _CONTROL = re.compile(r"(?:<\\*(?=/?s>|</?SYS>>)|\[\\*(?=/?INST\]|/?ROLE\]))")
 _ESCAPED = re.compile(r"(?:<\\+(?=/?s>|</?SYS>>)|\[\\+(?=/?INST\]|/?ROLE\]))")
+#: A byte-level vocabulary's pattern never joins a letter or sign with a space behind it; stretches between such places are encoded alone.
+_STRETCH = re.compile(" *[^ ]+(?:(?<![!-~\xa1-˿]) +[^ ]+)*(?: +\\Z)?| +\\Z")
 START, END, USER, USER_END, SYSTEM, SYSTEM_END, ROLE, ROLE_END = range(len(MARKS))
 
 
@@ -80,14 +84,24 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letters = {c: k for k, c in enumerate(_byte_characters())}
-        vocabulary = json.loads(self.tokenizer.to_str())["model"]["vocab"]
+        spec = json.loads(self.tokenizer.to_str())
+        vocabulary, split = spec["model"]["vocab"], spec.get("pre_tokenizer") or {}
+        self.by_stretch = split.get("type") == "ByteLevel" and split.get("use_regex", False) and not spec.get("normalizer")
+        self.known: dict[str, bytes] = {}
         self.first = 1 + max([*vocabulary.values(), *(int(k) for k in self.tokenizer.get_added_tokens_decoder())])
         self.bytes = [b""] * self.first
         for word, k in vocabulary.items():
             self.bytes[k] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], most: int = 400_000) -> list[np.ndarray]:
+        """The ids of each text; stretches met before, up to `most`, are looked up."""
+        if len(self.known) > most:
+            self.known.clear()
+        split = [_STRETCH.findall(t) if self.by_stretch else [t] for t in texts]
+        new = [x for x in dict.fromkeys(itertools.chain.from_iterable(split)) if x not in self.known]
+        made = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()
+        self.known.update((x, array("i", e.ids).tobytes()) for x, e in zip(new, made, strict=True))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in split]
 
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()

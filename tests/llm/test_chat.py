@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loreweave.llm import chat
 from loreweave.llm.queries import ORACLES, op12_format_chats, tokenizer_path
@@ -43,6 +44,17 @@ def test_turns_come_back(turns):
     assert not (ids[mask] >= own.first).any()
 
 
+def test_ids_are_those_of_whole_texts():
+    from tests.llm.test_alignment import ODD
+
+    own, whole = chat.coder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    whole.encode_special_tokens = True
+    texts = [t for t in ODD if t is not None]
+    texts += [t[::-1] for t in texts] + [" ".join(t) for t in texts[:12]]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_mask_by_sums():
     assert chat.mask_of(np.array([[1, 3], [3, 4], [5, 5]]), 6).tolist() == [False, True, True, True, False, False]
 
