@@ -133,24 +133,35 @@ def parent_outcome(child: str = "child", parent: str = "parent", edge: str = "ed
 
 
 def parent_contexts(candidates: DataFrame, chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """chunk_id, outcome, parent_id. candidates: chunk_id, document_id, kb, run, revision; chunks: id, document_id, kind, parent_id,
+    """The candidates (chunk_id, document_id, kb, run, revision) with outcome and parent_id. chunks: id, document_id, kind, parent_id,
     kb, run, revision; edges: parent, child. A null run or revision equals an empty one."""
     child, parent, edge = chunks.alias("child"), chunks.alias("parent"), edges.alias("edge")
     joined = candidates.alias("asked").join(child, F.col("chunk_id") == F.col("child.id"), "left").join(parent, F.col("child.parent_id") == F.col("parent.id"), "left")
     joined = joined.join(edge, (F.col("edge.parent") == F.col("parent.id")) & (F.col("edge.child") == F.col("child.id")), "left")
     outcome = parent_outcome()
-    return joined.select("chunk_id", outcome.alias("outcome"), F.when(outcome == "VALID_PARENT", F.col("parent.id")).alias("parent_id"))
+    return joined.select(*(f"asked.{c}" for c in ("chunk_id", "document_id", "kb", "run", "revision")), outcome.alias("outcome"), F.when(outcome == "VALID_PARENT", F.col("parent.id")).alias("parent_id"))
+
+
+def estimate(text: Column) -> Column:
+    """Tokens of a text: a quarter of its characters, rounded up, at least 1."""
+    return F.greatest(F.lit(1), F.floor((F.coalesce(F.length(text), F.lit(4)) + 3) / 4)).cast("long")
+
+
+#: Outcomes of a lookup after which a chunk's neighbours are its context.
+BESIDE = ("NO_PARENT", "PARENT_NOT_FOUND")
 
 
 def adjacent(contexts: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """chunk_id, first_index, last_index and context: the texts of the chunks at most k places away, joined by a blank line in order.
+    """chunk_id, first_index, last_index, context (the texts of the chunks at most k places away, joined by a blank line in order) and
+    tokens, the sum of their estimates.
 
     contexts: chunk_id, outcome; only children without a parent, or whose parent is missing, have adjacent chunks. chunks: id,
     document_id, kind, kb, run, revision, section, path, parent_id, chunk_index, text. Neighbours are children (or of no kind) of
     the same document, base, run and revision, and of the same section and path, or with the same missing parent. Each place asked
     for joins by document and index, so no document is compared with itself.
     """
-    asked = contexts.where(F.col("outcome").isin("NO_PARENT", "PARENT_NOT_FOUND")).select("chunk_id")
+    asked = contexts.where(F.col("outcome").isin(*BESIDE)).select("chunk_id")
+    asked = asked.distinct()
     child = chunks.drop("text").join(asked, F.col("id") == F.col("chunk_id"), "left_semi").withColumn("place", F.explode(F.sequence(F.col("chunk_index") - k, F.col("chunk_index") + k))).alias("c")
     near = chunks.where(F.col("kind").isNull() | (F.col("kind") == "CHILD")).alias("n")
     c, n = (lambda x: F.col(f"c.{x}")), (lambda x: F.col(f"n.{x}"))
@@ -159,24 +170,40 @@ def adjacent(contexts: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     joined = child.join(near, (n("document_id") == c("document_id")) & (n("chunk_index") == F.col("place")) & (n("kb") == c("kb")) & same("run") & same("revision") & beside)
     parts = joined.groupBy(c("id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct(n("chunk_index").alias("i"), n("text").alias("text")))).alias("parts"))
     index = F.transform("parts", lambda p: p["i"])
-    return parts.select("chunk_id", F.array_min(index).alias("first_index"), F.array_max(index).alias("last_index"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"))
+    return parts.select("chunk_id", F.array_min(index).alias("first_index"), F.array_max(index).alias("last_index"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("context"), F.aggregate(F.transform("parts", lambda p: estimate(p["text"])), F.lit(0).cast("long"), lambda a, t: a + t).alias("tokens"))
 
 
-def expanded(candidates: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 1, **budget: int) -> DataFrame:
-    """Parent expansion of a request's candidates: the parent lookup, neighbours where there is no parent, then the budgets.
+def expanded(candidates: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 1, evidence: int = 20, **budget: int) -> DataFrame:
+    """Parent expansion of many requests' candidates: the parent lookup, neighbours where there is no parent, then the budgets.
 
-    candidates: request, fused_rank and what parent_contexts takes; chunks as in adjacent. Gives request, fused_rank, chunk_id,
-    document_id, lookup, context_id, context, tokens, outcome. A group of neighbours is one context, named by its first child.
+    candidates: request, fused_rank, perhaps citation_kind, and what parent_contexts takes; chunks as in adjacent. Of a request, the
+    first `evidence` candidates that cite a text child (all that cite none of another kind, where there is no such column) are looked
+    up, each within its own base, document, run and revision: the same chunk may have a parent for one request and none for another.
+    Gives request, fused_rank, chunk_id, document_id, lookup, context_id, context, tokens, outcome (of candidates not looked up:
+    null); without a context the outcome is the lookup's. A group of neighbours is one context, named by its first child.
     """
-    looked = parent_contexts(candidates.select("chunk_id", "document_id", "kb", "run", "revision").distinct(), chunks, edges)
-    beside = adjacent(looked, chunks, k)
+    scope = ["chunk_id", "document_id", "kb", "run", "revision"]
+    text_child = F.col("citation_kind") == "TEXT_CHILD" if "citation_kind" in candidates.columns else F.lit(True)
+    place = F.row_number().over(Window.partitionBy("request", "child").orderBy("fused_rank", "chunk_id"))  # a request has a few hundred
+    marked = candidates.withColumn("child", F.coalesce(text_child, F.lit(False))).withColumn("asked", F.col("child") & (place <= evidence))
+    asked = marked.where("asked")
+    looked = parent_contexts(asked.select(*scope).distinct(), chunks, edges)
+    beside = adjacent(looked, chunks, k).select("chunk_id", "context", "tokens")
     text = chunks.select(F.col("id").alias("parent_id"), F.col("text").alias("parent_text"))
     found = looked.join(text, "parent_id", "left").join(beside, "chunk_id", "left")
-    context = F.coalesce("parent_text", "context")
-    named = F.when(F.col("parent_text").isNotNull(), F.col("parent_id").cast("string")).when(F.col("context").isNotNull(), F.concat(F.lit("beside:"), F.col("chunk_id").cast("string")))
-    found = found.select("chunk_id", F.col("outcome").alias("lookup"), named.alias("context_id"), context.alias("context"), F.coalesce(F.greatest(F.lit(1), F.floor((F.length(context) + 3) / 4)), F.lit(0)).cast("long").alias("tokens"))
-    rows = candidates.select("request", "fused_rank", "chunk_id", "document_id").join(found, "chunk_id")
-    return context_budget(rows, **budget)
+    alone = F.col("outcome").isin(*BESIDE)
+    context = F.when(alone, F.col("context")).otherwise(F.col("parent_text"))
+    named = F.when(alone, F.when(F.col("context").isNotNull(), F.concat(F.lit("beside:"), F.col("chunk_id").cast("string")))).otherwise(F.col("parent_id").cast("string"))
+    tokens = F.when(alone, F.col("tokens")).when(F.col("parent_id").isNotNull(), estimate(F.col("parent_text")))
+    found = found.select(*scope, F.col("outcome").alias("lookup"), named.alias("context_id"), context.alias("context"), F.coalesce(tokens, F.lit(0)).cast("long").alias("tokens"))
+    f, a = found.alias("f"), asked.alias("a")
+    same = F.col("a.chunk_id") == F.col("f.chunk_id")
+    for name in scope[1:]:
+        same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"f.{name}"))
+    rows = a.join(f, same).select("a.request", "a.fused_rank", "a.chunk_id", "a.document_id", "f.lookup", "f.context_id", "f.context", "f.tokens")
+    done = context_budget(rows, **budget).withColumn("outcome", F.when(F.col("outcome") == "NO_CONTEXT", F.col("lookup")).otherwise(F.col("outcome")))
+    rest = marked.where(~F.col("asked")).select("request", "fused_rank", "chunk_id", "document_id")
+    return done.unionByName(rest, allowMissingColumns=True)
 
 
 def context_budget(contexts: DataFrame, most: int = 8, per_document: int = 3, tokens: int = 4096, by: str = "request") -> DataFrame:

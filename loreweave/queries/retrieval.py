@@ -158,7 +158,7 @@ HIERARCHY_SQL = f"""
         WHEN p.kind <> 'PARENT' THEN 'PARENT_KIND' WHEN p.kb <> c.kb OR p.document_id <> c.document_id THEN 'PARENT_SCOPE' WHEN coalesce(p.run, '') <> coalesce(c.run, '') THEN 'PARENT_RUN'
         WHEN coalesce(p.revision, '') <> coalesce(c.revision, '') THEN 'PARENT_REVISION' WHEN e.child IS NULL THEN 'MEMBERSHIP' ELSE 'VALID_PARENT' END AS outcome
       FROM q LEFT JOIN chunks c ON q.chunk_id = c.id LEFT JOIN chunks p ON c.parent_id = p.id LEFT JOIN edges e ON e.parent = p.id AND e.child = c.id),
-    beside AS (SELECT c.id AS chunk_id, min(n.chunk_index) AS first_index, max(n.chunk_index) AS last_index, string_agg(n.text, chr(10) || chr(10) ORDER BY n.chunk_index, n.text) AS context
+    beside AS (SELECT c.id AS chunk_id, min(n.chunk_index) AS first_index, max(n.chunk_index) AS last_index, string_agg(n.text, chr(10) || chr(10) ORDER BY n.chunk_index, n.text) AS context, CAST(sum(greatest(1, (coalesce(length(n.text), 4) + 3) // 4)) AS BIGINT) AS tokens
       FROM o JOIN chunks c ON c.id = o.chunk_id JOIN chunks n ON n.document_id = c.document_id AND abs(n.chunk_index - c.chunk_index) <= 1 AND n.kb = c.kb AND coalesce(n.run, '') = coalesce(c.run, '') AND coalesce(n.revision, '') = coalesce(c.revision, '')
         AND (n.kind IS NULL OR n.kind = 'CHILD') AND ((c.parent_id IS NULL AND n.section = c.section AND coalesce(n.path, '') = coalesce(c.path, '')) OR n.parent_id = c.parent_id)
       WHERE o.outcome IN ('NO_PARENT', 'PARENT_NOT_FOUND') GROUP BY c.id)"""
@@ -188,7 +188,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 @query(f"WITH {HIERARCHY_SQL} SELECT chunk_id, outcome, CASE WHEN outcome = 'VALID_PARENT' THEN pid END AS parent_id FROM o")
 def parent_context_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, edges, asked = hierarchy(spark, sf_dir)
-    return ranking.parent_contexts(asked, chunks, edges)
+    return ranking.parent_contexts(asked, chunks, edges).select("chunk_id", "outcome", "parent_id")
 
 
 @query(f"WITH {HIERARCHY_SQL} SELECT * FROM beside")
@@ -207,17 +207,34 @@ BUDGET_SQL = """
         FROM f JOIN r ON r.request = f.request AND r.n = f.n + 1))"""
 
 
-@query(f"""WITH RECURSIVE {HIERARCHY_SQL},
-    c AS (SELECT q.document_id // 4 AS request, q.chunk_id AS fused_rank, q.chunk_id, q.document_id, o.outcome AS lookup, CASE WHEN p.text IS NOT NULL THEN CAST(p.id AS VARCHAR) WHEN context IS NOT NULL THEN 'beside:' || q.chunk_id END AS context_id,
-            CAST(coalesce(greatest(1, (length(coalesce(p.text, context)) + 3) // 4), 0) AS BIGINT) AS tokens
-          FROM q JOIN o USING (chunk_id) LEFT JOIN chunks p ON p.id = CASE WHEN outcome = 'VALID_PARENT' THEN pid END LEFT JOIN beside USING (chunk_id)),
+EXPANSION_SQL = f"""{HIERARCHY_SQL.replace(" q AS (", " q0 AS (", 1).replace("o AS (SELECT q.chunk_id, p.id AS pid,", """
+    turns2 AS (SELECT 2 * (document_id // 4) AS request, * FROM q0 UNION ALL SELECT 2 * (document_id // 4) + 1, chunk_id, document_id, CASE WHEN chunk_id % 3 = 0 THEN 'kb2' ELSE kb END, CASE WHEN chunk_id % 2 = 0 THEN 'run0' ELSE run END, CASE WHEN chunk_id % 5 = 0 THEN 'v0' ELSE revision END FROM q0 WHERE chunk_id % 4 > 0),
+    kinds AS (SELECT *, CASE WHEN chunk_id % 6 = 1 THEN 'GRAPH_PARENT' ELSE 'TEXT_CHILD' END AS citation_kind FROM turns2),
+    numbered AS (SELECT *, citation_kind = 'TEXT_CHILD' AND row_number() OVER (PARTITION BY request, citation_kind ORDER BY chunk_id) <= 12 AS asked FROM kinds),
+    q AS (SELECT DISTINCT chunk_id, document_id, kb, run, revision FROM numbered WHERE asked),
+    o AS (SELECT q.chunk_id, q.document_id, q.kb, q.run, q.revision, p.id AS pid,""", 1)},
+    c AS (SELECT n.request, n.chunk_id AS fused_rank, n.chunk_id, n.document_id, o.outcome AS lookup, CASE WHEN outcome = 'VALID_PARENT' THEN CAST(p.id AS VARCHAR) WHEN outcome IN ('NO_PARENT', 'PARENT_NOT_FOUND') AND context IS NOT NULL THEN 'beside:' || n.chunk_id END AS context_id,
+            CAST(coalesce(CASE WHEN outcome = 'VALID_PARENT' THEN greatest(1, (length(p.text) + 3) // 4) WHEN outcome IN ('NO_PARENT', 'PARENT_NOT_FOUND') THEN beside.tokens END, 0) AS BIGINT) AS tokens
+          FROM numbered n JOIN o ON n.asked AND o.chunk_id = n.chunk_id AND o.document_id IS NOT DISTINCT FROM n.document_id AND o.kb IS NOT DISTINCT FROM n.kb AND o.run IS NOT DISTINCT FROM n.run AND o.revision IS NOT DISTINCT FROM n.revision
+          LEFT JOIN chunks p ON p.id = CASE WHEN outcome = 'VALID_PARENT' THEN pid END LEFT JOIN beside ON beside.chunk_id = n.chunk_id)"""
+
+
+@query(f"""WITH RECURSIVE {EXPANSION_SQL},
     {BUDGET_SQL.format(tokens=120)}
-    SELECT f.request, f.chunk_id, c.lookup, c.context_id, c.tokens, f.outcome FROM f JOIN c USING (request, chunk_id) WHERE f.n > 0""")
+    SELECT f.request, f.chunk_id, c.lookup, c.context_id, c.tokens, CASE WHEN f.outcome = 'NO_CONTEXT' THEN c.lookup ELSE f.outcome END AS outcome FROM f JOIN c USING (request, chunk_id) WHERE f.n > 0
+    UNION ALL SELECT request, chunk_id, NULL, NULL, NULL, NULL FROM numbered WHERE NOT asked""")
 def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent lookup, neighbours and budgets in one plan, for many requests."""
+    """Parent lookup, neighbours and budgets in one plan. Two requests ask for the same chunks, the second in other bases, runs and
+    revisions, so the outcomes differ; some candidates cite no text child, and some lie beyond the first twelve."""
     chunks, edges, asked = hierarchy(spark, sf_dir)
-    rows = asked.withColumn("request", F.floor(F.col("document_id") / 4)).withColumn("fused_rank", F.col("chunk_id"))
-    return ranking.expanded(rows, chunks, edges, tokens=120).select("request", "chunk_id", "lookup", "context_id", "tokens", "outcome")
+    first = asked.withColumn("request", 2 * F.floor(F.col("document_id") / 4))
+    i = F.col("chunk_id")
+    second = asked.where(i % 4 > 0).select(
+        "chunk_id", "document_id", F.when(i % 3 == 0, "kb2").otherwise(F.col("kb")).alias("kb"), F.when(i % 2 == 0, "run0").otherwise(F.col("run")).alias("run"),
+        F.when(i % 5 == 0, "v0").otherwise(F.col("revision")).alias("revision"), (2 * F.floor(F.col("document_id") / 4) + 1).alias("request"),
+    )
+    rows = first.unionByName(second).withColumn("fused_rank", i).withColumn("citation_kind", F.when(i % 6 == 1, "GRAPH_PARENT").otherwise("TEXT_CHILD"))
+    return ranking.expanded(rows, chunks, edges, evidence=12, tokens=120).select("request", "chunk_id", "lookup", "context_id", "tokens", "outcome")
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT document_id AS request, id AS fused_rank, id AS chunk_id, chunk_index % 2 AS document_id, CAST(id // 2 AS VARCHAR) AS context_id, length(text) AS tokens FROM ({TURNS_SQL})),
