@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from loreweave.functions import canonical
 from loreweave.operators.control import latest
 
 
@@ -67,3 +69,48 @@ def held_out(documents: DataFrame, contributing: DataFrame) -> DataFrame:
 def contributing_sources(drafts: DataFrame, aggregates: DataFrame, results: DataFrame, revisions: DataFrame) -> DataFrame:
     """draft_id, source_id, sha256 along draft, aggregate, result and source revision, each once."""
     return drafts.join(aggregates, "aggregate_id").join(results, "aggregate_id").join(revisions, "revision_id").select("draft_id", "source_id", "sha256").distinct()
+
+
+def semantic_key(kind: Column, coordinate: Column, alternatives: Column) -> Column:
+    """What makes conflicts of different revisions the same: type, coordinate and the set of alternatives, whatever their order or
+    spelling. alternatives: JSON texts."""
+    own = F.array_sort(F.array_distinct(F.transform(alternatives, canonical.canonical)))
+    identity = F.struct(own.alias("alternatives"), coordinate.alias("coordinate"), kind.alias("type"))
+    return canonical.fingerprint(canonical.canonical_value(identity))
+
+
+def valid_resolution(alternatives: Column, selected: Column, custom: Column) -> Column:
+    """Exactly one of a selected alternative, which is among them, and a custom one that says something."""
+    plain = F.transform(alternatives, lambda a: F.coalesce(F.try_variant_get(F.try_parse_json(a), "$", "string"), a))
+    written = canonical.canonical(custom)
+    text = F.try_variant_get(F.try_parse_json(custom), "$", "string")
+    said = F.coalesce(written.isNotNull() & ~written.isin("null", "{}", "[]") & ~(written.startswith('"') & F.coalesce(text.rlike(r"^\s*$"), F.lit(False))), F.lit(False))
+    chosen = F.coalesce(F.array_contains(plain, selected), F.lit(False))
+    return F.when(selected.isNotNull() & custom.isNull(), chosen).when(selected.isNull() & custom.isNotNull(), said).otherwise(F.lit(False))
+
+
+def carried(conflicts: DataFrame) -> DataFrame:
+    """Conflicts along the revisions of their drafts, each unresolved one with the resolution that its like had last.
+
+    conflicts: conflict_id, draft_id, revision (a number that grows), type, coordinate, alternatives (array of JSON texts), resolved,
+    selected, custom (JSON text), resolved_at, created_at, perhaps semantic_key (blank: derived). Of the resolved conflicts of one key
+    the latest revision's counts, in it the one resolved, then created last, then the smallest id; if its resolution does not hold for
+    the conflict, nothing is carried. Adds semantic_key, carried; resolved, selected and custom (canonical) are as they are then.
+
+    What is carried on becomes history itself, but never differs from what was resolved by hand before it, so one ordered pass over the
+    revisions of each key gives the fold. A revision's conflicts are summed up to one row a key first.
+    """
+    derived = semantic_key(F.col("type"), F.col("coordinate"), F.col("alternatives"))
+    known = F.when(~F.col("semantic_key").rlike(r"^\s*$"), F.col("semantic_key")) if "semantic_key" in conflicts.columns else F.lit(None).cast("string")
+    rows = conflicts.withColumn("semantic_key", F.coalesce(known, derived))
+    keys = ["draft_id", "semantic_key"]
+    later = lambda c: F.coalesce(-F.unix_micros(c), F.lit((1 << 63) - 1))
+    order = F.when(F.col("resolved"), F.struct(later("resolved_at"), later("created_at"), "conflict_id"))
+    per = rows.groupBy(*keys, "revision").agg(F.min_by(F.struct("selected", "custom"), order).alias("own"))
+    before = F.last("own", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("revision").rowsBetween(Window.unboundedPreceding, -1))
+    past = per.withColumn("past", before).select(*keys, "revision", "past")
+    out = rows.join(past, [*keys, "revision"], "left")
+    holds = ~F.col("resolved") & F.coalesce(valid_resolution(F.col("alternatives"), F.col("past.selected"), F.col("past.custom")), F.lit(False))
+    out = out.withColumn("carried", holds)
+    value = lambda c: F.when(F.col("carried"), F.col(f"past.{c}")).otherwise(F.col(c))
+    return out.withColumn("selected", value("selected")).withColumn("custom", F.when(F.col("carried") & F.col("past.custom").isNotNull(), canonical.canonical(F.col("past.custom"))).otherwise(value("custom"))).withColumn("resolved", F.col("resolved") | F.col("carried")).drop("past")

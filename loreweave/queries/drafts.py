@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreweave.functions import canonical
 from loreweave.operators import control, drafts, graph, ranking, results
 from loreweave.queries import query
 from loreweave.queries.discovery import MERGED_SQL, candidates
@@ -183,3 +184,58 @@ def current_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draft's running run, else its newest."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("draft_id"), F.col("o_orderkey").alias("run_id"), (F.col("o_orderstatus") == "O").alias("running"))
     return control.latest(rows, ["draft_id"], "running", "run_id").select("draft_id", "run_id")
+
+
+CONFLICT_SQL = """
+    c AS (SELECT 'c' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS conflict_id, CAST(l_suppkey AS VARCHAR) AS draft_id, l_orderkey % 40 AS revision, CASE WHEN l_linenumber % 2 = 0 THEN 'PROPERTY_TYPE' ELSE 'IDENTITY_KEY' END AS type,
+        CASE WHEN l_linenumber = 7 THEN NULL ELSE 'node:' || l_linenumber END AS coordinate, l_returnflag = 'R' AS resolved, l_shipdate AS resolved_at, l_shipdate - INTERVAL 1 DAY AS created_at,
+        CASE WHEN l_returnflag = 'R' AND l_partkey % 3 > 0 THEN CASE WHEN l_partkey % 7 = 0 THEN 'other' ELSE 'a' END END AS selected, CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN CASE WHEN l_partkey % 2 = 0 THEN '{"y": 1, "x": ' || l_partkey || '}' ELSE '" "' END END AS custom FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {CONFLICT_SQL},
+    k AS (SELECT *, dense_rank() OVER (ORDER BY draft_id, type, coordinate) AS key FROM c),
+    per AS (SELECT key, revision, first(struct_pack(selected := selected, custom := custom) ORDER BY resolved_at DESC, created_at DESC, conflict_id) FILTER (resolved) AS own FROM k GROUP BY key, revision),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY revision) AS n FROM per),
+    fold AS (SELECT key, n, revision, CAST(NULL AS STRUCT(selected VARCHAR, custom VARCHAR)) AS past, own AS state FROM n WHERE n = 1
+      UNION ALL SELECT n.key, n.n, n.revision, state, coalesce(n.own, state) FROM fold JOIN n ON n.key = fold.key AND n.n = fold.n + 1),
+    j AS (SELECT k.*, past, NOT resolved AND coalesce(CASE WHEN past.custom IS NULL THEN past.selected IN ('a', 'b') ELSE past.custom <> '" "' END, false) AS carried FROM k JOIN fold USING (key, revision))
+    SELECT conflict_id, resolved OR carried AS resolved, carried, CASE WHEN carried THEN past.selected ELSE selected END AS selected,
+        CASE WHEN carried THEN regexp_replace(past.custom, '\\{{"y": 1, "x": (.*)\\}}', '{{"x":\\1,"y":1}}') ELSE custom END AS custom FROM j""")
+def carried_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolutions carried along the revisions of a draft; alternatives in either order are the same conflict."""
+    n, part, order, back = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_returnflag") == "R"
+    custom = F.when(part % 2 == 0, F.concat(F.lit('{"y": 1, "x": '), part.cast("string"), F.lit("}"))).otherwise('" "')
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("c"), F.concat_ws("-", order, n, part)).alias("conflict_id"), F.col("l_suppkey").cast("string").alias("draft_id"), (order % 40).alias("revision"), F.when(n % 2 == 0, "PROPERTY_TYPE").otherwise("IDENTITY_KEY").alias("type"),
+        F.when(n != 7, F.concat(F.lit("node:"), n.cast("string"))).alias("coordinate"), F.when(part % 2 == 0, F.array(F.lit('"a"'), F.lit('"b"'))).otherwise(F.array(F.lit(' "b"'), F.lit('"\\u0061"'))).alias("alternatives"), back.alias("resolved"),
+        F.col("l_shipdate").cast("timestamp").alias("resolved_at"), (F.col("l_shipdate").cast("timestamp") - F.expr("interval 1 day")).alias("created_at"),
+        F.when(back & (part % 3 > 0), F.when(part % 7 == 0, "other").otherwise("a")).alias("selected"), F.when(back & (part % 3 == 0), custom).alias("custom"),
+    )
+    return drafts.carried(rows).select("conflict_id", "resolved", "carried", "selected", "custom")
+
+
+@query(r"""SELECT event_id, '{"k":{"Z":[1,{"b":null,"y":"v' || event_id || '"}],"a":{"n":' || user_id || '}},"type":"' || event_type || '"}' AS canonical,
+    sha256('{"k":{"Z":[1,{"b":null,"y":"v' || event_id || '"}],"a":{"n":' || user_id || '}},"type":"' || event_type || '"}') AS fingerprint FROM events""")
+def canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels, keys in any order, white space and escapes: one text, one fingerprint."""
+    e, u, t = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    one = F.concat(F.lit('{"type": "'), t, F.lit('", "k": {"a": {"n": '), u, F.lit('}, "Z": [1.0, {"y": "v'), e, F.lit('", "b": null}]}}'))
+    two = F.concat(F.lit('{"k":{"Z":[1,{"b":null,"y":"\u0076'), e, F.lit('"}],"a":{"n":'), u, F.lit('}},\n"type":"'), t, F.lit('"}'))
+    text = canonical.canonical(F.when(F.col("event_id") % 2 == 0, one).otherwise(two))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("canonical"), canonical.fingerprint(text).alias("fingerprint"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS o, o_custkey AS c, o_orderstatus AS s, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey),
+    n AS (SELECT *, '{"_type":"node","elementId":"' || c || '","id":' || c || ',"labels":["Customer"],"properties":{"name":"' || name || '"}}' AS customer, '{"_type":"node","elementId":"' || o || '","id":' || o || ',"labels":["Order","Paid"],"properties":{"note":null,"status":"' || s || '"}}' AS placed,
+        '{"_type":"relationship","elementId":"' || o || '","endNodeElementId":"' || o || '","id":' || o || ',"properties":{},"startNodeElementId":"' || c || '","type":"PLACED"}' AS rel FROM o)
+    SELECT o AS id, '{"found":[' || customer || ',' || placed || '],"named":{"first":{"_type":"path","length":1,"nodes":[' || customer || ',' || placed || '],"relationships":[' || rel || ']}},"none":null}' AS value FROM n""")
+def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, relationships and paths inside lists and maps, tagged at every level, as one VARIANT."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    properties = lambda *c: F.to_variant_object(F.struct(*c))
+    customer = canonical.node_value(F.col("o_custkey"), F.array(F.lit("Customer")), properties(F.col("c_name").alias("name")))
+    placed = canonical.node_value(F.col("o_orderkey"), F.array(F.lit("Order"), F.lit("Paid")), properties(F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("note")))
+    rel = canonical.relationship_value(F.col("o_orderkey"), F.lit("PLACED"), F.col("o_custkey"), F.col("o_orderkey"), F.parse_json(F.lit("{}")))
+    path = canonical.path_value(F.array(customer, placed), F.array(rel))
+    value = F.struct(F.create_map(F.lit("first"), path).alias("named"), F.array(customer, placed).alias("found"), F.lit(None).cast("string").alias("none"))
+    return orders.select(F.col("o_orderkey").alias("id"), canonical.canonical_value(value).alias("value"))
