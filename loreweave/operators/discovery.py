@@ -6,19 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What makes candidates one variant; columns that a table lacks are the same for all its rows.
+VARIANT = ("kind", "identity", "type", "keys", "relationship", "from_label", "to_label")
+
+
+def _variant(candidates: DataFrame) -> list[str]:
+    return [c for c in VARIANT if c in candidates.columns]
+
+
 def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """One row per (kind, identity, type). candidates: kind, identity, type, source, document (nullable), origin, confidence.
+    """One row per variant. candidates: kind, identity, type, source, document (nullable), origin, confidence, perhaps keys (array),
+    relationship, from_label and to_label: nodes with other keys and relationships with other ends are other variants.
 
     support counts independent sources: a document once, however many sources quote it.
     """
     independent = F.coalesce(F.concat(F.lit("document:"), F.col("document").cast("string")), F.col("source"))
-    return candidates.groupBy("kind", "identity", "type").agg(
+    return candidates.groupBy(*_variant(candidates)).agg(
         F.max("confidence").alias("confidence"),
         F.array_sort(F.collect_set("origin")).alias("origins"),
         F.count_distinct(independent).alias("support"),
     )
 
 
+def united_evidence(candidates: DataFrame) -> DataFrame:
+    """A row per variant and piece of evidence (source, chunk, document; columns that are there), with all its origins in order. Rows
+    instead of lists, since a variant may be seen everywhere."""
+    own = [c for c in ("source", "chunk", "document") if c in candidates.columns]
+    return candidates.groupBy(*_variant(candidates), *own).agg(F.array_sort(F.collect_set("origin")).alias("origins"))
+
+
 def review_state(merged: DataFrame, excluded: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Adds review_state; excluded: identity; conflicts: identity. Both are short lists of a schema draft."""
     marked = merged.join(F.broadcast(excluded.select("identity", F.lit(True).alias("gone"))), "identity", "left").join(F.broadcast(conflicts.select("identity", F.lit(True).alias("split")).distinct()), "identity", "left")

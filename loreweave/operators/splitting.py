@@ -183,7 +183,9 @@ def parents(chunks: list[Chunk], limits: Limits, count: Callable[[str], int] = u
     runs: list[list[int]] = []
     rulers: dict[int, Ruler] = {}
     for k, chunk in enumerate(chunks):
-        ruler = rulers.setdefault(id(chunk.section), Ruler(chunk.section.text, count))
+        ruler = rulers.get(id(chunk.section))
+        if ruler is None:  # one for a section, whatever the number of its chunks
+            ruler = rulers[id(chunk.section)] = Ruler(chunk.section.text, count)
         head = chunks[runs[-1][0]] if runs else None
         same = head is not None and head.section is chunk.section and (not head.path or not chunk.path or head.path == chunk.path)
         if same and chunk.end - head.start <= limits.parent_characters and ruler.tokens(head.start, chunk.end) <= limits.parent_tokens:

@@ -29,6 +29,22 @@ def discovery_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.merge_candidates(candidates(spark, sf_dir))
 
 
+KEYED_SQL = """
+    k AS (SELECT 'NODE_KEY' AS kind, 'Order' || (l_linenumber % 3) AS identity, 'KEY' AS type, CASE WHEN l_partkey % 2 = 0 THEN ['id'] ELSE ['code', 'id'] END AS keys, 's' || (l_suppkey % 5) AS source, CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey % 50 END AS document, l_returnflag AS origin, l_quantity AS confidence FROM lineitem)"""
+
+
+@query(f"""WITH {KEYED_SQL}, e AS (SELECT kind, identity, type, keys, source, document, list_sort(list(DISTINCT origin)) AS origins FROM k GROUP BY ALL)
+    SELECT identity, array_to_string(keys, ',') AS keys, (SELECT max(confidence) FROM k WHERE k.identity = e.identity AND k.keys = e.keys) AS confidence, count(*) AS evidence, max(len(origins)) AS most_origins, count(DISTINCT coalesce('document:' || document, source)) AS support FROM e GROUP BY identity, keys""")
+def discovery_merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a node in two spellings are two variants, each with its own united evidence."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.lit("NODE_KEY").alias("kind"), F.concat(F.lit("Order"), (F.col("l_linenumber") % 3).cast("string")).alias("identity"), F.lit("KEY").alias("type"), F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit("id"))).otherwise(F.array(F.lit("code"), F.lit("id"))).alias("keys"),
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 5).cast("string")).alias("source"), F.when(F.col("l_orderkey") % 4 > 0, F.col("l_orderkey") % 50).alias("document"), F.col("l_returnflag").alias("origin"), F.col("l_quantity").alias("confidence"),
+    )
+    evidence = discovery.united_evidence(rows).groupBy("identity", "keys").agg(F.count("*").alias("evidence"), F.max(F.size("origins")).cast("long").alias("most_origins"))
+    return discovery.merge_candidates(rows).join(evidence, ["identity", "keys"]).select("identity", F.array_join("keys", ",").alias("keys"), "confidence", "evidence", "most_origins", "support")
+
+
 @query(f"WITH {CANDIDATES_SQL} SELECT identity, list_sort(list(DISTINCT type)) AS alternatives FROM c GROUP BY identity HAVING count(DISTINCT type) > 1")
 def discovery_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.property_conflicts(candidates(spark, sf_dir))

@@ -50,12 +50,12 @@ def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     facts AS (SELECT request, chunk_id, list_sort(list(DISTINCT CAST(fact_id AS VARCHAR))) AS facts FROM taken WHERE yes GROUP BY request, chunk_id),
     docs AS (SELECT request, chunk_id, min(document_id) AS document_id FROM (SELECT request, chunk_id, document_id FROM good UNION ALL SELECT request, chunk_id, document_id FROM taken WHERE yes AND (request, chunk_id) NOT IN (SELECT (request, chunk_id) FROM good)) GROUP BY ALL),
     s AS (SELECT request, chunk_id, round(sum(term), 12) AS score FROM terms GROUP BY request, chunk_id)
-    SELECT request, chunk_id, length(document_id) AS document, score, coalesce(facts, []) AS facts, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, chunk_id) AS INTEGER) AS fused_rank
+    SELECT request, chunk_id, document_id, score, coalesce(facts, []) AS facts, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, chunk_id) AS INTEGER) AS fused_rank
     FROM s LEFT JOIN facts USING (request, chunk_id) LEFT JOIN docs USING (request, chunk_id) QUALIFY fused_rank <= 10""")
 def fusion_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, graph = found(spark, sf_dir)
     out = ranking.fuse(text, {"DENSE": 2.0}, pool=10, per_branch=5, graph=graph, derived=4, by=("request",))
-    return out.select("request", "chunk_id", F.length("document_id").alias("document"), "score", "facts", "fused_rank")
+    return out.select("request", "chunk_id", "document_id", "score", "facts", "fused_rank")
 
 
 @query(f"""WITH {FOUND_SQL}

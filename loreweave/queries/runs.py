@@ -75,14 +75,14 @@ def effective_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.effective_settings(defaults, aliases, own.unionByName(part.groupBy(F.col("p_type").alias("name")).agg(F.max("p_size").cast("string").alias("value"))))
 
 
-@query("""WITH x AS (SELECT c_custkey AS change_id, CASE c_custkey % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action, c_nationkey % 40 AS schema_id, 'n' || (c_nationkey % 40 + (c_custkey % 4 = 1)::INT) AS name, c_custkey % 2 AS version FROM customer),
-    s AS (SELECT n_nationkey AS schema_id, 'n' || n_nationkey AS name, n_regionkey % 2 AS version, n_nationkey % 6 = 0 AS used FROM nation WHERE n_nationkey < 20)
+@query("""WITH x AS (SELECT c_custkey AS change_id, CASE c_custkey % 3 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS action, c_nationkey + CASE WHEN c_custkey % 7 = 2 THEN 40 ELSE 0 END AS schema_id, 'n' || (c_nationkey + CASE WHEN c_custkey % 7 = 2 THEN 40 ELSE 0 END + (c_custkey % 4 = 1)::INT) AS name, c_custkey % 2 AS version FROM customer),
+    s AS (SELECT n_nationkey AS schema_id, 'n' || n_nationkey AS name, n_regionkey % 2 AS version, n_nationkey % 6 = 0 AS used FROM nation)
     SELECT change_id, CASE WHEN action = 'CREATE' THEN CASE WHEN (x.name, x.version) IN (SELECT (name, version) FROM s) THEN 'ALREADY_EXISTS' END WHEN s.name IS NULL THEN 'NOT_FOUND' WHEN used THEN 'ACTIVE' WHEN action = 'UPDATE' AND (s.name <> x.name OR s.version <> x.version) THEN 'IDENTITY_CHANGED' END AS problem
     FROM x LEFT JOIN s USING (schema_id) WHERE problem IS NOT NULL""")
 def schema_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, n = F.col("c_custkey"), F.col("c_nationkey") % 40
+    k, n = F.col("c_custkey"), F.col("c_nationkey") + F.when(F.col("c_custkey") % 7 == 2, 40).otherwise(0)
     changes = table(spark, sf_dir, "customer").select(k.alias("change_id"), F.when(k % 3 == 0, "CREATE").when(k % 3 == 1, "UPDATE").otherwise("DELETE").alias("action"), n.alias("schema_id"), F.concat(F.lit("n"), (n + (k % 4 == 1).cast("int")).cast("string")).alias("name"), (k % 2).cast("int").alias("version"))
-    nation = table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    nation = table(spark, sf_dir, "nation")
     schemas = nation.select(F.col("n_nationkey").alias("schema_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), (F.col("n_regionkey") % 2).alias("version"))
     return control.schema_change_violations(changes, schemas, nation.select(F.col("n_nationkey").alias("schema_id"), (F.col("n_nationkey") % 6 == 0).alias("active")))
 
