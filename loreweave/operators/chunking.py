@@ -235,6 +235,29 @@ def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
+def document_chunks(chunks: DataFrame, document_id, document: str = "document_id") -> DataFrame:
+    """A document's chunks in their order; the filter reaches the scan."""
+    return chunks.where(F.col(document) == document_id).orderBy("chunk_index", "id")
+
+
+def flat_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks outside any hierarchy: of no kind, or children without a parent."""
+    return chunks.where(F.col("parent_id").isNull() & (F.col("kind").isNull() | (F.col("kind") == "CHILD")))
+
+
+def parent_page(chunks: DataFrame, number: int, size: int, document: str = "document_id") -> DataFrame:
+    """A page of parents by document and place, each with the number of its children. Children are counted for the page's parents alone."""
+    own = page(chunks.where("kind = 'PARENT'"), number, size, document, "chunk_index", "id")
+    counts = chunks.where("kind = 'CHILD'").join(F.broadcast(own.select(F.col("id").alias("parent_id"))), "parent_id", "left_semi").groupBy("parent_id").agg(F.count("*").alias("children"))
+    return own.join(counts.withColumnRenamed("parent_id", "id"), "id", "left").withColumn("children", F.coalesce("children", F.lit(0).cast("long")))
+
+
+def flat_counts(chunks: DataFrame, document: str = "document_id") -> DataFrame:
+    """Per document: flat chunks, those of all kinds, and whether the document is flat."""
+    flat = F.col("parent_id").isNull() & (F.col("kind").isNull() | (F.col("kind") == "CHILD"))
+    return chunks.groupBy(document).agg(F.count_if(flat).alias("flat"), F.count("*").alias("chunks")).withColumn("is_flat", F.col("flat") == F.col("chunks"))
+
+
 def migration_state(documents: DataFrame, chunks: DataFrame, revision: str, document: str = "doc_id") -> DataFrame:
     """Per document: NO_CHUNKS, OUTDATED or CURRENT by its chunks' revisions."""
     seen = chunks.groupBy(document).agg(F.count("*").alias("n"), F.count_if(~F.col("revision").eqNullSafe(F.lit(revision))).alias("old"))

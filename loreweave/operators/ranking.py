@@ -98,8 +98,12 @@ def text_rounds(*rounds: DataFrame) -> DataFrame:
     return out
 
 
-def diversify(ranking: DataFrame, per_document: int, most: int, rank: str = "fused_rank") -> DataFrame:
-    """In rank order, at most per_document rows of a document and `most` in all; a skipped row never affects others."""
+def diversify(ranking: DataFrame, per_document: int, most: int, rank: str = "fused_rank", comparison: bool = False) -> DataFrame:
+    """In rank order, at most per_document rows of a document and `most` in all; a skipped row never affects others. A question that
+    compares documents lifts the cap: `most` rows, whatever their documents."""
+    if not 1 <= most <= 20 or per_document < 1:
+        raise ValueError("1 to 20 rows, at least one of a document")
+    per_document = most if comparison else per_document
     place = F.row_number().over(Window.partitionBy("document_id").orderBy(rank))
     return ranking.withColumn("place", place).where(F.col("place") <= per_document).orderBy(rank).limit(most).drop("place")
 

@@ -46,6 +46,21 @@ def metadata(documents: DataFrame, most: int, **equal: str | None) -> DataFrame:
     return ranked(out.withColumn("subquery", F.lit("")), most, F.desc("document_id"))
 
 
+def owned_chunks(chunks: DataFrame, documents: DataFrame, kb: str, most: int) -> DataFrame:
+    """The first `most` chunks, by id, of the given documents (document_id, by a request's filter) of a knowledge base; each scores 1.
+    chunks: chunk_id, document_id, kb, perhaps kind (parents are left out). Documents are joined by their id, however many."""
+    own = chunks.where(F.col("kb") == kb)
+    own = own.where(F.col("kind").isNull() | (F.col("kind") == "CHILD")) if "kind" in chunks.columns else own
+    hits = own.join(documents.select("document_id").distinct(), "document_id", "left_semi").select(F.lit("").alias("subquery"), "chunk_id", "document_id", F.lit(1.0).alias("score"))
+    return ranked(hits, most, F.col("chunk_id"))
+
+
+def metadata_chunks(documents: DataFrame, chunks: DataFrame, kb: str, most_documents: int, most: int, **equal: str | None) -> DataFrame:
+    """The metadata branch down to chunks: the newest documents whose columns equal the given values, then their chunks."""
+    found = metadata(documents.where(F.col("kb") == kb), most_documents, **equal)
+    return owned_chunks(chunks, found, kb, most)
+
+
 def incompatible(chunks: DataFrame, space: str, tokenizer: str) -> DataFrame:
     """Embedded chunks of another space or tokenizer; compatible if empty."""
     return chunks.where(F.col("embedding").isNotNull() & (~F.col("embedding_space_id").eqNullSafe(F.lit(space)) | ~F.col("tokenizer_id").eqNullSafe(F.lit(tokenizer))))

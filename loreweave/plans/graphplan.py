@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOPS = 2
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 #: Comparison operators, aggregate functions, and the type names that take a literal kind.
 OPERATORS = ("=", "<>", ">", ">=", "<", "<=", "IN", "CONTAINS", "STARTS WITH")
 AGGREGATES = ("COUNT", "COUNT_DISTINCT", "SUM", "AVERAGE", "MINIMUM", "MAXIMUM")
@@ -139,6 +140,9 @@ def validate(plan: GraphPlan, schema: Schema | None, most: int = 200) -> list[st
     if len(plan.hops) > MAX_HOPS:
         out.append("hops.limit-exceeded")
     for hop in plan.hops[:MAX_HOPS]:
+        if not all(isinstance(x, str) and IDENTIFIER.fullmatch(x) for x in (hop.kind, hop.target)) or not isinstance(hop.incoming, bool):
+            out.append("hop.invalid")
+            continue
         rel, target = schema.relationship(hop.kind), schema.node(hop.target)
         if rel is None or target is None:
             out.append("hop.schema-mismatch")
@@ -154,9 +158,13 @@ def validate(plan: GraphPlan, schema: Schema | None, most: int = 200) -> list[st
         if isinstance(part, Junction):
             if len(part.parts) < 2:
                 out.append("filter.junction-invalid")
+                return
             for x in part.parts:
                 check(x)
             return
+        if not isinstance(part, Compare):
+            out.append("filter.variant-unsupported")
+            return
         kind = property_type(part.node, part.name)
         if kind is None:
             out.append("filter.property-unknown")

@@ -105,6 +105,33 @@ def flat_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page(audited(spark, sf_dir).where("kind = 'CHILD' and parent_id is null").select("document_id", "id"), 1, 25, "id")
 
 
+@query(f"""WITH {AUDIT_SQL}, p AS (SELECT * FROM c WHERE kind = 'PARENT' ORDER BY document_id, id LIMIT 8 OFFSET 8)
+    SELECT document_id, id, (SELECT count(*) FROM c x WHERE x.kind = 'CHILD' AND x.parent_id = p.id) AS children FROM p""")
+def parent_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.parent_page(audited(spark, sf_dir).withColumn("chunk_index", F.col("id")), 1, 8).select("document_id", "id", "children")
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT document_id, count_if(parent_id IS NULL AND coalesce(kind, 'CHILD') = 'CHILD') AS flat, count(*) AS chunks, count_if(parent_id IS NULL AND coalesce(kind, 'CHILD') = 'CHILD') = count(*) AS is_flat FROM c GROUP BY document_id""")
+def flat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.flat_counts(audited(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id, count(*) AS n, count_if(quality = 0) AS old FROM labels GROUP BY doc_id),
+    s AS (SELECT doc_id, CASE WHEN n IS NULL THEN 'NO_CHUNKS' WHEN old > 0 THEN 'OUTDATED' ELSE 'CURRENT' END AS state FROM documents LEFT JOIN c USING (doc_id)),
+    w AS (SELECT DISTINCT item_id * 7 AS doc_id FROM benchmark UNION SELECT DISTINCT -item_id - 1 FROM benchmark),
+    r AS (SELECT doc_id FROM documents WHERE doc_id % 5 = 0),
+    m AS (SELECT 'ALL' AS mode, doc_id, state FROM s WHERE state <> 'NO_CHUNKS' UNION ALL SELECT 'OUTDATED_STRATEGY', doc_id, state FROM s WHERE state = 'OUTDATED' UNION ALL SELECT 'DOCUMENT_IDS', doc_id, state FROM w LEFT JOIN s USING (doc_id))
+    SELECT mode, doc_id, state, CASE WHEN state IS NULL THEN 'NOT_FOUND' WHEN state = 'NO_CHUNKS' THEN 'NO_CHUNKS' WHEN doc_id IN (SELECT doc_id FROM r) THEN 'RUNNING' END AS blocker FROM m""")
+def migration_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mode of a migration takes, and what keeps it from starting."""
+    states, item = migration_classification(spark, sf_dir), F.col("item_id")
+    benchmark = table(spark, sf_dir, "benchmark")
+    wanted = benchmark.select((item * 7).alias("doc_id")).union(benchmark.select(-item - 1))
+    running = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id")
+    parts = [chunking.migration_selection(states, mode, wanted, running).select(F.lit(mode).alias("mode"), "doc_id", "state", "blocker") for mode in ("ALL", "OUTDATED_STRATEGY", "DOCUMENT_IDS")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("""WITH c AS (SELECT doc_id, count(*) AS n, count_if(quality = 0) AS old FROM labels GROUP BY doc_id)
     SELECT doc_id, CASE WHEN n IS NULL THEN 'NO_CHUNKS' WHEN old > 0 THEN 'OUTDATED' ELSE 'CURRENT' END AS state FROM documents LEFT JOIN c USING (doc_id)""")
 def migration_classification(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,36 @@ def metadata_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.metadata(docs, 20, lang="De", source=None).select("document_id", "source", "rank")
 
 
+@query(f"""WITH d AS (SELECT conv_id AS document_id, conv_id % 5 = 0 AS wanted, row_number() OVER (PARTITION BY conv_id % 5 = 0 AND conv_id % 4 > 0 ORDER BY conv_id DESC) AS n FROM (SELECT DISTINCT conv_id FROM conversations)),
+    h AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS document_id FROM conversations WHERE conv_id IN (SELECT document_id FROM d WHERE wanted AND document_id % 4 > 0 AND n <= 12) AND turn > 0)
+    SELECT chunk_id, document_id, 1.0::DOUBLE AS score, CAST(row_number() OVER (ORDER BY chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 25""")
+def metadata_chunk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered documents of one base, newest first, and then their chunks; first turns are parents."""
+    d = F.col("document_id")
+    chunks = turns(spark, sf_dir).select(F.col("id").alias("chunk_id"), "document_id", F.when(d % 4 == 0, "kb2").otherwise("kb1").alias("kb"), F.when(F.col("chunk_index") == 0, "PARENT").when(F.col("chunk_index") % 2 == 0, "CHILD").alias("kind"))
+    documents = chunks.select("document_id", "kb").distinct().withColumn("format", F.when(d % 5 == 0, "PDF").otherwise("TXT"))
+    return retrieval.metadata_chunks(documents, chunks, "kb1", 12, 25, format="pdf").select("chunk_id", "document_id", "score", "rank")
+
+
+@query("""SELECT o_orderkey AS order_key, '{"id":' || c_custkey || ',"custkey":' || c_custkey || ',"name":"' || c_name || '","segment":"' || c_mktsegment || '"}' AS customer, '{"id":"PLACED:' || c_custkey || ':' || o_orderkey || '","from_id":' || c_custkey || ',"to_id":' || o_orderkey || '}' AS placed
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 400000 ORDER BY order_key LIMIT 90""")
+def plan_whole_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole nodes and relationships as projections."""
+    from loreweave.plans.graphplan import Compare, GraphPlan, Hop, Order, Project, run
+    from loreweave.sources.tables import SalesGraph
+
+    plan = GraphPlan("Customer", (Hop("PLACED", "Order"),), (Compare(1, "total", ">", 400000.0),), (Project("order_key", 1, "orderkey"), Project("customer", 0), Project("placed", hop=0)), None, (Order("order_key"),), 90)
+    return run(plan, SalesGraph(spark, sf_dir)).select("order_key", F.to_json(F.col("customer").dropFields("acctbal")).alias("customer"), F.to_json("placed").alias("placed"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS citation, coalesce('order ' || o_orderkey, 'unknown source') AS label, o_orderkey IS NULL AS missing FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey""")
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations with the labels of their documents; those of missing ones are marked."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("citation"), F.col("l_orderkey").alias("document_id"))
+    documents = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("document_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("label"))
+    return answering.enriched(rows, documents).select("citation", "label", "missing")
+
+
 ASKED = [("a", "The thing"), ("b", "ontion erth"), ("c", "und  der und"), ("d", "thble"), ("e", "to-of erth"), ("f", "nowhere thble"), ("g", "of the")]
 TERMS_SQL = "regexp_extract_all(lower(text), '[a-z0-9à-öø-ÿß]+')"
 
