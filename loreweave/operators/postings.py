@@ -51,27 +51,32 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _postings(chunks: DataFrame, only: list[str] | None) -> DataFrame:
-    """A row per term and chunk. Positions of one term in one chunk meet by both, so a term that is everywhere is spread."""
-    columns = {"kb": F.col("kb") if "kb" in chunks.columns else F.lit(None).cast("string"), "kind": F.col("kind") if "kind" in chunks.columns else F.lit(None).cast("string")}
-    own = chunks.select("chunk_id", *(c.alias(n) for n, c in columns.items()), terms(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+def _placed(chunks: DataFrame, only: list[str] | None) -> DataFrame:
+    """chunk_id, kb, kind, dl and placed (term, position) of each chunk, of all its terms or of those in `only`."""
+    columns = [(F.col(c) if c in chunks.columns else F.lit(None).cast("string")).alias(c) for c in ("kb", "kind")]
+    own = chunks.select("chunk_id", *columns, terms(F.coalesce("text", F.lit(""))).alias("terms"))
     placed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-    placed = placed if only is None else F.filter(placed, lambda x: x["term"].isin(only))
-    rows = own.select("chunk_id", "kb", "kind", "dl", F.explode(placed).alias("x")).select("chunk_id", "kb", "kind", "dl", "x.term", "x.position")
+    return own.select("chunk_id", "kb", "kind", F.size("terms").alias("dl"), (placed if only is None else F.filter(placed, lambda x: x["term"].isin(only))).alias("placed"))
+
+
+def _postings(placed: DataFrame) -> DataFrame:
+    """A row per term and chunk. Positions of one term in one chunk meet by both, so a term that is everywhere is spread."""
+    rows = placed.select("chunk_id", "kb", "kind", "dl", F.explode("placed").alias("x")).select("chunk_id", "kb", "kind", "dl", "x.term", "x.position")
     return rows.groupBy("term", "chunk_id", "kb", "kind", "dl").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
-def _totals(chunks: DataFrame) -> DataFrame:
-    return chunks.select(F.size(terms(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
+def _totals(placed: DataFrame) -> DataFrame:
+    return placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
 
 
 def build(chunks: DataFrame, path: str, buckets: int = 64) -> Index:
     """Indexes chunks (chunk_id, text, perhaps kb and kind) at path."""
-    rows = _postings(chunks, None).withColumn("bucket", _bucket(F.col("term"), buckets))
+    placed = written(_placed(chunks, None), "placed")  # the texts are read and parted once
+    rows = _postings(placed).withColumn("bucket", _bucket(F.col("term"), buckets))
     rows.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark = chunks.sparkSession
     spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("bucket").parquet(f"{path}/frequencies")
-    _totals(chunks).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/totals")
+    _totals(placed).withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/totals")
     return load(spark, path)
 
 
@@ -83,8 +88,9 @@ def load(spark: SparkSession, path: str) -> Index:
 def scan(chunks: DataFrame, queries: list[tuple[str, str]]) -> Index:
     """The postings of the queries' terms alone, in one pass over the texts, written out."""
     asked = sorted({t for _, text in queries for w in parsed(text) for t in w})
-    rows = written(_postings(chunks, asked), "postings")
-    return Index(rows, rows.groupBy("term").agg(F.count("*").alias("df")), _totals(chunks))
+    placed = written(_placed(chunks, asked), "placed")
+    rows = written(_postings(placed), "postings")
+    return Index(rows, rows.groupBy("term").agg(F.count("*").alias("df")), _totals(placed))
 
 
 def _query_rows(queries: list[tuple[str, str]]) -> tuple[list, list]:

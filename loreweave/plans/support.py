@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loreweave.operators.ranking import has_text
 from loreweave.plans.graphplan import Graph, GraphPlan, _aggregate, _projection, match, validate
+from loreweave.sources.shared import written
 
 CITATION = ("chunk_id", "document_id", "source_start", "source_end", "page_start", "page_end", "run", "revision", "path")
 
@@ -33,12 +34,13 @@ def supports(evidence: DataFrame, chunks: DataFrame, kb: str, schema_id: str) ->
     """Evidence that its chunk bears out: kind, fact_id, from_id, to_id, evidence_id and the citation's columns.
 
     evidence: evidence_id, kind (NODE, RELATIONSHIP), fact_id, node_id, from_id, to_id, kb, schema_id, chunk_id, document_id, run;
-    chunks: chunk_id, kb, document_id, kind, run, source_start, source_end, page_start, page_end, revision, path.
+    chunks: chunk_id, kb, document_id, kind, run, source_start, source_end, page_start, page_end, revision, path. Written out, since
+    every element of every path asks for it.
     """
     own = evidence.where((F.col("kb") == kb) & (F.col("schema_id") == schema_id) & ((F.col("kind") == "RELATIONSHIP") | (F.col("node_id") == F.col("fact_id"))))
     own = own.select("evidence_id", "kind", "fact_id", "from_id", "to_id", "chunk_id", "document_id", "run")
     parents = chunks.where((F.col("kind") == "PARENT") & (F.col("kb") == kb)).select("chunk_id", "document_id", "run", "source_start", "source_end", "page_start", "page_end", "revision", "path")
-    return own.join(parents, ["chunk_id", "document_id", "run"])
+    return written(own.join(parents, ["chunk_id", "document_id", "run"]), "supports")
 
 
 def in_range(start: Column, end: Column) -> Column:

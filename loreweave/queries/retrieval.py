@@ -135,7 +135,7 @@ def lexical_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole index, written, then asked within one knowledge base; parents do not come back."""
     i = F.col("doc_id")
     chunks = table(spark, sf_dir, "documents").select(i.alias("chunk_id"), "text", F.concat(F.lit("kb"), (i % 3).cast("string")).alias("kb"), F.when(i % 10 == 4, "PARENT").when(i % 2 == 0, "CHILD").alias("kind"))
-    index = postings.build(chunks, shared_path(spark, "postings"))
+    index = postings.build(chunks, shared_path(spark, "postings"), 16)
     return postings.search(spark, index, ASKED, 30, "kb1").select("subquery", "chunk_id", "phrases", F.round("score", 6).alias("score"))
 
 
