@@ -12,9 +12,12 @@ grouped by leader. A group's core holds the shingles that more than `common` of
 core becomes the group's second leader and is compared with all. After that only pairs across components could change
 anything, and what x and y share is at most what either shares with the core plus what they share outside it. So a pair
 either shares a shingle outside the core, which at most `common` members have (and of which the prefix bound leaves the rare
-ones that could still add up to a link), or both lie in the core so far that their sizes alone allow a link. Nothing else can
-be linked, so no link that changes a component is lost, and a large group of copies costs a few pairs per member. Every
-candidate is confirmed on the full sets.
+ones that could still add up to a link), or shares core shingles alone, enough of them for a link. Those pairs are found over
+the least common core shingles: in one order of them, from the least common on, the first that both have leaves either side
+with at least as many as the link asks for. How many a member is listed under depends on its partner's size, so sizes are
+dealt into narrow classes. Documents of one template, whose own parts tell them apart too far for a link, share none of these
+and don't meet. Nothing else can be linked, so no link that changes a component is lost, and a large group of copies costs a
+few pairs per member. Every candidate is confirmed on the full sets.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; with fewer words than a shingle the whole
 sequence is one; rows repeated with one id are a class of their own or join one, and are both kept if their id is the
@@ -43,6 +46,7 @@ class Near:
     chunks: int = 10
     size: int = 5
     common: int = 16
+    ratio: float = 1.05  # sizes of one class differ by at most this factor
     seed: int = 5
 
     @property
@@ -210,7 +214,7 @@ class NearDuplicates:
         self.texts = docs.select(row.alias("row"), F.col(id_col).cast(sql).alias("id"), F.xxhash64(F.col(id_col), text).alias("tkey"), text.alias("text"))
         signed = self.texts.mapInArrow(_sign(self.near), f"row {self.texts.schema['row'].dataType.simpleString()}, id {sql}, tkey bigint, n bigint, key binary, sig binary")
         self.signed = materialize(signed, "signatures")
-        self.classes = self.links = None
+        self.classes = self.links = self.cross = None
 
     def run(self) -> "NearDuplicates":
         near = self.near
@@ -238,16 +242,31 @@ class NearDuplicates:
         split = rows.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("leader")
         rows = materialize(met(rows, split), "split-groups")
         rare = rows.select("leader", "node", "n", "root", F.explode("rare").alias("shingle"))
-        deep = rows.where(100 * F.col("core") >= near.percent * F.col("n")).drop("rare")
-        enough = near.percent * (F.col("x.n") + F.col("y.n")) <= (100 + near.percent) * F.least("x.core", "y.core")
+        deep = self.core_keys(rows)
+        apart = (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
+        enough = near.percent * (F.col("x.n") + F.col("y.n")) <= (100 + near.percent) * F.least(F.col("x.core") - F.col("x.pos"), F.col("y.core") - F.col("y.pos"))
         sizes = rows.groupBy("leader", "root").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root")).alias("m")).select("leader", F.col("m.root").alias("main"))
         outer = met(deep, sizes).where("root <> main").drop("main")  # of two components, one is not the group's largest
-        cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader"], enough)).distinct()
-        self.links = materialize(links.union(self.common(cross, sets).where(linked).select("a", "b")), "all-links")
+        self.cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader", "shingle", "low", "high"], apart & enough)).distinct()
+        self.links = materialize(links.union(self.common(self.cross, sets).where(linked).select("a", "b")), "all-links")
         return self
 
+    def core_keys(self, rows: DataFrame) -> DataFrame:
+        """leader, node, n, core, root, own (the node's size class), low, high (its class and a partner's), pos, shingle: the core
+        shingles, from the least common on, of which one is the first that the node shares with a linked partner of that size
+        class, if what they share lies in the core. Nodes with too little in the core have no rows."""
+        near = self.near
+        size_class = lambda n: F.floor(F.log(n) / F.log(F.lit(near.ratio))).cast("int")
+        least, most = F.ceil(near.percent * F.col("n") / F.lit(100)), F.floor(100 * F.col("n") / F.lit(near.percent))
+        dealt = rows.where("size(frequent) > 0").withColumn("own", size_class(F.col("n"))).withColumn("other", F.explode(F.sequence(size_class(least), size_class(most))))
+        smallest = F.greatest(least, F.floor(F.pow(F.lit(near.ratio), "other")))
+        links_at = F.ceil(near.percent * (F.col("n") + smallest) / F.lit(100 + near.percent))
+        listed = F.slice("frequent", F.lit(1), F.greatest(F.lit(0), F.col("core") - links_at + 1).cast("int"))
+        return dealt.select("leader", "node", "n", "core", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.posexplode(listed).alias("pos", "shingle"))
+
     def against_core(self, groups: DataFrame, sets: DataFrame) -> DataFrame:
-        """leader, node, n, core (shingles the node has in its group's core), rare (those outside it that may find a partner). Written out.
+        """leader, node, n, core (shingles the node has in its group's core), rare (those outside it that may find a partner), frequent
+        (those inside it, the least common first, as many as a link's first shared one may be among). Written out.
 
         A partner has at least percent / 100 of a node's size, so a link shares that many shingles, and all but those in the core
         are outside it. Of `more` or more common ones, one is among all but the last more - 1 of either side, rarest first.
@@ -257,13 +276,16 @@ class NearDuplicates:
         often = spread.groupBy("leader", "shingle").agg(F.count("*").alias("c")).where("c > 1")
         met = spread.join(often.hint("merge"), ["leader", "shingle"])
         in_core = F.col("c") > near.common
-        own = met.groupBy("leader", "node").agg(F.count_if(in_core).alias("core"), F.sort_array(F.collect_list(F.when(~in_core, F.struct("c", "shingle")))).alias("met"))
+        listed = lambda which: F.sort_array(F.collect_list(F.when(which, F.struct("c", "shingle"))))
+        own = met.groupBy("leader", "node").agg(F.count_if(in_core).alias("core"), listed(~in_core).alias("met"), listed(in_core).alias("inside"))
         own = own.join(groups, ["leader", "node"])
         least = F.ceil(near.percent * F.col("n") / F.lit(100))
         more = F.greatest(F.lit(1), least - F.col("core"))
         outside = F.col("n") - F.col("core")
         keep = F.greatest(F.lit(0), outside - more + 1 - (outside - F.size("met")))
-        return materialize(own.select("leader", "node", "n", "core", F.slice(F.transform("met", lambda x: x["shingle"]), F.lit(1), keep.cast("int")).alias("rare")), "cores")
+        first = lambda c, k: F.slice(F.transform(c, lambda x: x["shingle"]), F.lit(1), k.cast("int"))
+        rows = own.select("leader", "node", "n", "core", first("met", keep).alias("rare"), first("inside", F.greatest(F.lit(0), F.col("core") - least + 1)).alias("frequent"))
+        return materialize(rows, "cores")
 
     def across(self, xs: DataFrame, ys: DataFrame, keys: list[str], also: Column | None = None) -> DataFrame:
         """Pairs of nodes under one key that lie in different components and whose sizes allow a link."""

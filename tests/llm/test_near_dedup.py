@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loreweave.llm import common
 from loreweave.llm.components import components
-from loreweave.llm.near_dedup import Near, bucket_keys, deduplicated, near_components, shingles, signatures
+from loreweave.llm.near_dedup import Near, NearDuplicates, bucket_keys, deduplicated, near_components, shingles, signatures
 
 
 def plain(rows, words, percent=80):
@@ -62,6 +62,30 @@ def test_groups_and_cases(spark, documents):
     same(documents, rows)
 
 
+def families(n, own, template=300, members=20, seed=9):
+    """Documents of one template, in families with `own` words of theirs, one word apart inside a family."""
+    rng, out = random.Random(seed), []
+    head = [f"t{k}" for k in range(template)]
+    for k in range(n):
+        mine = [f"f{k // members}w{j}" for j in range(own)]
+        mine[rng.randrange(own)] = f"x{k}"
+        out.append((k, " ".join([*head, *mine])))
+    return out
+
+
+def test_families_of_one_template(spark, documents):
+    """Families too far apart to be linked don't meet: over all pairs across families there would be 600 * 580 / 2."""
+    dup = NearDuplicates(documents(families(600, 80)), Near(words=4)).run()
+    assert dup.cross.count() <= 600
+
+
+def test_families_near_the_limit(spark, documents):
+    """Templates with families of several sizes around the similarity asked for, some linked over others only."""
+    sizes = [(20, 50), (30, 34, 38, 42), (10, 70)]
+    rows = [(10000 * t + 1000 * j + i, text.replace("t", f"t{t}_")) for t, own in enumerate(sizes) for j, o in enumerate(own) for i, text in families(60, o, seed=j)]
+    same(documents, rows)
+
+
 def test_long_and_repeating(spark, documents):
     long = " ".join(f"v{k}" for k in range(9000))
     same(documents, [(1, long), (2, long + " tail"), (3, "ha " * 4000), (4, "ha ha ha ha"), (5, "ha " * 3)])
