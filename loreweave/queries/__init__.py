@@ -21,6 +21,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from loreweave.queries import chunks, discovery, drafts, fusion, graph, retrieval, runs, support, vectors  # noqa: F401
+    from loreweave.queries import chunks, discovery, drafts, fusion, graph, retrieval, runs, structure, support, vectors  # noqa: F401
 
     return QUERIES, ORACLES
