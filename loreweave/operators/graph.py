@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_writer(existing: DataFrame, new: DataFrame, key: str = "id", sequence: str = "write_seq") -> DataFrame:
-    """Both tables with one row per key, the one written first: later properties are ignored. Partial aggregation, no window."""
+def first_writer(existing: DataFrame, new: DataFrame, key: str = "id", sequence: str = "write_seq", place: str | None = None) -> DataFrame:
+    """Both tables with one row per key, the one written first: later properties are ignored. Partial aggregation, no window.
+    Of rows of one sequence the first by `place` counts (a column that says where a row stands; it is dropped), then the smallest."""
     both = existing.unionByName(new)
-    rest = [c for c in both.columns if c != key]
-    first = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(sequence, *(c for c in rest if c != sequence and not dict(both.dtypes)[c].startswith("map")))).alias("row"))
+    rest = [c for c in both.columns if c not in (key, place)]
+    order = [sequence, *([place] if place else []), *(c for c in rest if c != sequence and not dict(both.dtypes)[c].startswith("map"))]
+    first = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
     return first.select(key, "row.*")
 
 

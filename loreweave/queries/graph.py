@@ -120,8 +120,9 @@ NODE_SQL = "'node:' || sha256('sales' || chr(10) || 'Part' || chr(10) || 'key:pa
 def fact_upsert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    nodes = items.select(identity.node_id(F.lit("sales"), F.lit("Part"), partkey=F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("supplier"), seq.alias("write_seq"))
-    return graph.first_writer(nodes.where("write_seq % 2 = 0"), nodes.where("write_seq % 2 = 1"))
+    place = F.struct("_metadata.file_path", "_metadata.row_index")  # line numbers repeat: of those the row that stands first was written first
+    nodes = items.select(identity.node_id(F.lit("sales"), F.lit("Part"), partkey=F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("supplier"), seq.alias("write_seq"), place.alias("place"))
+    return graph.first_writer(nodes.where("write_seq % 2 = 0"), nodes.where("write_seq % 2 = 1"), place="place")
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus <> 'F' AND p_size <= 25)

@@ -216,6 +216,20 @@ def test_upsert_keeps_the_first_writer(spark):
     assert {(r.id, r.name) for r in graph.first_writer(a, b).collect()} == {("n1", "old"), ("n2", "y")}
 
 
+def test_upsert_of_equal_sequences_keeps_the_row_that_stands_first(spark, tmp_path):
+    from loreweave.queries import load
+    from tests.compare import connect, same
+
+    rows = [(7, 3, 9, 1), (7, 3, 2, 1), (7, 4, 5, 2), (7, 4, 1, 2), (7, 4, 8, 2)]
+    frame = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1)
+    frame.write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    queries, sql = load()
+    got = queries["fact_upsert_first_wins"](spark, str(tmp_path))
+    assert {r.supplier for r in got.collect()} == {9, 5}
+    same(got, connect(str(tmp_path)), sql["fact_upsert_first_wins"])
+
+
 def test_shared_facts_survive_one_document(spark):
     evidence = spark.createDataFrame([("f1", "d1"), ("f1", "d2"), ("f2", "d1")], "fact_id string, document_id string")
     left = graph.without(evidence, spark.createDataFrame([("d1",)], "document_id string"), "document_id")
