@@ -7,6 +7,7 @@ DataFrame: Catalyst pushes the filters into the node scans and prunes their colu
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -217,16 +218,17 @@ def _condition(part: Compare | Junction) -> Column:
     }[part.operator]()
 
 
-def match(plan: GraphPlan, graph: Graph) -> DataFrame:
-    """The paths of the plan that pass its filters: structs n0, r0, n1, ...; a relationship occurs once in a path."""
+def match(plan: GraphPlan, graph: Graph, keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+    """The paths of the plan that pass its filters: structs n0, r0, n1, ...; a relationship occurs once in a path. keep(name, df)
+    gives those of an element's nodes or relationships that may be in a path."""
 
     def whole(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.struct(*df.columns).alias(name))
 
-    out = whole(graph.nodes(plan.root), "n0")
+    out = whole(keep("n0", graph.nodes(plan.root)), "n0")
     for k, hop in enumerate(plan.hops):
         a, b = ("to_id", "from_id") if hop.incoming else ("from_id", "to_id")
-        rel, node = whole(graph.relationships(hop.kind), f"r{k}"), whole(graph.nodes(hop.target), f"n{k + 1}")
+        rel, node = whole(keep(f"r{k}", graph.relationships(hop.kind)), f"r{k}"), whole(keep(f"n{k + 1}", graph.nodes(hop.target)), f"n{k + 1}")
         out = out.join(rel, F.col(f"n{k}.id") == F.col(f"r{k}.{a}")).join(node, F.col(f"r{k}.{b}") == F.col(f"n{k + 1}.id"))
         if k and plan.hops[k - 1].kind == hop.kind:
             out = out.where(F.col(f"r{k - 1}.id") != F.col(f"r{k}.id"))

@@ -7,6 +7,7 @@ plan is, else DEADLINE_EXCEEDED if any is, else FAILED; its failure category is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loreweave.plans.graphplan import Graph, GraphPlan, validate
-from loreweave.plans.support import run_with_facts
+from loreweave.plans.support import run_with_facts, supported_match
+from loreweave.sources.shared import written
 
 #: What an attempt may end as, in the order in which one decides for the round; the last stands for all others.
 COMPLETED, DEADLINE, FAILED, INVALID = "COMPLETED", "DEADLINE_EXCEEDED", "FAILED", "VALIDATION_FAILED"
@@ -55,6 +57,9 @@ class Round:
 def round_of(spark: SparkSession, plans: list[GraphPlan], graph: Graph, found: DataFrame, scan_limit: int = 200, expired: Callable[[int], bool] = lambda _: False) -> Round:
     """Runs the plans over supported paths (found as support.supports gives it). expired(k): is the time of plan k over?"""
     parts, attempts = [], []
+    pattern = lambda plan: repr((plan.root, plan.hops, plan.filters))
+    asked = Counter(pattern(plan) for k, plan in enumerate(plans, 1) if not expired(k))
+    known_paths: dict[str, DataFrame] = {}
     for k, plan in enumerate(plans, 1):
         if expired(k):
             attempts.append((k, f"graph-{k}", DEADLINE, EXPIRED))
@@ -63,7 +68,9 @@ def round_of(spark: SparkSession, plans: list[GraphPlan], graph: Graph, found: D
             attempts.append((k, f"graph-{k}", INVALID, problems[0]))
             continue
         try:
-            own = run_with_facts(plan, graph, found, scan_limit)
+            if asked[key := pattern(plan)] > 1 and key not in known_paths:  # plans that differ in what they show of the same paths
+                known_paths[key] = written(supported_match(plan, graph, found), "paths")
+            own = run_with_facts(plan, graph, found, scan_limit, known_paths.get(key))
             parts.append(own.select(F.lit(k).alias("plan_no"), "row", F.to_variant_object("values").alias("values"), "facts"))
             attempts.append((k, f"graph-{k}", COMPLETED, None))
         except AnalysisException as e:  # a table without the columns that the schema declares
@@ -71,6 +78,6 @@ def round_of(spark: SparkSession, plans: list[GraphPlan], graph: Graph, found: D
     known = spark.createDataFrame(attempts, "plan_no int, attempt string, status string, category string")
     if not parts:
         return Round(None, known.withColumn("rows", F.lit(0).cast("long")))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = written(reduce(DataFrame.unionByName, parts), "round")  # at most a few hundred rows, asked for by the attempts and by citations
     counts = rows.groupBy("plan_no").agg(F.count("*").alias("rows"))
     return Round(rows, known.join(counts, "plan_no", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long"))))

@@ -2,7 +2,7 @@
 
 A path counts only if each of its elements has a support: evidence of the fact, within base and schema, from a parent chunk of
 the same base, document and run, that asserts the node, or both ends of the relationship as they stand in the path. That is one
-semi join per element over distinct facts. Lists are fetched late: rows are ordered and cut first, so at most `limit` rows (or,
+semi join per element with the supports of its label, of the nodes and relationships before they meet in paths. Lists are fetched late: rows are ordered and cut first, so at most `limit` rows (or,
 under an aggregate, `scan_limit` paths) of at most five elements meet the evidence, whatever its size.
 
 Paths are ordered by the plan's ordering and then by the ids along them, so results repeat. Per row a fact comes once, at its
@@ -76,6 +76,31 @@ def supported_paths(paths: DataFrame, plan: GraphPlan, found: DataFrame) -> Data
     return paths
 
 
+def _with_support(df: DataFrame, own: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of df whose keys stand in own. A hash is the first key, since ids of one label begin alike and are slow to sort by."""
+    own = own.select(F.xxhash64(*keys).alias("_hash"), *(F.col(c).alias(f"_{c}") for c in keys))
+    same = reduce(lambda a, b: a & b, (c == F.col(f"_{name}") for name, c in keys.items()))
+    return df.join(own, (F.xxhash64(*(c.cast("string") for c in keys.values())) == F.col("_hash")) & same, "left_semi")
+
+
+def supported_match(plan: GraphPlan, graph: Graph, found: DataFrame) -> DataFrame:
+    """The plan's paths whose elements all have a support: match whose nodes and relationships are cut to supported ones first."""
+    labels = _labels(plan)
+    types = {label: dict(graph.nodes(label).dtypes)["id"] for label in labels}
+    named = lambda label, id_: F.concat_ws(":", F.lit(label), id_.cast("string"))
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        k = int(name[1:])
+        if name[0] == "n":
+            own = found.where((F.col("kind") == "NODE") & F.col("fact_id").startswith(labels[k])).select("fact_id")
+            return _with_support(df, own, {"fact_id": named(labels[k], df["id"])})
+        a, b = (labels[x] for x in _ends(plan, k))
+        own = found.where((F.col("kind") == "RELATIONSHIP") & F.col("from_id").startswith(a) & F.col("to_id").startswith(b)).select("fact_id", "from_id", "to_id")
+        return _with_support(df, own, {"fact_id": df["id"], "from_id": named(a, df["from_id"].cast(types[a])), "to_id": named(b, df["to_id"].cast(types[b]))})
+
+    return match(plan, graph, keep)
+
+
 def _elements(plan: GraphPlan, paths: DataFrame) -> Column:
     """The facts of a path: nodes first, then relationships."""
     labels, none = _labels(plan), F.lit(None).cast("string")
@@ -118,19 +143,21 @@ def _sort_keys(plan: GraphPlan, ids: list[str]) -> list[Column]:
     return [*keys, *map(F.col, ids)]
 
 
-def run_with_facts(plan: GraphPlan, graph: Graph, found: DataFrame, scan_limit: int = 200) -> DataFrame:
-    """The plan's rows over supported paths, in order: row (1, 2, ...), values (a struct of the projections and the aggregate), facts."""
+def run_with_facts(plan: GraphPlan, graph: Graph, found: DataFrame, scan_limit: int = 200, paths: DataFrame | None = None) -> DataFrame:
+    """The plan's rows over supported paths (paths, if they are known), in order: row (1, 2, ...), values (a struct of the projections
+    and the aggregate), facts."""
     if problems := validate(plan, graph.schema):
         raise ValueError(", ".join(problems))
-    paths = supported_paths(match(plan, graph), plan, found)
+    paths = supported_match(plan, graph, found) if paths is None else paths
     along = [f"n{k}.id" for k in range(len(plan.hops) + 1)] + [f"r{k}.id" for k in range(len(plan.hops))]
     number = lambda *keys: F.row_number().over(Window.orderBy(*keys))  # noqa: E731  of rows that are cut to a limit already
     if plan.aggregation is None:
         rows = paths.withColumn("v", F.struct(*map(_projection, plan.projections)))
         cut = rows.orderBy(*_sort_keys(plan, along)).limit(plan.limit).withColumn("row", number(*_sort_keys(plan, along))).withColumn("path_no", F.col("row"))
+        cut = written(cut, "cut")  # a few rows that stand for all paths: both their values and their facts ask for them
         values, own = cut.select("row", F.col("v").alias("values")), cut
     else:
-        scanned = paths.orderBy(*along).limit(scan_limit).withColumn("path_no", number(*along))
+        scanned = written(paths.orderBy(*along).limit(scan_limit).withColumn("path_no", number(*along)), "scanned")
         keys = F.struct(*map(_projection, plan.projections)) if plan.projections else F.lit(True)
         grouped = scanned.withColumn("key", keys).groupBy("key").agg(_aggregate(plan.aggregation).alias("value"), F.collect_list("path_no").alias("paths"))
         shown = [F.col(f"key.{p.alias}").alias(p.alias) for p in plan.projections]

@@ -43,7 +43,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry("h", "RELATIONSHIP", name("PLACED", c, o), name("Customer", c), name("Order", o), n <= 2), entry("i", "RELATIONSHIP", name("CONTAINS", o, p), name("Order", o), name("Part", F.when(n == 4, "0").otherwise(p)), F.lit(True)),
     )
     s = F.col("l_suppkey")
-    out = items.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x"), s.cast("string").alias("chunk_id"), (s % 10).cast("string").alias("document_id"))
+    out = items.select(F.explode(rows).alias("x"), s.cast("string").alias("chunk_id"), (s % 10).cast("string").alias("document_id")).where("x is not null")
     out = out.select("x.*", "chunk_id", "document_id", F.lit("kb1").alias("kb"), F.lit("sales").alias("schema_id"), F.lit("r1").alias("run"))
     return support.supports(out, parents(spark, sf_dir), "kb1", "sales")
 

@@ -58,6 +58,25 @@ def test_paths_need_every_support(spark, found):
     assert {f.fact_id: f.evidence_ids for f in rows[0].facts}["R:2:2"] == ["r4"]  # r5 has one bound only
 
 
+def test_supports_cut_elements_before_they_meet(spark, found):
+    plan = GraphPlan("B", (Hop("R", "A", incoming=True),), (), PLAN.projections, None, (), 10)
+    for p in (PLAN, plan):
+        ids = lambda df: sorted((r.n0.id, r.r0.id, r.n1.id) for r in df.collect())
+        cut = support.supported_match(p, Tiny(spark), found)
+        assert ids(cut) == ids(support.supported_paths(support.match(p, Tiny(spark)), p, found)) and len(ids(cut)) == 2
+        text = cut._jdf.queryExecution().optimizedPlan().toString()
+        assert "Inner" not in text[text.rindex("LeftSemi") :]  # under the last semi join there is no other join
+
+
+def test_plans_of_one_pattern_share_their_paths(spark, found, monkeypatch):
+    made, match = [], support.supported_match
+    monkeypatch.setattr(rounds, "supported_match", lambda *x: made.append(x) or match(*x))
+    monkeypatch.setattr(support, "supported_match", lambda *_: pytest.fail("paths are made again"))
+    groups = GraphPlan("A", (Hop("R", "B"),), (), (), Aggregate("COUNT", "n"), (), 5)
+    own = rounds.round_of(spark, [PLAN, groups], Tiny(spark), found)
+    assert [r.plan_no for r in own.ranked().collect()] == [1, 1, 2] and len(made) == 1
+
+
 def test_incoming_hops_swap_the_ends(spark, found):
     plan = GraphPlan("B", (Hop("R", "A", incoming=True),), (), (Project("a", 1, "name"), Project("b", 0, "name")), None, (Order("a"),), 10)
     rows = support.run_with_facts(plan, Tiny(spark), found).collect()
