@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,9 +103,12 @@ def carried(conflicts: DataFrame) -> DataFrame:
     What is carried on becomes history itself, but never differs from what was resolved by hand before it, so one ordered pass over the
     revisions of each key gives the fold. A revision's conflicts are summed up to one row a key first.
     """
-    derived = semantic_key(F.col("type"), F.col("coordinate"), F.col("alternatives"))
+    # conflicts that are alike are named once, since a key parses and writes JSON
+    like = ("type", "coordinate", "alternatives")
+    named = conflicts.select(*like).distinct().select(*(F.col(c).alias(f"_{c}") for c in like), semantic_key(*map(F.col, like)).alias("_derived"))
+    alike = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in like))
     known = F.when(~F.col("semantic_key").rlike(r"^\s*$"), F.col("semantic_key")) if "semantic_key" in conflicts.columns else F.lit(None).cast("string")
-    rows = conflicts.withColumn("semantic_key", F.coalesce(known, derived))
+    rows = conflicts.join(named, alike, "left").withColumn("semantic_key", F.coalesce(known, F.col("_derived"))).drop("_derived", *(f"_{c}" for c in like))
     keys = ["draft_id", "semantic_key"]
     later = lambda c: F.coalesce(-F.unix_micros(c), F.lit((1 << 63) - 1))
     order = F.when(F.col("resolved"), F.struct(later("resolved_at"), later("created_at"), "conflict_id"))

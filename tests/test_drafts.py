@@ -101,3 +101,13 @@ def test_parents_of_a_long_section_take_time_in_proportion():
     limits = Limits()
     took(500)
     assert took(16_000) < 12 * max(took(4_000), 0.002)
+
+
+def test_alike_conflicts_are_named_once(spark):
+    fields = "conflict_id string, draft_id string, revision int, type string, coordinate string, alternatives array<string>, resolved boolean, selected string, custom string, resolved_at timestamp, created_at timestamp"
+    rows = [("c1", "d", 1, "t", None, ['"a"', None], True, "a", None, None, None), ("c2", "d", 2, "t", None, ['"a"', None], False, None, None, None, None), ("c3", "d", 2, "t", "x", None, False, None, None, None, None)]
+    out = drafts.carried(spark.createDataFrame(rows, fields))
+    assert "Aggregate [type" in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.conflict_id: r for r in out.collect()}
+    assert set(found) == {"c1", "c2", "c3"} and [found[c].carried for c in ("c1", "c2", "c3")] == [False, True, False]
+    assert found["c1"].semantic_key == found["c2"].semantic_key != found["c3"].semantic_key
