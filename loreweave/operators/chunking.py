@@ -6,15 +6,15 @@ are code points (utf16_offsets turns them into UTF-16 units).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreweave.functions.identity import chunk_id
 from loreweave.operators.splitting import Block, Limits, Section, parents, split
+from loreweave.sources import structure
 
 
 def fixed_windows(docs: DataFrame, most: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", revision: str | None = None) -> DataFrame:
@@ -84,23 +84,55 @@ PLACED = f"{CHUNKS}, section int, page_start int, page_end int, path array<strin
 def section_chunks(sections: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id") -> DataFrame:
     """id_col and PLACED of documents in sections: id_col, section, text, page, format, language, blocks (array of kind, start, end,
     path, confidence). Structural blocks bound the pieces, parents stay within a section and a path, and those of a PDF may join
-    two pages. A document is one group: its sections are what its parents are folded over."""
-    kind = sections.schema[id_col].dataType.simpleString()
+    two pages. A document is one group: its sections are what its parents are folded over. parsed_chunks reads and chunks
+    without a shuffle."""
+    fields = ("section", "text", "page", "format", "language")
+    blocks = F.transform("blocks", lambda b: F.struct(*(b[c].alias(c) for c in ("kind", "start", "end", "path", "confidence"))))
+    own = sections.groupBy(id_col).agg(F.collect_list(F.struct(*fields, blocks.alias("blocks"))).alias("sections"))
+
+    def parts(rows: list[dict]) -> tuple[list[Section], bool]:
+        rows = sorted(rows, key=lambda r: r["section"])
+        found = [tuple(Block(b["kind"], b["start"], b["end"], tuple(b["path"] or ()), b["confidence"]) for b in r["blocks"] or ()) for r in rows]
+        return [Section(r["text"] or "", r["section"], r["page"], b, (r["language"] or "").lower().startswith("en")) for r, b in zip(rows, found, strict=True)], (rows[0]["format"] or "").upper() == "PDF"
+
+    return _placed_rows(own, id_col, parts, limits)
+
+
+def parsed_chunks(docs: DataFrame, kind: str, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "xhtml", strict: bool = True, split_pages: bool = True, max_pages: int | None = None) -> DataFrame:
+    """As section_chunks of structure.sections, without those that have an error: each row of docs is a document, read and chunked
+    where it is."""
+    if kind not in ("PDF", "DOCX"):
+        raise ValueError(f"unknown kind {kind}")
+
+    def parts(text: str | None) -> tuple[list[Section], bool]:
+        found = (r for r in structure.parsed(text, kind, strict, split_pages, max_pages) if r[7] is None)
+        return [Section(r[1], r[0], r[2], tuple(Block(*b[:5]) for b in r[6])) for r in found], kind == "PDF"
+
+    return _placed_rows(docs.select(id_col, text_col), id_col, parts, limits)
+
+
+def _placed_rows(docs: DataFrame, id_col: str, parts: Callable, limits: Limits, step: int = 4096) -> DataFrame:
+    """id_col and PLACED of rows of an id and a document, which parts turns into its sections and whether they are pages; rows leave
+    a task in batches of about `step`."""
+    key = docs.schema[id_col].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in PLACED.split(", "))]
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("section")
-        parts = []
-        for r in own.itertuples():
-            blocks = tuple(Block(b["kind"], b["start"], b["end"], tuple(b["path"] if b["path"] is not None else ()), b["confidence"]) for b in (r.blocks if r.blocks is not None else ()))
-            parts.append(Section(r.text or "", int(r.section), None if pd.isna(r.page) else int(r.page), blocks, str(r.language or "").lower().startswith("en")))
-        rows = []
-        for row, source, section in _numbered(parts, limits, str(own["format"].iloc[0] or "").upper() == "PDF"):
-            pages = source.pages if row[0] == "PARENT" else (section.page, section.page)
-            rows.append((own[id_col].iloc[0], *row, section.index, *pages, list(source.path), source.confidence))
-        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("chunk_index", "parent_index", "child_index", "source_start", "source_end", "section", "page_start", "page_end")})
-
-    return sections.groupBy(id_col).applyInPandas(run, f"`{id_col}` {kind}, {PLACED}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.string(), *[pa.int32()] * 5, pa.string(), pa.string(), *[pa.int32()] * 3, pa.list_(pa.string()), pa.string()]
+            for own, document in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sections, merge = parts(document.as_py())
+                for row, source, section in _numbered(sections, limits, merge):
+                    pages = source.pages if row[0] == "PARENT" else (section.page, section.page)
+                    rows.append((own, *row, section.index, *pages, list(source.path), source.confidence))
+                if len(rows) >= step:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return docs.mapInArrow(run, f"`{id_col}` {key}, {PLACED}")
 
 
 def utf16_offsets(text: str, start: int, end: int) -> tuple[int, int]:

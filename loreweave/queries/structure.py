@@ -9,6 +9,7 @@ from loreweave.operators import chunking
 from loreweave.operators.splitting import Limits
 from loreweave.queries import query
 from loreweave.sources import structure
+from loreweave.sources.shared import dealt
 from loreweave.sources.tables import table
 
 
@@ -16,10 +17,10 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, xhtml: each document as paged XHTML, three lines a paragraph, four paragraphs a page; characters that XML forbids go."""
     legal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     escaped = F.replace(F.replace(F.replace(legal, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(escaped, "\n", -1).alias("lines"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.split(escaped, "\n", -1).alias("lines"))
     last = (F.size("lines") - 1).cast("int")
     tag = lambda name, inside, close: F.concat(F.lit(f"<{name}>"), inside, F.lit(f"</{close}>"))
-    paragraph = lambda k: tag("p", F.array_join(F.slice("lines", k * 3 + 1, F.lit(3)), "\n"), "p")
+    paragraph = lambda k: tag("p", F.array_join(F.transform(F.sequence(k * 3, F.least(k * 3 + 2, last)), lambda i: F.get("lines", i)), "\n"), "p")
     whole = lambda n, d: F.floor(n / F.lit(d)).cast("int")
     page = lambda p: tag('div class="page"', F.array_join(F.transform(F.sequence(p * 4, F.least(p * 4 + 3, whole(last, 3))), paragraph), ""), "div")
     body = F.array_join(F.transform(F.sequence(F.lit(0), whole(last, 12)), page), "")
@@ -44,9 +45,8 @@ def pdf_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pdf_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural units, parents over sections and pages, and each chunk's context header."""
-    found = structure.sections(paged_documents(spark, sf_dir), "PDF").where("error is null")
     limits = Limits(tokens=700, overlap=60, characters=700, parent_tokens=2100, parent_characters=2100, header_tokens=90, header_characters=90)
-    chunks = chunking.section_chunks(found, limits)
+    chunks = chunking.parsed_chunks(paged_documents(spark, sf_dir), "PDF", limits)
     none = F.lit(None).cast("int")
     header = chunking.context_header(F.lit("v1"), F.col("doc_id").cast("string"), F.lit("PDF"), F.col("path"), F.col("page_start"), F.col("page_end"), none, F.lit(90), F.lit(90))
     return chunks.withColumn("header", header)

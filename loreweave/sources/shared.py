@@ -19,6 +19,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as a shuffle has, since a file may come in few parts that take long."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of the shared folder: computed once, and there for any executor after a loss."""
     path = shared_path(df.sparkSession, name)
