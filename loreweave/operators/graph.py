@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_writer(existing: DataFrame, new: DataFrame, key: str = "id", sequence: str = "write_seq", place: str | None = None) -> DataFrame:
+def first_writer(existing: DataFrame, new: DataFrame, key: str | tuple[str, ...] = "id", sequence: str = "write_seq", place: str | None = None) -> DataFrame:
     """Both tables with one row per key, the one written first: later properties are ignored. Partial aggregation, no window.
     Of rows of one sequence the first by `place` counts (a column that says where a row stands; it is dropped), then the smallest."""
-    both = existing.unionByName(new)
-    rest = [c for c in both.columns if c not in (key, place)]
+    both, keys = existing.unionByName(new), (key,) if isinstance(key, str) else key
+    rest = [c for c in both.columns if c not in (*keys, place)]
+    if rest == [sequence]:
+        return both.groupBy(*keys).agg(F.min(sequence).alias(sequence))
     order = [sequence, *([place] if place else []), *(c for c in rest if c != sequence and not dict(both.dtypes)[c].startswith("map"))]
-    first = both.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
-    return first.select(key, "row.*")
+    first = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
+    return first.select(*keys, "row.*")
 
 
-def upsert_relationships(existing: DataFrame, new: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """As first_writer; new relationships need both ends. starts, ends: id."""
+def upsert_relationships(existing: DataFrame, new: DataFrame, starts: DataFrame, ends: DataFrame, key: str | tuple[str, ...] = "id") -> DataFrame:
+    """As first_writer; new relationships need both ends. starts, ends: id. Relationships of one type may be told apart by their ends
+    (key), so that their ids, which are long, need not be shuffled but can be made of the result."""
     valid = new.join(starts.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(ends.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    return first_writer(existing, valid.select(*existing.columns))
+    return first_writer(existing, valid.select(*existing.columns), key)
 
 
 def with_provenance(evidence: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -129,9 +129,10 @@ def fact_upsert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'rel:' || sha256('sales' || chr(10) || 'CONTAINS' || chr(10) || from_id || chr(10) || to_id) AS id, from_id, to_id FROM r""")
 def relationship_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"))
-    rels = items.select(identity.relationship_id(F.lit("sales"), F.lit("CONTAINS"), F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id", F.lit(1).alias("write_seq"))
+    rels = items.withColumn("write_seq", F.lit(1))
     orders, parts = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    return graph.upsert_relationships(rels.where("false"), rels, orders, parts).select("id", "from_id", "to_id")
+    kept = graph.upsert_relationships(rels.where("false"), rels, orders, parts, ("from_id", "to_id"))
+    return kept.select(identity.relationship_id(F.lit("sales"), F.lit("CONTAINS"), F.col("from_id"), F.col("to_id")).alias("id"), "from_id", "to_id")
 
 
 @query("""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey AS document_id, l_partkey AS fact_id FROM lineitem)
