@@ -26,11 +26,16 @@ def upsert_relationships(existing: DataFrame, new: DataFrame, starts: DataFrame,
     return first_writer(existing, valid.select(*existing.columns), key)
 
 
-def with_provenance(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence with its chunk's properties over its own. chunks: chunk_id, chunk_props map; evidence: chunk_id, props map."""
-    joined = evidence.join(chunks, "chunk_id", "left")
-    own = F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("chunk_props", F.create_map().cast("map<string,string>"))), k))
-    return joined.withColumn("props", F.map_concat(own, F.coalesce("chunk_props", F.create_map().cast("map<string,string>")))).drop("chunk_props")
+def with_provenance(evidence: DataFrame, chunks: DataFrame, props: Column | None = None, chunk_props: Column | None = None) -> DataFrame:
+    """Evidence with its chunk's properties over its own. chunks: chunk_id, chunk_props map; evidence: chunk_id, props map. Instead of
+    maps both may have the columns that they are made of: then props and chunk_props are made after the join, of narrow rows. Chunks
+    have a row each and are fewer than evidence, so a task keeps its share of them and need not sort the evidence."""
+    none = F.create_map().cast("map<string,string>")
+    joined = evidence.join(chunks.withColumn("_found", F.lit(True)).hint("shuffle_hash"), "chunk_id", "left")
+    joined = joined.withColumn("props", F.col("props") if props is None else props)
+    joined = joined.withColumn("chunk_props", F.coalesce(F.when(F.col("_found"), F.col("chunk_props") if chunk_props is None else chunk_props), none)).drop("_found")
+    own = F.map_filter("props", lambda k, _: ~F.array_contains(F.map_keys("chunk_props"), k))
+    return joined.withColumn("props", F.map_concat(own, "chunk_props")).drop("chunk_props")
 
 
 def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:

@@ -126,9 +126,10 @@ def extraction_chunk_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS evidence_id, CASE WHEN o_orderkey IS NULL THEN 'own' ELSE o_orderpriority END AS page, l_returnflag AS flag FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') ON o_orderkey = l_orderkey""")
 def evidence_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("chunk_id"), F.create_map(F.lit("page"), F.lit("own"), F.lit("flag"), F.col("l_returnflag")).alias("props"))
-    chunks = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("chunk_id"), F.create_map(F.lit("page"), F.col("o_orderpriority")).alias("chunk_props"))
-    return graph.with_provenance(evidence, chunks).select("evidence_id", F.col("props")["page"].alias("page"), F.col("props")["flag"].alias("flag"))
+    evidence = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("chunk_id"), "l_returnflag")
+    chunks = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("chunk_id"), "o_orderpriority")
+    props = F.create_map(F.lit("page"), F.lit("own"), F.lit("flag"), F.col("l_returnflag"))
+    return graph.with_provenance(evidence, chunks, props, F.create_map(F.lit("page"), F.col("o_orderpriority"))).select("evidence_id", F.col("props")["page"].alias("page"), F.col("props")["flag"].alias("flag"))
 
 
 PIPELINE_SQL = f"""WITH {FUSED_SQL},
