@@ -70,8 +70,11 @@ def held_out(documents: DataFrame, contributing: DataFrame) -> DataFrame:
 
 
 def contributing_sources(drafts: DataFrame, aggregates: DataFrame, results: DataFrame, revisions: DataFrame) -> DataFrame:
-    """draft_id, source_id, sha256 along draft, aggregate, result and source revision, each once."""
-    return drafts.join(aggregates, "aggregate_id").join(results, "aggregate_id").join(revisions, "revision_id").select("draft_id", "source_id", "sha256").distinct()
+    """draft_id, source_id, sha256 along draft, aggregate, result and source revision, each once. Drafts and revisions are few beside
+    results, so a task keeps its share of them and need not sort the results."""
+    own = drafts.join(aggregates, "aggregate_id", "left_semi").select("draft_id", "aggregate_id").hint("shuffle_hash")
+    named = revisions.select("revision_id", "sha256").hint("shuffle_hash")
+    return results.join(own, "aggregate_id").join(named, "revision_id").select("draft_id", "source_id", "sha256").distinct()
 
 
 def semantic_key(kind: Column, coordinate: Column, alternatives: Column) -> Column:
