@@ -52,8 +52,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
-def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return (x @ centroids.T).argmax(1)
+def _nearest(x: np.ndarray, centroids: np.ndarray, step: int = 512) -> np.ndarray:
+    """The centroid of each row; `step` rows meet all centroids at once, so memory doesn't grow with the rows of a batch."""
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), step):
+        out[at : at + step] = (x[at : at + step] @ centroids.T).argmax(1)
+    return out
 
 
 def trained(x: np.ndarray, lists: int, s: Settings) -> np.ndarray:
