@@ -21,16 +21,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", "m"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """links: long columns a, b. Gives (node, root), root the smallest node of the component, for every node but the roots.
 
-    Edges are written out after every round; the driver sees a count and a checksum. Links of a node to itself are ignored.
+    known: what an earlier call gave for other links; they stand for those, so that rounds are spent on what is new alone. Edges
+    are written out after every round; the driver sees a count and a checksum. Links of a node to itself are ignored.
     """
-    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    seen = None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = edges if known is None else edges.union(known.select("node", "root"))
+    edges = materialize(edges.distinct(), "links")
+    seen = None if known is None else _state(edges)
     while True:
         edges = materialize(_small_star(_large_star(edges)).distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        now = _state(edges)
         if now == seen or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now

@@ -203,7 +203,8 @@ def met(rows: DataFrame, leaders: DataFrame, key: str = "leader", by: str = "nod
 
 
 class NearDuplicates:
-    """classes (node, key, tkey, n, sig, min_id) and links (a, b) between different classes that decide all components."""
+    """classes (node, key, tkey, n, sig, min_id), links (a, b) between different classes that decide all components, and those as
+    roots (node, root)."""
 
     def __init__(self, docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None):
         self.near, self.id_col = near or Near(), id_col
@@ -214,7 +215,7 @@ class NearDuplicates:
         self.texts = docs.select(row.alias("row"), F.col(id_col).cast(sql).alias("id"), F.xxhash64(F.col(id_col), text).alias("tkey"), text.alias("text"))
         signed = self.texts.mapInArrow(_sign(self.near), f"row {self.texts.schema['row'].dataType.simpleString()}, id {sql}, tkey bigint, n bigint, key binary, sig binary")
         self.signed = materialize(signed, "signatures")
-        self.classes = self.links = self.cross = None
+        self.classes = self.links = self.cross = self.roots = None
 
     def run(self) -> "NearDuplicates":
         near = self.near
@@ -230,15 +231,17 @@ class NearDuplicates:
         stars = materialize(self.common(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets), "stars")
         linked = 100 * F.col("common") >= near.percent * (F.col("n_a") + F.col("n_b") - F.col("common"))
         first = stars.where(linked).select("a", "b")
-        placed = members.where("node <> leader").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = components(first)
+        placed = members.where("node <> leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
         groups = placed.join(split, "bucket").select("leader", "node", "n").distinct()
         leaders = groups.select(F.col("leader").alias("node")).distinct().join(self.classes.select("node", "n"), "node").select(F.col("node").alias("leader"), "node", "n")
         rows = self.against_core(materialize(groups.union(leaders), "groups"), sets)
         centre = rows.groupBy("leader").agg(F.max(F.struct((2 * F.col("core") - F.col("n")).alias("near"), "node")).alias("c")).select("leader", F.col("c.node").alias("centre"))
         second = met(rows, centre).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        links = materialize(first.union(self.common(second, sets).where(linked).select("a", "b")), "core-links")
-        rows = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = materialize(self.common(second, sets).where(linked).select("a", "b"), "core-links")
+        roots = components(more, roots)
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rows.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("leader")
         rows = materialize(met(rows, split), "split-groups")
         rare = rows.select("leader", "node", "n", "root", F.explode("rare").alias("shingle"))
@@ -248,7 +251,8 @@ class NearDuplicates:
         sizes = rows.groupBy("leader", "root").agg(F.count("*").alias("c")).groupBy("leader").agg(F.max(F.struct("c", "root")).alias("m")).select("leader", F.col("m.root").alias("main"))
         outer = met(deep, sizes).where("root <> main").drop("main")  # of two components, one is not the group's largest
         self.cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader", "shingle", "low", "high"], apart & enough)).distinct()
-        self.links = materialize(links.union(self.common(self.cross, sets).where(linked).select("a", "b")), "all-links")
+        last = materialize(self.common(self.cross, sets).where(linked).select("a", "b"), "cross-links")
+        self.links, self.roots = first.union(more).union(last), components(last, roots)
         return self
 
     def core_keys(self, rows: DataFrame) -> DataFrame:
@@ -317,8 +321,7 @@ def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "do
     the row is the one of its component with the smallest id and then the smallest row_col."""
     dup = NearDuplicates(docs, near, id_col, text_col, row_col).run()
     rows = dup.signed.select("row", "id", "n", "key")
-    root = components(dup.links)
-    groups = dup.classes.select("node", "key").join(root, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    groups = dup.classes.select("node", "key").join(dup.roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     best = rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("best")).join(groups, "key")
     several = best.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

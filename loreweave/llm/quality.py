@@ -184,8 +184,9 @@ def context_vectors(texts: Column, docs: DataFrame, q: Quality) -> np.ndarray:
     near = parts.repartition("group", "chunk").mapInArrow(_sum_chunks, kind).withColumn("group", F.lit(0).cast("long"))
     whole = near.repartition("chunk").mapInArrow(_sum_chunks, kind).select("chunk", "sums")
     out = np.zeros((q.words + q.shapes, q.dims))
-    for chunk, data in whole.collect():
-        own = np.frombuffer(data, np.int64).reshape(-1, q.dims)
+    whole = whole.toArrow()
+    for chunk, data in zip(whole.column("chunk").to_pylist(), whole.column("sums"), strict=True):
+        own = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, q.dims)
         out[chunk * q.chunk : chunk * q.chunk + len(own)] = own
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
@@ -288,12 +289,15 @@ def fit(docs: DataFrame, labels: DataFrame, q: Quality | None = None, id_col: st
                 x = pooled(wide.value, *reader(q).read(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("label"), part.column("check"), pa.array([v.tobytes() for v in x], pa.binary())], names=["label", "check", "x"])
 
-    rows = texts.select("text", "label", "check").mapInArrow(run, "label int, check boolean, x binary").collect()  # a row an id
-    rows.sort(key=lambda r: (r.x, r.label, r.check))
-    if len({r.label for r in rows}) < 2:
+    rows = texts.select("text", "label", "check").mapInArrow(run, "label int, check boolean, x binary").toArrow()  # a row an id
+    rows = rows.sort_by([(c, "ascending") for c in ("x", "label", "check")]) if rows.num_rows else rows
+    label, check = rows.column("label").to_numpy(), np.array(rows.column("check").to_pylist(), bool)
+    if len(set(label.tolist())) < 2:
         return Model(vectors, None, q)
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64)
-    return Model(vectors, fit_network(x, np.array([r.label for r in rows], float), np.array([r.check for r in rows]), q), q)
+    x = np.empty((rows.num_rows, 4 * q.dims + 2))
+    for k, data in enumerate(rows.column("x")):
+        x[k] = np.frombuffer(data.as_buffer(), np.float32)
+    return Model(vectors, fit_network(x, label.astype(float), check, q), q)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreweave.llm import common
+from loreweave.llm.common import materialize
 from loreweave.llm.components import components
 from loreweave.llm.near_dedup import Near, NearDuplicates, bucket_keys, deduplicated, near_components, shingles, signatures
 
@@ -155,3 +156,17 @@ def test_components(spark, edges):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {(r.node, r.root) for r in got.collect()} == want
     assert got.groupBy("node").count().where(F.col("count") > 1).count() == 0
+
+
+def test_components_of_known_ones(spark, monkeypatch):
+    """What is known already takes no rounds of its own, whatever its size; new links join it."""
+    from loreweave.llm import components as own
+
+    known = own.components(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long"))
+    rounds = []
+    monkeypatch.setattr(own, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    none = spark.createDataFrame([], "a long, b long")
+    assert {tuple(r) for r in own.components(none, known).collect()} == {(k, 0) for k in range(1, 41)} | {(101, 100)}
+    assert rounds.count("stars") == 1
+    joined = own.components(spark.createDataFrame([(101, 7), (50, 50)], "a long, b long"), known)
+    assert {tuple(r) for r in joined.collect()} == {(k, 0) for k in (*range(1, 41), 100, 101)}
