@@ -277,7 +277,7 @@ def mixed_documents(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_
     """
     named, name = hashed_rows(docs)
     m = mix_blocks(named, mix, id_col, text_col, source_col, name)
-    cuts = m.pieces.where("size(takes) > 0").groupBy("row").agg(F.collect_list(F.struct("first", "takes")).alias("cuts"))
+    cuts = materialize(m.pieces.where("size(takes) > 0").groupBy("row").agg(F.collect_list(F.struct("first", "takes")).alias("cuts")), "cuts")
     cuts = cuts.join(m.rows.select("row", "id", "source", "size", "tie", "name"), "row").drop("row")
     others = [c for c in docs.columns if c != text_col]
     whole = distinct_rows(named.repartition(F.col(name)))

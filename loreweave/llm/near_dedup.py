@@ -179,10 +179,10 @@ def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of shingles that a pair's sets share."""
+    """The sizes of a pair's sets and the number of shingles that they share."""
     for batch in batches:
-        both = [int(shared(x, y).sum()) if len(x) <= len(y) else int(shared(y, x).sum()) for x, y in _pairs(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64())], names=["a", "b", "common"])
+        counts = [(len(x), len(y), int(shared(x, y).sum()) if len(x) <= len(y) else int(shared(y, x).sum())) for x, y in _pairs(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +234,12 @@ class NearDuplicates:
         roots = components(first)
         placed = members.where("node <> leader").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-        groups = placed.join(split, "bucket").select("leader", "node", "n").distinct()
-        leaders = groups.select(F.col("leader").alias("node")).distinct().join(self.classes.select("node", "n"), "node").select(F.col("node").alias("leader"), "node", "n")
-        rows = self.against_core(materialize(groups.union(leaders), "groups"), sets)
+        groups = members.join(split, "bucket").select("leader", "node", "n").distinct()  # a leader is a member of its bucket
+        rows = self.against_core(materialize(groups, "groups"), sets)
         centre = rows.groupBy("leader").agg(F.max(F.struct((2 * F.col("core") - F.col("n")).alias("near"), "node")).alias("c")).select("leader", F.col("c.node").alias("centre"))
         second = met(rows, centre).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         more = materialize(self.common(second, sets).where(linked).select("a", "b"), "core-links")
-        roots = components(more, roots)
+        roots = roots if more.isEmpty() else components(more, roots)
         rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rows.groupBy("leader").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("leader")
         rows = materialize(met(rows, split), "split-groups")
@@ -252,7 +251,7 @@ class NearDuplicates:
         outer = met(deep, sizes).where("root <> main").drop("main")  # of two components, one is not the group's largest
         self.cross = self.across(rare, rare, ["leader", "shingle"]).union(self.across(outer, deep, ["leader", "shingle", "low", "high"], apart & enough)).distinct()
         last = materialize(self.common(self.cross, sets).where(linked).select("a", "b"), "cross-links")
-        self.links, self.roots = first.union(more).union(last), components(last, roots)
+        self.links, self.roots = first.union(more).union(last), roots if last.isEmpty() else components(last, roots)
         return self
 
     def core_keys(self, rows: DataFrame) -> DataFrame:
@@ -311,9 +310,7 @@ class NearDuplicates:
     def common(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """a, b, n_a, n_b and the number of shingles that are in both full sets."""
         full = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-        size = lambda c: self.classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
-        counted = pairs.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_common, "a bigint, b bigint, common bigint")
-        return counted.join(size("a"), "a").join(size("b"), "b").select("a", "b", "n_a", "n_b", "common")
+        return pairs.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_common, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
 
 
 def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -323,7 +320,7 @@ def near_components(docs: DataFrame, near: Near | None = None, id_col: str = "do
     rows = dup.signed.select("row", "id", "n", "key")
     groups = dup.classes.select("node", "key").join(dup.roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    best = rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("best")).join(groups, "key")
+    best = materialize(rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("best")).join(groups, "key"), "best")
     several = best.groupBy("root").agg(F.min("best").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     named = met(best, several, "root", "key", "left").select("key", F.coalesce("least", "best").alias("least"))
     alone = F.col("least").isNull()

@@ -176,20 +176,31 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([chunk]), pa.array([own.tobytes()])], names=["group", "chunk", "sums"])
 
 
+def _unit(q: Quality):
+    """Chunks of sums as unit vectors of 32-bit numbers; each term's is of its own sums alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sum_chunks(batches):
+            for chunk, data in zip(batch.column("chunk"), batch.column("sums"), strict=True):
+                own = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, q.dims).astype(float)
+                norm = np.linalg.norm(own, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([(own / np.where(norm > 0, norm, 1)).astype(np.float32).tobytes()])], names=["chunk", "vectors"])
+
+    return run
+
+
 def context_vectors(texts: Column, docs: DataFrame, q: Quality) -> np.ndarray:
     """Unit context vectors of all terms, counted over all documents; zero for terms never met. Tasks' sums are added up in two
-    levels, first those of FAN_IN neighbouring tasks, so that no task reads from all others."""
+    levels, first those of FAN_IN neighbouring tasks, so that no task reads from all others; the driver gets the vectors."""
     kind = "group bigint, chunk bigint, sums binary"
     parts = docs.select(texts.alias("text")).mapInArrow(_contexts(q), kind)
     near = parts.repartition("group", "chunk").mapInArrow(_sum_chunks, kind).withColumn("group", F.lit(0).cast("long"))
-    whole = near.repartition("chunk").mapInArrow(_sum_chunks, kind).select("chunk", "sums")
-    out = np.zeros((q.words + q.shapes, q.dims))
-    whole = whole.toArrow()
-    for chunk, data in zip(whole.column("chunk").to_pylist(), whole.column("sums"), strict=True):
-        own = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, q.dims)
+    whole = near.repartition("chunk").mapInArrow(_unit(q), "chunk bigint, vectors binary").toArrow()
+    out = np.zeros((q.words + q.shapes, q.dims), np.float32)
+    for chunk, data in zip(whole.column("chunk").to_pylist(), whole.column("vectors"), strict=True):
+        own = np.frombuffer(data.as_buffer(), np.float32).reshape(-1, q.dims)
         out[chunk * q.chunk : chunk * q.chunk + len(own)] = own
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return out
 
 
 def pooled(vectors: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -237,7 +248,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, check: np.ndarray, q: Quality) ->
         check = np.arange(len(x)) % 5 == 0 if len(x) >= 5 else np.zeros(len(x), bool)
     fit_x, fit_y = x[~check], y[~check]
     net = Network(fit_x.mean(0), fit_x.std(0) + 1e-3, rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], q.hidden)), np.zeros(q.hidden), rng.normal(0, 1 / np.sqrt(q.hidden), q.hidden), 0.0)
-    z = (fit_x - net.centre) / net.scale
+    z = fit_x - net.centre
+    z /= net.scale
     params = [net.w1, net.b1, net.w2, np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for _ in range(q.epochs):

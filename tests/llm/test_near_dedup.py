@@ -158,6 +158,19 @@ def test_components(spark, edges):
     assert got.groupBy("node").count().where(F.col("count") > 1).count() == 0
 
 
+def test_components_without_new_links_take_no_rounds(spark, documents, monkeypatch):
+    """Equal to one leader, no group is split: only the first links take rounds, each in one plan that reads its edges four times."""
+    from loreweave.llm import components as own
+
+    plans = []
+    monkeypatch.setattr(own, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df, name))
+    words = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(words[:60] + [f"x{k}"] + words[61:])) for k in range(20)]
+    same(documents, rows)
+    assert 1 <= len(plans) <= 2
+    assert all(p.count("Relation") <= 8 for p in plans)
+
+
 def test_components_of_known_ones(spark, monkeypatch):
     """What is known already takes no rounds of its own, whatever its size; new links join it."""
     from loreweave.llm import components as own
