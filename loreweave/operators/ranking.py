@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,16 +28,17 @@ def _accepted(candidates: DataFrame, per_branch: int) -> Column:
     return (F.col("rank") <= per_branch) & has_text(F.col("chunk_id")) & has_text(F.col("document_id"))
 
 
-def _graph_accepted(text: DataFrame, graph: DataFrame, per_branch: int, derived: int, by: tuple[str, ...]) -> DataFrame:
-    """graph (by, rank of the row, place in it, chunk_id, document_id) with accepted: valid citations of chunks that text branches
-    found, or of the first `derived` others in order of appearance."""
-    valid = graph.withColumn("valid", _accepted(graph, per_branch))
-    known = text.select(*by, "chunk_id", F.lit(True).alias("known")).distinct()
-    new = valid.where("valid").join(known, [*by, "chunk_id"], "left_anti").groupBy(*by, "chunk_id").agg(F.min(F.struct("rank", "place")).alias("first"))
-    order = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy("first", "chunk_id"))  # a plan's rows are few: at most per_branch
-    new = new.withColumn("n", order).where(F.col("n") <= derived).select(*by, "chunk_id", F.lit(True).alias("new"))
-    out = valid.join(known, [*by, "chunk_id"], "left").join(new, [*by, "chunk_id"], "left")
-    return out.withColumn("accepted", F.col("valid") & (F.col("known").isNotNull() | F.col("new").isNotNull())).drop("valid", "known", "new")
+def _cited(rows: DataFrame, derived: int, by: tuple[str, ...]) -> DataFrame:
+    """rows (by, chunk_id, known: text branches found it, first: where valid graph rows name it first, null if none do), a row a
+    chunk, with accepted: graph rows may name it, since it is known or of the first `derived` others in order of appearance."""
+    new = ~F.col("known") & F.col("first").isNotNull()
+    order = F.row_number().over(Window.partitionBy(*by, new).orderBy("first", "chunk_id"))
+    return rows.withColumn("accepted", F.col("first").isNotNull() & (F.col("known") | (order <= derived)))
+
+
+def _named(*columns: str) -> Column:
+    """Rows without a request (or channel) belong to none."""
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns), F.lit(True))
 
 
 def fuse(
@@ -52,25 +55,35 @@ def fuse(
     of the best `pool` of each request.
     """
     done = completed(candidates).withColumn("subquery", F.coalesce("subquery", F.lit("branch")))
-    counts = done.groupBy(*by, "channel").agg(F.count_distinct("subquery").alias("executed"))
-    valid = done.where(_accepted(done, per_branch))
-    key = F.struct(F.lit(0).alias("kind"), "channel", "subquery", "rank")
-    best = valid.groupBy(*by, "chunk_id", "channel", "subquery").agg(F.min("rank").alias("rank"), F.min_by("document_id", key).alias("document_id"))
-    best = best.join(counts, [*by, "channel"]).withColumn("kind", F.lit(0)).withColumn("facts", F.array().cast("array<string>"))
-    if graph is not None:
-        cited = _graph_accepted(valid, graph, per_branch, derived, by).where("accepted")
-        own = cited.groupBy(*by, "chunk_id").agg(F.min("rank").alias("rank"), F.min_by("document_id", F.struct("rank", "place")).alias("document_id"), F.array_sort(F.collect_set(F.col("fact_id").cast("string"))).alias("facts"))
-        more = own.withColumn("channel", F.lit("GRAPH")).withColumn("subquery", F.lit("branch")).withColumn("executed", F.lit(1).cast("long")).withColumn("kind", F.lit(1))
-        best = best.unionByName(more)
+    # a row a subquery with the best candidate of each chunk: one pass over the candidates, no join
+    found = F.struct("chunk_id", "rank", "document_id")
+    branches = done.groupBy(*by, "channel", "subquery").agg(F.collect_list(F.when(_named(*by, "channel") & _accepted(done, per_branch), found)).alias("found"))
+    branches = branches.withColumn("executed", F.count("*").over(Window.partitionBy(*by, "channel")))  # a channel's subqueries are few
+    valid = branches.select(*by, "channel", "subquery", "executed", F.inline("found"))
+    # of a chunk found several times the best rank counts, then the smallest document
+    best = valid.groupBy(*by, "chunk_id", "channel", "subquery", "executed").agg(F.min(F.struct("rank", "document_id")).alias("best"))
+    nowhere = "cast(null as struct<rank:{rank},place:{place}>)"
+    rows = best.select(*by, "chunk_id", "channel", "subquery", "executed", F.lit(0).alias("kind"), "best.rank", "best.document_id")
+    if graph is None:
+        rows = rows.withColumn("facts", F.lit(None).cast("array<string>"))
+    else:
+        kinds = dict(graph.dtypes)
+        first, facts = F.min(F.struct("rank", "place", "document_id")), F.array_sort(F.collect_set(F.col("fact_id").cast("string"))).alias("facts")
+        own = graph.where(_accepted(graph, per_branch)).groupBy(*by, "chunk_id").agg(F.when(_named(*by), first).alias("first"), facts).where("first is not null")
+        own = own.select(*by, "chunk_id", F.lit("GRAPH").alias("channel"), F.lit("branch").alias("subquery"), F.lit(1).cast("long").alias("executed"), F.lit(1).alias("kind"), "first.rank", "first.document_id", "facts", F.struct("first.rank", "first.place").alias("first"))
+        rows = rows.withColumn("facts", F.lit(None).cast("array<string>")).withColumn("first", F.expr(nowhere.format(**{c: kinds[c] for c in ("rank", "place")}))).unionByName(own)
     number, weight = F.col("executed"), F.lit(1.0)
     for name, n in (executed or {}).items():
         number = F.when(F.col("channel") == name, max(1, n)).otherwise(number)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
-    terms = best.withColumn("term", weight / number / (RRF + F.col("rank")))
-    scored = terms.groupBy(*by, "chunk_id").agg(
-        F.round(F.sum("term"), 12).alias("score"), F.min_by("document_id", F.struct("kind", "channel", "subquery", "rank")).alias("document_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("facts")))).alias("facts")
-    )
+    rows = rows.withColumn("term", weight / number / (RRF + F.col("rank")))
+    sums = [F.round(F.sum("term"), 12).alias("score"), F.min_by("document_id", F.struct("kind", "channel", "subquery", "rank")).alias("document_id"), F.coalesce(F.first("facts", ignorenulls=True), F.array().cast("array<string>")).alias("facts")]
+    if graph is None:
+        scored = rows.groupBy(*by, "chunk_id").agg(*sums)
+    else:
+        scored = rows.groupBy(*by, "chunk_id").agg(*sums, (F.min("kind") == 0).alias("known"), F.min("first").alias("first"))
+        scored = _cited(scored, derived, by).where("known or accepted").drop("known", "first", "accepted")
     place = F.row_number().over(Window.partitionBy(*by, F.lit(0)).orderBy(F.desc("score"), "chunk_id"))  # tasks cut their rows to `pool` first
     return scored.withColumn("fused_rank", place).where(F.col("fused_rank") <= pool)
 
@@ -83,10 +96,16 @@ def branch_counters(candidates: DataFrame, per_branch: int, graph: DataFrame | N
     out = done.groupBy(*by, "channel").agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("truncated"), F.count_distinct(F.coalesce("subquery", F.lit("branch"))).alias("executed"))
     if graph is None:
         return out
-    cited = _graph_accepted(done.where(good), graph.where(F.col("rank") <= per_branch), per_branch, derived, by)
-    inside = cited.groupBy(*by).agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("lost"), F.lit(0).cast("long").alias("beyond"))
-    beyond = graph.where(F.col("rank") > per_branch).groupBy(*by).agg(F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("lost"), F.count_distinct("rank").alias("beyond"))
-    sums = inside.unionByName(beyond).groupBy(*by).agg(F.sum("accepted").alias("accepted"), F.sum(F.col("lost") + F.col("beyond")).alias("truncated"))
+    inside, valid = F.col("rank") <= per_branch, _named(*by) & _accepted(graph, per_branch)
+    # a row a chunk, and one (of no chunk) a graph row beyond per_branch
+    cited = graph.where(F.col("rank").isNotNull()).groupBy(*by, F.when(inside, F.col("chunk_id")).alias("chunk_id"), F.when(~inside, F.col("rank")).alias("beyond"))
+    cited = cited.agg(F.count_if(inside & valid).alias("valid"), F.count_if(inside & ~valid).alias("lost"), F.min(F.when(inside & valid, F.struct("rank", "place"))).alias("first"))
+    text = done.where(good).select(*by, "chunk_id").distinct()
+    both = cited.withColumn("text", F.lit(False)).unionByName(text.withColumn("text", F.lit(True)), allowMissingColumns=True)
+    chunks = both.groupBy(*by, "chunk_id", "beyond").agg(F.sum("valid").alias("valid"), F.sum("lost").alias("lost"), F.min("first").alias("first"), F.bool_or("text").alias("known"), F.bool_or(~F.col("text")).alias("graph"))
+    taken = F.coalesce(F.when(F.col("accepted"), F.col("valid")), F.lit(0)).alias("accepted")
+    gone = F.when(F.col("beyond").isNotNull(), 1).otherwise(F.coalesce("lost", F.lit(0)) + F.when(F.col("accepted"), 0).otherwise(F.coalesce("valid", F.lit(0))))
+    sums = _cited(chunks, derived, by).where("graph").select(*by, taken, gone.alias("truncated")).groupBy(*by).agg(F.sum("accepted").alias("accepted"), F.sum("truncated").alias("truncated"))
     return out.unionByName(sums.select(*by, F.lit("GRAPH").alias("channel"), "accepted", "truncated", F.lit(1).cast("long").alias("executed")))
 
 

@@ -28,6 +28,7 @@ def found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Line items as what the branches and the graph plans of a customer's request found."""
     n, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("request")), "l_orderkey")
+    lines = lines.select("request", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("request")  # the only shuffle, all else is by request
     lines = lines.withColumn("channel", F.when(n % 3 == 0, "DENSE").when(n % 3 == 1, "LEXICAL").otherwise("METADATA")).withColumn("subquery", F.when(n % 3 < 2, F.concat(F.lit("q"), (F.col("l_orderkey") % 2).cast("string"))))
     name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     rank = F.row_number().over(Window.partitionBy("request", "channel", "subquery").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))

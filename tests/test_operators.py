@@ -503,3 +503,21 @@ def test_effective_options(spark):
     out = {r.document_id: r.options for r in options.effective(docs, asked).collect()}
     assert out["a"] == {"preserveLineBreaks": "true"}
     assert out["b"] == {"preserveLineBreaks": "true", "includeMetadata": "false", "tika.write-limit": "-1", "docxRevisionMode": "original"}
+
+
+def test_fusion_by_request_shuffles_only_what_it_is_given(spark):
+    """Dealt by request, candidates and graph rows meet without a join or another shuffle; rows of no request are in no ranking."""
+    text = [(1, "D", "q", "a", "d", 1), (1, "D", "q", "b", "d", 2), (1, "D", "p", " ", "d", 1), (2, "L", None, "a", "d", 1), (None, "D", "q", "a", "d", 1)]
+    cited = [(1, 1, 1, "a", "d", 7), (1, 1, 2, "n", "d", 8), (1, 2, 1, "m", "d", 9), (1, 2, 2, "o", "d", 9), (1, 9, 1, "a", "d", 9), (2, 1, 1, "b", "d", 7), (None, 1, 1, "a", "d", 7)]
+    text = spark.createDataFrame(text, "request int, channel string, subquery string, chunk_id string, document_id string, rank int").repartition("request")
+    cited = spark.createDataFrame(cited, "request int, rank int, place int, chunk_id string, document_id string, fact_id int").repartition("request")
+    fused = ranking.fuse(text, graph=cited, derived=2, per_branch=5, by=("request",))
+    counted = ranking.branch_counters(text, 5, cited, 2, by=("request",))
+    for out in (fused, counted):
+        plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert not [x for x in plan if "Join" in x or ("Exchange" in x and "REPARTITION_BY_COL" not in x)]
+    assert {(r.request, r.chunk_id): (r.score, r.facts) for r in fused.collect()} == {
+        (1, "a"): (round(1 / 2 / 61 + 1 / 61, 12), ["7"]), (1, "b"): (round(1 / 2 / 62, 12), []), (1, "n"): (round(1 / 61, 12), ["8"]), (1, "m"): (round(1 / 62, 12), ["9"]),
+        (2, "a"): (round(1 / 61, 12), []), (2, "b"): (round(1 / 61, 12), ["7"]),
+    }
+    assert {tuple(r) for r in counted.collect()} == {(1, "D", 2, 1, 2), (2, "L", 1, 0, 1), (None, "D", 1, 0, 1), (1, "GRAPH", 3, 2, 1), (2, "GRAPH", 1, 0, 1), (None, "GRAPH", 0, 1, 1)}
