@@ -6,10 +6,12 @@ part the text into groups, and a group links each of its A tokens with each of i
 
 Neither tokenizer joins a letter with a space behind it, so a text falls into stretches (spaces and what follows them) that
 are encoded and aligned alone. A Python worker keeps those it met, up to `most` of them. Texts are handled in blocks of about
-`block_bytes`. A block is one row: its distinct links (pairs of ids as one number) with the number of documents that hold each,
-and for every document the places of its links among them. So what is shuffled to learn the counts of the corpus is a row for
-each distinct link of a block, not for each link of a document, no table is broadcast but the highest count of each A id (as
-many rows as the vocabulary has), and a link that is everywhere is one row a block.
+`block_bytes`, and within them in pieces of about `piece_bytes`, so what a worker holds at once follows neither the input nor the
+block. A block's distinct links (pairs of ids as one number) stand once in it, with the number of documents that hold each, and
+every document has the places of its links among them. A document is a row, which carries an equal share of its block's links: no
+row is large unless a text is. So what is shuffled to learn the counts of the corpus is a row for each distinct link of a block,
+not for each link of a document, no table is broadcast but the highest count of each A id (as many rows as the vocabulary has),
+and a link that is everywhere is one row a block.
 
 Defined results: null and empty texts, and those that a tokenizer does not give back byte by byte, have no tokens: all numbers
 are 0 and groups are empty; special tokens' strings are plain text; repeated rows are documents each, null ids are kept; a text
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +50,7 @@ class Pair:
     block_bytes: int = 4 << 20
     most: int = 400_000
     wide: int = 1 << 20  # a group with more pairs of tokens is reduced to distinct ids first
+    piece_bytes: int = 1 << 18
 
 
 def owners(counts: np.ndarray) -> np.ndarray:
@@ -202,12 +206,26 @@ class Aligner:
         return sums | {"n_links": np.bincount(place, times, len(n)).astype(np.int64), "digest": digests, "place": place, "link": link, "times": times}
 
 
-_BLOCK = pa.schema([
+_DOCUMENT = pa.schema([
     ("block", pa.int64()), ("links", pa.list_(pa.int64())), ("documents", pa.list_(pa.int64())),
-    ("id", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())), ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())), ("digest", pa.list_(pa.string())),
-    ("held", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
+    ("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("digest", pa.string()),
+    ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())),
 ])
-_BLOCK_SQL = "block long, links array<long>, documents array<long>, id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, held array<int>, place array<int>, times array<int>"
+_DOCUMENT_SQL = "block long, links array<long>, documents array<long>, id long, n_a long, n_b long, n_groups long, n_links long, digest string, place array<int>, times array<int>"
+
+
+def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows with at most so many bytes of text each, or one row."""
+    ends = np.cumsum(batch.column("bytes").to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, kind))
 
 
 def _blocks(pair: Pair):
@@ -215,38 +233,43 @@ def _blocks(pair: Pair):
         own = kept(pair, lambda: Aligner(pair))
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ends = np.cumsum(batch.column("bytes").to_numpy())
-            at = 0
-            while at < batch.num_rows:
-                before = ends[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(ends, before + pair.block_bytes, "right")))
-                part = batch.slice(at, end - at)
-                got = own.align(part.column("text").to_pylist())
-                links, place = np.unique(got["link"], return_inverse=True)
-                held = np.bincount(got["place"], minlength=part.num_rows)
-                row = [[block], [links], [np.bincount(place, minlength=len(links))], [part.column("id")], *([got[c]] for c in ("n_a", "n_b", "n_groups", "n_links")), [got["digest"]], [held], [place], [got["times"]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x if f.name != "id" else [x[0].to_pylist()], f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
-                block, at = block + 1, end
+            for part in _parts(batch, pair.block_bytes):
+                n, found, numbers = part.num_rows, [], {"n_a": [], "n_b": [], "n_groups": [], "n_links": []}
+                digests, held = [], []
+                for piece in _parts(part, pair.piece_bytes):
+                    got = own.align(piece.column("text").to_pylist())
+                    found.append((got["link"], got["times"]))
+                    held.append(np.bincount(got["place"], minlength=piece.num_rows))
+                    digests += got["digest"]
+                    for c, x in numbers.items():
+                        x.append(got[c])
+                links, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                share, ends = np.arange(1, n + 1) * len(links) // n, np.cumsum(np.concatenate(held))
+                row = [pa.array(np.full(n, block)), _lists(share, links, pa.int64()), _lists(share, np.bincount(place, minlength=len(links)), pa.int64()), part.column("id")]
+                row += [pa.array(np.concatenate(x)) for x in numbers.values()] + [pa.array(digests, pa.string())]
+                row += [_lists(ends, place.astype(np.int32), pa.int32()), _lists(ends, np.concatenate([x for _, x in found]), pa.int32())]
+                yield pa.RecordBatch.from_arrays(row, schema=_DOCUMENT)
+                block += 1
 
     return run
 
 
-def _scored(key, blocks: pa.Table, asked: pa.Table) -> pa.Table:
+def _scored(key, documents: pa.Table, asked: pa.Table) -> pa.Table:
     """The sums of each document of one block, from the counts of its links."""
     order = np.argsort(asked.column("link").to_numpy())
     n, best = asked.column("n").to_numpy()[order], asked.column("best").to_numpy(zero_copy_only=False)[order]
-    of = lambda c: blocks.column(c).combine_chunks().flatten()
-    place, times, held = (of(c).to_numpy() for c in ("place", "times", "held"))
+    place, times = (documents.column(c).combine_chunks().flatten().to_numpy() for c in ("place", "times"))
+    held = pc.list_value_length(documents.column("place")).to_numpy()
     doc = np.repeat(np.arange(len(held)), held)
     sums = [np.bincount(doc, w, len(held)).astype(np.int64) if len(doc) else np.zeros(len(held), np.int64) for w in ((times * best[place], times * n[place]) if len(doc) else ((), ()))]
-    columns = [of("id"), *(of(c) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]), of("digest")]
+    columns = [*(documents.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")), pa.array(sums[0]), pa.array(sums[1]), documents.column("digest")]
     return pa.table(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "digest"])
 
 
 def blocks_of(docs: DataFrame, pair: Pair, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per block of documents, written out."""
+    """A row per document, with the number of its block and a share of the block's links, written out."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("bytes", F.octet_length("text").cast("long"))
-    return materialize(rows.mapInArrow(_blocks(pair), _BLOCK_SQL), "aligned")
+    return materialize(rows.mapInArrow(_blocks(pair), _DOCUMENT_SQL), "aligned")
 
 
 def link_counts(blocks: DataFrame, width: int) -> DataFrame:

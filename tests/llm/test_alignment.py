@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loreweave.llm.alignment import Aligner, Pair, align, overlaps, token_overlaps
+from loreweave.llm import alignment
+from loreweave.llm.alignment import Aligner, Pair, align, blocks_of, overlaps, token_overlaps
 from loreweave.llm.queries import op11_align_tokenizers, tokenizer_path
 from loreweave.sources.tables import table
 
@@ -99,3 +102,27 @@ def test_token_overlaps(spark, documents):
 
 def test_no_rows(spark, documents):
     assert align(documents([]), PAIR).count() == 0
+
+
+def test_rows_stay_small(spark, documents):
+    """What is written of a block is a row for each document, and no row holds more than its share of the block's links."""
+    rows = [(k, f"sentence {k} says w{k} twice, w{k}") for k in range(400)]
+    got = blocks_of(documents(rows).coalesce(1), PAIR).collect()
+    assert len({r.block for r in got}) == 1 and sorted(r.id for r in got) == list(range(400))
+    links = [x for r in got for x in r.links]
+    assert len(links) == len(set(links)) and sum(sum(r.documents) for r in got) == sum(len(r.place) for r in got)
+    assert max(len(r.links) for r in got) - min(len(r.links) for r in got) <= 1
+
+
+def test_workers_hold_a_piece_at_once(monkeypatch, spark):
+    """A block is aligned piece by piece, with the same result; what is known is forgotten between pieces too."""
+    texts = [f"piece {k} of a block {k * 7}" for k in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts), pa.array([len(t) for t in texts], pa.int64())], ["id", "text", "bytes"])
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    align_texts, got = Aligner.align, []
+    for pair in (Pair(PAIR.a, PAIR.b), Pair(PAIR.a, PAIR.b, most=30, piece_bytes=500)):
+        sizes = []
+        monkeypatch.setattr(Aligner, "align", lambda self, x: sizes.append((sum(map(len, x)), len(self.number))) or align_texts(self, x))
+        got.append((pa.Table.from_batches(alignment._blocks(pair)(iter([batch]))).to_pylist(), sizes))
+    assert got[0][0] == got[1][0] and len(got[0][1]) == 1 and len(got[1][1]) > 5
+    assert max(n for n, _ in got[1][1]) <= 500 and max(k for _, k in got[1][1]) < 30 + 200
