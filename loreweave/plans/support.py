@@ -2,11 +2,12 @@
 
 A path counts only if each of its elements has a support: evidence of the fact, within base and schema, from a parent chunk of
 the same base, document and run, that asserts the node, or both ends of the relationship as they stand in the path. That is one
-semi join per element with the supports of its label, of the nodes and relationships before they meet in paths. Lists are fetched late: rows are ordered and cut first, so at most `limit` rows (or,
-under an aggregate, `scan_limit` paths) of at most five elements meet the evidence, whatever its size.
+semi join per element with the supports of its label, of the nodes and relationships before they meet in paths. Lists are fetched
+late: rows are ordered and cut to the plan's `limit` first. An aggregate sees all paths (unless it is given a `scan_limit`), and a
+group has the facts of all its paths; these are rows of a table of their own (rows_and_facts), which run_with_facts puts into lists.
 
-Paths are ordered by the plan's ordering and then by the ids along them, so results repeat. Per row a fact comes once, at its
-first place, with its distinct evidence ids and the first citation of each chunk (both in order of evidence ids). Supports with a
+Paths are ordered by the plan's ordering and then by the ids along them, so results repeat. Per row a fact (told by kind and id)
+comes once, at its first place, with its distinct evidence ids and the first citation of each chunk (both in order of evidence ids). Supports with a
 blank id or an impossible range are left out of the lists, then facts without supports, then rows without facts.
 """
 
@@ -23,6 +24,7 @@ from loreweave.plans.graphplan import Graph, GraphPlan, _aggregate, _projection,
 from loreweave.sources.shared import written
 
 CITATION = ("chunk_id", "document_id", "source_start", "source_end", "page_start", "page_end", "run", "revision", "path")
+FACT = ("fact_id", "kind", "type", "from_label", "to_label", "properties", "evidence_ids", "citations")
 
 
 def fact_id(label: str, node: str) -> Column:
@@ -101,12 +103,14 @@ def supported_match(plan: GraphPlan, graph: Graph, found: DataFrame) -> DataFram
     return match(plan, graph, keep)
 
 
-def _elements(plan: GraphPlan, paths: DataFrame) -> Column:
-    """The facts of a path: nodes first, then relationships."""
+def _elements(plan: GraphPlan, paths: DataFrame, shown: bool = True) -> Column:
+    """The facts of a path: nodes first, then relationships; properties only if they are shown."""
     labels, none = _labels(plan), F.lit(None).cast("string")
     kinds = dict(paths.dtypes)
 
     def properties(name: str) -> Column:
+        if not shown:
+            return F.lit(None).cast("map<string,string>")
         fields = paths.schema[name].dataType.fieldNames()
         return F.map_filter(F.create_map(*(x for f in fields if f != "id" for x in (F.lit(f), F.col(f"{name}.{f}").cast("string")))), lambda _, v: v.isNotNull())
 
@@ -121,21 +125,20 @@ def _elements(plan: GraphPlan, paths: DataFrame) -> Column:
     return F.array(*out)
 
 
-def merged_facts(elements: DataFrame, found: DataFrame) -> DataFrame:
-    """row, facts: each row's facts in order, of elements (row, path_no, place, kind, fact_id, type, ends, properties) and the valid
-    supports among found."""
-    first = elements.groupBy("row", "fact_id").agg(F.min_by(F.struct("path_no", "place", "kind", "type", "from_label", "to_label", "properties"), F.struct("path_no", "place")).alias("x"))
-    asked = elements.select("row", "kind", "fact_id", "from_id", "to_id").distinct().alias("e")  # a few thousand facts at most
+def merged_facts(elements: DataFrame, found: DataFrame, cited: tuple[str, ...] = CITATION) -> DataFrame:
+    """row, spot (where it comes first) and FACT, a row for each fact of a row, of elements (row, path, place, kind, fact_id, type,
+    ends, properties) and the valid supports among found, whose columns `cited` (chunk_id first) make a citation."""
+    about = ("type", "from_label", "to_label", "properties")
+    earliest = lambda: (F.min("spot").alias("spot"), *(F.min_by(c, "spot").alias(c) for c in about))
+    e = elements.withColumn("spot", F.struct("path", "place")).groupBy("row", "kind", "fact_id", "from_id", "to_id").agg(*earliest()).alias("e")
     s = valid_supports(found).alias("s")
     same = (F.col("e.kind") == F.col("s.kind")) & (F.col("e.fact_id") == F.col("s.fact_id"))
     ends = (F.col("e.kind") == "NODE") | ((F.col("e.from_id") == F.col("s.from_id")) & (F.col("e.to_id") == F.col("s.to_id")))
-    rows = s.join(F.broadcast(asked), same & ends).select("e.row", "e.fact_id", F.col("s.evidence_id").alias("evidence_id"), F.struct(*(F.col(f"s.{c}").alias(c) for c in CITATION)).alias("citation"))
-    by_chunk = rows.groupBy("row", "fact_id", F.col("citation.chunk_id").alias("chunk")).agg(F.min_by(F.struct("evidence_id", "citation"), "evidence_id").alias("c"), F.collect_set("evidence_id").alias("ids"))
-    facts = by_chunk.groupBy("row", "fact_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("evidence_ids"), F.transform(F.array_sort(F.collect_list("c")), lambda c: c["citation"]).alias("citations"))
-    both = first.join(facts, ["row", "fact_id"]).select("row", F.struct(F.col("x.path_no").alias("path_no"), F.col("x.place").alias("place"), "fact_id", "x.kind", "x.type", "x.from_label", "x.to_label", "x.properties", "evidence_ids", "citations").alias("f"))
-    fields = ("fact_id", "kind", "type", "from_label", "to_label", "properties", "evidence_ids", "citations")
-    ordered = F.array_sort(F.collect_list("f"), lambda a, b: F.when(F.struct(a["path_no"], a["place"]) < F.struct(b["path_no"], b["place"]), -1).otherwise(1))
-    return both.groupBy("row").agg(F.transform(ordered, lambda f: F.struct(*(f[c].alias(c) for c in fields))).alias("facts"))
+    citation = F.struct(*(F.col(f"s.{c}").alias(c) for c in cited)).alias("citation")
+    rows = e.join(s, same & ends).select("e.row", "e.kind", "e.fact_id", "e.spot", *(f"e.{c}" for c in about), F.col("s.evidence_id").alias("evidence_id"), citation)
+    by_chunk = rows.groupBy("row", "kind", "fact_id", F.col("citation.chunk_id").alias("chunk")).agg(*earliest(), F.min_by(F.struct("evidence_id", "citation"), "evidence_id").alias("c"), F.collect_set("evidence_id").alias("ids"))
+    ids, citations = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), F.transform(F.array_sort(F.collect_list("c")), lambda c: c["citation"])
+    return by_chunk.groupBy("row", "kind", "fact_id").agg(*earliest(), ids.alias("evidence_ids"), citations.alias("citations")).select("row", "spot", *FACT)
 
 
 def _sort_keys(plan: GraphPlan, ids: list[str]) -> list[Column]:
@@ -143,26 +146,39 @@ def _sort_keys(plan: GraphPlan, ids: list[str]) -> list[Column]:
     return [*keys, *map(F.col, ids)]
 
 
-def run_with_facts(plan: GraphPlan, graph: Graph, found: DataFrame, scan_limit: int = 200, paths: DataFrame | None = None) -> DataFrame:
-    """The plan's rows over supported paths (paths, if they are known), in order: row (1, 2, ...), values (a struct of the projections
-    and the aggregate), facts."""
+def rows_and_facts(plan: GraphPlan, graph: Graph, found: DataFrame, scan_limit: int | None = None, paths: DataFrame | None = None, show: tuple[str, ...] = FACT, cited: tuple[str, ...] = CITATION) -> tuple[DataFrame, DataFrame]:
+    """Two tables. The plan's rows over supported paths (paths, if they are known and written): row (1, 2, ...), values (a struct of
+    the projections and the aggregate). Their facts, a row each: row, no (1, 2, ... within the row), show."""
     if problems := validate(plan, graph.schema):
         raise ValueError(", ".join(problems))
-    paths = supported_match(plan, graph, found) if paths is None else paths
+    known = paths is not None
+    paths = paths if known else supported_match(plan, graph, found)
     along = [f"n{k}.id" for k in range(len(plan.hops) + 1)] + [f"r{k}.id" for k in range(len(plan.hops))]
+    path = F.struct(*(F.col(c).alias(f"id{k}") for k, c in enumerate(along)))
     number = lambda *keys: F.row_number().over(Window.orderBy(*keys))  # noqa: E731  of rows that are cut to a limit already
     if plan.aggregation is None:
         rows = paths.withColumn("v", F.struct(*map(_projection, plan.projections)))
-        cut = rows.orderBy(*_sort_keys(plan, along)).limit(plan.limit).withColumn("row", number(*_sort_keys(plan, along))).withColumn("path_no", F.col("row"))
-        cut = written(cut, "cut")  # a few rows that stand for all paths: both their values and their facts ask for them
-        values, own = cut.select("row", F.col("v").alias("values")), cut
+        cut = rows.orderBy(*_sort_keys(plan, along)).limit(plan.limit).withColumn("row", number(*_sort_keys(plan, along)))
+        cut = written(cut, "cut").withColumn("path", path)  # a few rows that stand for all paths: both their values and their facts ask for them
+        own = cut
     else:
-        scanned = written(paths.orderBy(*along).limit(scan_limit).withColumn("path_no", number(*along)), "scanned")
+        if scan_limit is not None:
+            paths, known = paths.orderBy(*along).limit(scan_limit), False
         keys = F.struct(*map(_projection, plan.projections)) if plan.projections else F.lit(True)
-        grouped = scanned.withColumn("key", keys).groupBy("key").agg(_aggregate(plan.aggregation).alias("value"), F.collect_list("path_no").alias("paths"))
+        scanned = (paths if known else written(paths, "scanned")).withColumn("path", path).withColumn("key", keys)
+        grouped = scanned.groupBy("key").agg(_aggregate(plan.aggregation).alias("value"), F.min("path").alias("least"))
         shown = [F.col(f"key.{p.alias}").alias(p.alias) for p in plan.projections]
-        grouped = grouped.withColumn("v", F.struct(*shown, F.col("value").alias(plan.aggregation.alias))).withColumn("least", F.array_min("paths"))
-        cut = grouped.orderBy(*_sort_keys(plan, ["least"])).limit(plan.limit).withColumn("row", number(*_sort_keys(plan, ["least"])))
-        values, own = cut.select("row", F.col("v").alias("values")), scanned.join(cut.select("row", F.explode("paths").alias("path_no")), "path_no")
-    elements = own.select("row", "path_no", F.explode(_elements(plan, own)).alias("x")).select("row", "path_no", "x.*")
-    return values.join(merged_facts(elements, found), "row").orderBy("row")
+        grouped = grouped.withColumn("v", F.struct(*shown, F.col("value").alias(plan.aggregation.alias)))
+        cut = written(grouped.orderBy(*_sort_keys(plan, ["least"])).limit(plan.limit).withColumn("row", number(*_sort_keys(plan, ["least"]))), "cut")
+        own = scanned.join(F.broadcast(cut.select("row", "key")), "key")  # as many rows as the plan's limit
+    elements = own.select("row", "path", F.explode(_elements(plan, own, "properties" in show)).alias("x")).select("row", "path", "x.*")
+    facts = merged_facts(elements, found, cited).withColumn("no", F.row_number().over(Window.partitionBy("row").orderBy("spot")))
+    return cut.select("row", F.col("v").alias("values")), facts.select("row", "no", *show)
+
+
+def run_with_facts(plan: GraphPlan, graph: Graph, found: DataFrame, scan_limit: int | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """The plan's rows in order, each with all its facts as a list: row, values, facts."""
+    values, facts = rows_and_facts(plan, graph, found, scan_limit, paths)
+    ordered = F.array_sort(F.collect_list(F.struct("no", *FACT)), lambda a, b: F.when(a["no"] < b["no"], -1).otherwise(1))
+    lists = facts.groupBy("row").agg(F.transform(ordered, lambda f: F.struct(*(f[c].alias(c) for c in FACT))).alias("facts"))
+    return values.join(lists, "row").orderBy("row")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.plans import rounds, support
@@ -57,10 +57,14 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _text(f) -> Column:
+    """A fact as text: id=evidence@chunks."""
+    return F.concat(f("fact_id"), F.lit("="), F.array_join(f("evidence_ids"), ","), F.lit("@"), F.array_join(F.transform(f("citations"), lambda c: c["chunk_id"]), ","))
+
+
 def shown(rows: DataFrame) -> DataFrame:
-    """Facts as text: id=evidence@chunks."""
-    text = F.array_join(F.transform("facts", lambda f: F.concat(f["fact_id"], F.lit("="), F.array_join(f["evidence_ids"], ","), F.lit("@"), F.array_join(F.transform(f["citations"], lambda c: c["chunk_id"]), ","))), ";")
-    return rows.select("row", "values.*", text.alias("facts"))
+    """Facts as text, in order."""
+    return rows.select("row", "values.*", F.array_join(F.transform("facts", lambda f: _text(lambda c: f[c])), ";").alias("facts"))
 
 
 HOPS = (Hop("PLACED", "Order"), Hop("CONTAINS", "Part"))
@@ -74,13 +78,15 @@ def plan_support_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(support.run_with_facts(plan, SalesGraph(spark, sf_dir), evidence(spark, sf_dir)))
 
 
-@query(f"""WITH {EVIDENCE_SQL.replace("place AS", '''scan AS (SELECT *, row_number() OVER (ORDER BY c, o, p) AS path_no FROM path QUALIFY path_no <= 150),
+@query(f"""WITH {EVIDENCE_SQL.replace("place AS", '''scan AS (SELECT *, row_number() OVER (ORDER BY c, o, p) AS path_no FROM path),
       grouped AS (SELECT size, count(*) AS n, min(path_no) AS least, row_number() OVER (ORDER BY count(*) DESC, min(path_no)) AS row FROM scan GROUP BY size QUALIFY row <= 15), cut AS (SELECT scan.*, row, n FROM scan JOIN grouped USING (size)), place AS''', 1)}
     SELECT CAST(row AS INTEGER) AS row, size, n, facts FROM grouped JOIN facts USING (row)""")
 def plan_fact_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group of an aggregate, the facts of all its paths, each once."""
     plan = GraphPlan("Customer", HOPS, (Compare(2, "size", "<=", 20),), (Project("size", 2, "size"),), Aggregate("COUNT", "n"), (Order("n", True),), 15)
-    return shown(support.run_with_facts(plan, SalesGraph(spark, sf_dir), evidence(spark, sf_dir), 150))
+    values, facts = support.rows_and_facts(plan, SalesGraph(spark, sf_dir), evidence(spark, sf_dir), show=("fact_id", "evidence_ids", "citations"), cited=("chunk_id",))
+    texts = facts.select("row", F.struct("no", _text(F.col).alias("text")).alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return values.join(texts, "row").select("row", "values.*", F.array_join("x.text", ";").alias("facts"))
 
 
 def plans() -> list[GraphPlan]:

@@ -130,3 +130,37 @@ def test_rounds(spark, found, expired, plans, status, category):
 def test_no_plans(spark, found):
     own = rounds.round_of(spark, [], Tiny(spark), found)
     assert own.rows is None and own.status().count() == 0
+
+
+@dataclass
+class Many(Tiny):
+    """One node A that is related to 250 nodes B, whose names are x or none."""
+
+    def nodes(self, label):
+        rows = self.spark.range(1, 2 if label == "A" else 251)
+        return rows.select("id", F.when(F.col("id") % 5 > 0, "x").alias("name"))
+
+    def relationships(self, kind):
+        return self.spark.range(1, 251).select(F.format_string("R:1:%d", "id").alias("id"), F.lit(1).cast("long").alias("from_id"), F.col("id").alias("to_id"))
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    chunks = spark.createDataFrame([("c1", "d1", 0, 5, "kb", "PARENT", "r", None, None, "v", None)], "chunk_id string, document_id string, source_start int, source_end int, kb string, kind string, run string, page_start int, page_end int, revision string, path string")
+    rows = [("A:1", None, None)] + [(f"B:{k}", None, None) for k in range(1, 251)] + [(f"R:1:{k}", "A:1", f"B:{k}") for k in range(1, 251)]
+    rows = [(f"e{k}", "RELATIONSHIP" if a else "NODE", f, None if a else f, a, b, "c1", "d1", "kb", "s", "r") for k, (f, a, b) in enumerate(rows)]
+    return support.supports(spark.createDataFrame(rows, "evidence_id string, kind string, fact_id string, node_id string, from_id string, to_id string, chunk_id string, document_id string, kb string, schema_id string, run string"), chunks, "kb", "s")
+
+
+GROUPS = GraphPlan("A", (Hop("R", "B"),), (), (Project("b", 1, "name"),), Aggregate("COUNT", "n"), (Order("n", True),), 5)
+
+
+def test_aggregates_see_all_paths(spark, many):
+    """More paths than any cut of a scan: all are counted, and all their facts are there; a group may have no name."""
+    rows = support.run_with_facts(GROUPS, Many(spark), many).collect()
+    assert [(r["values"].b, r["values"].n, len(r.facts)) for r in rows] == [("x", 200, 401), (None, 50, 101)]
+    first = sorted({k for k in range(1, 251) if k % 5})
+    assert [f.fact_id for f in rows[0].facts] == ["A:1", "B:1", "R:1:1", *(x for k in first[1:] for x in (f"B:{k}", f"R:1:{k}"))]
+    assert all(f.evidence_ids and f.citations for r in rows for f in r.facts)
+    (row,) = support.run_with_facts(GROUPS, Many(spark), many, scan_limit=4).collect()
+    assert (row["values"].b, row["values"].n, len(row.facts)) == ("x", 4, 9)
