@@ -98,10 +98,10 @@ def plans() -> list[GraphPlan]:
 
 
 def one_round(spark: SparkSession, sf_dir: str) -> rounds.Round:
-    return rounds.round_of(spark, plans(), SalesGraph(spark, sf_dir), evidence(spark, sf_dir), 150, expired=lambda k: k == 4)
+    return rounds.round_of(spark, plans(), SalesGraph(spark, sf_dir), evidence(spark, sf_dir), expired=lambda k: k == 4, show=("fact_id", "citations"), cited=("chunk_id", "document_id"))
 
 
-ROUND_SQL = f"""{EVIDENCE_SQL.split("place AS")[0]} scan AS (SELECT *, row_number() OVER (ORDER BY c, o, p) AS path_no FROM path QUALIFY path_no <= 150),
+ROUND_SQL = f"""{EVIDENCE_SQL.split("place AS")[0]} scan AS (SELECT *, row_number() OVER (ORDER BY c, o, p) AS path_no FROM path),
     grouped AS (SELECT size, count(*) AS n, min(path_no) AS least, row_number() OVER (ORDER BY count(*) DESC, min(path_no)) AS row FROM scan GROUP BY size QUALIFY row <= 15),
     firsts AS (SELECT *, row_number() OVER (ORDER BY o DESC, p, c) AS row, row AS path_no FROM path QUALIFY row <= 40),
     cut AS (SELECT 1 AS plan_no, row, path_no, c, o, p FROM firsts UNION ALL SELECT 3, row, path_no, c, o, p FROM scan JOIN grouped USING (size)),
@@ -116,7 +116,8 @@ def graph_round_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of unlike plans in one table, with how many facts and citations each has."""
     own = one_round(spark, sf_dir)
     cited = own.citations().groupBy("rank").agg(F.count("*").alias("citations"))
-    return own.ranked().join(cited, "rank").select("rank", "plan_no", "row", F.to_json("values").alias("shown"), F.size("facts").alias("facts"), "citations")
+    facts = own.facts.groupBy("plan_no", "row").agg(F.count("*").cast("int").alias("facts"))
+    return own.ranked().join(facts, ["plan_no", "row"]).join(cited, "rank").select("rank", "plan_no", "row", F.to_json("values").alias("shown"), "facts", "citations")
 
 
 @query(f"""WITH {ROUND_SQL}, a AS (SELECT * FROM (VALUES (1, 'COMPLETED', NULL), (2, 'VALIDATION_FAILED', 'filter.property-unknown'), (3, 'COMPLETED', NULL), (4, 'DEADLINE_EXCEEDED', 'deadline.expired')) v(plan_no, status, category))

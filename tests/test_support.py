@@ -164,3 +164,11 @@ def test_aggregates_see_all_paths(spark, many):
     assert all(f.evidence_ids and f.citations for r in rows for f in r.facts)
     (row,) = support.run_with_facts(GROUPS, Many(spark), many, scan_limit=4).collect()
     assert (row["values"].b, row["values"].n, len(row.facts)) == ("x", 4, 9)
+
+
+def test_rounds_see_all_paths(spark, many):
+    own = rounds.round_of(spark, [GROUPS, PLAN], Many(spark), many)
+    assert [(r.plan_no, r.row) for r in own.ranked().orderBy("rank").collect()] == [(1, 1), (1, 2), *((2, k) for k in range(1, 11))]
+    assert {(r.plan_no, r.row): r["count"] for r in own.facts.groupBy("plan_no", "row").count().collect()} == {(1, 1): 401, (1, 2): 101} | {(2, k): 3 for k in range(1, 11)}
+    cited = own.citations().where("rank = 1").orderBy("place").collect()
+    assert [r.place.k for r in cited] == list(range(401)) and [r.fact_id for r in cited[:3]] == ["A:1", "B:1", "R:1:1"]
