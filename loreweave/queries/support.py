@@ -67,6 +67,13 @@ def shown(rows: DataFrame) -> DataFrame:
     return rows.select("row", "values.*", F.array_join(F.transform("facts", lambda f: _text(lambda c: f[c])), ";").alias("facts"))
 
 
+def joined(facts: DataFrame, most: int = 1 << 14) -> DataFrame:
+    """row, facts: each row's facts as text, joined in parts of `most` first, so that only the parts' texts meet by row."""
+    in_order = lambda c: F.array_join(F.array_sort(F.collect_list(F.struct(c, "text")))["text"], ";")
+    texts = facts.select("row", "no", F.floor((F.col("no") - 1) / most).alias("part"), _text(F.col).alias("text"))
+    return texts.groupBy("row", "part").agg(in_order("no").alias("text")).groupBy("row").agg(in_order("part").alias("facts"))
+
+
 HOPS = (Hop("PLACED", "Order"), Hop("CONTAINS", "Part"))
 
 
@@ -85,8 +92,7 @@ def plan_fact_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group of an aggregate, the facts of all its paths, each once."""
     plan = GraphPlan("Customer", HOPS, (Compare(2, "size", "<=", 20),), (Project("size", 2, "size"),), Aggregate("COUNT", "n"), (Order("n", True),), 15)
     values, facts = support.rows_and_facts(plan, SalesGraph(spark, sf_dir), evidence(spark, sf_dir), show=("fact_id", "evidence_ids", "citations"), cited=("chunk_id",))
-    texts = facts.select("row", F.struct("no", _text(F.col).alias("text")).alias("x")).groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return values.join(texts, "row").select("row", "values.*", F.array_join("x.text", ";").alias("facts"))
+    return values.join(joined(facts), "row").select("row", "values.*", "facts")
 
 
 def plans() -> list[GraphPlan]:

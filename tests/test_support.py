@@ -172,3 +172,13 @@ def test_rounds_see_all_paths(spark, many):
     assert {(r.plan_no, r.row): r["count"] for r in own.facts.groupBy("plan_no", "row").count().collect()} == {(1, 1): 401, (1, 2): 101} | {(2, k): 3 for k in range(1, 11)}
     cited = own.citations().where("rank = 1").orderBy("place").collect()
     assert [r.place.k for r in cited] == list(range(401)) and [r.fact_id for r in cited[:3]] == ["A:1", "B:1", "R:1:1"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 14])
+def test_facts_are_joined_in_parts(spark, many, most):
+    from loreweave.queries.support import joined
+
+    _, facts = support.rows_and_facts(GROUPS, Many(spark), many)
+    got = {r.row: r.facts.split(";") for r in joined(facts, most).collect()}
+    assert [len(got[k]) for k in (1, 2)] == [401, 101] and got[1][:3] == ["A:1=e0@c1", "B:1=e1@c1", "R:1:1=e251@c1"]
+    assert [int(x.split("=")[0].split(":")[-1]) for x in got[1][1:]] == [k for k in range(1, 251) if k % 5 for _ in "BR"]
